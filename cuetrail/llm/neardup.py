@@ -1,2 +1,183 @@
-def op5_minhash_neardup(spark, sf_dir):
-    raise NotImplementedError
+"""Near-duplicate groups from bottom-k sketches of one hash function.
+
+The sketch keeps, of one hash of every shingle, the `KEEP` least values of each of `CLASSES` residue classes. Two sets of similarity s agree
+on all that a class keeps with probability about s**KEEP, so for 0.8 they share no class in 1e-7 of all cases, for 0.85 in 1e-10. What a
+class keeps is the key of an inverted list; overlaps come from the lists, the sketch of the union estimates the similarity of a pair, and
+the full shingle sets confirm it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import blocks, bound_batches, mix64, partitions, shingle_sets, staged, table, utf8
+
+CLASSES, KEEP = 24, 3
+#: How far below the threshold the estimate of a pair that is still confirmed may lie: six standard errors.
+MARGIN = 0.25
+#: Pairs of one document that are confirmed in one group of rows.
+PARTNERS = 128
+_PAD = np.uint32(0xFFFFFFFF)
+
+
+def _sketches(texts: list[bytes], w: int):
+    """Set sizes, two set hashes, sketch matrix and (key, document) of the inverted lists."""
+    n = len(texts)
+    h, bounds = shingle_sets(texts, w)
+    size = np.diff(bounds)
+    doc = np.repeat(np.arange(n), size)
+    sums = [np.add.reduceat(np.append(mix64(h + np.uint64(s)), np.uint64(0)), np.minimum(bounds[:-1], len(h))) for s in (1, 2)] if n else [np.zeros(0, np.uint64)] * 2
+    for s in sums:
+        s[size == 0] = 0
+    group = doc * CLASSES + (h % np.uint64(CLASSES)).astype(np.int64)
+    order = np.argsort(group, kind="stable")  # values of a document are sorted already
+    g = group[order]
+    head = np.ones(len(g), dtype=bool)
+    head[1:] = g[1:] != g[:-1]
+    at = np.flatnonzero(head)
+    rank = np.arange(len(g)) - np.repeat(at, np.diff(np.append(at, len(g))))
+    low = rank < KEEP
+    kept, g, rank = h[order][low], g[low], rank[low]
+    sketch = np.full((n * CLASSES, KEEP), _PAD, dtype=np.uint32)
+    sketch[g, rank] = np.minimum(kept >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32)
+    first = np.flatnonzero(rank == 0)
+    key = mix64(np.add.reduceat(mix64(kept) * (rank.astype(np.uint64) * np.uint64(2) + np.uint64(1)), first) + (g[first] % CLASSES).astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+    return size, sums, sketch.reshape(n, -1), key.view(np.int64), g[first] // CLASSES
+
+
+def sketch_table(docs: DataFrame, w: int) -> DataFrame:
+    """doc_id, n, h1, h2 (which set it is), keys array<long> (its inverted lists), sketch binary."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column(1))
+            for lo, hi in blocks(texts):
+                size, (h1, h2), sketch, key, of = _sketches(texts[lo:hi], w)
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=hi - lo)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key)), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n", "h1", "h2", "keys", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary")
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of the rows of two sketch matrices, from what the sketch of the union keeps."""
+    both = np.sort(np.concatenate((a.reshape(len(a), CLASSES, KEEP), b.reshape(len(b), CLASSES, KEEP)), axis=2), axis=2)
+    real = both != _PAD
+    new = real.copy()
+    new[..., 1:] &= both[..., 1:] != both[..., :-1]
+    inside = new & (np.cumsum(new, axis=2) <= KEEP)
+    twice = np.zeros_like(new)
+    twice[..., :-1] = both[..., :-1] == both[..., 1:]
+    return (inside & twice).sum(axis=(1, 2)) / np.maximum(inside.sum(axis=(1, 2)), 1)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (lo, hi) whose estimate is near the threshold or above it."""
+    least = percent / 100 - MARGIN
+    s = sketches.select("doc_id", "sketch", "n")
+    joined = pairs.join(s.toDF("lo", "a", "na"), "lo").join(s.toDF("hi", "b", "nb"), "hi").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("lo", "hi", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
+                yield b.select(["lo", "hi"]).filter(pa.array(estimates(x, y) >= least))
+
+    return joined.mapInArrow(run, "lo bigint, hi bigint")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough. A document's text comes once for every PARTNERS of its pairs."""
+    many = pairs.groupBy("lo").count()
+    salted = pairs.join(many, "lo").select("lo", "hi", F.pmod(F.xxhash64("hi"), F.ceil(F.col("count") / PARTNERS)).alias("salt"))
+    wanted = salted.select("lo", "salt", F.col("hi").alias("doc_id"), F.lit(True).alias("partner")).unionByName(salted.select("lo", "salt", F.col("lo").alias("doc_id"), F.lit(False).alias("partner")).distinct())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.hint("shuffle_hash"), "doc_id")
+    rows = texts.repartition(partitions(docs.sparkSession), "lo", "salt").sortWithinPartitions("lo", "salt", "partner", "doc_id").select("lo", "salt", "partner", "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, np.zeros(0, np.uint64)
+        for b in batches:
+            lo, salt, partner, doc = (b.column(i).to_pylist() for i in range(4))
+            texts, links = utf8(b.column(4)), ([], [])
+            for start, end in blocks(texts):
+                h, bounds = shingle_sets(texts[start:end], w)
+                for i in range(start, end):
+                    mine = h[bounds[i - start] : bounds[i - start + 1]]
+                    if not partner[i]:
+                        held, own = (lo[i], salt[i]), mine
+                    elif held == (lo[i], salt[i]):
+                        common = len(np.intersect1d(own, mine, assume_unique=True))
+                        if 100 * common >= percent * (len(own) + len(mine) - common):
+                            links[0].append(lo[i])
+                            links[1].append(doc[i])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["lo", "hi"])
+
+    return rows.mapInArrow(run, "lo bigint, hi bigint").distinct()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component (the least node reachable) for the nodes of the edges (lo, hi). Every round points each node at its least neighbour
+    and that one's least neighbour, and goes on with the edges between what they point at."""
+    left = staged(edges.where("lo != hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "edges")
+    labels = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p"))
+        step = staged(up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.a")).select(F.col("x.a").alias("node"), F.col("y.p").alias("p")), "step")
+        at = step.select(F.col("node").alias("a"), F.col("p").alias("pa"))
+        bt = step.select(F.col("node").alias("b"), F.col("p").alias("pb"))
+        left = staged(left.join(at, "a").join(bt, "b").where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        moved = step.withColumnRenamed("p", "component")
+        if labels is not None:
+            onward = step.select(F.col("node").alias("component"), "p")
+            moved = labels.join(onward, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+        labels = staged(moved, "labels")
+    return labels if labels is not None else edges.select(F.col("lo").alias("node"), F.col("hi").alias("component")).limit(0)
+
+
+def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles long, component_id long, kept boolean (doc_id = component_id).
+
+    Documents whose sets of distinct `w`-word shingles have a similarity of `percent` % or more are linked; the component is the least
+    doc_id that links reach. Null and empty texts have no shingles and no links. doc_id names a document: rows of one id with different
+    texts count as one; rows without an id are kept, in no component.
+    """
+    sets = staged(sketch_table(docs, w), "sets")
+    real = sets.where("n > 0 and doc_id is not null")
+    # rows of one set are a class; its least document stands for it
+    best = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("s"))
+    classes = staged(best.select("doc_id", "h1", "h2", "n", "s.keys", "s.sketch"), "classes")
+    listed = classes.select(F.explode("keys").alias("key"), "doc_id")
+    lists = listed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub"), F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("other")).where("size > 1")
+    members = staged(listed.join(lists, "key"), "members")
+    hubs = F.explode(F.array_distinct(F.array("hub", F.when(F.col("size") > 4, F.col("other")).otherwise(F.col("hub"))))).alias("with")
+    tested = staged(_ordered(members.select("doc_id", hubs), "doc_id", "with"), "tested")
+    links = staged(_confirmed(staged(_likely(tested, classes, percent), "likely"), docs, w, percent), "links")
+    component = connected_components(links)
+    # whatever lists still hold of different components is compared as well
+    placed = members.select("key", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    rest = staged(placed.join(split, "key"), "rest")
+    mine, theirs = rest.toDF("key", "x", "cx"), rest.toDF("key", "y", "cy")
+    across = mine.join(theirs, "key").where("x < y and cx != cy").select(F.col("x").alias("lo"), F.col("y").alias("hi")).distinct()
+    late = staged(_likely(across.join(tested, ["lo", "hi"], "left_anti"), classes, percent), "late")
+    if not late.isEmpty():
+        component = connected_components(links.unionByName(staged(_confirmed(late, docs, w, percent), "late_links")))
+    of_class = classes.select("h1", "h2", "n", F.col("doc_id").alias("node")).join(component, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
+    out = sets.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+
+
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), w=3, percent=85)
