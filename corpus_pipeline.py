@@ -1,4 +1,58 @@
-STAGES = []
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, secrets, byte-level BPE."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuetrail.llm.bpe import encode
+from cuetrail.llm.common import staged, table
+from cuetrail.llm.decontamination import decontaminate
+from cuetrail.llm.neardup import near_duplicates
+from cuetrail.llm.secrets import scan
+from cuetrail.llm.toxicity import score, train_on_folds
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Score from which a document is rejected as toxic.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under TOXIC stay. The model is fitted on the labels of all folds but the one that is held out."""
+    model = train_on_folds(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, keep=COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the least doc_id stays."""
+    gone = near_duplicates(docs, w=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark stay."""
+    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are replaced by <secret>."""
+    return scan(docs, keep=("doc_id", "lang", "source", "n_chars"), redact=True).select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(F.col("redacted").isNotNull(), F.length("redacted").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and the digest of what they decode to."""
+    return encode(docs, keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256"))
+
+
+STAGES = [("toxicity", drop_toxic), ("minhash_neardup", drop_near_duplicates), ("decontamination", drop_contaminated), ("secret_scan", redact_secrets), ("byte_bpe", tokenize)]
+
+#: SQL can't express the first stage's model; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

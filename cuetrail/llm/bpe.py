@@ -120,19 +120,23 @@ def defaults() -> tuple[str, str]:
     return p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
-def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None, digests: bool = False) -> DataFrame:
-    """Token ids and byte offsets of each whole text, with the `keep` columns.
+#: What encode() can add, with the Spark types.
+OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "offsets": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    Adds n_tokens long, ids array<int>, offsets array<int> (byte offset of each token); with digests instead n_tokens, ids_sha256 and
-    decoded_sha256 (of the bytes that decode() gives). Null and empty texts have no ids. Repeated rows stay repeated; other columns are
-    dropped, so their names can't clash. One pass without a shuffle; a worker holds one Arrow batch and the memory of pieces.
+
+def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "offsets"), path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Token ids of each whole text, with the `keep` columns and the `outputs`: n_tokens long, ids array<int>, offsets array<int> (byte
+    offset of each token), ids_sha256 string (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 string (of the bytes
+    that the ids decode to).
+
+    Null and empty texts have no ids. Repeated rows stay repeated; other columns are dropped, so their names can't clash. One pass
+    without a shuffle; a worker holds one Arrow batch and the memory of pieces.
     """
     p, pat = defaults()
     p, pat = path or p, pattern or pat
     bound_batches(df.sparkSession)
     rows = df.select(*keep, df[text].alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    added = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens bigint, ids array<int>, offsets array<int>"
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(p, pat)
@@ -140,17 +144,17 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         for b in batches:
             coded = bpe.encode([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
             ids = [np.frombuffer(c, dtype="<u4") for c in coded]
-            n = pa.array([len(i) for i in ids], pa.int64())
-            if digests:
-                more = [pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids], pa.string())]
-            else:
-                bounds = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32))
-                flat = pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32))
-                at = np.concatenate([bpe.offsets(i) for i in ids]) if ids else np.zeros(0)
-                more = [pa.ListArray.from_arrays(bounds, flat), pa.ListArray.from_arrays(bounds, pa.array(at.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, *more], names=[*b.schema.names[:-1], "n_tokens", *added.replace(" bigint", "").replace(" string", "").replace(" array<int>", "").split(", ")[1:]])
+            bounds = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32))
+            made = {
+                "n_tokens": lambda: pa.array([len(i) for i in ids], pa.int64()),
+                "ids": lambda: pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32))),
+                "offsets": lambda: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([bpe.offsets(i) for i in ids] or [np.zeros(0)]).astype(np.int32))),
+                "ids_sha256": lambda: pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
+                "decoded_sha256": lambda: pa.array([hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids], pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(made[o]() for o in outputs)], names=[*b.schema.names[:-1], *outputs])
 
-    return rows.mapInArrow(run, f"{kept}, {added}" if kept else added)
+    return rows.mapInArrow(run, ", ".join([*kept, *(f"{o} {OUTPUTS[o]}" for o in outputs)]))
 
 
 def decode(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
@@ -171,4 +175,4 @@ def decode(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",),
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), digests=True)
+    return encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,8 +85,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """For each row of docs: the id, n_words, n_hit, n_items long, items_sha256 string, contaminated boolean.
 
     Null and empty texts have no words and aren't contaminated. Repeated rows (also of one id) stay repeated rows: rows are told apart by
-    their place in the file. Items with null or wordless texts have no windows; an empty benchmark contaminates nothing.
+    their place in the file (a DataFrame that isn't read from files is written first). Items with null or wordless texts have no windows; an empty benchmark contaminates nothing.
     """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = staged(docs.select(doc_id, "text"), "rows")
     rows = docs.select(_row_id().alias("uid"), F.col(doc_id).alias("doc_id"), "text")
     plan = staged(query_plan(rows, benchmark, size), "plan")
     index = staged(build_index(rows.select(F.struct("uid", "doc_id").alias("uid"), "text"), plan, size), "index")
@@ -110,4 +115,4 @@ def _row_id() -> Column:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return decontaminate(docs.select("doc_id", "text", "_metadata"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
