@@ -1,2 +1,7 @@
-QUERIES = {}
-SQL = {}
+"""All queries of the library's own operators by name, with their SQL."""
+
+from .plans import interval_queries, telemetry_queries
+
+_PARTS = (telemetry_queries, interval_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
