@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, bounded_broadcast, mix64, powers, table, utf8, word_bytes, words_of
+from .common import blocks, bound_batches, bounded_broadcast, mix64, powers, staged, table, utf8, word_bytes, words_of
 
 #: Labelled documents that the model is fitted on, at most (those with the smallest hash of the id).
 SAMPLE = 12_000
@@ -70,67 +70,87 @@ class Model:
         return np.where(np.bincount(doc, minlength=n) > 0, out, self.empty)
 
 
-def fit(words: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-5, least: int = 4, most: int = 4000) -> Model:
-    """Maximum likelihood of the document labels under noisy-or, by Adam over all rows.
+def choose_features(df: np.ndarray, hits: np.ndarray, n: int, mean: float, least: int = 4, most: int = 4000) -> np.ndarray:
+    """Which features (documents with each, toxic ones of them) stand out by four standard errors; the `most` clearest, in order."""
+    z = np.abs(hits - mean * df) / np.sqrt(np.maximum(df, 1) * max(mean * (1 - mean), 1e-9))
+    used = np.flatnonzero((df >= least) & (z >= 4))
+    return np.sort(used[np.argsort(-z[used], kind="stable")[:most]])
+
+
+def fit(columns: list[np.ndarray], sentences: list[np.ndarray], n_sentences: np.ndarray, labels: np.ndarray, n_features: int, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of maximum likelihood of the document labels under noisy-or, by Adam over all rows.
 
-    Features are the (at most `most`) buckets in `least` documents or more whose documents' labels stand out by four standard errors.
+    columns and sentences: of each document the (feature, sentence) pairs that occur; n_sentences: how many sentences it has.
     """
     n = len(labels)
     y = np.asarray(labels, dtype=np.float64)
-    mean = float(y.mean()) if n else 0.0
-    some = [i for i in range(n) if len(words[i])]
-    if not some:
-        return Model(np.zeros(BUCKETS, dtype=np.float32), -6.0, mean)
-    doc_of_word = np.concatenate([np.full(len(words[i]), i) for i in some])
-    all_words = np.concatenate([words[i] for i in some]).astype(np.int64)
-    sizes = [int(sentences[i].max()) + 1 for i in some]
-    base = np.concatenate(([0], np.cumsum(sizes)))
-    all_sent = np.concatenate([sentences[i].astype(np.int64) + b for i, b in zip(some, base[:-1], strict=True)])
-    doc_of_sent = np.repeat(some, sizes)
-    pairs = np.unique(all_words * n + doc_of_word)
-    df, hits = np.bincount(pairs // n, minlength=BUCKETS), np.bincount(pairs // n, y[pairs % n], minlength=BUCKETS)
-    z = np.abs(hits - mean * df) / np.sqrt(np.maximum(df, 1) * max(mean * (1 - mean), 1e-9))
-    used = np.flatnonzero((df >= least) & (z >= 4))
-    used = np.sort(used[np.argsort(-z[used], kind="stable")[:most]])
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    keep = place[all_words] >= 0
-    entries = np.unique(place[all_words[keep]] * int(base[-1]) + all_sent[keep])  # presence in a sentence
-    col, sent = entries // int(base[-1]), entries % int(base[-1])
+    n_sentences = np.asarray(n_sentences, dtype=np.int64)
+    base = np.concatenate(([0], np.cumsum(n_sentences)))
     n_sent = int(base[-1])
-    w = np.zeros(len(used))
-    bias = float(np.log(max(mean, 1e-3) / max(1.0, n_sent / n)))
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    for t in range(1, rounds + 1):
+    col = np.concatenate(columns).astype(np.int64) if n else np.zeros(0, np.int64)
+    sent = np.concatenate([s.astype(np.int64) + b for s, b in zip(sentences, base[:-1], strict=True)]) if n else np.zeros(0, np.int64)
+    doc_of_sent = np.repeat(np.arange(n), n_sentences)
+    mean = float(y.mean()) if n else 0.0
+    w = np.zeros(n_features)
+    bias = float(np.log(max(mean, 1e-3) / max(1.0, n_sent / max(n, 1))))
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    for t in range(1, rounds + 1 if n_sent else 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sent, w[col], minlength=n_sent), -30, 30)))
         none = np.exp(np.bincount(doc_of_sent, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
         pull = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)  # d loss / d sum of logits
         g_sent = p * pull[doc_of_sent]
-        g = np.append(np.bincount(col, g_sent[sent], minlength=len(used)) / n + ridge * w, g_sent.sum() / n)
+        g = np.append(np.bincount(col, g_sent[sent], minlength=n_features) / n + ridge * w, g_sent.sum() / n)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
-    weights = np.zeros(BUCKETS, dtype=np.float32)
-    weights[used] = w
-    no_words = np.array([i for i in range(n) if not len(words[i])], dtype=int)
-    return Model(weights, float(bias), float((y[no_words].sum() + mean) / (len(no_words) + 1)))
+    return w, bias
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents. labels: doc_id and the label (null labels and ids are left out; the larger of several
-    labels of one document counts). Words are hashed in the tasks; the driver gets bucket and sentence numbers of the sample only."""
+    labels of one document counts). Features are counted and chosen over the sample in tasks; the driver gets the counts of the buckets
+    and the sample's occurrences of the chosen features only."""
     bound_batches(docs.sparkSession)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").alias("__text")).join(bounded_broadcast(chosen, sample), "doc_id").select("__text", "__y")
+    rows = staged(docs.select("doc_id", F.col("text").alias("__text")).join(bounded_broadcast(chosen, sample), "doc_id").select("__text", "__y"), "sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, hits = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            out = [sentence_words([t])[:2] for t in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<u4").tobytes() for x, _ in out], pa.binary()), pa.array([x.astype("<u4").tobytes() for _, x in out], pa.binary()), b.column(1)], names=["w", "s", "y"])
+            for t, y in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
+                f = np.unique(sentence_words([t])[0])
+                df[f] += 1
+                hits[f] += y
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some]), pa.array(hits[some])], names=["f", "df", "hits"])
+
+    head = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("__y"), F.lit(0.0)).alias("mean")).first()
+    n, mean = head["n"], float(head["mean"])
+    bounds = 4 / (mean * (1 - mean)) ** 0.5 if 0 < mean < 1 else 0.0
+    counts = rows.coalesce(8).mapInArrow(count, "f bigint, df bigint, hits bigint").groupBy("f").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).where((F.col("df") >= 4) & (F.abs(F.col("hits") - F.col("df") * mean) >= F.sqrt("df") * mean * (1 - mean) * bounds)).orderBy("f").toPandas()
+    df, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    df[counts.f], hits[counts.f] = counts.df, counts.hits
+    used = choose_features(df, hits, n, mean)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
 
-    got = rows.mapInArrow(run, "w binary, s binary, y int").toPandas()
-    got = got.sort_values(["w", "s", "y"], ignore_index=True)  # the order of rows doesn't reach the model
-    return fit([np.frombuffer(x, dtype="<u4") for x in got.w], [np.frombuffer(x, dtype="<u4") for x in got.s], got.y.to_numpy())
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in utf8(b.column(0)):
+                f, s, doc, _ = sentence_words([t])
+                keep = place[f] >= 0
+                pairs = np.unique(s[keep] * len(used) + place[f[keep]])
+                out.append(((pairs % max(len(used), 1)).astype("<u4").tobytes(), (pairs // max(len(used), 1)).astype("<u4").tobytes(), len(doc)))
+            c, s, k = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(s, pa.binary()), pa.array(k, pa.int64()), b.column(1)], names=["c", "s", "k", "y"])
+
+    got = rows.mapInArrow(occurrences, "c binary, s binary, k bigint, y int").toPandas().sort_values(["c", "s", "k", "y"], ignore_index=True)  # the order of rows doesn't reach the model
+    w, bias = fit([np.frombuffer(x, dtype="<u4") for x in got.c], [np.frombuffer(x, dtype="<u4") for x in got.s], got.k.to_numpy(), got.y.to_numpy(), len(used))
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[used] = w
+    empty = got[got.k == 0]
+    return Model(weights, float(bias), float((empty.y.sum() + mean) / (len(empty) + 1)))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), locate: bool = False, threshold: float = 0.5) -> DataFrame:
