@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,15 +14,38 @@ KEYS = ["project_id"]
 
 
 def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, decide) -> DataFrame:
-    """keys, columns and the added ones; decide gets a group in the order of its first column and returns the added columns."""
+    """keys, columns and the added one. decide gets the columns of a group as lists, in the order of the first column, and returns a list.
+
+    Groups stand side by side in sorted partitions and are decided as they stream past, so small groups cost little and a task never
+    holds more than a batch and a group.
+    """
     slim = df.select(*keys, *columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(columns[0], ignore_index=True)
-        return g.assign(**decide(g))
-
-    return slim.groupBy(*keys).applyInPandas(run, f"{schema}, {added}")
+    name = added.split()[0]
+
+    def decided(t: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
+        lists = {c: t[c].tolist() for c in columns}
+        out: list = []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            out += decide({c: v[x:y] for c, v in lists.items()})
+        return t.iloc[: edges[-1]].assign(**{name: out})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            t = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            new = np.zeros(len(t), dtype=bool)
+            for k in keys:
+                v = t[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            edges = [0, *np.flatnonzero(new).tolist()]
+            if len(edges) > 1:
+                yield decided(t, edges)
+            held = t.iloc[edges[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield decided(held, [0, len(held)])
+
+    return slim.repartition(*keys).sortWithinPartitions(*keys, columns[0]).mapInPandas(run, f"{schema}, {added}")
 
 
 def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: int = 200, keys=KEYS) -> DataFrame:
@@ -33,15 +58,14 @@ def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: in
     spoken = cues.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).where("text != ''")
     sized = spoken.withColumn("chars", F.char_length("text").cast("long")).join(opening, list(keys))
 
-    def decide(g: pd.DataFrame) -> dict:
-        out, chunk, used, some = np.empty(len(g), dtype=np.int32), 0, 0, False
-        start = float(g.opening.iloc[0])
-        for i, (s, e, c) in enumerate(zip(g.start_s, g.end_s, g.chars, strict=True)):
-            if some and (e - start > max_seconds or used + c > max_chars):
+    def decide(g: dict) -> list:
+        out, chunk, used, start = [], 0, 0, g["opening"][0]
+        for s, e, c in zip(g["start_s"], g["end_s"], g["chars"], strict=True):
+            if out and (e - start > max_seconds or used + c > max_chars):
                 chunk, start, used = chunk + 1, s, 0
-            used, some = used + c, True
-            out[i] = chunk
-        return {"chunk": out}
+            used += c
+            out.append(chunk)
+        return out
 
     cut = _grouped(sized, keys, ["pos", "start_s", "end_s", "chars", "opening"], "chunk int", decide).select(*keys, "pos", "chunk")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
@@ -62,14 +86,14 @@ def cluster_scenes(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0
     dialogue from min_seconds on, or with the last scene; the next one starts where the next scene does."""
     broken = dialogue_breaks(scenes, cues, keys)
 
-    def decide(g: pd.DataFrame) -> dict:
-        out, seq, start = np.empty(len(g), dtype=np.int32), 0, None
-        for i, (s, e, b) in enumerate(zip(g.start_s, g.end_s, g.has_break, strict=True)):
+    def decide(g: dict) -> list:
+        out, seq, start = [], 0, None
+        for s, e, b in zip(g["start_s"], g["end_s"], g["has_break"], strict=True):
             start = s if start is None else start
-            out[i] = seq
+            out.append(seq)
             if e - start >= max_seconds or (e - start >= min_seconds and b):
                 seq, start = seq + 1, None
-        return {"seq": out}
+        return out
 
     cut = _grouped(broken, keys, ["pos", "start_s", "end_s", "has_break"], "seq int", decide)
     return cut.groupBy(*keys, "seq").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"), F.count("*").alias("scenes")).select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), "start_s", "end_s", "scenes")
@@ -88,26 +112,28 @@ def select_phases(sequences: DataFrame, target_seconds: float, keys=KEYS) -> Dat
     """
     part = F.when(F.col("event_type").isin(*PHASE_SHARES), F.col("event_type")).otherwise("investigation")
     budget = F.element_at(F.create_map(*(F.lit(x) for kv in PHASE_SHARES.items() for x in kv)), "part") * target_seconds
-    rows = sequences.withColumn("part", part).withColumn("budget", budget)
+    rows = sequences.withColumn("part", part).withColumn("budget", budget).withColumn("part_no", F.when(F.col("part") == "setup", 0).otherwise(1))
 
-    def decide(g: pd.DataFrame) -> dict:
-        best = g.sort_values(["weight", "pos"], ascending=[False, True])
-        budget, spent, picked = float(g.budget.iloc[0]), 0.0, []
-        opening = best[(best.part == "setup") & (best.start_s < 300) & (best.weight >= 7)].index[:1]
+    def decide(g: dict) -> list:
+        start, length, weight, main = g["start_s"], g["duration_s"], g["weight"], g["is_main"]
+        best = sorted(range(len(start)), key=lambda i: -weight[i])
+        budget, spent, picked = g["budget"][0], 0.0, []
+        opening = [i for i in best if g["part_no"][i] == 0 and start[i] < 300 and weight[i] >= 7][:1]
         for i in opening:
             picked.append(i)
-            spent += g.duration_s[i]
-        for i in best.index:
-            if i in picked or (not g.is_main[i] and picked) or any(abs(g.start_s[i] - g.start_s[p]) < 30 for p in picked):
+            spent += length[i]
+        for i in best:
+            if i in picked or (not main[i] and picked) or any(abs(start[i] - start[p]) < 30 for p in picked):
                 continue
-            if spent + g.duration_s[i] <= budget * 1.30 or not picked:
+            if spent + length[i] <= budget * 1.30 or not picked:
                 picked.append(i)
-                spent += g.duration_s[i]
+                spent += length[i]
                 if spent >= budget:
                     break
-        return {"picked": g.index.isin(picked)}
+        chosen = set(picked)
+        return [i in chosen for i in range(len(start))]
 
-    return _grouped(rows, [*keys, "part"], ["pos", "start_s", "duration_s", "weight", "is_main", "budget"], "picked boolean", decide).where("picked").drop("picked", "budget")
+    return _grouped(rows, [*keys, "part"], ["pos", "start_s", "duration_s", "weight", "is_main", "budget", "part_no"], "picked boolean", decide).where("picked").drop("picked", "budget", "part_no")
 
 
 def label_topics(scores: DataFrame, phases: DataFrame, keys=KEYS) -> DataFrame:
@@ -117,13 +143,13 @@ def label_topics(scores: DataFrame, phases: DataFrame, keys=KEYS) -> DataFrame:
     ranked = scores.where("score >= 2").groupBy(*keys, "pos").agg(F.transform(w, lambda x: x["topic"]).alias("topics"))
     rows = phases.join(ranked, [*keys, "pos"], "left")
 
-    def decide(g: pd.DataFrame) -> dict:
+    def decide(g: dict) -> list:
         used, out = set(), []
-        for pos, phase, topics in zip(g.pos, g.phase, g.topics, strict=True):
+        for pos, phase, topics in zip(g["pos"], g["phase"], g["topics"], strict=True):
             free = [t for t in (topics if topics is not None else ()) if t not in used]
             out.append(free[0] if free else f"phase_{phase}_{pos}")
             used.add(out[-1])
-        return {"topic": out}
+        return out
 
     return _grouped(rows, keys, ["pos", "phase", "topics"], "topic string", decide).select(*keys, "pos", "topic")
 
