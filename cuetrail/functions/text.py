@@ -20,12 +20,17 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def _runs(items: Column, n: int) -> Column:
+    """Every n items in a row, joined."""
+    joined = F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), ""))
+    return F.when(F.size(items) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """All overlapping n-grams. Every gram costs n characters whatever the text's length: a look-ahead takes them in one scan; texts with
     characters beyond the basic plane, where that would cut pairs, go by the array of characters."""
     fast = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    c = chars(text)
-    slow = F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    slow = _runs(chars(text), n)
     return F.when(text.rlike(r"[\x{10000}-\x{10ffff}]"), slow).otherwise(fast)
 
 
@@ -43,8 +48,7 @@ def tokens(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]+"), F.lit(0))
     c = F.regexp_extract_all(t, F.lit(f"[{CJK}]"), F.lit(0))
-    grams = [F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i, n=n: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>")) for n in (2, 3)]
-    return F.array_distinct(F.concat(F.transform(words, F.lower), F.transform(words, F.upper), c, *grams))
+    return F.array_distinct(F.concat(F.transform(words, F.lower), F.transform(words, F.upper), c, _runs(c, 2), _runs(c, 3)))
 
 
 def latin_tokens(text: Column) -> Column:
