@@ -1,7 +1,7 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
 The sketch keeps, of one hash of every shingle, the `KEEP` least values of each of `CLASSES` residue classes. Two sets of similarity s agree
-on all that a class keeps with probability about s**KEEP, so for 0.8 they share no class in 1e-7 of all cases, for 0.85 in 1e-10. What a
+on all that a class keeps with probability about s**KEEP, so for 0.8 they share no class in 5e-8 of all cases, for 0.85 in 6e-11. What a
 class keeps is the key of an inverted list; overlaps come from the lists, the sketch of the union estimates the similarity of a pair, and
 the full shingle sets confirm it.
 """
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import blocks, bound_batches, mix64, partitions, shingle_sets, staged, table, utf8
 
-CLASSES, KEEP = 24, 3
-#: How far below the threshold the estimate of a pair that is still confirmed may lie: six standard errors.
-MARGIN = 0.25
+CLASSES, KEEP = 32, 4
+#: Standard errors by which the estimate of a pair that is still confirmed may lie below the threshold.
+ERRORS = 6
+#: Members of an inverted list that are compared with each other in one group; longer lists are dealt into parts, and parts are paired.
+PART = 512
 #: Pairs of one document that are confirmed in one group of rows.
 PARTNERS = 128
 _PAD = np.uint32(0xFFFFFFFF)
@@ -46,7 +48,8 @@ def _sketches(texts: list[bytes], w: int):
     sketch = np.full((n * CLASSES, KEEP), _PAD, dtype=np.uint32)
     sketch[g, rank] = np.minimum(kept >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32)
     first = np.flatnonzero(rank == 0)
-    key = mix64(np.add.reduceat(mix64(kept) * (rank.astype(np.uint64) * np.uint64(2) + np.uint64(1)), first) + (g[first] % CLASSES).astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+    key = mix64(np.add.reduceat(mix64(kept) * (rank.astype(np.uint64) * np.uint64(2) + np.uint64(1)), first)) if len(first) else np.zeros(0, np.uint64)
+    key = key - key % np.uint64(CLASSES) + (g[first] % CLASSES).astype(np.uint64)  # the class can be read off the key
     return size, sums, sketch.reshape(n, -1), key.view(np.int64), g[first] // CLASSES
 
 
@@ -65,8 +68,8 @@ def sketch_table(docs: DataFrame, w: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary")
 
 
-def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of the rows of two sketch matrices, from what the sketch of the union keeps."""
+def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of the rows of two sketch matrices, from what the sketch of the union keeps, and how many values those are."""
     both = np.sort(np.concatenate((a.reshape(len(a), CLASSES, KEEP), b.reshape(len(b), CLASSES, KEEP)), axis=2), axis=2)
     real = both != _PAD
     new = real.copy()
@@ -74,24 +77,97 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     inside = new & (np.cumsum(new, axis=2) <= KEEP)
     twice = np.zeros_like(new)
     twice[..., :-1] = both[..., :-1] == both[..., 1:]
-    return (inside & twice).sum(axis=(1, 2)) / np.maximum(inside.sum(axis=(1, 2)), 1)
+    seen = np.maximum(inside.sum(axis=(1, 2)), 1)
+    return (inside & twice).sum(axis=(1, 2)) / seen, seen
+
+
+def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair may reach the threshold: its estimate is no more than ERRORS standard errors of a sample without replacement below."""
+    s = percent / 100
+    got, seen = estimates(a, b)
+    union = np.maximum((na + nb) / (1 + s), seen)
+    error = np.sqrt(s * (1 - s) / seen * (union - seen) / np.maximum(union - 1, 1))
+    return got >= s - ERRORS * error - 2 / seen
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (lo, hi) whose estimate is near the threshold or above it."""
-    least = percent / 100 - MARGIN
     s = sketches.select("doc_id", "sketch", "n")
-    joined = pairs.join(s.toDF("lo", "a", "na"), "lo").join(s.toDF("hi", "b", "nb"), "hi").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("lo", "hi", "a", "b")
+    joined = pairs.join(s.toDF("lo", "a", "na"), "lo").join(s.toDF("hi", "b", "nb"), "hi").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("lo", "hi", "a", "b", "na", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-                yield b.select(["lo", "hi"]).filter(pa.array(estimates(x, y) >= least))
+                yield b.select(["lo", "hi"]).filter(pa.array(_near(x, y, b.column(4).to_numpy(), b.column(5).to_numpy(), percent)))
 
     return joined.mapInArrow(run, "lo bigint, hi bigint")
 
 
+def _across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (lo, hi) of different components that share a list and may reach the threshold. members: key, doc_id, component, size of
+    the list. A list's members are compared where they meet, a pair only in the first list that it shares."""
+    parts = F.ceil(F.col("size") / PART)
+    mine = F.pmod(F.xxhash64("doc_id", "key"), parts)
+    dealt = members.select("key", "doc_id", "component", mine.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("with"))
+    rows = dealt.join(classes.select("doc_id", "n", "sketch"), "doc_id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "doc_id", "component", "n", "sketch")
+    met = rows.repartition(partitions(members.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def compare(key, p, q, part, doc, component, n, sketch):
+        if len(doc) < 2:
+            return
+        sketch = sketch.reshape(len(doc), CLASSES, KEEP)
+        powers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)[:KEEP]
+        held = mix64((sketch.astype(np.uint64) + np.uint64(1)) @ powers)
+        held[sketch[:, :, 0] == _PAD] = np.arange(1, CLASSES + 1)[None, :].repeat(len(doc), 0)[sketch[:, :, 0] == _PAD]
+        empty = sketch[:, :, 0] == _PAD
+        own = int(np.uint64(key % (1 << 64)) % np.uint64(CLASSES))
+        step = max(1, (1 << 21) // (len(doc) * CLASSES))
+        for at in range(0, len(doc), step):
+            i = np.arange(at, min(at + step, len(doc)))
+            ok = (component[i, None] != component[None, :]) & (doc[i, None] < doc[None, :]) & (n[i, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[i, None] * percent)
+            if p != q:
+                ok &= part[i, None] != part[None, :]
+            x, y = np.nonzero(ok)
+            for z in range(0, len(x), 1 << 15):
+                a, b = i[x[z : z + (1 << 15)]], y[z : z + (1 << 15)]
+                same = (held[a] == held[b]) & ~empty[a]
+                first = same.argmax(axis=1) == own
+                a, b = a[first], b[first]
+                if len(a):
+                    near = _near(sketch[a], sketch[b], n[a], n[b], percent)
+                    yield doc[a[near]], doc[b[near]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            column = lambda name: t.column(name).to_numpy()
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint32)
+            key, p, q = (int(column(c)[0]) for c in ("key", "p", "q"))
+            for lo, hi in compare(key, p, q, column("part"), column("doc_id"), column("component"), column("n"), sketch):
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
+            held.clear()
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = [b.column(c).to_numpy() for c in ("key", "p", "q")]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
+                now = tuple(int(x[start]) for x in ids)
+                if held and now != last:
+                    yield from judged()
+                held.append(b.slice(start, end - start))
+                last = now
+        if held:
+            yield from judged()
+
+    return met.mapInArrow(run, "lo bigint, hi bigint")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. A document's text comes once for every PARTNERS of its pairs."""
     many = pairs.groupBy("lo").count()
@@ -162,11 +238,9 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80) -> DataFrame
     component = connected_components(links)
     # whatever lists still hold of different components is compared as well
     placed = members.select("key", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a != b").select("key", "size")
     rest = staged(placed.join(split, "key"), "rest")
-    mine, theirs = rest.toDF("key", "x", "cx"), rest.toDF("key", "y", "cy")
-    across = mine.join(theirs, "key").where("x < y and cx != cy").select(F.col("x").alias("lo"), F.col("y").alias("hi")).distinct()
-    late = staged(_likely(across.join(tested, ["lo", "hi"], "left_anti"), classes, percent), "late")
+    late = staged(_across(rest, classes, percent).distinct().join(tested, ["lo", "hi"], "left_anti"), "late")
     if not late.isEmpty():
         component = connected_components(links.unionByName(staged(_confirmed(late, docs, w, percent), "late_links")))
     of_class = classes.select("h1", "h2", "n", F.col("doc_id").alias("node")).join(component, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
