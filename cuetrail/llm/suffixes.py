@@ -79,9 +79,12 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             order = np.lexsort((lo, doc, at, s, h))
             same = np.zeros(len(s), dtype=bool)
             same[1:] = (h[order][1:] == h[order][:-1]) & (s[order][1:] == s[order][:-1]) & (at[order][1:] == at[order][:-1])
-            gone = np.zeros(len(s), dtype=bool)
-            gone[order] = same
+            twice = same.copy()  # a repeated row of the table
+            twice[1:] &= (doc[order][1:] == doc[order][:-1]) & (lo[order][1:] == lo[order][:-1])
+            gone, keep = np.zeros(len(s), dtype=bool), np.ones(len(s), dtype=bool)
+            gone[order], keep[order] = same, ~twice
             h = np.where(gone, mix64(s + np.arange(len(s), dtype=np.uint64) + doc.astype(np.uint64)), h)
+            h, s, doc, lo, hi, at, gone = (x[keep] for x in (h, s, doc, lo, hi, at, gone))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array((hi - lo).astype(np.int16)), pa.array(at.astype(np.int16)), pa.array(gone)], names=["anchor", "segment", "doc_id", "lo", "more", "at", "gone"])
 
     return docs.mapInArrow(run, "anchor bigint, segment bigint, doc_id bigint, lo int, more smallint, at smallint, gone boolean")
@@ -225,7 +228,7 @@ def _sorted_segments(segments: DataFrame) -> DataFrame:
     rows = segments.repartition(partitions(segments.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "lo")
 
     def judged(keys, hot, docs, los, texts):
-        place = sorted(range(len(texts)), key=lambda i: (docs[i], los[i]))
+        place = sorted({(docs[i], los[i]): i for i in range(len(texts))}.values(), key=lambda i: (docs[i], los[i]))
         flags = repeats([texts[i] for i in place])
         out, base = ([], [], [], []), 0
         for i in place:
@@ -267,7 +270,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ordered = by.orderBy("segment", "at", "doc_id", "lo")
     # the anchors' own hashes are the key and equal segments stand together; the first of them in the corpus stays
     same = (F.lag("segment").over(ordered) == F.col("segment")) & (F.lag("at").over(ordered) == F.col("at"))
-    marked = found.withColumn("again", F.col("gone") | F.coalesce(same, F.lit(False))).withColumn("segments", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(by))
+    twice = same & ~F.col("gone") & (F.lag("doc_id").over(ordered) == F.col("doc_id")) & (F.lag("lo").over(ordered) == F.col("lo"))
+    found = found.withColumn("again", F.col("gone") | F.coalesce(same, F.lit(False))).withColumn("twice", F.coalesce(twice, F.lit(False)))
+    marked = found.where("not twice").withColumn("segments", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(by))
     rows = staged(marked.where("again or segments > 1").select("anchor", "segment", "doc_id", "lo", "more", "again", "segments"), "rows")
     whole = rows.where("again").select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + SPAN).alias("end"))
     many = F.ceil(F.col("segments") / TOGETHER)
@@ -283,8 +288,8 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
     """For each document: doc_id, n_bytes, n_removed, n_spans long, kept_sha256 string, and with texts also kept binary: its bytes
     without each byte that a string of SPAN bytes covers which also starts earlier (smaller doc_id, or the same and an earlier start).
 
-    Strings are judged on the input and never cross documents. Null and empty texts have no bytes. doc_id must name the rows; rows
-    without one are returned whole. Texts under 2**31 bytes.
+    Strings are judged on the input and never cross documents. Null and empty texts have no bytes. Repeated rows are one document and
+    are all returned; rows of one id must not differ in text; rows without an id are returned whole. Texts under 2**31 bytes.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

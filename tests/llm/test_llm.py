@@ -258,10 +258,15 @@ def test_suffix_dedup_by_brute_force(spark, documents, monkeypatch, together):
     assert got == removed([tuple(r) for r in docs.collect()])
 
 
-def test_suffix_rows(odd):
+def test_suffix_rows(spark, odd):
     rows = suffixes.deduplicate(odd.where("doc_id is null or doc_id <> 4"), texts=True).collect()
     assert len(rows) == 7 and {r.doc_id: bytes(r.kept) for r in rows}[None] == b"no id"
     assert suffixes.deduplicate(odd.limit(0)).count() == 0
+    text = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(5))[:300]
+    twice = spark.createDataFrame([(1, text), (1, text), (2, text + "z"), (2, text + "z")], "doc_id bigint, text string")
+    for parts in (1, 4):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.deduplicate(twice.repartition(parts)).collect())
+        assert got == [(1, 300, 0), (1, 300, 0), (2, 301, 300), (2, 301, 300)]
 
 
 # --- quality -------------------------------------------------------------------------------------------------------
