@@ -44,41 +44,46 @@ def query_plan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest
     return possible.where("least > 0").select("terms", F.size("terms").alias("n"), F.transform(F.slice("by_count", 1, rarest), lambda x: F.struct(x["term"].alias("term"), x["offset"].alias("offset"))).alias("picks"))
 
 
-def build_index(docs: DataFrame, plan: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The stored postings: uid, term, pos, n_words, and where the term is the rarest of some window also context (the words from
+def build_index(docs: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), size: int = WINDOW) -> DataFrame:
+    """The stored postings: keys, term, pos, n_words, and where the term is the rarest of some window also context (the words from
     `size`-1 before to `size`-1 after the position) and first (the position in the text at which the context starts). A posting for
     every position of a term that some window is looked up by, and a row (is_head) for every document. One pass over the texts without
     a shuffle.
     """
     terms = plan.select(F.posexplode("picks").alias("rank", "pick")).groupBy("pick.term").agg(F.min("rank").alias("best"))
-    placed = docs.select("uid", words(F.col("text")).alias("w")).select("uid", "w", F.posexplode_outer("w").alias("pos", "term"))
+    placed = docs.select(*keys, words(F.col("text")).alias("w")).select(*keys, "w", F.posexplode_outer("w").alias("pos", "term"))
     is_head = F.coalesce(F.col("pos"), F.lit(0)) == 0
     found = placed.join(bounded_broadcast(terms), "term", "left").where(F.col("best").isNotNull() | is_head)
     first = F.greatest(F.col("pos") - (size - 1), F.lit(0))
     rarest = F.col("best") == 0
-    return found.select("uid", F.when(F.col("best").isNotNull(), F.col("term")).alias("term"), "pos", F.size("w").alias("n_words"), F.when(rarest, first).alias("first"), F.when(rarest, F.slice("w", first + 1, F.lit(2 * size - 1))).alias("context"), is_head.alias("is_head"))
-
-
-def phrase_matches(index: DataFrame, plan: DataFrame) -> DataFrame:
-    """uid, start, n, terms: every place at which a whole window stands. The lists of a window's rarest terms are moved by the terms'
-    offsets and intersected; what is left is compared word by word with the context of the rarest term."""
-    picks = plan.select(F.xxhash64("terms").alias("window"), F.size("picks").alias("lists"), F.posexplode("picks").alias("rank", "pick")).select("window", "lists", "rank", "pick.term", "pick.offset")
-    moved = index.where("term is not null").join(bounded_broadcast(picks), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    return found.select(*keys, F.when(F.col("best").isNotNull(), F.col("term")).alias("term"), "pos", F.size("w").alias("n_words"), F.when(rarest, first).alias("first"), F.when(rarest, F.slice("w", first + 1, F.lit(2 * size - 1))).alias("context"), is_head.alias("is_head"))
+
+
+def phrase_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """keys, start, n, terms: every place at which a whole window stands. The lists of a window's rarest terms are moved by the distance
+    of the terms and intersected, once for all windows that share the terms and the distance; what is left is compared word by word with
+    the context of the rarest term."""
+    rarest, other = F.col("picks")[0], F.get("picks", F.lit(1))
+    shift = other["offset"] - rarest["offset"]
+    paired = plan.select("terms", "n", rarest["offset"].alias("offset"), F.size("picks").alias("lists"), rarest["term"].alias("t1"), other["term"].alias("t2"), shift.alias("shift"), F.xxhash64(rarest["term"], other["term"], shift).alias("pair"))
+    pairs = paired.select("pair", "lists", "t1", "t2", "shift").distinct()
+    lists = pairs.select("pair", "lists", F.lit(0).alias("rank"), F.col("t1").alias("term"), F.lit(0).alias("shift")).unionByName(pairs.where("lists > 1").select("pair", "lists", F.lit(1).alias("rank"), F.col("t2").alias("term"), "shift"))
+    moved = index.where("term is not null").join(bounded_broadcast(lists), "term").withColumn("at", F.col("pos") - F.col("shift")).where("at >= 0")
     lead = F.when(F.col("rank") == 0, F.struct("first", "context"))
-    met = moved.groupBy("uid", "start", "window").agg(F.count_distinct("rank").alias("met"), F.max("lists").alias("lists"), F.max(lead).alias("lead")).where("met = lists")
-    at = F.greatest(F.col("start") - F.col("lead.first") + 1, F.lit(1))
-    whole = met.join(bounded_broadcast(plan.select(F.xxhash64("terms").alias("window"), "n", "terms")), "window").where((F.col("start") >= F.col("lead.first")) & (F.slice("lead.context", at, F.col("n")) == F.col("terms")))
-    return whole.select("uid", "start", "n", "terms")
+    met = moved.groupBy(*keys, "at", "pair").agg(F.bit_or(F.col("rank") + 1).alias("seen"), F.max("lists").alias("lists"), F.max(lead).alias("lead")).where("seen = case when lists = 1 then 1 else 3 end")
+    placed = met.join(bounded_broadcast(paired.select("pair", "terms", "n", "offset")), "pair").withColumn("start", F.col("at") - F.col("offset")).where(F.col("start") >= F.col("lead.first"))
+    from_start = F.greatest(F.col("start") - F.col("lead.first") + 1, F.lit(1))
+    return placed.where(F.slice("lead.context", from_start, F.col("n")) == F.col("terms")).select(*keys, "start", "n", "terms")
 
 
-def proximity_matches(index: DataFrame, plan: DataFrame, slop: int = 5) -> DataFrame:
-    """uid, start, terms: places at which a window's two rarest terms stand in each other's neighbourhood, at most `slop` words off their
+def proximity_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), slop: int = 5) -> DataFrame:
+    """keys, start, terms: places at which a window's two rarest terms stand in each other's neighbourhood, at most `slop` words off their
     distance in the window (exact phrases included)."""
     two = plan.where("size(picks) >= 2").select("terms", F.col("picks")[0]["term"].alias("term"), F.col("picks")[0]["offset"].alias("offset"), F.col("picks")[1]["term"].alias("second"), F.col("picks")[1]["offset"].alias("other"))
     near = index.where("context is not null").join(bounded_broadcast(two), "term")
     expected = F.col("pos") - F.col("first") + F.col("other") - F.col("offset")
     hit = F.exists(F.transform("context", lambda x, i: (x == F.col("second")) & (F.abs(i - expected) <= slop)), lambda x: x)
-    return near.where(hit).select("uid", (F.col("pos") - F.col("offset")).alias("start"), "terms")
+    return near.where(hit).select(*keys, (F.col("pos") - F.col("offset")).alias("start"), "terms")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", size: int = WINDOW) -> DataFrame:
@@ -91,26 +96,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         docs.select("_metadata.row_index")
     except AnalysisException:
         docs = staged(docs.select(doc_id, "text"), "rows")
-    rows = docs.select(_row_id().alias("uid"), F.col(doc_id).alias("doc_id"), "text")
+    keys = ("file", "row")
+    rows = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(doc_id).alias("doc_id"), "text")
     plan = staged(query_plan(rows, benchmark, size), "plan")
-    index = staged(build_index(rows.select(F.struct("uid", "doc_id").alias("uid"), "text"), plan, size), "index")
-    matches = phrase_matches(index, plan)
+    index = staged(build_index(rows, plan, (*keys, "doc_id"), size), "index")
     items = windows(benchmark, size).groupBy("terms").agg(F.collect_set("item_id").alias("items"))
-    found = matches.join(bounded_broadcast(items), "terms").select("uid", "start", "n", "items")
+    found = phrase_matches(index, plan, keys).join(bounded_broadcast(items), "terms").select(*keys, "start", "n", "items")
     # one row for each place first; then places of a document side by side: its own hits are new up to the next place's start
-    per_place = found.groupBy("uid", "start").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    ordered = W.partitionBy("uid").orderBy("start")
+    per_place = found.groupBy(*keys, "start").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    ordered = W.partitionBy(*keys).orderBy("start")
     end = F.max(F.col("start") + F.col("n")).over(ordered.rowsBetween(W.unboundedPreceding, -1))
     hit = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(end, F.lit(0))))
-    hits = per_place.select("uid", "items", hit.alias("hit")).groupBy("uid").agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    heads = index.where("is_head").select("uid", "n_words")
+    hits = per_place.select(*keys, "items", hit.alias("hit")).groupBy(*keys).agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    heads = index.where("is_head").select(*keys, "doc_id", "n_words")
     listed = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda x: x.cast("string")))
-    return heads.join(hits, "uid", "left").select("uid.doc_id", F.greatest(F.col("n_words"), F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
-
-
-def _row_id() -> Column:
-    """A row's place: file and row index."""
-    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return heads.join(hits, list(keys), "left").select("doc_id", F.greatest(F.col("n_words"), F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
