@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuetrail.llm.bpe import encode
-from cuetrail.llm.common import staged, table
+from cuetrail.llm.common import bounded_broadcast, staged, table
 from cuetrail.llm.decontamination import decontaminate
 from cuetrail.llm.neardup import near_duplicates
 from cuetrail.llm.secrets import scan
@@ -23,16 +23,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, keep=COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the ids that go. The ids are written first, so that the texts aren't shuffled where few go."""
+    return docs.select(*COLUMNS).join(bounded_broadcast(staged(gone, "gone")), "doc_id", "left_anti")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the least doc_id stays."""
     gone = near_duplicates(docs, w=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    return _without(docs, gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark stay."""
     gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    return _without(docs, gone)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
