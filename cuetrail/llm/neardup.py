@@ -21,7 +21,7 @@ CLASSES, KEEP = 32, 4
 #: Standard errors by which the estimate of a pair that is still confirmed may lie below the threshold.
 ERRORS = 6
 #: Members of an inverted list that are compared with each other in one group; longer lists are dealt into parts, and parts are paired.
-PART = 512
+PART = 1024
 #: Pairs of one document that are confirmed in one group of rows.
 PARTNERS = 128
 _PAD = np.uint32(0xFFFFFFFF)
@@ -109,8 +109,9 @@ def _across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     the list. A list's members are compared where they meet, a pair only in the first list that it shares."""
     parts = F.ceil(F.col("size") / PART)
     mine = F.pmod(F.xxhash64("doc_id", "key"), parts)
-    dealt = members.select("key", "doc_id", "component", mine.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("with"))
-    rows = dealt.join(classes.select("doc_id", "n", "sketch"), "doc_id").select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "doc_id", "component", "n", "sketch")
+    sketched = members.join(classes.select("doc_id", "n", "sketch"), "doc_id").withColumn("part", mine)
+    dealt = sketched.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("with"))
+    rows = dealt.select("key", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "doc_id", "component", "n", "sketch")
     met = rows.repartition(partitions(members.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def compare(key, p, q, part, doc, component, n, sketch):
