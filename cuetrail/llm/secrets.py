@@ -6,6 +6,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from .common import bound_batches, table
 
 #: Kinds in the order in which spans of one start are listed: base kinds, then the weak ones that need a partner.
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
-#: Characters between two parts of one credential, at most.
+#: Characters between two parts of one credential, at most, where linked_spans isn't told otherwise; scans join over the whole scope.
 REACH = 400
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -22,7 +23,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENT = re.compile(r"""\b(?:client|account|user|access[_-]?key)(?:[_-]?(?:id|name))?["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{4,})""", re.IGNORECASE | re.ASCII)
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+# Whole runs of 20 characters or more, also directly after '='; a run before '=' and more of these characters is a name, not a value.
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?!=*[A-Za-z0-9+/_-])")
+_KEY = re.compile(r"access[_-]?key(?![_-]?(?:id|name))", re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"""https?://[^\s"'<>]{4,}""")
 _BREAK = re.compile(r"\n[\x20\t]*\n")
 
@@ -35,30 +38,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _near(starts: list[int], parts: list[tuple[int, int, int]], at: tuple[int, int, int], longest: int, reach: int) -> bool:
-    """Whether one of the parts, sorted by start, lies within reach of `at`."""
-    i = bisect_left(starts, at[0] - reach - longest)
-    while i < len(parts) and parts[i][0] <= at[2] + reach:
-        if parts[i][2] >= at[0] - reach:
-            return True
-        i += 1
-    return False
+class _Parts:
+    """Parts of one role in one scope, by start."""
 
+    def __init__(self, parts: list[tuple[int, int, int]], names: set[tuple[int, int, int]]):
+        self.parts, self.starts, self.longest = parts, [p[0] for p in parts], max((p[2] - p[0] for p in parts), default=0)
+        self.names = names
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
-    """The weak candidates that a complementary part joins: an interval join of the parts' spans, widened by `reach`, inside each
-    scope (a paragraph). A weak identifier needs a secret, a weak secret an access identifier, an endpoint both.
+    def reach(self, at: tuple[int, int, int], reach: int) -> bool:
+        """Whether one of the parts lies within reach of `at`."""
+        i = bisect_left(self.starts, at[0] - reach - self.longest)
+        while i < len(self.parts) and self.starts[i] <= at[2] + reach:
+            if self.parts[i][2] >= at[0] - reach and not self._inside(self.parts[i], at):
+                return True
+            i += 1
+        return False
+
+    def _inside(self, a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
+        """Whether a weak secret is the value of the other part, an identifier, and so no second part beside it."""
+        return a[0] < b[2] and b[0] < a[2] and (a[1] == 4 and b in self.names or b[1] == 4 and a in self.names)
+
+
+def _weak(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The weak candidates that no base span touches."""
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    found = [(m.start(), 4, m.end()) for m in _WEAK.finditer(text)]
+    return [p for p in found if not (i := bisect_left(starts, p[2])) or ends[i - 1] <= p[0]]
+
+
+def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int | None = REACH) -> list[tuple[int, int, int]]:
+    """The weak candidates that a complementary part joins: an interval join of the parts' spans, widened by `reach` (None: without
+    bounds), inside each scope (a paragraph). A weak identifier needs a secret, a weak secret an access identifier, an endpoint both.
+    The value of an identifier is no second part beside it, but for an access key, whose value is the key.
     """
+    reach = len(text) if reach is None else reach
     ident = [(m.start(), 3, m.end()) for m in _IDENT.finditer(text)]
     identifiers = sorted([s for s in base if s[1] == 1] + ident)
-    taken = [(s, e) for s, _, e in base]
-    weak = [(m.start(), 4, m.end()) for m in _WEAK.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)] if identifiers else []
+    weak = _weak(text, base) if identifiers else []
     secrets = sorted([s for s in base if s[1] != 1] + weak)
     if not identifiers or not secrets:
         return []
     endpoints = [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     if not ident and not weak and not endpoints:
         return []
+    names = {p for p in ident if not _KEY.match(text, p[0])}
     cuts = [m.start() for m in _BREAK.finditer(text)]
     scoped: dict[int, tuple[list, list, list]] = {}
     for role, parts in enumerate((identifiers, secrets, endpoints)):
@@ -66,12 +89,10 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
             scoped.setdefault(bisect_left(cuts, p[0]), ([], [], []))[role].append(p)
     out = []
     for ids, keys, ends in scoped.values():
-        def reached(parts, at):
-            return bool(parts) and _near([p[0] for p in parts], parts, at, max(p[2] - p[0] for p in parts), reach)
-
-        out += [p for p in ids if p[1] == 3 and reached(keys, p)]
-        out += [p for p in keys if p[1] == 4 and reached(ids, p)]
-        out += [p for p in ends if reached(ids, p) and reached(keys, p)]
+        near_ids, near_keys = _Parts(ids, names), _Parts(keys, names)
+        out += [p for p in ids if p[1] == 3 and near_keys.reach(p, reach)]
+        out += [p for p in keys if p[1] == 4 and near_ids.reach(p, reach)]
+        out += [p for p in ends if near_ids.reach(p, reach) and near_keys.reach(p, reach)]
     return out
 
 
@@ -79,11 +100,12 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int = REACH, redact: bool = False) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int | None = None, redact: bool = False) -> DataFrame:
     """Secrets of each whole text, with the `keep` columns: n_assign, n_access, n_hex long, base_sha256 and spans string
     (kind:start:end in code points, end exclusive, by start and then kind); with redact also redacted string, in which each covered
     stretch is replaced by <secret>.
 
+    Parts join over their whole scope unless `reach` bounds the characters between them.
     Null and empty texts have no spans (redacted: null stays null). Repeated rows stay repeated; columns that aren't kept are dropped.
     Scopes lie inside one document, so the interval join runs beside the scan and nothing is shuffled.
     """
