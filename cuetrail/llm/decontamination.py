@@ -14,6 +14,8 @@ BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 10
 #: Lists that are intersected for a window: its rarest terms.
 RAREST = 2
+#: Words by which the distance of a window's rarest terms may differ in a proximity match of the query.
+SLOP = 5
 
 
 def words(text: Column) -> Column:
@@ -76,18 +78,46 @@ def phrase_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("
     return placed.where(F.slice("lead.context", from_start, F.col("n")) == F.col("terms")).select(*keys, "start", "n", "terms")
 
 
-def proximity_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), slop: int = 5) -> DataFrame:
-    """keys, start, terms: places at which a window's two rarest terms stand in each other's neighbourhood, at most `slop` words off their
-    distance in the window (exact phrases included)."""
-    two = plan.where("size(picks) >= 2").select("terms", F.col("picks")[0]["term"].alias("term"), F.col("picks")[0]["offset"].alias("offset"), F.col("picks")[1]["term"].alias("second"), F.col("picks")[1]["offset"].alias("other"))
-    near = index.where("context is not null").join(bounded_broadcast(two), "term")
-    expected = F.col("pos") - F.col("first") + F.col("other") - F.col("offset")
-    hit = F.exists(F.transform("context", lambda x, i: (x == F.col("second")) & (F.abs(i - expected) <= slop)), lambda x: x)
-    return near.where(hit).select(*keys, (F.col("pos") - F.col("offset")).alias("start"), "terms")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", size: int = WINDOW) -> DataFrame:
-    """For each row of docs: the id, n_words, n_hit, n_items long, items_sha256 string, contaminated boolean.
+def proximity_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), slop: int = SLOP) -> DataFrame:
+    """keys, start, terms: places at which a window's two rarest terms stand at most `slop` words (30 at most) off their distance in the
+    window (exact phrases included); a window of one word is matched by every such word. The stored lists, moved by the distance of the
+    terms, meet in stretches of positions: a bit stands for a position, so that a stretch is one row however many postings it has.
+    """
+    if not 0 <= slop <= 30:
+        raise ValueError("slop must be from 0 to 30")
+    width = 62 - 2 * slop
+    rarest, other = F.col("picks")[0], F.get("picks", F.lit(1))
+    planned = plan.select("terms", rarest["offset"].alias("offset"), rarest["term"].alias("t1"), other["term"].alias("t2"), (other["offset"] - rarest["offset"]).alias("shift"))
+    single = planned.where("t2 is null").select("terms", "offset", F.col("t1").alias("term"))
+    alone = index.join(bounded_broadcast(single), "term").select(*keys, "pos", "offset", "terms")
+    paired = planned.where("t2 is not null").withColumn("pair", F.xxhash64("t1", "t2", "shift"))
+    pairs = paired.select("pair", "t1", "t2", "shift").distinct()
+    lists = pairs.select("pair", "shift", F.col("t1").alias("term"), F.lit(0).alias("rank"), F.lit(0).alias("move"), F.col("t1") == F.col("t2")).toDF("pair", "shift", "term", "rank", "move", "same")
+    lists = lists.unionByName(pairs.select("pair", "shift", F.col("t2").alias("term"), F.lit(1).alias("rank"), F.col("shift").alias("move"), (F.col("t1") == F.col("t2")).alias("same")))
+    moved = index.where("term is not null").join(bounded_broadcast(lists), "term").withColumn("at", F.col("pos") - F.col("move"))
+    # the second term comes to each stretch from which it is within slop, the rarest to its own
+    reach = F.col("rank") * slop
+    stretch = F.explode(F.sequence(F.floor((F.col("at") - reach) / width), F.floor((F.col("at") + reach) / width))).alias("stretch")
+    placed = moved.select(*keys, "pair", "shift", "same", "rank", "at", stretch)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") - F.col("stretch") * width + reach).cast("int"))
+    met = placed.groupBy(*keys, "pair", "stretch").agg(F.max("shift").alias("shift"), F.max("same").alias("same"), *(F.bit_or(F.when(F.col("rank") == r, bit)).alias(f"m{r}") for r in (0, 1))).where("m0 is not null and m1 is not null")
+    drop = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(slop - F.col("shift"), F.lit(0)))
+
+    def near(i: Column) -> Column:
+        around = F.call_function("shiftright", F.col("m1"), i).bitwiseAND(F.lit((1 << (2 * slop + 1)) - 1))
+        # a token isn't its own neighbour where both terms are the same word
+        own = F.when(F.col("same") & (F.abs("shift") <= slop), drop).otherwise(F.lit(0).cast("bigint"))
+        return (F.call_function("shiftright", F.col("m0"), i).bitwiseAND(F.lit(1)) == 1) & (around.bitwiseAND(F.bitwise_not(own)) != 0)
+
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), near)).alias("i")
+    hits = met.select(*keys, "pair", "stretch", at).select(*keys, "pair", (F.col("stretch") * width + F.col("i")).alias("pos"))
+    found = hits.join(bounded_broadcast(paired.select("pair", "terms", "offset")), "pair").select(*keys, "pos", "offset", "terms")
+    return found.unionByName(alone).select(*keys, F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).cast("int").alias("start"), "terms")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", size: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """For each row of docs: the id, n_words, n_hit, n_items long, items_sha256 string, contaminated boolean (by exact phrases); with slop
+    also n_near long, the places of proximity matches (exact ones included), and near_items array<string>, the items they belong to.
 
     Null and empty texts have no words and aren't contaminated. Repeated rows (also of one id) stay repeated rows: rows are told apart by
     their place in the file (a DataFrame that isn't read from files is written first). Items with null or wordless texts have no windows; an empty benchmark contaminates nothing.
@@ -107,12 +137,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ordered = W.partitionBy(*keys).orderBy("start")
     end = F.max(F.col("start") + F.col("n")).over(ordered.rowsBetween(W.unboundedPreceding, -1))
     hit = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(end, F.lit(0))))
+    merged = F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     hits = per_place.select(*keys, "items", hit.alias("hit")).groupBy(*keys).agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     heads = index.where("is_head").select(*keys, "doc_id", "n_words")
-    listed = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda x: x.cast("string")))
-    return heads.join(hits, list(keys), "left").select("doc_id", F.greatest(F.col("n_words"), F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    sorted_items = lambda c: F.array_sort(F.transform(F.coalesce(c, F.array().cast("array<bigint>")), lambda x: x.cast("string")))
+    listed = sorted_items(F.col("items"))
+    out = heads.join(hits, list(keys), "left")
+    extra = []
+    if slop is not None:
+        near = proximity_matches(index, plan, keys, slop).join(bounded_broadcast(items), "terms").groupBy(*keys, "start").agg(merged)
+        out = out.join(near.groupBy(*keys).agg(F.count("*").alias("n_near"), merged.alias("near")), list(keys), "left")
+        extra = [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), sorted_items(F.col("near")).alias("near_items")]
+    return out.select("doc_id", F.greatest(F.col("n_words"), F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *extra)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), slop=SLOP)

@@ -410,3 +410,41 @@ def test_proximity(spark):
     index = decontamination.build_index(docs, plan)
     assert {r.uid for r in decontamination.proximity_matches(index, plan, slop=4).collect()} == {1, 2}
     assert {r.uid for r in decontamination.phrase_matches(index, plan).collect()} == {2}
+
+
+def near_places(docs, items, picks, slop):
+    """(uid, start, terms) by comparing all positions of a window's picks."""
+    out = set()
+    for uid, text in docs:
+        w = text.lower().split()
+        for terms, ((t1, o1), *more) in picks.items():
+            for i in (i for i, x in enumerate(w) if x == t1):
+                if not more or any(x == more[0][0] and j != i and abs(j - i - (more[0][1] - o1)) <= slop for j, x in enumerate(w)):
+                    out.add((uid, max(i - o1, 0), terms))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 5, 30])
+def test_proximity_by_brute_force(spark, slop):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), size=int(rng.integers(1, 300)), p=[0.4, 0.3, 0.1, 0.1, 0.04, 0.03, 0.02, 0.01]))) for i in range(12)]
+    rows.append((99, "a " * 70 + "b " * 70))
+    items = [(1, "h a a a a b b b b g"), (2, "a a"), (3, "g"), (4, "b a a c h b a d e f g a a c"), (5, "e f")]
+    docs, bench = spark.createDataFrame(rows, "uid int, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    plan = decontamination.query_plan(docs, bench)
+    picks = {tuple(r.terms): [(p.term, p.offset) for p in r.picks] for r in plan.collect()}
+    got = [(r.uid, r.start, tuple(r.terms)) for r in decontamination.proximity_matches(decontamination.build_index(docs, plan), plan, slop=slop).collect()]
+    assert set(got) == near_places(rows, items, picks, slop) and got
+
+
+def test_inserted_words_are_found(spark):
+    passage = "alpha c1 c2 c3 c4 c5 c6 c7 c8 beta"
+    common = " ".join(f"c{i}" for i in range(1, 9))
+    inserted = [passage.replace("c4 ", "c4 new " * 1 + "new " * k) for k in range(5)]
+    docs = spark.createDataFrame([*enumerate(inserted), (10, passage), (11, passage.replace("c4 ", "c4 " + "new " * 6)), (12, common), (None, "alpha"), (13, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, passage), (8, "one word only")], "item_id bigint, text string")
+    docs = docs.unionByName(spark.createDataFrame([(20 + i, common) for i in range(9)], docs.schema))
+    got = {r.doc_id: (r.contaminated, r.n_near, r.near_items) for r in decontamination.decontaminate(docs, items, slop=5).collect()}
+    assert all(got[i] == (False, 1, ["7"]) for i in range(5)) and got[10] == (True, 1, ["7"])
+    assert all(got[i] == (False, 0, []) for i in (11, 12, None, 13))
+    assert decontamination.decontaminate(docs, items.limit(0), slop=5).where("n_near > 0").count() == 0
