@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuetrail.llm.bpe import encode
-from cuetrail.llm.common import bounded_broadcast, staged, table
+from cuetrail.llm.common import bounded_broadcast, in_files, staged, table
 from cuetrail.llm.decontamination import decontaminate
 from cuetrail.llm.neardup import near_duplicates
 from cuetrail.llm.secrets import scan
 from cuetrail.llm.toxicity import score, train_on_folds
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Column by which the filters tell rows apart.
+ROW = "__row"
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.5
 
@@ -23,21 +26,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, model, keep=COLUMNS).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the ids that go. The ids are written first, so that the texts aren't shuffled where few go."""
-    return docs.select(*COLUMNS).join(bounded_broadcast(staged(gone, "gone")), "doc_id", "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a number of its own for each row whatever its doc_id: the file's number and the row's place in it."""
+    docs = in_files(docs, *COLUMNS)
+    placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = staged(placed.select("__file").distinct().select("__file", F.row_number().over(W.orderBy("__file")).cast("bigint").alias("__no")), "files")
+    return placed.join(bounded_broadcast(files), "__file").select(*COLUMNS, (F.shiftleft("__no", 40) + F.col("__at")).alias(ROW))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The keyed rows less those that go. Their keys are written first, so that the texts aren't shuffled where few go."""
+    return rows.join(bounded_broadcast(staged(gone, "gone")), ROW, "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more over five-word shingles, the one with the least doc_id stays."""
-    gone = near_duplicates(docs, w=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return _without(docs, gone)
+    """Of rows linked by a similarity of 0.8 or more over five-word shingles, one stays: the one with the least doc_id; rows without an
+    id come last, and among rows of one id the first in the files stays."""
+    rows = _keyed(docs)
+    near = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), w=5, percent=80)
+    linked = staged(near.select(F.col("doc_id").alias(ROW), "component_id"), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    stays = linked.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    return _without(rows, linked.select(ROW).join(stays, ROW, "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark stay."""
-    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return _without(docs, gone)
+    """Rows without a passage of the benchmark stay."""
+    rows = _keyed(docs)
+    judged = decontaminate(rows, table(spark, sf_dir, "benchmark"), doc_id=ROW, row_key=ROW)
+    return _without(rows, judged.where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,15 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def in_files(df: DataFrame, *columns: str) -> DataFrame:
+    """df if its rows have places in files, else its columns written and read again."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return staged(df.select(*columns), "rows")
+    return df
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is proven to have at most `rows` rows, else df for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

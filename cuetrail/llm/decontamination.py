@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, staged, table
+from .common import ascii_lower, bounded_broadcast, in_files, staged, table
 
 #: What stands between words, after A-Z are lower-cased: all of ASCII but letters and digits.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -115,19 +114,20 @@ def proximity_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] =
     return found.unionByName(alone).select(*keys, F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).cast("int").alias("start"), "terms")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", size: int = WINDOW, slop: int | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", size: int = WINDOW, slop: int | None = None, row_key: str | None = None) -> DataFrame:
     """For each row of docs: the id, n_words, n_hit, n_items long, items_sha256 string, contaminated boolean (by exact phrases); with slop
     also n_near long, the places of proximity matches (exact ones included), and near_items array<string>, the items they belong to.
 
     Null and empty texts have no words and aren't contaminated. Repeated rows (also of one id) stay repeated rows: rows are told apart by
-    their place in the file (a DataFrame that isn't read from files is written first). Items with null or wordless texts have no windows; an empty benchmark contaminates nothing.
+    row_key, a column that is different in each, or their place in the file (a DataFrame that isn't read from files is written first). Items with null or wordless texts have no windows; an empty benchmark contaminates nothing.
     """
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        docs = staged(docs.select(doc_id, "text"), "rows")
-    keys = ("file", "row")
-    rows = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(doc_id).alias("doc_id"), "text")
+    if row_key:
+        keys = ("row",)
+        rows = docs.select(F.col(row_key).alias("row"), F.col(doc_id).alias("doc_id"), "text")
+    else:
+        keys = ("file", "row")
+        docs = in_files(docs, doc_id, "text")
+        rows = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(doc_id).alias("doc_id"), "text")
     plan = staged(query_plan(rows, benchmark, size), "plan")
     index = staged(build_index(rows, plan, (*keys, "doc_id"), size), "index")
     items = windows(benchmark, size).groupBy("terms").agg(F.collect_set("item_id").alias("items"))

@@ -38,3 +38,16 @@ def test_stages_return_documents(spark):
         out = stage(spark, odd, SF)
         assert name == "byte_bpe" or out.columns == docs.columns
         assert out.count() <= 7 and out.where(F.col("doc_id") == 900_000).count() == 1
+
+
+def test_filters_take_rows_not_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, item), (None, text("clean")), (1, item), (1, text("one")), (None, text("a")), (None, text("a")), (7, text("b")), (7, text("b")), (8, text("b")), (None, text("b")), (9, text("c")), (None, text("c")), (10, text("d")), (10, text("e")), (None, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    listed = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    for parts in (1, 3):
+        clean = corpus_pipeline.drop_contaminated(spark, docs.repartition(parts), SF)
+        assert listed(clean) == sorted((r for r in rows if r[1] != item), key=str)
+        kept = [(None, text("clean")), (1, text("one")), (None, text("a")), (7, text("b")), (9, text("c")), (10, text("d")), (10, text("e")), (None, ""), (None, None), (None, None)]
+        assert listed(corpus_pipeline.drop_near_duplicates(spark, clean, SF)) == sorted(kept, key=str)
