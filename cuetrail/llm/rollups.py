@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, staged, table
 
 KEYS = ("source", "lang", "tokenizer")
 _SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -50,20 +50,28 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
 
+def _counted(docs: DataFrame, *texts: Column) -> DataFrame:
+    """doc_id, source, lang, hash (null texts have one of their own) and the counts c0, c1, ... of each of the texts by tokenizer."""
+    counts = (F.array(*(F.struct(F.lit(k).alias("tokenizer"), count(t).alias("n_tokens")) for k, count in TOKENIZERS.items())).alias(f"c{i}") for i, t in enumerate(texts))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("hash"), *counts)
+
+
+def _signed(counted: DataFrame, counts: str, sign: int) -> DataFrame:
+    return counted.select("source", "lang", F.explode(counts).alias("c")).select("source", "lang", "c.tokenizer", F.lit(sign).alias("sign"), "c.n_tokens")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents loaded, exact copies of a smaller doc_id deleted, texts with symbols revised to texts without them, the load committed again."""
+    """documents loaded, exact copies of a smaller doc_id and copies without one deleted, texts with symbols revised to texts without
+    them, the load committed again. Each row is marked through the hash of its own text: repeated rows of the least doc_id all stay."""
     docs = table(spark, sf_dir, "documents")
     path = f"{shared_dir(spark)}/rollup"
     commit(inserts(docs), path, "load")
-    keyed = docs.withColumn("__h", F.sha2(F.coalesce("text", F.lit("")), 256))
-    first = keyed.groupBy("__h").agg(F.min("doc_id").alias("__first"))
-    copies = keyed.select("doc_id", "__h").join(first, "__h").where(F.col("doc_id") > F.col("__first")).select("doc_id")
-    small = inserts(docs).limit(0)
-    counted = docs.select("doc_id", "source", "lang", *(count(F.col("text")).alias(f"__{i}") for i, count in enumerate(TOKENIZERS.values())))
-    gone = counted.join(copies, "doc_id").select("source", "lang", F.explode(F.array(*(F.struct(F.lit(k).alias("tokenizer"), F.col(f"__{i}").alias("n_tokens")) for i, k in enumerate(TOKENIZERS)))).alias("c")).select("source", "lang", "c.tokenizer", F.lit(-1).alias("sign"), "c.n_tokens")
-    commit(small.unionByName(gone), path, "copies")
-    marked = docs.where(F.col("text").rlike(_SYMBOLS)).join(copies, "doc_id", "left_anti")
-    commit(revisions(marked, marked.withColumn("text", F.regexp_replace("text", _SYMBOLS, ""))), path, "symbols")
+    text, is_first = F.col("text"), F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))
+    counted = _counted(docs, text)
+    firsts = staged(counted.groupBy("hash").agg(F.min("doc_id").alias("first")), "firsts")
+    commit(_signed(counted.join(firsts, "hash").where(~is_first), "c0", -1), path, "copies")
+    marked = _counted(docs.where(text.rlike(_SYMBOLS)), text, F.regexp_replace("text", _SYMBOLS, "")).join(firsts, "hash").where(is_first)
+    commit(_signed(marked, "c0", -1).unionByName(_signed(marked, "c1", 1)), path, "symbols")
     commit(inserts(docs), path, "load")
     return totals(spark, path)
 

@@ -349,6 +349,19 @@ def test_rollups_add_up(spark, odd):
     assert rollups.totals(spark, path).count() == 2
 
 
+def test_op8_with_repeated_rows_and_null_ids_equals_its_sql(spark):
+    import duckdb
+
+    rows = [(1, "a b"), *[(2, "a b")] * 3, (3, "x # y"), (3, "x # y"), (3, "a b"), (4, "x # y"), (None, "a b"), (None, "only # here"), (5, None), (6, ""), (7, ""), (None, None), (8, "c | d"), (8, "e"), (7, "e")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for k, (i, t) in enumerate(rows) for s in ("s", None)[: 1 + k % 2]], DOCS)
+    path = shared_dir(spark)
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    got = sorted((tuple(r) for r in rollups.op8_token_counts(spark, path).collect()), key=str)
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{path.removeprefix('file://')}/documents.parquet/*.parquet')")
+    assert got == sorted(db.execute(rollups.SQL["op8_token_counts"]).fetchall(), key=str)
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 
