@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -33,9 +34,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; only where that is unset (tests), a local one is made and set."""
+    """A new folder under the cluster's spark.checkpoint.dir. Where that is unset, a local master (tests) gets a local folder, which is
+    set; on a cluster executors would not see each other's files there, so an error is raised."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cuetrail-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)  # with the cluster's default file system if it names none
@@ -46,7 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}", *partition_by)
+
+
+def _written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -54,6 +61,33 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Stages:
+    """Tables of one job under one new shared folder. Those that nothing reads any more are dropped; the result may go on reading the rest."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dir, self.n = spark, shared_dir(spark), 0
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.dir}/{self.n:03d}-{name}"
+        self.paths.setdefault(name, []).append(path)
+        return _written(df, path)
+
+    def drop(self, *names: str, but: int = 0) -> None:
+        """Delete the tables of these names, but for the last `but` of each."""
+        for name in names:
+            paths = self.paths.get(name, [])
+            for path in paths[: len(paths) - but]:
+                delete(self.spark, path)
+            self.paths[name] = paths[len(paths) - but :]
+
+
 def in_files(df: DataFrame, *columns: str) -> DataFrame:
     """df if its rows have places in files, else its columns written and read again."""
     try:

@@ -88,23 +88,31 @@ def test_feistel_is_a_permutation(n):
         assert (shards.feistel(np.arange(n), n, 5) != shards.feistel(np.arange(n), n, 6)).any()
 
 
-def test_shards_round_trip(spark, odd):
+@pytest.mark.parametrize(("width", "pack"), [(1, 4 << 20), (1, 150), (2, 300)])
+def test_shards_round_trip(spark, odd, monkeypatch, width, pack):
+    monkeypatch.setattr(shards, "PACK_BYTES", pack)
     path = shared_dir(spark)
     odd.repartition(3).write.parquet(f"{path}/in")
-    docs = spark.read.parquet(f"{path}/in").select("doc_id", F.encode("text", "UTF-8").alias("ids"), "_metadata")
-    manifest = shards.materialise(docs, f"{path}/shards", length=100, shard_records=64).orderBy("slot").collect()
-    assert [r.slot for r in manifest] == list(range(len(manifest)))
-    got = list(shards.read_slots(f"{path}/shards", 0, len(manifest) + 5, length=100, shard_records=64))
-    assert len(got) == len(manifest)
-    whole = defaultdict(dict)
-    for r, ids in zip(manifest, got, strict=True):
-        whole[r.doc_id].setdefault(r.seq_no, []).append(ids.tobytes())
-    texts = {r.doc_id: (r.text or "").encode() for r in odd.collect()}
-    assert all(b"".join(parts[k][0] for k in sorted(parts)) == texts[i] for i, parts in whole.items())
-    assert len(whole[4][0]) == 2  # the repeated row has sequences of its own
-    later = list(shards.read_slots(f"{path}/shards", 70, 3, length=100, shard_records=64))
-    assert [x.tobytes() for x in later] == [x.tobytes() for x in got[70:73]]
-    assert shards.materialise(docs.limit(0).where("false"), f"{path}/none").count() == 0
+    docs = spark.read.parquet(f"{path}/in")
+    docs = docs.withColumn("ids", F.encode("text", "UTF-8" if width == 1 else "UTF-16LE"))
+    at = {"width": width, "length": 100, "shard_records": 64}
+    manifest = shards.materialise(docs, f"{path}/shards", **at).collect()
+    n = max(r.slot for r in manifest) + 1
+    got = list(shards.read_slots(f"{path}/shards", 0, n + 5, **at))
+    assert {r.slot for r in manifest} == set(range(n)) and len(got) == n and sum(len(x) < 100 for x in got) <= 3  # one of a task is padded
+    whole = defaultdict(list)
+    for r in sorted(manifest, key=lambda r: (r.doc_offset, r.slot)):
+        ids = got[r.slot][r.seq_offset : r.seq_offset + r.n_ids]
+        assert len(ids) == r.n_ids and (r.shard, r.byte_offset) == (r.slot // 64, r.slot % 64 * (4 + 100 * width) + 4 + r.seq_offset * width)
+        whole[r.doc_id].append((r.doc_offset, ids.tobytes()))
+    texts = {r.doc_id: (r.text or "").encode("utf-8" if width == 1 else "utf-16-le") for r in odd.collect()}
+    assert set(whole) == {i for i, t in texts.items() if t} and sum(len(x) for x in got) == sum(r.n_ids for r in manifest)
+    assert all(b"".join(x for _, x in parts) == texts[i] for i, parts in whole.items() if i != 4)
+    assert sum(len(x) for _, x in whole[4]) == 2 * len(texts[4])  # the repeated row has pieces of its own
+    assert [x.tobytes() for x in shards.read_slots(f"{path}/shards", 70, 3, **at)] == [x.tobytes() for x in got[70:73]]
+    assert shards.materialise(docs.limit(0), f"{path}/none").count() == 0 and shards.materialise(docs.where("false"), f"{path}/none").count() == 0
+    left = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shards/{shards._UNFINISHED}")
+    assert not left.getFileSystem(spark._jsc.hadoopConfiguration()).exists(left) and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
 
 
 # --- byte-level BPE ------------------------------------------------------------------------------------------------
@@ -224,8 +232,11 @@ def test_near_duplicate_rows(odd):
     assert by[1].n_shingles == 0 and by[1].kept and neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_long_lists_are_dealt_into_parts(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PART", 4)
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_long_lists_are_dealt_into_blocks(spark, monkeypatch, rounds):
+    monkeypatch.setattr(neardup, "ROWS", 4)
+    monkeypatch.setattr(neardup, "COLUMNS", 8)
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :], *(f"t{i}_{j}" for j in range(i % 9))])) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -233,6 +244,28 @@ def test_long_lists_are_dealt_into_parts(spark, monkeypatch):
     assert got == components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_estimates_of_blocks_and_pairs_agree_and_lose_no_near_pair(percent):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 4000, dtype=np.uint64) * np.uint64(4)
+    sets = []
+    for k in range(60):
+        n = int(rng.choice([1, 5, 30, 127, 128, 129, 200, 1000, 4000]))
+        s = base[:n].copy()
+        swap = rng.random(n) < rng.choice([0, 0.02, 0.05, 0.2])
+        s[swap] = rng.integers(0, 1 << 62, int(swap.sum()), dtype=np.uint64)
+        sets.append(np.unique(s))
+    sketch = neardup._matrix([np.minimum(s >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32)[: neardup.SKETCH].tobytes() for s in sets])
+    n = np.array([len(s) for s in sets])
+    block = neardup.near_block(sketch[:25], sketch, n[:25], n, percent)
+    i, j = np.indices(block.shape)
+    assert (neardup.near_pairs(sketch[i.ravel()], sketch[j.ravel()], n[i.ravel()], n[j.ravel()], percent) == block.ravel()).all()
+    for a, b in zip(i.ravel(), j.ravel(), strict=True):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * common >= percent * (n[a] + n[b] - common):
+            assert block[a, b]
+
+
 def test_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "lo bigint, hi bigint")
     got = {r.node: r.component for r in neardup.connected_components(edges).collect()}
