@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bounded_broadcast, mix64, shared_dir, staged, table
+from .common import bound_batches, delete, in_files, mix64, shared_dir, staged, table
 
 ROUNDS = 6
-#: Rows whose start is found by one window; the blocks' own starts are found by a second one.
-BLOCK_ROWS = 65_536
-#: Largest table of row starts that is broadcast, in rows of three longs; beyond it the join shuffles the texts.
-STARTS_ROWS = 500_000
+#: Ids that a task holds, in bytes, before it hands on whole sequences.
+PACK_BYTES = 4 << 20
+_UNFINISHED = "_unfinished"
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -44,80 +44,119 @@ def record_bytes(length: int, width: int) -> int:
     return 4 + length * width
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """file, row, start: the number of sequences before each row, for rows with file, row and n_seq. Sums of blocks are small, so no
-    task sees more than a block's rows or a row for each block."""
-    block = F.floor(F.col("row") / BLOCK_ROWS)
-    rows = rows.withColumn("block", block)
-    sums = rows.groupBy("file", "block").agg(F.sum("n_seq").alias("n"))
-    before = sums.select("file", "block", F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.coalesce(F.sum("n_seq").over(W.partitionBy("file", "block").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("within", within).join(before, ["file", "block"]).select("file", "row", (F.col("before") + F.col("within")).alias("start"))
-
-
 def materialise(docs: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id", width: int = 1, length: int = 2048, key: int = 20_240_501, shard_records: int = 4096) -> DataFrame:
-    """Write every sequence of `length` ids into its slot of the shards under `path`; returns the manifest: doc_id, seq_no int, slot long,
-    shard long, byte_offset long, n_ids int.
-
-    docs: read from files (their rows are numbered by file and row index); ids: binary, packed little-endian ids of `width` bytes. The
-    last sequence of a row is padded with zeros; null and empty rows have no sequences; repeated rows are sequences of their own.
-    A shard is written under a name of its own and then renamed, so a task that runs twice leaves one whole file.
+    """Pack the ids of all rows into sequences of `length` ids and write every sequence into its slot of the shards under `path`; returns the
+    manifest, a row for each piece of a document in a sequence: doc_id, doc_offset long (ids of the document before the piece), slot long,
+    seq_offset int (ids of the sequence before it), n_ids int, shard long, byte_offset long (where the piece starts in the shard).
+
+    ids: binary, packed little-endian ids of `width` bytes. The rows of a scan task are packed one after the other, so only its last sequence
+    is padded with zeros. Tasks are numbered by a first scan that sums their ids, as zipWithIndex does: all that the driver holds is a number
+    for each task, and texts are shuffled once. docs is read from files, or written first. Null and empty rows have no pieces; repeated rows
+    have pieces of their own. A shard is written under a name of its own and then renamed, so a task that runs twice leaves one whole file.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
-    n_seq = F.ceil(F.coalesce(F.octet_length("ids"), F.lit(0)) / (length * width)).cast("bigint")
-    counted = staged(rows.select("file", "row", n_seq.alias("n_seq")).where("n_seq > 0"), "counted")
-    n = counted.agg(F.coalesce(F.sum("n_seq"), F.lit(0))).first()[0]
-    if n == 0:
-        return staged(spark.createDataFrame([], _manifest(docs.schema[doc_id].dataType.simpleString())), "manifest")
-    first = staged(starts(counted), "starts")
-    stride = record_bytes(length, width)
-    size = length * width
     kind = docs.schema[doc_id].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, texts, start = b.column("doc_id"), b.column("ids").to_pylist(), b.column("start").to_numpy()
-            count = np.array([-(-len(t) // size) for t in texts], dtype=np.int64)
-            seq = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            slot = feistel(np.repeat(start, count) + seq, n, key)
-            data = [t[i : i + size] for t in texts for i in range(0, len(t), size)]
-            yield pa.RecordBatch.from_arrays([own.take(pa.array(np.repeat(np.arange(len(texts)), count))), pa.array(seq.astype(np.int32)), pa.array(slot), pa.array(data, pa.binary())], names=["doc_id", "seq_no", "slot", "ids"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
-        fs, root = FileSystem.from_uri(path)
-        fs.create_dir(root, recursive=True)
-        shard, out, name = -1, None, ""
-
-        def done() -> None:
-            if out is not None:
-                out.close()
-                fs.move(name, f"{root}/{shard_name(shard)}")
-
-        for b in batches:
-            slots = b.column("slot").to_numpy()
-            data = b.column("ids").to_pylist()
-            for s, x in zip(slots.tolist(), data, strict=True):
-                if s // shard_records != shard:
-                    done()
-                    shard, name = s // shard_records, f"{root}/.{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(name)
-                out.write((len(x) // width).to_bytes(4, "little") + x + bytes(size - len(x)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("seq_no"), b.column("slot"), pa.array(slots // shard_records), pa.array(slots % shard_records * stride), pa.array(np.array([len(x) // width for x in data], dtype=np.int32))], names=["doc_id", "seq_no", "slot", "shard", "byte_offset", "n_ids"])
-        done()
-
-    sequences = rows.where("octet_length(ids) > 0").join(bounded_broadcast(first, STARTS_ROWS), ["file", "row"]).select("doc_id", "ids", "start").mapInArrow(cut, f"doc_id {kind}, seq_no int, slot bigint, ids binary")
-    shards = -(-n // shard_records)
-    tasks = min(shards, 100_000)
-    ranged = sequences.repartitionById(tasks, F.floor(F.floor(F.col("slot") / shard_records) * tasks / shards).cast("int")).sortWithinPartitions("slot")
-    return staged(ranged.mapInArrow(write, _manifest(kind)), "manifest")
+    rows = in_files(docs, doc_id, ids).select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).where(F.octet_length("ids") > 0)
+    size, stride = length * width, record_bytes(length, width)
+    with _same_splits(spark):
+        sums = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.octet_length("ids").cast("bigint")).alias("bytes")).collect()
+        count = np.zeros(1 + max((r.task for r in sums), default=0), dtype=np.int64)
+        for r in sums:
+            count[r.task] = -(-r.bytes // size)
+        first, n = np.cumsum(count) - count, int(count.sum())
+        if n == 0:
+            return spark.createDataFrame([], _manifest(kind))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = TaskContext.get().partitionId()
+            done, held, pieces = 0, bytearray(), []
+
+            def cut(all_of_it: bool) -> Iterator[pa.RecordBatch]:
+                nonlocal done, held, pieces
+                whole = -(-len(held) // size) if all_of_it else len(held) // size
+                if whole:
+                    slot = feistel(first[task] + done + np.arange(whole), n, key)
+                    own: list[list[dict]] = [[] for _ in range(whole)]
+                    rest, at = [], 0
+                    for owner, offset, length_of in pieces:  # in the order of held
+                        while length_of:
+                            k = at // size
+                            take = min(length_of, (k + 1) * size - at)
+                            if k == whole:
+                                rest.append((owner, offset, length_of))
+                                break
+                            own[k].append({"doc_id": owner, "doc_offset": offset, "seq_offset": at % size // width, "n_ids": take // width})
+                            at, offset, length_of = at + take, offset + take // width, length_of - take
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array([bytes(held[i * size : (i + 1) * size]) for i in range(whole)], pa.binary()), pa.array(own, pieces_type)], names=["slot", "ids", "pieces"])
+                    del held[: whole * size]
+                    done, pieces = done + whole, rest
+
+            pieces_type = None
+            for b in batches:
+                pieces_type = pieces_type or pa.list_(pa.struct([("doc_id", b.schema.field(0).type), ("doc_offset", pa.int64()), ("seq_offset", pa.int32()), ("n_ids", pa.int32())]))
+                for owner, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    held += x
+                    pieces.append((owner, 0, len(x)))
+                    if len(held) >= PACK_BYTES:
+                        yield from cut(False)
+            if pieces_type is not None:
+                yield from cut(True)
+            if done != (count[task] if task < len(count) else 0):
+                raise RuntimeError("the scan was split in another way than when its ids were counted")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow.fs import FileSystem
+
+            fs, root = FileSystem.from_uri(path)
+            fs.create_dir(f"{root}/{_UNFINISHED}", recursive=True)
+            shard, out, name = -1, None, ""
+
+            def close() -> None:
+                if out is not None:
+                    out.close()
+                    fs.move(name, f"{root}/{shard_name(shard)}")
+
+            for b in batches:
+                slots = b.column("slot").to_numpy()
+                for s, x in zip(slots.tolist(), b.column("ids").to_pylist(), strict=True):
+                    if s // shard_records != shard:
+                        close()
+                        shard, name = s // shard_records, f"{root}/{_UNFINISHED}/{uuid.uuid4().hex}"
+                        out = fs.open_output_stream(name)
+                    out.write((len(x) // width).to_bytes(4, "little") + x + bytes(size - len(x)))
+                lists = b.column("pieces")
+                p, slot = lists.flatten(), np.repeat(slots, np.diff(lists.offsets.to_numpy()))
+                seq = p.field("seq_offset")
+                place = slot % shard_records * stride + 4 + seq.to_numpy().astype(np.int64) * width
+                yield pa.RecordBatch.from_arrays([p.field("doc_id"), p.field("doc_offset"), pa.array(slot), seq, p.field("n_ids"), pa.array(slot // shard_records), pa.array(place)], names=["doc_id", "doc_offset", "slot", "seq_offset", "n_ids", "shard", "byte_offset"])
+            close()
+
+        sequences = rows.mapInArrow(pack, f"slot bigint, ids binary, pieces array<struct<doc_id:{kind},doc_offset:bigint,seq_offset:int,n_ids:int>>")
+        shards = -(-n // shard_records)
+        tasks = min(shards, 100_000)
+        ranged = sequences.repartitionById(tasks, F.floor(F.floor(F.col("slot") / shard_records) * tasks / shards).cast("int")).sortWithinPartitions("slot")
+        manifest = staged(ranged.mapInArrow(write, _manifest(kind)), "manifest")
+    delete(spark, f"{path}/{_UNFINISHED}")  # what tasks that died have left
+    return manifest
+
+
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans of a file are split alike, even if executors come or go in between."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    if before is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
 
 
 def _manifest(kind: str) -> str:
-    return f"doc_id {kind}, seq_no int, slot bigint, shard bigint, byte_offset bigint, n_ids int"
+    return f"doc_id {kind}, doc_offset bigint, slot bigint, seq_offset int, n_ids int, shard bigint, byte_offset bigint"
 
 
 def shard_name(shard: int) -> str:
@@ -144,7 +183,7 @@ def read_slots(path: str, start: int, count: int, width: int = 1, length: int =
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents as byte-level ids (one byte an id), materialised in training order; the manifest of all sequences."""
+    """Every text of documents as byte-level ids (one byte an id), packed into sequences and materialised in training order; the manifest of
+    all pieces. Null and empty texts have none."""
     docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", F.encode("text", "UTF-8").alias("ids"), "_metadata")
-    return materialise(docs, f"{shared_dir(spark)}/shards")
+    return materialise(docs.withColumn("ids", F.encode("text", "UTF-8")), f"{shared_dir(spark)}/shards")
