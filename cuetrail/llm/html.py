@@ -16,7 +16,7 @@ from .common import bound_batches, table
 
 #: Hashed features of a node, and labelled pages that the built-in model is trained on.
 BUCKETS = 1 << 14
-TRAINING_PAGES = 900
+TRAINING_PAGES = 1500
 #: Share of the parent-child potentials that counts: the features of a node already say a part of it.
 DAMPING = 0.5
 
@@ -26,11 +26,18 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"} | _HEADINGS
-_SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Start tags that end an open element of the same kind, unless one of the kind's containers was opened in between.
+_SCOPES = (("p", {"p"}, {"table", "td", "th", "button", "caption"}), ("li", {"li"}, {"ul", "ol", "menu"}), ("dd", {"dt", "dd"}, {"dl"}), ("cell", {"td", "th"}, {"tr", "table"}), ("row", {"tr"}, {"table"}))
+_ENDS = {"li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4} | dict.fromkeys(_CLOSES_P, 0)
+#: Deeper elements are laid beside each other, as browsers do.
+_MAX_DEPTH = 512
+# A quote opens a string only where a value starts; elsewhere it is a character of a name or of an unquoted value.
+_VALUE = r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+|=)*+)(?:>|\Z)""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*+))?+)?+""")
+_NAME = re.compile(r"[A-Z]?[a-zß-öø-ÿ]+|[A-Z]+")
+_SENTENCE = re.compile(r"[.!?…。！？](?=\s|\Z)")
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in _SILENT}
 
 
 @dataclass
@@ -43,15 +50,20 @@ class Page:
     gold: list[int] = field(default_factory=lambda: [0])
     own: list[int] = field(default_factory=lambda: [0])
     linked: list[int] = field(default_factory=lambda: [0])
+    sentences: list[int] = field(default_factory=lambda: [0])
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
 def parse(source: str) -> Page:
-    """DOM of a page, as far as its blocks need it. End tags that are missing, stray or cut off are handled as browsers mostly do."""
+    """DOM of a page, as far as its blocks need it, in time linear in its length. End tags that are missing, stray or cut off are handled
+    as browsers mostly do."""
     page = Page()
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with the block node they belong to
+    depth = [0]
+    # open elements: name, block node they belong to, place of the nearest block, places of the elements that a start tag may end
+    stack: list[tuple[str, int, int, tuple[int, ...]]] = [("#page", 0, 0, (0,) * len(_SCOPES))]
+    places: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
     pieces: list[str] = []
-    links = 0
 
     def flush() -> None:
         if pieces:
@@ -60,22 +72,27 @@ def parse(source: str) -> Page:
                 node = stack[-1][1]
                 page.blocks.append((node, text))
                 page.own[node] += len(text)
+                page.sentences[node] += len(_SENTENCE.findall(text))
             pieces.clear()
 
     def pop_to(i: int) -> None:
-        nonlocal links
-        if any(t not in _INLINE for t, _ in stack[i:]):
+        if stack[-1][2] >= i:  # a block among them
             flush()
-        links -= sum(t == "a" for t, _ in stack[i:])
+        for name, *_ in stack[i:]:
+            places[name].pop()
         del stack[i:]
 
+    def push(name: str, node: int, block: int, scope: tuple[int, ...]) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, node, block, scope))
+
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else n]
         if text:
             pieces.append(text)
-            if links:
+            if places.get("a"):
                 page.linked[stack[-1][1]] += len(text.strip())
         if not m:
             break
@@ -85,54 +102,49 @@ def parse(source: str) -> Page:
             name = end.lower()
             if name == "br":
                 pieces.append(" ")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if name in _INLINE and stack[i][0] not in _INLINE:
-                    break
+            if places.get(name) and (name not in _INLINE or places[name][-1] > stack[-1][2]):
+                pop_to(places[name][-1])
         elif start and m.group(0).endswith(">"):
             name = start.lower()
             if name in _SILENT:
-                if name not in _INLINE and name not in {"button"}:
+                if name != "button":
                     flush()
-                if not m.group(3).endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
+                if not m.group(3).endswith("/") and name not in unclosed:
+                    close = _CLOSING[name].search(source, at)
                     at = close.end() if close else (n if name in _RAW else at)
+                    if not close:
+                        unclosed.add(name)
                 continue
             if name in _VOID:
                 if name == "hr":
                     flush()
-                pieces.append(" ")
+                if name == "br":
+                    pieces.append(" ")
                 continue
             if name in _INLINE:
-                links += name == "a"
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1], stack[-1][2], stack[-1][3])
                 continue
-            if name in {"html", "body"} and any(t == name for t, _ in stack):
+            if name in {"html", "body"} and places.get(name):
                 continue
             flush()
-            if name in _CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] in {"table", "td", "th", "button"}:
-                        break
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _SAME_CLOSES.get(name, ()):
-                    pop_to(i)
-                    break
-                if stack[i][0] in _STOPS.get(name, ()):
-                    break
+            if name in _ENDS and (i := stack[-1][3][_ENDS[name]]):
+                pop_to(i)
+            if name in {"td", "th", "tr"} and (i := stack[-1][3][0]):  # a cell ends a paragraph of the cell before
+                pop_to(i)
             attributes = {a.group(1).lower(): a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTRIBUTE.finditer(m.group(3))} if m.group(3) else {}
-            page.parent.append(stack[-1][1])
+            above = stack[-1][1]
+            above = page.parent[above] if depth[above] >= _MAX_DEPTH else above
+            node = len(page.parent)
+            depth.append(depth[above] + 1)
+            page.parent.append(above)
             page.tag.append(name)
             page.names.append([w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") if k in attributes for w in _NAME.findall(attributes[k])])
             page.gold.append(int(attributes.get("data-gold", "0") == "1"))
             page.own.append(0)
             page.linked.append(0)
-            stack.append((name, len(page.parent) - 1))
+            page.sentences.append(0)
+            here = len(stack)
+            push(name, node, here, tuple(here if name in ends else 0 if name in stops else before for (_, ends, stops), before in zip(_SCOPES, stack[-1][3], strict=True)))
         elif start:  # the page ends inside a tag
             break
     flush()
@@ -150,8 +162,8 @@ _remembered: dict[tuple, list[int]] = {}
 
 
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, node) pairs: tag, words of class, id and role, of the node and its nearest ancestors, paragraphs beside it, length and
-    link share of the own text."""
+    """(feature, node) pairs: tag, words of class, id and role and their first letters, of the node and its nearest ancestors, paragraphs
+    beside it, length, link share and sentences of the own text, blocks of the page."""
     f, node = [], []
     beside = [0] * len(page.tag)
     for i, tag in enumerate(page.tag):
@@ -164,10 +176,10 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
         while up > 0 and len(above) < 3:
             above.append((page.tag[up], tuple(page.names[up])))
             up = page.parent[up]
-        key = (tag, *page.names[i], 0, tuple(above), min(6, beside[max(page.parent[i], 0)]), min(8, int(np.log2(own + 1))) if own else -1, min(4, int(4 * page.linked[i] / own)) if own else -1)
+        key = (tag, *page.names[i], 0, tuple(above), min(6, beside[max(page.parent[i], 0)]), min(8, int(np.log2(own + 1))) if own else -1, min(4, int(4 * page.linked[i] / own)) if own else -1, min(2, page.sentences[i]), min(4, len(page.blocks)))
         got = _remembered.get(key)
         if got is None:
-            got = [0, _bucket("tag", tag), _bucket("size", key[-2]), _bucket("links", key[-1]), _bucket("beside", tag, key[-3]), *(_bucket("up", k, t) for k, (t, _) in enumerate(above)), *(_bucket("tag up", tag, t) for t, _ in above[:1]), *(_bucket("name up", w) for _, names in above for w in names), *(_bucket("name", w) for w in page.names[i])]
+            got = [0, _bucket("tag", tag), _bucket("size", key[-4]), _bucket("links", key[-3]), _bucket("beside", tag, key[-5]), _bucket("sentences", tag, key[-2]), _bucket("page", tag, key[-1]), *(_bucket("up", k, t) for k, (t, _) in enumerate(above)), *(_bucket("tag up", tag, t) for t, _ in above[:1]), *(_bucket("name up", w) for _, names in above for w in names), *(_bucket("stem up", w[:4]) for _, names in above for w in names), *(b for w in page.names[i] for b in (_bucket("name", w), _bucket("stem", w[:4])))]
             if len(_remembered) < 100_000:
                 _remembered[key] = got
         f += got
@@ -192,18 +204,18 @@ def marginals(model: TreeModel, pages: list[Page]) -> list[np.ndarray]:
     got = [features(p) for p in pages]
     logit = np.bincount(np.concatenate([node + b for (_, node), b in zip(got, base[:-1], strict=True)]), model.weights[np.concatenate([f for f, _ in got])], minlength=n)
     unary = np.stack([np.zeros(n), logit], axis=1)
-    depth = np.zeros(n, dtype=int)
-    for i in range(n):
-        if parent[i] >= 0:
-            depth[i] = depth[parent[i]] + 1
+    above, deep = parent.tolist(), [0] * n
+    for i, p in enumerate(above):
+        if p >= 0:
+            deep[i] = deep[p] + 1
+    depth = np.array(deep, dtype=int)
     order = np.argsort(depth, kind="stable")
     levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
     pair = model.pair[np.array([_TAG_KIND.get(t, 0) for p in pages for t in p.tag])]
     up, belief = np.zeros((n, 2)), unary.copy()
     for level in levels[:0:-1]:
         up[level] = np.logaddexp(pair[level, :, 0] + belief[level, None, 0], pair[level, :, 1] + belief[level, None, 1])
-        for y in (0, 1):
-            belief[:, y] += np.bincount(parent[level], up[level, y], minlength=n)
+        np.add.at(belief, parent[level], up[level])
     full = belief.copy()
     for level in levels[1:]:
         rest = full[parent[level]] - up[level]
@@ -255,6 +267,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[Page]:
         inner = "".join(f"<li><a href='/{r.choice(vocabulary)}'>{words(1, 3)}</a></li>" for _ in range(r.randint(a, b)))
         return r.choice([f"<ul>{inner}</ul>", f"<ol>{inner}</ol>", inner.replace("<li>", "<div>").replace("</li>", "</div>"), re.sub("</?li>", " ", inner)])
 
+    def hashed() -> str:
+        return r.choice(["css-", "sc-", "c", "_", "x"]) + "".join(r.choices("abcdefghijkmnpqrstuvwxyz0123456789", k=r.randint(4, 8)))
+
     def named(names: list[str], tag: str = "div") -> str:
         name = r.choice(names)
         name = r.choice([name, f"{name}-{r.choice(['box', 'area', 'wrap', 'block', 'top', 'main', 'item'])}", f"site-{name}", f"{name} {r.choice(vocabulary)}"])
@@ -264,18 +279,18 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[Page]:
         text = r.choice([lambda: words(1, 6), lambda: words(4, 40), lambda: f"<p>{words(3, 40)}</p>", lambda: f"<h3>{words(1, 3)}</h3>{links(2, 5)}", lambda: links(2, 7), lambda: f"<h2>{words(1, 3)}</h2><p>{words(3, 25)}</p>", lambda: f"<p>{words(3, 25)}</p><p>{words(3, 25)}</p>"])()
         kind = r.randrange(9)
         if kind == 0:
-            return f"<nav>{links(3, 8)}</nav>" if r.random() < 0.7 else named(["menu", "nav", "navbar", "breadcrumb", "navigation", "pagination"]) + f">{links(3, 8)}</div>"
+            return f"<nav>{links(3, 8)}</nav>" if r.random() < 0.7 else (named(["menu", "nav", "navbar", "breadcrumb", "navigation", "pagination", "navi", "menue", "menuprincipal"]) if r.random() < 0.7 else r.choice(["<div", f"<div class='{hashed()}'"])) + f">{links(3, 8)}</div>"
         if kind == 1:
-            return r.choice(["<aside>", "<aside class='sidebar'>"]) + text + "</aside>" if r.random() < 0.5 else named(["sidebar", "related", "widget", "recommended", "promo", "trending", "popular"]) + f">{text}</div>"
+            return r.choice(["<aside>", "<aside class='sidebar'>"]) + text + "</aside>" if r.random() < 0.5 else named(["sidebar", "related", "widget", "recommended", "promo", "trending", "popular", "seitenleiste", "barra", "verwandt"]) + f">{text}</div>"
         if kind in (2, 3):
-            return named(["ad", "ads", "advert", "advertisement", "sponsored", "banner", "promo"], r.choice(["div", "div", "section", "p"])).replace("<p", "<p") + f">{words(2, 30)}</div>"
+            return named(["ad", "ads", "advert", "advertisement", "sponsored", "banner", "promo", "werbung", "anzeige", "publicidad", "publicite"], r.choice(["div", "div", "section", "p"])).replace("<p", "<p") + f">{words(2, 30)}</div>"
         if kind == 4:
             return named(["notice", "cookie", "consent", "alert", "popup", "modal", "gdpr", "disclaimer", "newsletter", "subscribe", "paywall"], r.choice(["div", "section"])) + f">{text}</div>"
         if kind == 5:
             return f"<form action='/s'>{r.choice(['<label>' + words(1, 3) + '</label>', '<p>' + words(2, 9) + '</p>', '<fieldset>' + words(1, 4) + '</fieldset>', words(1, 5)])}<input name='q'><button>{words(1, 1)}</button></form>"
         if kind == 6:
-            each = "".join(r.choice([f"<div class='comment'><b>{words(1, 2)}</b><p>{words(3, 60)}</p></div>", f"<li class='comment'>{words(3, 50)}</li>", f"<article class='comment'><p>{words(3, 50)}</p></article>"]) for _ in range(r.randint(1, 4)))
-            return named(["comments", "comment", "replies", "discussion", "responses", "disqus"], r.choice(["div", "section", "ul", "ol"])) + f">{r.choice(['<h2>', '<h3>', '<h4>', '<p>'])}{words(1, 3)}</h3>{each}</div>"
+            each = "".join(r.choice([f"<div class='comment'><b>{words(1, 2)}</b><p>{words(3, 60)}</p></div>", f"<li class='comment'>{words(3, 50)}</li>", f"<li><p>{words(3, 30)}</p></li>", f"<li>{words(2, 30)}</li>", f"<article class='comment'><p>{words(3, 50)}</p></article>"]) for _ in range(r.randint(1, 4)))
+            return named(["comments", "comment", "commentlist", "commentslist", "replies", "discussion", "responses", "disqus", "kommentare", "comentarios", "commentaires"], r.choice(["div", "section", "ul", "ol"])) + f">{r.choice(['<h2>', '<h3>', '<h4>', '<p>'])}{words(1, 3)}</h3>{each}</div>"
         if kind == 7:
             return named(["share", "social", "tags", "meta", "byline", "toolbar", "author"]) + f">{text}</div>"
         if r.random() < 0.5:
@@ -315,25 +330,39 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[Page]:
                 out.append(gold("p", inline))
         return "".join(out)
 
+    def cells(inner: str) -> str:
+        """A page laid out by a table, its menu or sidebar in a cell of its own."""
+        side = named(["menu", "nav", "sidebar", "navigation", "left", "links"], "td") + f">{r.choice([links(3, 8), f'<p>{words(2, 12)}</p>{links(2, 6)}'])}</td>"
+        middle = gold("td", inner, r.choice(["", " class='content'", f" class='{hashed()}'"])).replace("</td></td>", "</td>")
+        return f"<table><tr>{side}{middle}</tr></table>" if r.random() < 0.7 else f"<table><tr>{middle}{side}</tr></table>"
+
     pages = []
     for _ in range(n):
-        shell = r.choice(["article", "article", "main", "named", "both", "section"])
+        shell = r.choice(["article", "article", "main", "named", "both", "section", "none", "plain", "cells"])
         inner = content(r.choice([0, 1, 2, 4, 8, 16]))
-        name = r.choice(["content", "article", "post", "entry", "story", "main", "text", "body", "entry-content", "post-body", "article-body"])
+        name = r.choice(["content", "article", "post", "entry", "story", "main", "text", "body", "entry-content", "post-body", "article-body", "inhalt", "beitrag", "artikel", "contenido", "articulo", "texto", "contenu", "corps", "tekst", hashed()])
         if shell == "named":
             inner = gold("div", inner, f" {r.choice(['class', 'id'])}='{name}'")
+        elif shell == "cells":
+            inner = cells(inner)
+        elif shell == "plain":
+            inner = gold("div", inner)
         elif shell == "both":
             inner = gold("main", gold("article", inner if r.random() < 0.5 else gold("div", inner, f" class='{name}'")) + "".join(junk() for _ in range(r.randint(0, 2))))
-        else:
+        elif shell != "none":
             inner = gold(shell, inner, f" class='{name}'" if r.random() < 0.3 or shell == "section" else "")
-        before, after = ("".join(junk() for _ in range(r.randint(0, 4))) for _ in range(2))
+        bare = shell == "none" and r.random() < 0.5  # nothing but the text
+        if bare and r.random() < 0.4:
+            inner = gold("p", words(2, 8))
+        before, after = ("".join(junk() for _ in range(0 if bare else r.randint(0, 4))) for _ in range(2))
         if r.random() < 0.4:
             before, after = f"<header>{before}", f"</header>{inner}{after}"
             inner = ""
         body = before + inner + after
         if r.random() < 0.4:
             body = f"<div class='{r.choice(['wrap', 'page', 'container', 'row', 'layout'])}'>{body}</div>"
-        pages.append(parse(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{body}</body></html>"))
+        whole = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{body}</body></html>"
+        pages.append(parse(body if bare and r.random() < 0.5 else whole))
     return pages
 
 
@@ -371,4 +400,5 @@ def extract(pages: DataFrame, model: TreeModel | None = None, source: str = "htm
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, from its whole html: page_id, url, text, n_chars. Null and empty pages give an empty text."""
     return extract(table(spark, sf_dir, "pages"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -38,25 +39,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-class _Parts:
-    """Parts of one role in one scope, by start."""
+def _joined(at: list[tuple[int, int, int]], parts: list[tuple[int, int, int]], reach: int, own: Counter) -> set[tuple[int, int, int]]:
+    """Those of `at` that lie within reach of one of the parts, both sorted. Parts that begin early enough, less those that end too early,
+    are the ones within reach; own: how many of them don't count."""
+    starts, ends = [x[0] for x in parts], sorted(x[2] for x in parts)
+    return {p for p in at if bisect_right(starts, p[2] + reach) - bisect_left(ends, p[0] - reach) > own[p]}
 
-    def __init__(self, parts: list[tuple[int, int, int]], names: set[tuple[int, int, int]]):
-        self.parts, self.starts, self.longest = parts, [p[0] for p in parts], max((p[2] - p[0] for p in parts), default=0)
-        self.names = names
 
-    def reach(self, at: tuple[int, int, int], reach: int) -> bool:
-        """Whether one of the parts lies within reach of `at`."""
-        i = bisect_left(self.starts, at[0] - reach - self.longest)
-        while i < len(self.parts) and self.starts[i] <= at[2] + reach:
-            if self.parts[i][2] >= at[0] - reach and not self._inside(self.parts[i], at):
-                return True
+def _values(names: list[tuple[int, int, int]], weak: list[tuple[int, int, int]]) -> Counter:
+    """How many weak secrets overlap each of the names, identifiers whose value is no second part beside them, and the other way round."""
+    out, i = Counter(), 0
+    for n in names:
+        while i < len(weak) and weak[i][2] <= n[0]:
             i += 1
-        return False
-
-    def _inside(self, a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
-        """Whether a weak secret is the value of the other part, an identifier, and so no second part beside it."""
-        return a[0] < b[2] and b[0] < a[2] and (a[1] == 4 and b in self.names or b[1] == 4 and a in self.names)
+        j = i
+        while j < len(weak) and weak[j][0] < n[2]:
+            out[n] += 1
+            out[weak[j]] += 1
+            j += 1
+    return out
 
 
 def _weak(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -81,7 +82,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int | None
     endpoints = [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     if not ident and not weak and not endpoints:
         return []
-    names = {p for p in ident if not _KEY.match(text, p[0])}
+    own = _values([p for p in ident if not _KEY.match(text, p[0])], weak)
     cuts = [m.start() for m in _BREAK.finditer(text)]
     scoped: dict[int, tuple[list, list, list]] = {}
     for role, parts in enumerate((identifiers, secrets, endpoints)):
@@ -89,10 +90,9 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int | None
             scoped.setdefault(bisect_left(cuts, p[0]), ([], [], []))[role].append(p)
     out = []
     for ids, keys, ends in scoped.values():
-        near_ids, near_keys = _Parts(ids, names), _Parts(keys, names)
-        out += [p for p in ids if p[1] == 3 and near_keys.reach(p, reach)]
-        out += [p for p in keys if p[1] == 4 and near_ids.reach(p, reach)]
-        out += [p for p in ends if near_ids.reach(p, reach) and near_keys.reach(p, reach)]
+        out += [p for p in _joined(ids, keys, reach, own) if p[1] == 3]
+        out += [p for p in _joined(keys, ids, reach, own) if p[1] == 4]
+        out += _joined(ends, ids, reach, own) & _joined(ends, keys, reach, own)
     return out
 
 
@@ -141,4 +141,5 @@ def _redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text of documents, single ones and those that complementary parts confirm. Null texts have none."""
     return scan(table(spark, sf_dir, "documents"))
