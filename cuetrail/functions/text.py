@@ -15,25 +15,12 @@ CJK = r"\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}"
 PAYLOAD_KEYS = ("supporting_scenes", "start_seconds", "end_seconds", "confidence", "segment_type", "segments")
 
 
-def chars(text: Column) -> Column:
-    """The code points of a text, in order."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
 def _runs(items: Column, n: int) -> Column:
     """Every n items in a row, joined."""
     joined = F.transform(F.sequence(F.lit(1), F.size(items) - (n - 1)), lambda i: F.array_join(F.slice(items, i, n), ""))
     return F.when(F.size(items) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """All overlapping n-grams. Every gram costs n characters whatever the text's length: a look-ahead takes them in one scan; texts with
-    characters beyond the basic plane, where that would cut pairs, go by the array of characters."""
-    fast = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    slow = _runs(chars(text), n)
-    return F.when(text.rlike(r"[\x{10000}-\x{10ffff}]"), slow).otherwise(fast)
-
-
 def without_space(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
@@ -57,19 +44,22 @@ def latin_tokens(text: Column) -> Column:
 
 
 def clean_narration(text: Column) -> Column:
-    """Text fit to be read aloud: payload structure, fences, keys, brackets, quotes and underscores go, white space becomes one space."""
+    """Text fit to be read aloud: payload structure, fences, keys, brackets, quotes and underscores go, white space becomes one space.
+    Fixed values: the patterns below."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+\z", "")
     spoken = F.try_parse_json(t)
     inner = F.try_variant_get(spoken, "$.text", "string")
-    several = F.array_join(F.filter(F.transform(F.try_variant_get(spoken, "$.segments", "array<struct<text:string>>"), lambda s: s["text"]), lambda x: x.isNotNull() & (x != "")), " ")
-    listed = F.array_join(F.transform(F.try_variant_get(spoken, "$", "array<struct<text:string>>"), lambda s: F.coalesce(s["text"], F.lit(""))), " ")
+    inside = lambda v: F.try_variant_get(v, "$.text", "string")
+    several = F.array_join(F.filter(F.transform(F.try_variant_get(spoken, "$.segments", "array<variant>"), inside), lambda x: x.isNotNull() & (x != "")), " ")
+    plain = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), inside(v)).otherwise(F.try_variant_get(v, "$", "string"))
+    listed = F.array_join(F.transform(F.try_variant_get(spoken, "$", "array<variant>"), lambda v: F.coalesce(plain(v), F.lit(""))), " ")
     t = F.when(t.rlike(r"^[{\[]"), F.coalesce(inner, several, listed, t)).otherwise(t)
     t = F.regexp_replace(t, r"```\w*\n?|`", "")
     keyed = F.regexp_extract_all(t, F.lit("[\"']text[\"']\\s*:\\s*[\"']([^\"']+)[\"']"), F.lit(1))
     t = F.when(F.size(keyed) > 0, F.array_join(keyed, " ")).otherwise(t)
     t = F.regexp_replace(t, "[\"']?(?:" + "|".join(PAYLOAD_KEYS) + ")[\"']?\\s*:\\s*[^,\\n]+", "")
     t = F.regexp_replace(t, r"[{}\[\]]", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\\n", " "), "[\"'\\\\]", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\\n", " "), r"\\\"|[\"']", "")  # other backslashes stay
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "_", " "), r"(?U)\s+", " "), r"^ | \z", "")
 
 
@@ -115,3 +105,17 @@ def timed_references(text: Column) -> Column:
         ranged = F.when(b != "", F.struct(b.try_cast("double").alias("start_s"), F.regexp_extract(line, span, 2).try_cast("double").alias("end_s"), F.lit("").alias("kind"), F.regexp_extract(line, span, 3).alias("description"), F.array(F.lit("")).alias("characters")))
         return F.coalesce(timed, ranged)
     return F.filter(F.transform(F.split(text, "\n"), read), lambda x: x.isNotNull())
+
+
+def map_hash(entries: Column) -> Column:
+    """SHA-256 of a map<string, string> as JSON with sorted keys, no blanks and everything beyond ASCII escaped."""
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        over = code - 65536
+        pair = F.concat(unit(F.lit(55296) + F.shiftright(over, 10)), unit(F.lit(56320) + over.bitwiseAND(1023)))
+        return F.when(code < 127, c).when(code < 65536, unit(code)).otherwise(pair)
+
+    return F.sha2(F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), escaped), ""), 256)

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 
 KEYS = ("project_id",)
 #: What must not stand in a narration.
-LEAKS = ['"text":', '"confidence":', '"supporting_scenes":', '"segments":', "```", "{", "}", "_"]
+LEAKS = ['"text":', '"segments":', '"supporting_scenes":', '"confidence":', "```", "{", "}", "_"]
 
 
-def schema_findings(segments: DataFrame, keys=KEYS) -> DataFrame:
-    """keys, pos, check, severity: empty text fails, a missing id warns, a confidence (1.0 if null) under 0.5 warns."""
+def schema_findings(segments: DataFrame, keys=KEYS, projects: DataFrame | None = None) -> DataFrame:
+    """keys, pos, check, severity: empty text fails, a missing id warns, a confidence (1.0 if null) under 0.5 warns. Projects (keys) without
+    any segment fail, with a null pos."""
     finding = lambda when, check, severity: F.when(when, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity")))
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     found = F.array_compact(F.array(finding(blank("text"), "empty_text", "fail"), finding(blank("segment_id"), "missing_id", "warning"), finding(F.coalesce("confidence", F.lit(1.0)) < 0.5, "low_confidence", "warning")))
-    return segments.select(*keys, "pos", F.explode(found).alias("f")).select(*keys, "pos", "f.check", "f.severity")
+    rows = segments.select(*keys, "pos", F.explode(found).alias("f")).select(*keys, "pos", "f.check", "f.severity")
+    if projects is None:
+        return rows
+    none = projects.select(*keys).distinct().join(segments.select(*keys), list(keys), "left_anti")
+    return rows.unionByName(none.select(*keys, F.lit(None).cast(segments.schema["pos"].dataType).alias("pos"), F.lit("no_segments").alias("check"), F.lit("fail").alias("severity")))
 
 
 def leak_findings(segments: DataFrame, leaks: list[str] = LEAKS, keys=KEYS) -> DataFrame:
@@ -144,10 +149,85 @@ def media_findings(media: DataFrame) -> DataFrame:
 
 
 def registry(events: DataFrame, cast: DataFrame, keys=KEYS) -> DataFrame:
-    """keys, names: the distinct characters of the events, of the cast where no event names one. Both: keys, characters array<string>."""
-    gather = lambda d, n: d.select(*keys, F.explode("characters").alias("c")).where("c != ''").groupBy(*keys).agg(F.sort_array(F.collect_set("c")).alias(n))
+    """keys, names: the distinct characters of the events with their aliases, of the cast where no event names one. Both: keys, characters
+    array<string> and, if there are any, aliases array<string>."""
+
+    def gather(d: DataFrame, name: str) -> DataFrame:
+        none = F.array().cast("array<string>")
+        known = F.array_union(F.coalesce("characters", none), F.coalesce("aliases", none)) if "aliases" in d.columns else F.col("characters")
+        return d.select(*keys, F.explode(known).alias("c")).where("c != ''").groupBy(*keys).agg(F.sort_array(F.collect_set("c")).alias(name))
+
     return gather(events, "a").join(gather(cast, "b"), list(keys), "full").select(*keys, F.coalesce("a", "b").alias("names"))
 
 
+def registry_findings(projects: DataFrame, registered: DataFrame, keys=KEYS) -> DataFrame:
+    """keys, check, severity, known: a warning for projects without a name in the registry (keys, names), else a pass with their number."""
+    known = F.coalesce(F.size("names"), F.lit(0))
+    d = projects.select(*keys).distinct().join(registered, list(keys), "left").withColumn("known", known)
+    return d.select(*keys, F.lit("character_registry").alias("check"), F.when(F.col("known") > 0, "pass").otherwise("warning").alias("severity"), "known")
+
+
+def below(rows: DataFrame, column: str, cut: float) -> DataFrame:
+    """Rows under a cut: confidences under 0.5, matches under 0.20 or 0.15."""
+    return rows.where(F.col(column) < cut)
+
+
+def content_match(clips: DataFrame, cut: float = 0.20, keys=KEYS) -> DataFrame:
+    """keys, content, low: the mean score as a share of 0.5 in percent, 100 at most, and the positions of clips under the cut, in order."""
+    low = F.array_sort(F.collect_list(F.when(F.col("score") < cut, F.col("pos"))))
+    return clips.groupBy(*keys).agg(F.least(F.lit(100.0), F.sum("score") / F.count("*") / 0.5 * 100).alias("content"), low.alias("low"))
+
+
+def end_findings(clips: DataFrame, total: float, keys=KEYS) -> DataFrame:
+    """keys, pos, check: of projects with three clips or more and a source of more than 180 s, a first clip that starts after a quarter of it
+    (late_hook) and a last one before 70 % (early_end)."""
+    w = W.partitionBy(*keys)
+    d = clips.withColumns({"__n": F.count("*").over(w), "__i": F.row_number().over(w.orderBy("pos"))}).where((F.col("__n") >= 3) & F.lit(total > 180))
+    check = F.when((F.col("__i") == 1) & (F.col("source_start") > total * 0.25), "late_hook").when((F.col("__i") == F.col("__n")) & (F.col("source_start") < total * 0.70), "early_end")
+    return d.select(*keys, "pos", check.alias("check")).where("check is not null")
+
+
+def rule_findings(clips: DataFrame, rules: list[tuple[str, str, list[str], float, float]], total: float, keys=KEYS) -> DataFrame:
+    """keys, pos, check: where a text that belongs to one part of the story stands in another. rules, the first that is met counts: check,
+    domain, cues, and the least and greatest share of the source at which it is met. clips: text, domains array<string>, source_start.
+    Sources of 300 s or less have none."""
+    share = F.col("source_start") / total
+    told = lambda domain, cues: F.array_contains("domains", domain) | F.exists(F.array(*(F.lit(c) for c in cues)), lambda c: F.contains("text", c))
+    met = [F.when(told(domain, cues) & share.between(low, high), check) for check, domain, cues, low, high in rules]
+    return clips.where(F.lit(total > 300)).select(*keys, "pos", F.coalesce(*met).alias("check")).where("check is not null")
+
+
+def alignment(clips: DataFrame, rules: list, total: float, keys=KEYS) -> DataFrame:
+    """keys, checks, mismatches, alignment: the share of checks that clips pass in percent, 100 where nothing is checked.
+
+    clips: keys, pos, text, source_start, scene_text, affinity, domains, conflicts (number of conflicting domains). Every conflict is a check
+    that fails; a scene text is a check that fails if it has 12 characters or more, the affinity is under 0.15 and nothing conflicts;
+    findings of the rules and of the ends fail.
+    """
+    spoken = F.trim(F.coalesce("scene_text", F.lit(""))) != ""
+    weak = spoken & (F.char_length("scene_text") >= 12) & (F.col("affinity") < 0.15) & (F.col("conflicts") == 0)
+    own = clips.select(*keys, (F.col("conflicts") + spoken.cast("int")).cast("bigint").alias("checks"), (F.col("conflicts") + weak.cast("int")).cast("bigint").alias("bad"))
+    found = rule_findings(clips, rules, total, keys).unionByName(end_findings(clips, total, keys)).select(*keys, F.lit(1).cast("bigint").alias("checks"), F.lit(1).cast("bigint").alias("bad"))
+    d = own.unionByName(found).groupBy(*keys).agg(F.sum("checks").alias("checks"), F.sum("bad").alias("mismatches"))
+    return d.withColumn("alignment", F.when(F.col("checks") > 0, F.greatest(F.lit(0.0), (F.col("checks") - F.col("mismatches")).cast("double") / F.col("checks")) * 100).otherwise(F.lit(100.0)))
+
+
 def source_seconds(declared: Column, last_scene: Column, default: float = 600.0) -> Column:
     return F.coalesce(F.nullif(declared, F.lit(0.0)), last_scene, F.lit(default))
+
+
+def narration_seconds(clips: DataFrame, keys=KEYS, estimated_minutes: Column | None = None) -> DataFrame:
+    """keys, seconds: the lengths of the clips together, or the estimate where they have none."""
+    d = clips.groupBy(*keys).agg(F.sum("duration").alias("seconds"))
+    return d if estimated_minutes is None else d.withColumn("seconds", F.coalesce(F.nullif("seconds", F.lit(0.0)), estimated_minutes * 60))
+
+
+def headed(items: Column, n: int) -> Column:
+    """The first n distinct items of a list, blanks left out: names for a prompt, events, tags."""
+    return F.slice(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (F.trim(x) != ""))), 1, n)
+
+
+def tags(title: Column, fixed: list[str], stars: Column, genre: Column, n: int = 20) -> Column:
+    """The title, fixed tags, up to five stars and the parts of a comma-separated genre, n at most and each once."""
+    kinds = F.transform(F.split(F.coalesce(genre, F.lit("")), ","), lambda x: F.trim(x))
+    return headed(F.concat(F.array(title, *(F.lit(t) for t in fixed)), F.slice(F.coalesce(stars, F.array().cast("array<string>")), 1, 5), kinds), n)

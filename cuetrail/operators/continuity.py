@@ -136,6 +136,11 @@ def even_sample(rows: DataFrame, allocated: DataFrame, keys=KEYS) -> DataFrame:
     return picks.join(rows, [*keys, "stratum", "line_no"])
 
 
+def sample_times(sampled: DataFrame, start: str = "start_s", seconds: str = "seconds") -> DataFrame:
+    """Adds t, the time of item j of share_n of a stratum: that share of its length (10 s at least) less 15 s, after its start."""
+    return sampled.withColumn("t", F.col(start) + F.col("j").cast("double") / F.greatest(F.lit(1), "share_n") * (F.greatest(F.lit(10.0), F.col(seconds)) - 15.0))
+
+
 def composite(jumps: Column, bridged: Column, threading: Column, contiguity: Column, penalty: Column) -> Column:
     """Continuity out of 100 from four scores, less the penalty for repeated sentences; not below 0."""
     return F.greatest(F.lit(0.0), 0.35 * jumps + 0.35 * bridged + 0.15 * threading + 0.15 * contiguity - penalty)

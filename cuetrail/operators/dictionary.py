@@ -8,9 +8,39 @@ from pyspark.sql import functions as F
 from ..functions.text import normal_title
 
 
+#: Terms that are held against every text in turn; longer lists are looked up by their words.
+FEW_TERMS = 500
+
+
+def contained(texts: DataFrame, terms: DataFrame, keys: tuple[str, ...], term: str) -> DataFrame:
+    """keys, text and the columns of terms: a row for each text and each term that it contains.
+
+    Every term that has a whole word inside (a run of letters and digits with another character on either side) is filed under the longest
+    such word, and only texts that hold this word are searched: an equi-join by hashes of words, without the texts, names the candidates.
+    Terms without one, such as single words and parts of words, are held against all texts; they are broadcast while they are FEW_TERMS at
+    most. Null texts and terms match nothing, an empty term every text; repeated texts stay repeated, repeated terms count once.
+    """
+    word = r"[\p{L}\p{N}]+"
+    inner = F.regexp_extract_all(F.col(term), F.lit(rf"(?<=[^\p{{L}}\p{{N}}]){word}(?=[^\p{{L}}\p{{N}}])"), F.lit(0))
+    longest = F.get(F.sort_array(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))), asc=False), F.lit(0))["w"]
+    texts = texts.select(*keys, "text")
+    filed = terms.where(F.col(term).isNotNull()).distinct().withColumn("__word", F.when(longest.isNotNull(), F.xxhash64(longest)))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(word), F.lit(0)), lambda x: F.xxhash64(x)))
+    listed = texts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.explode(words).alias("__word")).distinct()
+    candidates = listed.join(filed.where("__word is not null"), "__word").drop("__word")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    found = texts.join(candidates, same).where(F.contains("text", F.col(term))).drop(*(f"__{k}" for k in keys))
+    short = filed.where("__word is null").drop("__word")
+    few = short.limit(FEW_TERMS + 1).count()
+    if few:
+        short = F.broadcast(short) if few <= FEW_TERMS else short
+        found = found.unionByName(texts.join(short, F.contains("text", F.col(term))))
+    return found
+
+
 def hits(texts: DataFrame, cues: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, concept, cues: how many cues of each concept the text holds. cues: concept, cue; a dictionary, small enough to broadcast."""
-    return texts.join(F.broadcast(cues), F.contains(F.col("text"), F.col("cue"))).groupBy(*keys, "concept").agg(F.count_distinct("cue").alias("cues"))
+    """keys, concept, cues: how many cues of each concept the text holds. cues: concept, cue."""
+    return contained(texts, cues, keys, "cue").groupBy(*keys, "concept").agg(F.count_distinct("cue").alias("cues"))
 
 
 def domain_conflicts(text_domains: DataFrame, scene_domains: DataFrame, conflicts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -33,7 +63,7 @@ def signature_contamination(texts: DataFrame, signatures: DataFrame, keys: tuple
     Titles are the same if one holds the other after normalisation."""
     a, b = normal_title(F.col("own_title")), normal_title(F.col("title"))
     same = F.contains(a, b) | F.contains(b, a)
-    return texts.join(F.broadcast(signatures), F.contains(F.col("text"), F.col("signature"))).where(~same).select(*keys, "title", "signature")
+    return contained(texts, signatures, (*keys, "own_title"), "signature").where(~same).select(*keys, "title", "signature")
 
 
 def quoted_titles(text: Column) -> Column:

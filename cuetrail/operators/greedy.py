@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import interval_join
+
 KEYS = ["project_id"]
 
 
@@ -30,20 +32,34 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, dec
             out += decide({c: v[x:y] for c, v in lists.items()})
         return t.iloc[: edges[-1]].assign(**{name: out})
 
+    def same(a, b) -> bool:
+        return a == b or (pd.isna(a) and pd.isna(b))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            t = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        held: list[pd.DataFrame] = []  # pieces of one group
+        for t in batches:
+            if not len(t):
+                continue
             new = np.zeros(len(t), dtype=bool)
             for k in keys:
-                v = t[k].to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            edges = [0, *np.flatnonzero(new).tolist()]
-            if len(edges) > 1:
-                yield decided(t, edges)
-            held = t.iloc[edges[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield decided(held, [0, len(held)])
+                v, none = t[k].to_numpy(), t[k].isna().to_numpy()
+                new[1:] |= ~((v[1:] == v[:-1]) | (none[1:] & none[:-1]))
+            starts = np.flatnonzero(new).tolist()
+            if held and not all(same(held[0][k].iloc[0], t[k].iloc[0]) for k in keys):
+                starts = [0, *starts]
+            if not starts:
+                held.append(t)
+                continue
+            done = pd.concat([*held, t.iloc[: starts[0]]], ignore_index=True)
+            if len(done):
+                yield decided(done, [0, len(done)])
+            if len(starts) > 1:
+                middle = t.iloc[starts[0] : starts[-1]].reset_index(drop=True)
+                yield decided(middle, [x - starts[0] for x in starts])
+            held = [t.iloc[starts[-1] :].reset_index(drop=True)]
+        if held:
+            last = pd.concat(held, ignore_index=True)
+            yield decided(last, [0, len(last)])
 
     return slim.repartition(*keys).sortWithinPartitions(*keys, columns[0]).mapInPandas(run, f"{schema}, {added}")
 
@@ -74,16 +90,21 @@ def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: in
 
 
 def dialogue_breaks(scenes: DataFrame, cues: DataFrame, keys=KEYS) -> DataFrame:
-    """Adds has_break: no cue starts between a second before the scene's end and a second after the next scene's start. The last scene has none."""
+    """Adds has_break: no cue starts between a second before the scene's end and a second after the next scene's start. The last scene has
+    none. The gaps of the scenes and the starts of the cues are laid on one time line, and each gap looks at the last cue before its end, so
+    the work is that of a sort."""
     w = W.partitionBy(*keys).orderBy("pos")
     ahead = scenes.withColumn("next_s", F.lead("start_s").over(w))
-    near = ahead.select(*keys, "pos", (F.col("end_s") - 1).alias("lo"), (F.col("next_s") + 1).alias("hi")).join(cues.select(*keys, F.col("start_s").alias("c")), list(keys)).where("c >= lo and c <= hi").select(*keys, "pos").distinct()
-    return ahead.join(near.withColumn("near", F.lit(True)), [*keys, "pos"], "left").withColumn("has_break", F.col("near").isNull() & F.col("next_s").isNotNull()).drop("near", "next_s")
+    gaps = ahead.select(*keys, "pos", (F.col("end_s") - 1).alias("lo"), (F.col("next_s") + 1).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("c")).where("at is not null")
+    starts = cues.select(*keys, F.lit(None).cast(scenes.schema["pos"].dataType).alias("pos"), F.lit(None).cast("double").alias("lo"), F.col("start_s").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("start_s").cast("double").alias("c")).where("at is not null")
+    line = W.partitionBy(*keys).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = gaps.unionByName(starts).withColumn("latest", F.max("c").over(line)).where("kind = 1").select(*keys, "pos", F.coalesce(F.col("latest") >= F.col("lo"), F.lit(False)).alias("near"))
+    return ahead.join(near, [*keys, "pos"], "left").withColumn("has_break", F.coalesce(~F.col("near"), F.lit(False))).drop("near", "next_s")
 
 
-def cluster_scenes(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0, max_seconds: float = 120.0, keys=KEYS) -> DataFrame:
-    """Sequences of scenes: keys, sequence_id, start_s, end_s, scenes. A sequence ends with a scene at max_seconds, at a break of the
-    dialogue from min_seconds on, or with the last scene; the next one starts where the next scene does."""
+def number_sequences(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0, max_seconds: float = 120.0, keys=KEYS) -> DataFrame:
+    """keys, pos, start_s, end_s, has_break, seq of each scene: its sequence's number. A sequence ends with a scene at max_seconds, at a break
+    of the dialogue from min_seconds on, or with the last scene; the next one starts where the next scene does."""
     broken = dialogue_breaks(scenes, cues, keys)
 
     def decide(g: dict) -> list:
@@ -95,45 +116,75 @@ def cluster_scenes(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0
                 seq, start = seq + 1, None
         return out
 
-    cut = _grouped(broken, keys, ["pos", "start_s", "end_s", "has_break"], "seq int", decide)
+    return _grouped(broken, keys, ["pos", "start_s", "end_s", "has_break"], "seq int", decide)
+
+
+def cluster_scenes(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0, max_seconds: float = 120.0, keys=KEYS) -> DataFrame:
+    """Sequences of scenes: keys, sequence_id, start_s, end_s, scenes."""
+    cut = number_sequences(scenes, cues, min_seconds, max_seconds, keys)
     return cut.groupBy(*keys, "seq").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"), F.count("*").alias("scenes")).select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), "start_s", "end_s", "scenes")
 
 
+def sequence_rollup(numbered: DataFrame, scenes: DataFrame, cues: DataFrame, keys=KEYS) -> DataFrame:
+    """keys, sequence_id, start_s, end_s, transcript, characters, keyframes, dialogue_count of the sequences that number_sequences gives.
+
+    scenes: keys, pos, transcript, characters array, keyframes array; cues: keys, cue_pos, start_s, text. The transcript joins the scenes' own, or
+    where they have none the texts of the cues that start within 0.2 s of the sequence; characters are distinct and sorted, keyframes
+    distinct and in order; the dialogue count is that of the cues, or of the transcripts where there is no cue.
+    """
+    spans = numbered.groupBy(*keys, "seq").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"))
+    listed = lambda value, at, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(F.col(at).alias("at"), value.alias("v"))))), lambda x: x["v"])
+    own = F.trim(F.coalesce("transcript", F.lit("")))
+    none = F.array().cast("array<string>")
+    of_scenes = numbered.select(*keys, "pos", "seq").join(scenes, [*keys, "pos"]).groupBy(*keys, "seq").agg(
+        listed(own, "pos", own != "").alias("texts"),
+        F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.coalesce("characters", none))), lambda c: c != ""))).alias("characters"),
+        F.array_distinct(F.filter(F.flatten(listed(F.coalesce("keyframes", none), "pos", F.lit(True))), lambda c: c != "")).alias("keyframes"),
+    )
+    near = interval_join(spans.withColumns({"s": F.col("start_s") - 0.2, "e": F.col("end_s") + 0.2}).drop("start_s", "end_s"), cues.select(*keys, "cue_pos", "text", F.col("start_s").alias("s2"), F.col("start_s").alias("e2")), keys, 120.0, inclusive=True)
+    of_cues = near.groupBy(*keys, "seq").agg(F.count("*").alias("n"), listed(F.col("text"), "cue_pos", F.coalesce("text", F.lit("")) != "").alias("said"))
+    d = spans.join(of_scenes, [*keys, "seq"], "left").join(of_cues, [*keys, "seq"], "left")
+    texts = F.when(F.coalesce(F.size("texts"), F.lit(0)) > 0, F.col("texts")).otherwise(F.coalesce("said", none))
+    count = F.coalesce("n", F.size(texts).cast("bigint"))
+    return d.select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), "start_s", "end_s", F.array_join(texts, " ").alias("transcript"), F.coalesce("characters", none).alias("characters"), F.coalesce("keyframes", none).alias("keyframes"), count.alias("dialogue_count"))
+
+
 #: The share of the target length that each part of the story gets.
 PHASE_SHARES = {"setup": 0.22, "inciting_incident": 0.26, "investigation": 0.28, "climax": 0.16, "resolution": 0.08}
 
 
 def select_phases(sequences: DataFrame, target_seconds: float, keys=KEYS) -> DataFrame:
-    """The picked rows of sequences (keys, pos, start_s, duration_s, event_type, weight, is_main). Parts of the story are independent, so a
-    group is one part of one project.
+    """The picked rows of sequences (keys, pos, start_s, duration_s, event_type, weight, is_main) with their part of the story, each part in
+    the order of time. Parts are independent, so a group is one part of one project.
 
-    By falling weight: within 1.3 times the part's budget or the first; not within 30 s of a pick; what is no main story only as the
-    first; until the budget is spent. An opening of weight 7 or more before 300 s goes first. Types beside the five parts count as investigation.
+    Candidates go by falling weight, the earlier first among equals; the first opening of the setup (before 300 s, weight 7 or more) goes
+    before them all. A candidate is taken unless it starts within 30 s of a pick, is no main story though something is picked, or takes the
+    part beyond 1.3 times its budget though something is picked; the opening is always taken. A pick that reaches the budget is the last.
+    Types beside the five parts count as investigation.
     """
     part = F.when(F.col("event_type").isin(*PHASE_SHARES), F.col("event_type")).otherwise("investigation")
-    budget = F.element_at(F.create_map(*(F.lit(x) for kv in PHASE_SHARES.items() for x in kv)), "part") * target_seconds
-    rows = sequences.withColumn("part", part).withColumn("budget", budget).withColumn("part_no", F.when(F.col("part") == "setup", 0).otherwise(1))
+    budget = F.element_at(F.create_map(*(F.lit(x) for kv in PHASE_SHARES.items() for x in kv)), F.col("part")) * target_seconds
+    group = W.partitionBy(*keys, "part")
+    may_open = (F.col("part") == "setup") & (F.col("start_s") < 300) & (F.col("weight") >= 7)
+    rows = sequences.withColumn("part", part).withColumn("budget", budget).withColumn("__may", may_open)
+    rows = rows.withColumn("__nth", F.row_number().over(group.orderBy(F.desc("__may"), F.desc("weight"), "pos"))).withColumn("opens", F.col("__may") & (F.col("__nth") == 1))
+    rows = rows.withColumn("turn", F.row_number().over(group.orderBy(F.desc("opens"), F.desc("weight"), "pos")))
 
     def decide(g: dict) -> list:
-        start, length, weight, main = g["start_s"], g["duration_s"], g["weight"], g["is_main"]
-        best = sorted(range(len(start)), key=lambda i: -weight[i])
-        budget, spent, picked = g["budget"][0], 0.0, []
-        opening = [i for i in best if g["part_no"][i] == 0 and start[i] < 300 and weight[i] >= 7][:1]
-        for i in opening:
-            picked.append(i)
-            spent += length[i]
-        for i in best:
-            if i in picked or (not main[i] and picked) or any(abs(start[i] - start[p]) < 30 for p in picked):
-                continue
-            if spent + length[i] <= budget * 1.30 or not picked:
-                picked.append(i)
-                spent += length[i]
-                if spent >= budget:
-                    break
-        chosen = set(picked)
-        return [i in chosen for i in range(len(start))]
+        taken: list[float] = []
+        room, full, out = g["budget"][0] * 1.30, False, []
+        left = g["budget"][0]
+        for start, length, main, opens in zip(g["start_s"], g["duration_s"], g["is_main"], g["opens"], strict=True):
+            free = not taken or (main and length <= room and min(abs(start - t) for t in taken) >= 30)
+            out.append(opens or (free and not full))
+            if out[-1]:
+                taken.append(start)
+                room, left = room - length, left - length
+                full = full or (left <= 0 and not opens)
+        return out
 
-    return _grouped(rows, [*keys, "part"], ["pos", "start_s", "duration_s", "weight", "is_main", "budget", "part_no"], "picked boolean", decide).where("picked").drop("picked", "budget", "part_no")
+    picked = _grouped(rows, [*keys, "part"], ["turn", "pos", "start_s", "duration_s", "weight", "is_main", "budget", "opens"], "picked boolean", decide)
+    return picked.where("picked").select(*keys, "part", "pos", "start_s", "duration_s", "weight", "is_main").sortWithinPartitions(*keys, "part", "start_s")
 
 
 def label_topics(scores: DataFrame, phases: DataFrame, keys=KEYS) -> DataFrame:
@@ -154,45 +205,58 @@ def label_topics(scores: DataFrame, phases: DataFrame, keys=KEYS) -> DataFrame:
     return _grouped(rows, keys, ["pos", "phase", "topics"], "topic string", decide).select(*keys, "pos", "topic")
 
 
-def plan_clips(candidates: DataFrame, total_seconds: float, spacing: float = 8.0, keys=KEYS) -> DataFrame:
-    """keys, pos, source_start, source_end, scene_pos, score: for each clip in order the scene with the best score.
+def plan_clips(narrations: DataFrame, total_seconds: float, spacing: float = 8.0, aligned: bool = False, keys=KEYS) -> DataFrame:
+    """keys, pos, source_start, source_end, scene_pos, score: a stretch of the source for each narration, in order.
 
-    candidates: keys, pos, need, anchor, proposed (start of a proposal or null), scene_pos, start_s, base (the part of the score that
-    doesn't depend on earlier picks: 0.30 concepts + 0.20 tokens + 0.15 summary). The rest is place (0.25) and order (0.10). A proposal
-    counts unless it is within 15 s of a pick, more than 120 s behind the last one, or was made before. Scenes within `spacing` of a pick
-    are left out while others are there. Starts are kept inside the source.
+    narrations: keys, pos, need, anchor, proposed_start, proposed_end (null without a proposal), and of the project's scenes in order the
+    arrays scenes (positions), starts, and bases (what of the score doesn't depend on earlier picks: 0.30 concepts + 0.20 tokens + 0.15
+    summary). With `aligned`, proposals are followed as they are. Else the scene with the best score is taken, the earlier among equals; to
+    the base come 0.25 times its place and 0.10 times the order, rounded to 4 places. A proposal counts unless it lies outside the source,
+    within 15 s of a pick, more than 120 s behind the last one, or starts where an earlier one did; the place is then 40 s around it. Scenes
+    within `spacing` of a pick are left out while others are there; without scenes the anchor is taken, with score 0. Starts are kept inside
+    the source. A task holds a batch and a project.
     """
+    span, reach = max(120.0, 0.25 * total_seconds), max(1.0, 0.1 * total_seconds)
+
+    def places(start: np.ndarray, anchor: float, window: tuple[float, float] | None) -> np.ndarray:
+        if window is None:
+            return np.maximum(0, 1 - np.abs(start - anchor) / span)
+        low, high = window
+        return np.where((start >= low - 30) & (start <= high + 30), 1.0, -2 - np.minimum(np.abs(start - low), np.abs(start - high)) / 100)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["pos", "scene_pos"], ignore_index=True)
-        used, proposals, last, out = [], set(), None, []
-        for pos, c in g.groupby("pos", sort=True):
-            need, anchor, prop = float(c.need.iloc[0]), float(c.anchor.iloc[0]), c.proposed.iloc[0]
+    def orders(start: np.ndarray, last: float | None) -> np.ndarray:
+        if last is None:
+            return np.full(len(start), 0.5)
+        d = start - last
+        return np.where(d >= 0, np.minimum(1, 0.5 + 0.5 * (1 - np.minimum(1, d / reach))), np.where(d >= -30, 0.2, -1 - np.abs(d) / 100))
+
+    def decide(g: dict) -> list:
+        used, proposals, out = [], set(), []
+        for need, anchor, low, high, scenes, starts, bases in zip(*(g[c] for c in ("need", "anchor", "proposed_start", "proposed_end", "scenes", "starts", "bases")), strict=True):
+            last = used[-1] if used else None
             window = None
-            if prop is not None and not np.isnan(prop):
-                fits = 0 <= prop <= total_seconds and all(abs(prop - u) >= 15 for u in used) and not (last is not None and last > 0 and prop < last - 120) and prop not in proposals
-                proposals.add(prop)
-                window = (prop - 40, prop + need + 40) if fits else None
-            start = c.start_s.to_numpy()
-            if window:
-                inside = (start >= window[0] - 30) & (start <= window[1] + 30)
-                place = np.where(inside, 1.0, -2 - np.minimum(np.abs(start - window[0]), np.abs(start - window[1])) / 100)
+            proposed = low is not None and not np.isnan(low)
+            if proposed:
+                loops = last is not None and last > 0 and low < last - 120
+                if 0 <= low <= total_seconds and not loops and low not in proposals and all(abs(low - u) >= 15 for u in used):
+                    window = (low - 40, high + 40)
+                proposals.add(low)
+            start = np.asarray(starts if starts is not None else [], dtype=float)
+            if aligned and proposed:
+                chosen, scene, score = low, None, 1.0
+            elif not len(start):
+                chosen, scene, score = anchor, None, 0.0
             else:
-                place = np.maximum(0, 1 - np.abs(start - anchor) / max(120, 0.25 * total_seconds))
-            if last is None:
-                order = np.full(len(c), 0.5)
-            else:
-                d = start - last
-                order = np.where(d >= 0, np.minimum(1, 0.5 + 0.5 * (1 - np.minimum(1, d / max(1, 0.1 * total_seconds)))), np.where(d >= -30, 0.2, -1 - np.abs(d) / 100))
-            score = np.round(c.base.to_numpy() + 0.25 * place + 0.10 * order, 4)
-            free = np.all(np.abs(start[:, None] - np.array(used)[None, :]) >= spacing, axis=1) if used else np.ones(len(c), bool)
-            best = int(np.argmax(np.where(free | ~free.any(), score, -np.inf)))
-            chosen = max(0.0, min(float(start[best]), max(0.0, total_seconds - need)))
+                scores = np.floor((np.asarray(bases, dtype=float) + 0.25 * places(start, anchor, window) + 0.10 * orders(start, last)) * 10_000 + 0.5) / 10_000
+                free = np.ones(len(start), dtype=bool)
+                for u in used:
+                    free &= np.abs(start - u) >= spacing
+                best = int(np.argmax(np.where(free | ~free.any(), scores, -np.inf)))
+                chosen, scene, score = float(start[best]), int(scenes[best]), float(scores[best])
+            chosen = max(0.0, min(chosen, max(0.0, total_seconds - need)))
             used.append(chosen)
-            last = chosen
-            out.append((*(g[k].iloc[0] for k in keys), pos, chosen, chosen + need, c.scene_pos.iloc[best], score[best]))
-        return pd.DataFrame(out, columns=[*keys, "pos", "source_start", "source_end", "scene_pos", "score"])
+            out.append((chosen, scene, score))
+        return out
 
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    head = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "pos"])
-    return candidates.groupBy(*keys).applyInPandas(run, f"{head}, source_start double, source_end double, scene_pos {kinds['scene_pos']}, score double")
+    picked = _grouped(narrations, keys, ["pos", "need", "anchor", "proposed_start", "proposed_end", "scenes", "starts", "bases"], "pick struct<start:double,scene:int,score:double>", decide)
+    return picked.select(*keys, "pos", F.col("pick.start").alias("source_start"), (F.col("pick.start") + F.col("need")).alias("source_end"), F.col("pick.scene").alias("scene_pos"), F.col("pick.score").alias("score"))

@@ -23,10 +23,10 @@ def violations(history: DataFrame, allowed: DataFrame, keys: tuple[str, ...] = (
     return transitions(history, keys).where("from_state is not null").join(allowed, ["from_state", "state"], "left_anti")
 
 
-def latest_state(history: DataFrame, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """The last state by (ts, event_id) and the last error state."""
+def latest_state(history: DataFrame, keys: tuple[str, ...] = ("project_id",), error: str = "error") -> DataFrame:
+    """keys, state and ts of the last state by (ts, event_id), changes, and error_ts, the time of the last error state (null without one)."""
     at = F.struct("ts", "event_id")
-    return history.groupBy(*keys).agg(F.max_by("state", at).alias("state"), F.max("ts").alias("ts"), F.count("*").alias("changes"))
+    return history.groupBy(*keys).agg(F.max_by("state", at).alias("state"), F.max("ts").alias("ts"), F.count("*").alias("changes"), F.max(F.when(F.col("state") == error, F.col("ts"))).alias("error_ts"))
 
 
 def next_state(state: Column, path: list[str]) -> Column:
@@ -37,8 +37,19 @@ def next_state(state: Column, path: list[str]) -> Column:
 
 
 def queue_status(jobs: DataFrame) -> DataFrame:
-    """jobs: slug, status. Count, and first and last slug of each status."""
-    return jobs.groupBy("status").agg(F.count("*").alias("jobs"), F.min("slug").alias("first_slug"), F.max("slug").alias("last_slug"))
+    """status, jobs: the number of jobs of each status. jobs: slug, status."""
+    return jobs.groupBy("status").agg(F.count("*").alias("jobs"))
+
+
+def queue_listing(jobs: DataFrame) -> DataFrame:
+    """status, place, slug: the jobs of each status by (enqueued_at, slug), numbered from 1. Rows, not arrays: a status may hold most jobs.
+    A window by status would number them in one task, so each is numbered within its day, and days are added up."""
+    day = jobs.withColumn("__day", F.to_date("enqueued_at"))
+    sizes = day.groupBy("status", "__day").agg(F.count("*").alias("__n"))
+    before = sizes.select("status", "__day", F.coalesce(F.sum("__n").over(W.partitionBy("status").orderBy("__day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    at = F.row_number().over(W.partitionBy("status", "__day").orderBy("enqueued_at", "slug"))
+    same = F.col("a.status").eqNullSafe(F.col("b.status")) & F.col("a.__day").eqNullSafe(F.col("b.__day"))
+    return day.withColumn("__at", at).alias("a").join(before.alias("b"), same).select("a.status", (F.col("__before") + F.col("__at")).alias("place"), "slug")
 
 
 def fifo_head(jobs: DataFrame, n: int, status: str) -> DataFrame:

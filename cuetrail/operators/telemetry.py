@@ -84,3 +84,9 @@ def cache_key_repeats(keyed: DataFrame, key: str = "cache_key") -> DataFrame:
     """Adds is_hit: the same key came before, in (ts, event_id) order. The firsts are found by an aggregate, so a common key is no hot window."""
     first = keyed.groupBy(key).agg(F.min(F.struct("ts", "event_id")).alias("first"))
     return keyed.join(first, key).withColumn("is_hit", F.struct("ts", "event_id") > F.col("first")).drop("first")
+
+
+def model_of_tier(tier: Column, models: dict[str, str], default: str) -> Column:
+    """Name of the model that serves a tier; the default one for other tiers and nulls."""
+    named = F.create_map(*(F.lit(x) for kv in models.items() for x in kv))
+    return F.coalesce(F.try_element_at(named, tier), F.lit(default)) if models else F.lit(default)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, chars, phrase_text, without_space
+from ..functions.grams import distinct_shares, repeated
+from ..functions.text import phrase_text, without_space
 
 #: Generic defaults; pass lists of your own for a house style.
 CLICHES = ["in a world where", "little did (?:he|she|they) know", "at the end of the day", "against all odds", "a race against time", "nothing will ever be the same", "the calm before the storm", "edge of (?:your|their) seats?"]
@@ -20,22 +21,17 @@ def lexical_diversity(text: Column, mode: str = "clean") -> Column:
     mode clean takes the grams of the text without white space; mode prefix those of the text as it is, as many as the text without white
     space would have, so the tail of a spaced text doesn't count.
     """
-    bare = without_space(F.coalesce(text, F.lit("")))
-    n = F.char_length(bare)
-    share = lambda grams: F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)).cast("double") / F.size(grams)).otherwise(F.lit(1.0))
-    if mode == "clean":
-        pairs, triples = char_ngrams(bare, 2), char_ngrams(bare, 3)
-    else:
-        pairs, triples = (F.slice(char_ngrams(text, k), 1, F.greatest(n - (k - 1), F.lit(0))) for k in (2, 3))
-    return F.struct(share(chars(bare)).alias("ttr"), share(pairs).alias("distinct_2"), share(triples).alias("distinct_3"))
+    text = F.coalesce(text, F.lit(""))
+    bare = without_space(text)
+    whole = bare if mode == "clean" else text
+    return F.struct(distinct_shares(bare, bare, 1).alias("ttr"), distinct_shares(bare, whole, 2).alias("distinct_2"), distinct_shares(bare, whole, 3).alias("distinct_3"))
 
 
 def repeated_phrases(docs: DataFrame, n: int = 5, least: int = 3, strip: bool = True, key: str = "doc_id") -> DataFrame:
-    """key, gram, count, first_pos of the n-grams that a text holds `least` times or more. Grams are counted in the tasks first, so what
-    is shuffled are the distinct grams of a document."""
+    """key, gram, count, first_pos of the n-grams that a text holds `least` times or more. They are counted inside the row; only what is
+    found becomes rows, and nothing is shuffled."""
     text = phrase_text(F.col("text")) if strip else F.col("text")
-    grams = docs.select(key, F.posexplode(char_ngrams(text, n)).alias("pos", "gram"))
-    return grams.groupBy(key, "gram").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos")).where(F.col("count") >= least)
+    return docs.select(key, F.explode(repeated(text, n, least)).alias("g")).select(key, "g.gram", "g.count", "g.first_pos")
 
 
 def top_phrases(phrases: DataFrame, k: int = 5, key: str = "doc_id") -> DataFrame:
@@ -50,6 +46,14 @@ def duplicate_sentences(segments: DataFrame, least_chars: int = 12, end: str = S
     return parts.groupBy(*keys, "sentence").agg(F.count_distinct(pos).alias("segments")).where("segments > 1")
 
 
+def first_duplicates(segments: DataFrame, k: int = 3, least_chars: int = 12, end: str = SENTENCE_END, keys=("project_id",), pos: str = "pos") -> DataFrame:
+    """keys, rank, sentence: the first k of a project's duplicate sentences, by where they first stand."""
+    parts = segments.select(*keys, pos, F.posexplode(F.split("text", end)).alias("at", "s")).select(*keys, pos, "at", F.trim("s").alias("sentence")).where(F.char_length("sentence") >= least_chars)
+    found = parts.groupBy(*keys, "sentence").agg(F.count_distinct(pos).alias("segments"), F.min(F.struct(pos, "at")).alias("first")).where("segments > 1")
+    w = W.partitionBy(*keys).orderBy("first")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", "sentence")
+
+
 def pattern_matches(text: Column, patterns: list[str]) -> Column:
     """All matches of all patterns, pattern by pattern; a dot stops at a newline only."""
     return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?d){p}"), F.lit(0)) for p in patterns)))

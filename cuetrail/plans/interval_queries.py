@@ -59,11 +59,11 @@ def scene_cues_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_cues_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 25 s every 40 s, from 15 s on, over the even conversations' cues; odd ones fall back to scene texts."""
+    """Windows of 25 s every 40 s, from 15 s on, over the cues of user turns; windows between them fall back to scene texts."""
     c = cues(spark, sf_dir)
     windows = grid(c, 40).select("project_id", F.col("scene_pos").alias("clip_pos"), (F.col("s") + 15).alias("s"), (F.col("s") + 40).alias("e"))
     scenes = I.attach_cues(grid(c), _cue_side(c)).join(grid(c), ["project_id", "scene_pos"]).select("project_id", "scene_pos", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("text").alias("transcript"))
-    out = I.clip_texts(windows, _cue_side(c.where("project_id % 2 = 0")), scenes)
+    out = I.clip_texts(windows, _cue_side(c.where("segment_type = 'commentary'")), scenes)
     return out.select("project_id", "clip_pos", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -113,8 +113,8 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of benchmark items as signatures of titles, against documents."""
-    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.substring("text", 1, 60).alias("signature"))
+    """Benchmark items as signatures of titles, against documents."""
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.col("text").alias("signature"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("《Item_"), (F.col("doc_id") % 40).cast("string"), F.lit("》")).alias("own_title"), "text")
     return D.signature_contamination(docs, b, ("doc_id",)).select("doc_id", "title")
 
@@ -237,7 +237,7 @@ SQL = {
     "clip_cues_fallback": f"""with {CUES}, {grid_sql('cues')}, wins as (select project_id, CAST(unnest(range(CAST(floor(m / 40) AS BIGINT) + 1)) AS INTEGER) as clip_pos from (select project_id, max(end_s) as m from cues group by all)),
 clip as (select *, clip_pos * 40.0::DOUBLE + 15 as s, clip_pos * 40.0::DOUBLE + 40 as e from wins),
 st as (select s.project_id, s.scene_pos, s.s as s2, s.e as e2, string_agg(c.text, ' ' order by c.pos) as text from scenes s join cues c on c.project_id = s.project_id and s.s < c.end_s and s.e > c.start_s group by all),
-bc as (select project_id, clip_pos, string_agg(text, ' ' order by p) as t from (select c.project_id, c.clip_pos, q.text, min(q.pos) as p from clip c join cues q on q.project_id = c.project_id and q.project_id % 2 = 0 and c.s < q.end_s and c.e > q.start_s group by all) group by all),
+bc as (select project_id, clip_pos, string_agg(text, ' ' order by p) as t from (select c.project_id, c.clip_pos, q.text, min(q.pos) as p from clip c join cues q on q.project_id = c.project_id and q.segment_type = 'commentary' and c.s < q.end_s and c.e > q.start_s group by all) group by all),
 bs as (select project_id, clip_pos, string_agg(text, ' ' order by p) as t from (select c.project_id, c.clip_pos, q.text, min(q.scene_pos) as p from clip c join st q on q.project_id = c.project_id and c.s < q.e2 and c.e > q.s2 where trim(q.text) <> '' group by all) group by all)
 select clip.project_id, clip.clip_pos, sha256(coalesce(bc.t, bs.t, '')) as text_sha256 from clip left join bc using (project_id, clip_pos) left join bs using (project_id, clip_pos)""",
     "nearest_scene": f"""with {CLIPS}, points as (select project_id, CAST(unnest([0, 1, 2]) AS INTEGER) as point_id from (select distinct project_id from clips)),
@@ -256,7 +256,7 @@ select t.project_id, t.pos, t.domain as text_domain, s.domain as scene_domain fr
 join conflict c on c.text_domain = t.domain and c.scene_domain = s.domain where not exists (select 1 from own o where o.project_id = t.project_id and o.pos = t.pos and o.domain = s.domain)""",
     "token_overlap": f"""with {SEGMENTS}, t as (select project_id, pos, unnest({_TOKENS}) as token from segs)
 select a.project_id, a.pos as a, b.pos as b, CAST(count(*) AS BIGINT) as common from t a join t b on a.project_id = b.project_id and a.token = b.token where a.pos % 2 = 0 and b.pos % 2 = 1 group by all""",
-    "title_contamination": """select doc_id, 'item ' || CAST(item_id AS VARCHAR) as title from documents d join (select item_id, substring(text, 1, 60) as signature from benchmark) b on contains(d.text, b.signature)
+    "title_contamination": """select doc_id, 'item ' || CAST(item_id AS VARCHAR) as title from documents d join (select item_id, text as signature from benchmark) b on contains(d.text, b.signature)
 where not (contains('item' || CAST(doc_id % 40 AS VARCHAR), 'item' || CAST(item_id AS VARCHAR)) or contains('item' || CAST(item_id AS VARCHAR), 'item' || CAST(doc_id % 40 AS VARCHAR)))""",
     "phase_label": f"with {CLIPS} select project_id, pos, " + _PHASE.format(r="source_start / 1000.0::DOUBLE") + " as phase from clips",
     "importance": f"""with {CUES}, x as (select *, CAST(contains(text, 'tion') AS INTEGER) + CAST(contains(text, 'ing') AS INTEGER) + CAST(contains(text, 'the') AS INTEGER) as hits, length(text) as n, (trim(text) = '' and pos = 0) as silent from cues),

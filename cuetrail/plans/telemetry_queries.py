@@ -146,7 +146,7 @@ select project_id, event_id, from_state, state from h where from_state is not nu
 from history window w as (partition by project_id order by ts, event_id)""",
     "latest_state": f"with {HISTORY} select project_id, arg_max(state, (ts, event_id)) as state, CAST(count(*) AS BIGINT) as changes from history group by project_id",
     "next_state": f"with {HISTORY} select state, case state when 'view' then 'click' when 'click' then 'signup' when 'signup' then 'purchase' end as next, CAST(count(*) AS BIGINT) as rows from history group by all",
-    "queue_status": "select o_orderstatus as status, CAST(count(*) AS BIGINT) as jobs, min(o_orderkey) as first_slug, max(o_orderkey) as last_slug from orders group by all",
+    "queue_status": "select o_orderstatus as status, CAST(count(*) AS BIGINT) as jobs from orders group by all",
     "fifo_head": "select o_orderkey as slug, o_orderstatus as status from orders where o_orderstatus = 'O' order by o_orderdate, o_orderkey limit 20",
     "latest_project": "select o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as latest from orders group by all",
     "duration_targets": """select c_custkey as project_id, coalesce(t, 25.0::DOUBLE) as target, coalesce(t * 0.85::DOUBLE, 20.0::DOUBLE) as low, coalesce(t * 1.15::DOUBLE, 30.0::DOUBLE) as high from

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.grams import repeated
+from ..functions.text import phrase_text
 from ..operators import audit as A
 from ..operators import textmetrics as T
+from ..operators.dictionary import contained
 from .tables import SEGMENTS, segments, table
 
 #: Patterns that the given prose can match; a cliché list of its own for the oracle.
@@ -40,6 +43,12 @@ def duplicate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.duplicate_sentences(lines, 12, "[.!?]", ("doc_id",))
 
 
+def first_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three sentences of a document that stand in two lines or more."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return T.first_duplicates(lines, 3, 12, "[.!?]", ("doc_id",))
+
+
 def cliche_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.pattern_matches(F.col("text"), CLICHES)
     return _docs(spark, sf_dir).select("doc_id", F.size(found).alias("matches"), F.sha2(F.array_join(found, "|"), 256).alias("matches_sha256"))
@@ -47,10 +56,9 @@ def cliche_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _measured(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    repeats = T.repeated_phrases(docs, n=8).groupBy("doc_id").agg(F.count("*").alias("repeated"))
     text = F.col("text")
-    d = docs.select("doc_id", T.lexical_diversity(text).alias("d"), F.size(T.pattern_matches(text, CLICHES)).alias("cliches"), F.size(T.pattern_matches(text, META)).alias("meta"), F.size(F.filter(F.array(*(F.lit(x) for x in A.LEAKS)), lambda x: F.contains(text, x))).alias("leaks"), F.char_length("text").alias("chars"))
-    d = d.join(repeats, "doc_id", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0)))
+    repeats = F.size(repeated(phrase_text(text), 8, 3)).cast("bigint")
+    d = docs.select("doc_id", T.lexical_diversity(text).alias("d"), F.size(T.pattern_matches(text, CLICHES)).alias("cliches"), F.size(T.pattern_matches(text, META)).alias("meta"), F.size(F.filter(F.array(*(F.lit(x) for x in A.LEAKS)), lambda x: F.contains(text, x))).alias("leaks"), F.char_length("text").alias("chars"), repeats.alias("repeated"))
     return d.withColumn("diversity", T.diversity_score(F.col("d.ttr") * 4, F.col("d.distinct_2"), F.col("cliches"), F.col("repeated"), F.col("meta")))
 
 
@@ -74,7 +82,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark items inside documents."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("needle"))
-    return _docs(spark, sf_dir).join(F.broadcast(items), F.contains("text", F.col("needle"))).select("doc_id", "item_id")
+    return contained(_docs(spark, sf_dir), items, ("doc_id",), "needle").select("doc_id", "item_id")
 
 
 def duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +90,7 @@ def duplicate_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).groupBy("project_id").agg((F.count("text") - F.count_distinct("text")).alias("duplicates"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_diversity, lexical_diversity_prefix, repeated_phrases, repeated_raw6, duplicate_sentences, cliche_scan, diversity_score, scorecard, benchmark_contamination, duplicate_turns)}
+QUERIES = {f.__name__: f for f in (lexical_diversity, lexical_diversity_prefix, repeated_phrases, repeated_raw6, duplicate_sentences, first_duplicates, cliche_scan, diversity_score, scorecard, benchmark_contamination, duplicate_turns)}
 
 #: White space of Unicode as a class that RE2 reads.
 _WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{b}]"
@@ -118,6 +126,10 @@ select doc_id, {_SHARE('g1')} as ttr, {_SHARE('g2')} as distinct_2, {_SHARE('g3'
     "duplicate_sentences": """with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as t from documents),
 s as (select doc_id, pos, trim(unnest(regexp_split_to_array(t, '[.!?]'))) as sentence from l)
 select doc_id, sentence, CAST(count(distinct pos) AS BIGINT) as segments from s where length(sentence) >= 12 group by all having count(distinct pos) > 1""",
+    "first_duplicates": """with l as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as t from documents),
+p as (select doc_id, pos, regexp_split_to_array(t, '[.!?]') as parts from l), s as (select doc_id, pos, unnest(range(len(parts))) as nth, trim(unnest(parts)) as sentence from p),
+g as (select doc_id, sentence, min(pos * 1000000 + nth) as first from s where length(sentence) >= 12 group by all having count(distinct pos) > 1)
+select doc_id, rank, sentence from (select doc_id, CAST(row_number() over (partition by doc_id order by first) AS INTEGER) as rank, sentence from g) where rank <= 3""",
     "cliche_scan": f"select doc_id, CAST(len({_found(CLICHES)}) AS INTEGER) as matches, sha256(array_to_string({_found(CLICHES)}, '|')) as matches_sha256 from documents",
     "diversity_score": f"with {_MEASURED} select doc_id, CAST(cliches AS INTEGER) as cliches, CAST(meta AS INTEGER) as meta, repeated, diversity, diversity >= 70 and meta < 3 as passed from s",
     "scorecard": f"""with {_MEASURED}, q as (select *, case when leaks > 0 then 0.0::DOUBLE else 100.0::DOUBLE end as clean, least(repeated, 2) - 1 as d, least(cliches, 1) as c,

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cuetrail.functions import grams
 from cuetrail.functions import text as X
 from cuetrail.functions import timecode as C
 from cuetrail.operators import audit as A
@@ -57,24 +58,73 @@ def test_srt_and_vtt(spark, tmp_path):
 
 
 def test_tokens_and_cleaning(spark):
-    text = "2024年，雪乃在东京理发店使用SNS发帖！"
+    text = "2031年，山雨在港口面包店使用GPU写字！"
     r = one(spark, X.tokens(F.lit(text)).alias("t"), X.clean_narration(F.lit('{"text": "He_said hi", "confidence": 0.9}')).alias("c"), X.clean_narration(F.lit("```json\nplain `x`\n```")).alias("p"), X.slug(F.lit(' a: b/c? ')).alias("s"), X.recover_json(F.lit('Sure! {"a": 1} done')).alias("j"), X.recover_json(F.lit("no")).alias("n"), X.normal_title(F.lit("《A_b c》")).alias("title"))
-    assert {"2024", "sns", "SNS", "雪", "雪乃", "理发", "东京"} <= set(r.t)
+    assert {"2031", "gpu", "GPU", "山", "山雨", "面包店", "港口"} <= set(r.t)
     assert (r.c, r.p, r.s, json.loads(r.j), r.n, r.title) == ("He said hi", "plain x", "a_bc", {"a": 1}, None, "abc")
 
 
 def test_grams_of_astral_text(spark):
-    r = one(spark, X.char_ngrams(F.lit("a😀b"), 2).alias("g"), X.char_ngrams(F.lit("a"), 2).alias("n"))
-    assert (r.g, r.n) == (["a😀", "😀b"], [])
+    d = spark.createDataFrame([(1, "a😀ba😀b😀"), (2, "a"), (3, None), (4, "")], "doc_id int, text string")
+    rows = sorted((r.doc_id, r.gram, r["count"], r.first_pos) for r in TM.repeated_phrases(d, 2, 2).collect())
+    assert rows == [(1, "a😀", 2, 0), (1, "😀b", 2, 1)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 8, 13])
+def test_grams_equal_plain_counting(n):
+    import random
+
+    r = random.Random(n)
+    for _ in range(60):
+        text = "".join(r.choice("ab😀é") for _ in range(r.randint(0, 40)))
+        plain = [text[i : i + n] for i in range(len(text) - n + 1)]
+        ids = grams._grams(grams._codes(text), n).tolist()
+        assert len(ids) == len(plain) and len(set(zip(ids, plain, strict=True))) == len(set(ids)) == len(set(plain))
+
+
+def test_contained_terms(spark):
+    texts = [(1, "one red fish, two blue fish."), (1, "one red fish, two blue fish."), (2, "redfish"), (3, None), (None, "a red fish here"), (1, "other text")]
+    terms = [("x", "e red f"), ("y", "fish"), ("z", "two blue fish"), ("x", "e red f"), ("n", None), ("w", "red, fish")]
+    t, d = spark.createDataFrame(texts, "doc_id int, text string").withColumn("title", F.lit("clash")), spark.createDataFrame(terms, "title string, needle string")
+    got = sorted(((r.doc_id, r.text, r.needle) for r in D.contained(t, d, ("doc_id",), "needle").collect()), key=str)
+    distinct = {x for x in terms if x[1]}
+    assert got == sorted(((i, x, n) for i, x in texts if x for _, n in distinct if n in x), key=str)
+
+
+def test_map_hash_equals_canonical_json(spark):
+    import hashlib
+
+    m = {"b": "é😀\"x\\", "a": "1", "c": "line\nnext"}
+    r = one(spark, X.map_hash(F.create_map(*(F.lit(x) for kv in m.items() for x in kv))).alias("h"))
+    assert r.h == hashlib.sha256(json.dumps(m, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_cleaning_of_payloads(spark):
+    texts = {'["a", {"text": "b"}, {"x": 1}]': "a b", '{"segments": ["skipped", {"text": "kept"}]}': "kept", r'path\to \"it\" a\nb': r"path\to it a b"}
+    r = one(spark, *(X.clean_narration(F.lit(t)).alias(f"c{i}") for i, t in enumerate(texts)))
+    assert list(r) == list(texts.values())
+
+
+def test_groups_stream_past_in_any_batches(spark):
+    rows = [(k, i) for k in [None, 1.0, float("nan"), 2.0, 5.0] for i in range(1 if k == 2.0 else 700)]
+    d = spark.createDataFrame(rows, "project_id double, pos int").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        got = G._grouped(d, ["project_id"], ["pos"], "n int", lambda g: [len(g["pos"])] * len(g["pos"])).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) and all(r.n == (1 if r.project_id == 2.0 else 700) for r in got if r.project_id in (1.0, 2.0, 5.0))
+    assert {r.n for r in got if r.project_id is None or r.project_id != r.project_id} <= {700, 1400}
 
 
 def test_text_metrics(spark):
-    d = spark.createDataFrame([(1, "电影" * 6), (2, "远山含笑春水初生林间风起万物皆静")], "doc_id int, text string").select("doc_id", TM.lexical_diversity(F.col("text")).alias("d"))
+    d = spark.createDataFrame([(1, "钟楼" * 6), (2, "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳")], "doc_id int, text string").select("doc_id", TM.lexical_diversity(F.col("text")).alias("d"))
     a, b = [r.d for r in d.orderBy("doc_id").collect()]
     assert a.ttr < 0.35 and b.ttr > 0.7 and b.distinct_2 > 0.85
-    docs = spark.createDataFrame([(1, "机械飞升的执念，机械飞升的执念。机械飞升的执念"), (2, "")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "蓝色风铃的回声，蓝色风铃的回声。蓝色风铃的回声"), (2, "")], "doc_id int, text string")
     top = TM.top_phrases(TM.repeated_phrases(docs, 4, 3), 1).collect()
-    assert [(r.doc_id, r.gram, r["count"]) for r in top] == [(1, "机械飞升", 3)]
+    assert [(r.doc_id, r.gram, r["count"]) for r in top] == [(1, "蓝色风铃", 3)]
     r = one(spark, TM.lexical_diversity(F.lit("")).alias("e"), F.size(TM.pattern_matches(F.lit("in a world where at the end of the day little did he know"), TM.CLICHES)).alias("n"), F.size(TM.pattern_matches(F.lit("clean"), TM.CLICHES)).alias("z"))
     assert tuple(r.e) == (1.0, 1.0, 1.0) and (r.n, r.z) == (3, 0)
 
@@ -104,11 +154,15 @@ def test_clustering_and_selection(spark):
 
 
 def test_clip_plan_moves_through_the_film(spark):
-    n = spark.range(10).select(F.lit("p").alias("project_id"), F.col("id").alias("pos"), F.lit(10.0).alias("need"), (F.col("id") / 10 * 4990).alias("anchor"), F.lit(None).cast("double").alias("proposed"))
-    s = spark.range(100).select(F.col("id").alias("scene_pos"), (F.col("id") * 50.0).alias("start_s"))
-    rows = G.plan_clips(n.crossJoin(s).withColumn("base", F.lit(0.0)), 5000.0).orderBy("pos").collect()
-    starts = [r.source_start for r in rows]
-    assert len(rows) == 10 and max(starts) > 3500 and all(abs(b - a) >= 8 for a, b in zip(starts, starts[1:], strict=False))
+    scenes = [F.array(*(F.lit(x) for x in v)) for v in (range(100), [i * 50.0 for i in range(100)], [0.0] * 100)]
+    none = F.lit(None).cast("double")
+    n = spark.range(10).select(F.lit("p").alias("project_id"), F.col("id").alias("pos"), F.lit(10.0).alias("need"), (F.col("id") / 10 * 4990).alias("anchor"), none.alias("proposed_start"), none.alias("proposed_end"), *(c.alias(k) for c, k in zip(scenes, ("scenes", "starts", "bases"), strict=True)))
+    starts = [r.source_start for r in G.plan_clips(n, 5000.0).orderBy("pos").collect()]
+    assert len(starts) == 10 and max(starts) > 3500 and all(abs(b - a) >= 8 for a, b in zip(starts, starts[1:], strict=False))
+    bare = n.withColumns({c: F.lit(None).cast(n.schema[c].dataType) for c in ("scenes", "starts", "bases")})
+    assert [r.source_start for r in G.plan_clips(bare, 5000.0).orderBy("pos").collect()] == [min(499.0 * i, 4990.0) for i in range(10)]
+    followed = G.plan_clips(n.withColumns({"proposed_start": F.col("pos") * 7.0, "proposed_end": F.col("pos") * 7.0 + 9}), 5000.0, aligned=True)
+    assert [(r.source_start, r.scene_pos, r.score) for r in followed.orderBy("pos").collect()] == [(7.0 * i, None, 1.0) for i in range(10)]
 
 
 def test_topics_are_not_reused(spark):
