@@ -175,4 +175,5 @@ def decode(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",),
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text of documents and what they decode to, as digests. Null texts have no ids."""
     return encode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))

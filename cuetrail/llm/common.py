@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to Python at a time; with the long texts of a crawl the default of 10,000 would not fit a worker.
 ARROW_ROWS = 512
-#: Largest table that may be broadcast, in rows; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Largest table that may be broadcast, in rows and in bytes; larger ones are joined by shuffle, with the same result.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Bytes of text that a numpy pass handles at a time (a longer single text is its own block).
 BLOCK_BYTES = 2 << 20
 
@@ -97,9 +97,11 @@ def in_files(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is proven to have at most `rows` rows, else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is proven to have at most `rows` rows and `size` bytes, as JSON, else df for a shuffled join."""
+    bytes_of = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint")), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), bytes_of).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def ascii_lower(col: str | Column) -> Column:

@@ -152,5 +152,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in every whole text of documents, exact windows and proximity matches. Null texts have no words."""
     docs = table(spark, sf_dir, "documents")
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), slop=SLOP)

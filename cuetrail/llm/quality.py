@@ -109,5 +109,6 @@ def judge(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("doc_id",),
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every whole text of documents and the verdict of trees trained on labels. Null texts have no words and fail."""
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))

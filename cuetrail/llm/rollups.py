@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +42,42 @@ def revisions(old: DataFrame, new: DataFrame, tokenizers: dict = TOKENIZERS) ->
     return deletes(old, tokenizers).unionByName(inserts(new, tokenizers))
 
 
+def _batches(path: str) -> str:
+    return f"{path}/published"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def commit(deltas: DataFrame, path: str, batch_id: str) -> None:
-    """Store the batch's additive totals under its id. A batch that is committed again, after a failure or by a second writer, replaces
-    itself, so every batch counts once. Rows of a key are summed in each task before the shuffle."""
-    deltas.groupBy(*KEYS).agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("n_tokens")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """Store the batch's additive totals under its id. Rows of a key are summed in each task before the shuffle.
+
+    The totals are written to a folder of their own; then an empty file that names it publishes them, at one stroke. Of several
+    publications of a batch, after a failure or by two writers, readers take the last, so every batch counts once, and at no time is one
+    missing or half there. Any string is a batch id.
+    """
+    spark, name = deltas.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    summed = deltas.groupBy(*KEYS).agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("n_tokens"))
+    summed.write.parquet(f"{path}/data/{name}")
+    marker, fs = _file_system(spark, f"{_batches(path)}/{quote(batch_id, safe='')}/{name}")
+    fs.create(marker, False).close()
+
+
+def published(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the last publication of each batch."""
+    top, fs = _file_system(spark, _batches(path))
+    if not fs.exists(top):
+        return []
+    last = [max(f.getPath().getName() for f in fs.listStatus(batch.getPath())) for batch in fs.listStatus(top)]
+    return [f"{path}/data/{name}" for name in sorted(last)]
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
-    """Totals by source, language and tokenizer version over all committed batches; groups without documents left are not shown."""
-    rows = spark.read.schema(_SCHEMA + ", batch string").option("basePath", path).parquet(f"{path}/batch=*")
+    """Totals by source, language and tokenizer version over all published batches; groups without documents left are not shown."""
+    folders = published(spark, path)
+    rows = spark.read.schema(_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], _SCHEMA)
     return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
 

@@ -319,4 +319,5 @@ def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text of documents that strings of 100 bytes cover which also start earlier. Null texts have no bytes."""
     return deduplicate(table(spark, sf_dir, "documents"))

@@ -198,6 +198,7 @@ def train_on_folds(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of documents, with the sentences that offend. Null and empty texts have the score of empty texts."""
     docs = table(spark, sf_dir, "documents")
     model = train_on_folds(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model, locate=True).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")

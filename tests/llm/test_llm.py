@@ -469,6 +469,21 @@ def test_rollups_add_up(spark, odd):
     assert rollups.totals(spark, path).count() == 2
 
 
+def test_rollups_publish_at_one_stroke(spark, odd):
+    path = shared_dir(spark)
+    assert rollups.totals(spark, path).count() == 0
+    rows = odd.where("doc_id = 4")  # without a source
+    rollups.commit(rollups.inserts(rows), path, "a/b c")
+    before = sorted(map(tuple, rollups.totals(spark, path).collect()), key=str)
+    assert before[0][0] is None and {r[3] for r in before} == {2}
+    # a writer that dies before it publishes changes nothing
+    rollups.inserts(odd).groupBy(*rollups.KEYS).agg(F.sum("sign").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{path}/data/dead")
+    assert sorted(map(tuple, rollups.totals(spark, path).collect()), key=str) == before
+    held = rollups.published(spark, path)
+    rollups.commit(rollups.inserts(rows), path, "a/b c")  # readers of the former publication aren't disturbed
+    assert spark.read.parquet(*held).count() == 2 and sorted(map(tuple, rollups.totals(spark, path).collect()), key=str) == before
+
+
 def test_op8_with_repeated_rows_and_null_ids_equals_its_sql(spark):
     import duckdb
 
