@@ -12,33 +12,55 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
 
+def _small(ids: np.ndarray) -> bool:
+    """Whether a table of all numbers up to the greatest costs no more than a sort."""
+    return int(ids.max(initial=0)) <= 16 * len(ids) + 4096
+
+
+def _seen(ids: np.ndarray) -> np.ndarray:
+    seen = np.zeros(int(ids.max(initial=0)) + 1, dtype=bool)
+    seen[ids] = True
+    return seen
+
+
+def _dense(ids: np.ndarray) -> np.ndarray:
+    """The numbers replaced by 0, 1, ..., equal ones alike."""
+    return (np.cumsum(_seen(ids)) - 1)[ids] if _small(ids) else np.unique(ids, return_inverse=True)[1].astype(np.int64)
+
+
+def _distinct(ids: np.ndarray) -> int:
+    return 0 if not len(ids) else int(_seen(ids).sum()) if _small(ids) else len(np.unique(ids))
+
+
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     """A number for each n-gram, the same for the same gram and for no other: numbers of two shorter grams that cover it are paired."""
     if len(codes) < n:
         return codes[:0]
     ids, k = codes, 1
     while k < n:
+        ids = _dense(ids)
         step = min(k, n - k)
-        left, right = ids[: len(ids) - step], ids[step:]
-        ids, k = left * (int(ids.max(initial=0)) + 1) + right, k + step
-        if k < n:
-            ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+        ids, k = ids[:-step] * (int(ids.max()) + 1) + ids[step:], k + step
     return ids
 
 
-def distinct_shares(first: Column, whole: Column, n: int) -> Column:
-    """Distinct share of the n-grams of `whole`, of which as many are taken as `first` has; 1.0 where there are none. With first = whole all
-    of them are taken."""
+def distinct_shares(first: Column, whole: Column) -> Column:
+    """Struct ttr, distinct_2, distinct_3: distinct share of the characters of `first`, and of the pairs and triples of `whole`, of which as
+    many are taken as `first` has; 1.0 where there are none. With first = whole all of them are taken."""
 
-    @F.arrow_udf("double")
-    def share(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for limit, text in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            ids = _grams(_codes(text or ""), n)[: max(0, len(limit or "") - n + 1)]
-            out.append(len(np.unique(ids)) / len(ids) if len(ids) else 1.0)
-        return pa.array(out, pa.float64())
+    @F.arrow_udf("ttr double, distinct_2 double, distinct_3 double")
+    def shares(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.ones((3, len(a)))
+        for i, (bare, text) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+            own = _codes(bare or "")
+            codes = own if text == bare else _codes(text or "")
+            for n in (1, 2, 3):
+                ids = _grams(own if n == 1 else codes, n)[: max(0, len(own) - n + 1)]
+                if len(ids):
+                    out[n - 1, i] = _distinct(ids) / len(ids)
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], names=["ttr", "distinct_2", "distinct_3"])
 
-    return share(first, whole)
+    return shares(first, whole)
 
 
 def repeated(text: Column, n: int, least: int) -> Column:

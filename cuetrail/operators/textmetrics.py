@@ -23,8 +23,7 @@ def lexical_diversity(text: Column, mode: str = "clean") -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     bare = without_space(text)
-    whole = bare if mode == "clean" else text
-    return F.struct(distinct_shares(bare, bare, 1).alias("ttr"), distinct_shares(bare, whole, 2).alias("distinct_2"), distinct_shares(bare, whole, 3).alias("distinct_3"))
+    return distinct_shares(bare, bare if mode == "clean" else text)
 
 
 def repeated_phrases(docs: DataFrame, n: int = 5, least: int = 3, strip: bool = True, key: str = "doc_id") -> DataFrame:
