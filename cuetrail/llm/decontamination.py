@@ -29,55 +29,57 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", at).select("item_id", F.slice("w", F.col("at"), size).alias("terms")).distinct()
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(words(F.col("text"))).alias("term"))
+def build_index(docs: DataFrame, keys: tuple[str, ...] = ("uid",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """The positional inverted index of docs, whatever it will be searched for: term, keys, pos for every token; the first row of each
+    document (that of its first token, or one with a null term where it has none) also holds n_words and the columns to carry.
 
+    One pass over the texts without a shuffle: each task sorts its tokens by the hash of their term, so that a list is one stretch of each
+    file and no task meets a whole list of a frequent term.
+    """
+    split = docs.select(*keys, *carry, words(F.col("text")).alias("w")).select("*", F.size("w").alias("n_words"))
+    placed = split.select(*keys, *carry, "n_words", F.posexplode_outer("w").alias("pos", "term"))
+    is_head = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    return placed.select("term", *keys, "pos", *(F.when(is_head, F.col(c)).alias(c) for c in ("n_words", *carry))).sortWithinPartitions(F.xxhash64("term"))
 
-def query_plan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """terms, n int, picks array<struct<term, offset>>: each distinct window with its `rarest` terms, rarest first by the number of
-    training tokens. Terms of the benchmark are counted over all of docs, in each task first."""
+
+def query_plan(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
+    """terms, n int, picks array<struct<term, offset>>: each distinct window with its `rarest` terms, rarest first by the length of
+    their lists in the index, which are counted in each task first."""
     distinct = staged(windows(benchmark, size), "windows").select("terms").distinct()
-    vocabulary = bounded_broadcast(distinct.select(F.explode("terms").alias("term")).distinct())
-    counts = _tokens(docs).join(vocabulary, "term").groupBy("term").count()
-    placed = distinct.select("terms", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    vocabulary = distinct.select(F.explode("terms").alias("term")).distinct()
+    counts = staged(index.groupBy("term").count().join(vocabulary, "term", "left_semi"), "counts")
+    placed = distinct.select("terms", F.posexplode("terms").alias("offset", "term")).join(bounded_broadcast(counts), "term", "left")
     # a window with a term that no document has can't occur
     possible = placed.groupBy("terms").agg(F.min(F.coalesce("count", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("by_count"))
     return possible.where("least > 0").select("terms", F.size("terms").alias("n"), F.transform(F.slice("by_count", 1, rarest), lambda x: F.struct(x["term"].alias("term"), x["offset"].alias("offset"))).alias("picks"))
 
 
-def build_index(docs: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), size: int = WINDOW) -> DataFrame:
-    """The stored postings: keys, term, pos, n_words, and where the term is the rarest of some window also context (the words from
-    `size`-1 before to `size`-1 after the position) and first (the position in the text at which the context starts). A posting for
-    every position of a term that some window is looked up by, and a row (is_head) for every document. One pass over the texts without
-    a shuffle.
-    """
-    terms = plan.select(F.posexplode("picks").alias("rank", "pick")).groupBy("pick.term").agg(F.min("rank").alias("best"))
-    placed = docs.select(*keys, words(F.col("text")).alias("w")).select(*keys, "w", F.posexplode_outer("w").alias("pos", "term"))
-    is_head = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    found = placed.join(bounded_broadcast(terms), "term", "left").where(F.col("best").isNotNull() | is_head)
-    first = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-    rarest = F.col("best") == 0
-    return found.select(*keys, F.when(F.col("best").isNotNull(), F.col("term")).alias("term"), "pos", F.size("w").alias("n_words"), F.when(rarest, first).alias("first"), F.when(rarest, F.slice("w", first + 1, F.lit(2 * size - 1))).alias("context"), is_head.alias("is_head"))
+def postings(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """term, keys, pos: the lists of the index that the plan's windows are looked up by."""
+    terms = plan.select(F.explode("picks.term").alias("term")).distinct()
+    return index.join(bounded_broadcast(terms), "term").select("term", *keys, "pos")
 
 
-def phrase_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
+def phrase_matches(lists: DataFrame, plan: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
     """keys, start, n, terms: every place at which a whole window stands. The lists of a window's rarest terms are moved by the distance
-    of the terms and intersected, once for all windows that share the terms and the distance; what is left is compared word by word with
-    the context of the rarest term."""
+    of the terms and intersected, once for all windows that share the terms and the distance; what is left is compared word by word: the
+    words at those places of docs are joined with the windows. Only texts with such places are split again."""
     rarest, other = F.col("picks")[0], F.get("picks", F.lit(1))
     shift = other["offset"] - rarest["offset"]
     paired = plan.select("terms", "n", rarest["offset"].alias("offset"), F.size("picks").alias("lists"), rarest["term"].alias("t1"), other["term"].alias("t2"), shift.alias("shift"), F.xxhash64(rarest["term"], other["term"], shift).alias("pair"))
     pairs = paired.select("pair", "lists", "t1", "t2", "shift").distinct()
-    lists = pairs.select("pair", "lists", F.lit(0).alias("rank"), F.col("t1").alias("term"), F.lit(0).alias("shift")).unionByName(pairs.where("lists > 1").select("pair", "lists", F.lit(1).alias("rank"), F.col("t2").alias("term"), "shift"))
-    moved = index.where("term is not null").join(bounded_broadcast(lists), "term").withColumn("at", F.col("pos") - F.col("shift")).where("at >= 0")
-    lead = F.when(F.col("rank") == 0, F.struct("first", "context"))
-    met = moved.groupBy(*keys, "at", "pair").agg(F.bit_or(F.col("rank") + 1).alias("seen"), F.max("lists").alias("lists"), F.max(lead).alias("lead")).where("seen = case when lists = 1 then 1 else 3 end")
-    placed = met.join(bounded_broadcast(paired.select("pair", "terms", "n", "offset")), "pair").withColumn("start", F.col("at") - F.col("offset")).where(F.col("start") >= F.col("lead.first"))
-    from_start = F.greatest(F.col("start") - F.col("lead.first") + 1, F.lit(1))
-    return placed.where(F.slice("lead.context", from_start, F.col("n")) == F.col("terms")).select(*keys, "start", "n", "terms")
-
-
-def proximity_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), slop: int = SLOP) -> DataFrame:
+    wanted = pairs.select("pair", "lists", F.lit(0).alias("rank"), F.col("t1").alias("term"), F.lit(0).alias("shift")).unionByName(pairs.where("lists > 1").select("pair", "lists", F.lit(1).alias("rank"), F.col("t2").alias("term"), "shift"))
+    moved = lists.join(bounded_broadcast(wanted), "term").withColumn("at", F.col("pos") - F.col("shift")).where("at >= 0")
+    met = moved.groupBy(*keys, "at", "pair").agg(F.bit_or(F.col("rank") + 1).alias("seen"), F.max("lists").alias("lists")).where("seen = case when lists = 1 then 1 else 3 end")
+    offsets = paired.select("pair", "n", "offset").distinct()
+    placed = met.join(bounded_broadcast(offsets), "pair").select(*keys, (F.col("at") - F.col("offset")).alias("start"), "n").where("start >= 0")
+    of_doc = staged(placed.groupBy(*keys).agg(F.collect_set(F.struct("start", "n")).alias("places")), "places")
+    split = docs.join(bounded_broadcast(of_doc), list(keys)).select(*keys, "places", words(F.col("text")).alias("w"))
+    phrases = split.select(*keys, "w", F.explode("places").alias("p")).select(*keys, "p.*", F.slice("w", F.col("p.start") + 1, F.col("p.n")).alias("terms"))
+    return phrases.join(bounded_broadcast(plan.select("terms")), "terms").select(*keys, "start", "n", "terms")
+
+
+def proximity_matches(lists: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), slop: int = SLOP) -> DataFrame:
     """keys, start, terms: places at which a window's two rarest terms stand at most `slop` words (30 at most) off their distance in the
     window (exact phrases included); a window of one word is matched by every such word. The stored lists, moved by the distance of the
     terms, meet in stretches of positions: a bit stands for a position, so that a stretch is one row however many postings it has.
@@ -88,12 +90,12 @@ def proximity_matches(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] =
     rarest, other = F.col("picks")[0], F.get("picks", F.lit(1))
     planned = plan.select("terms", rarest["offset"].alias("offset"), rarest["term"].alias("t1"), other["term"].alias("t2"), (other["offset"] - rarest["offset"]).alias("shift"))
     single = planned.where("t2 is null").select("terms", "offset", F.col("t1").alias("term"))
-    alone = index.join(bounded_broadcast(single), "term").select(*keys, "pos", "offset", "terms")
+    alone = lists.join(bounded_broadcast(single), "term").select(*keys, "pos", "offset", "terms")
     paired = planned.where("t2 is not null").withColumn("pair", F.xxhash64("t1", "t2", "shift"))
     pairs = paired.select("pair", "t1", "t2", "shift").distinct()
-    lists = pairs.select("pair", "shift", F.col("t1").alias("term"), F.lit(0).alias("rank"), F.lit(0).alias("move"), F.col("t1") == F.col("t2")).toDF("pair", "shift", "term", "rank", "move", "same")
-    lists = lists.unionByName(pairs.select("pair", "shift", F.col("t2").alias("term"), F.lit(1).alias("rank"), F.col("shift").alias("move"), (F.col("t1") == F.col("t2")).alias("same")))
-    moved = index.where("term is not null").join(bounded_broadcast(lists), "term").withColumn("at", F.col("pos") - F.col("move"))
+    wanted = pairs.select("pair", "shift", F.col("t1").alias("term"), F.lit(0).alias("rank"), F.lit(0).alias("move"), F.col("t1") == F.col("t2")).toDF("pair", "shift", "term", "rank", "move", "same")
+    wanted = wanted.unionByName(pairs.select("pair", "shift", F.col("t2").alias("term"), F.lit(1).alias("rank"), F.col("shift").alias("move"), (F.col("t1") == F.col("t2")).alias("same")))
+    moved = lists.join(bounded_broadcast(wanted), "term").withColumn("at", F.col("pos") - F.col("move"))
     # the second term comes to each stretch from which it is within slop, the rarest to its own
     reach = F.col("rank") * slop
     stretch = F.explode(F.sequence(F.floor((F.col("at") - reach) / width), F.floor((F.col("at") + reach) / width))).alias("stretch")
@@ -128,10 +130,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         keys = ("file", "row")
         docs = in_files(docs, doc_id, "text")
         rows = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(doc_id).alias("doc_id"), "text")
-    plan = staged(query_plan(rows, benchmark, size), "plan")
-    index = staged(build_index(rows, plan, (*keys, "doc_id"), size), "index")
+    index = staged(build_index(rows, keys, carry=("doc_id",)), "index")
+    plan = staged(query_plan(index, benchmark, size), "plan")
+    lists = staged(postings(index, plan, keys), "lists")
     items = windows(benchmark, size).groupBy("terms").agg(F.collect_set("item_id").alias("items"))
-    found = phrase_matches(index, plan, keys).join(bounded_broadcast(items), "terms").select(*keys, "start", "n", "items")
+    found = phrase_matches(lists, plan, rows, keys).join(bounded_broadcast(items), "terms").select(*keys, "start", "n", "items")
     # one row for each place first; then places of a document side by side: its own hits are new up to the next place's start
     per_place = found.groupBy(*keys, "start").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     ordered = W.partitionBy(*keys).orderBy("start")
@@ -139,16 +142,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hit = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(end, F.lit(0))))
     merged = F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     hits = per_place.select(*keys, "items", hit.alias("hit")).groupBy(*keys).agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    heads = index.where("is_head").select(*keys, "doc_id", "n_words")
+    heads = index.where("n_words is not null").select(*keys, "doc_id", "n_words")
     sorted_items = lambda c: F.array_sort(F.transform(F.coalesce(c, F.array().cast("array<bigint>")), lambda x: x.cast("string")))
     listed = sorted_items(F.col("items"))
     out = heads.join(hits, list(keys), "left")
     extra = []
     if slop is not None:
-        near = proximity_matches(index, plan, keys, slop).join(bounded_broadcast(items), "terms").groupBy(*keys, "start").agg(merged)
+        near = proximity_matches(lists, plan, keys, slop).join(bounded_broadcast(items), "terms").groupBy(*keys, "start").agg(merged)
         out = out.join(near.groupBy(*keys).agg(F.count("*").alias("n_near"), merged.alias("near")), list(keys), "left")
         extra = [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), sorted_items(F.col("near")).alias("near_items")]
-    return out.select("doc_id", F.greatest(F.col("n_words"), F.lit(0)).cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *extra)
+    return out.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *extra)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -554,10 +554,11 @@ def test_decontamination_by_brute_force(spark, documents):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha one two three beta"), (2, "alpha beta"), (3, "beta one two three four five six seven eight nine ten alpha")], "uid int, text string")
     items = spark.createDataFrame([(1, "alpha beta")], "item_id bigint, text string")
-    plan = decontamination.query_plan(docs, items)
-    index = decontamination.build_index(docs, plan)
-    assert {r.uid for r in decontamination.proximity_matches(index, plan, slop=4).collect()} == {1, 2}
-    assert {r.uid for r in decontamination.phrase_matches(index, plan).collect()} == {2}
+    index = decontamination.build_index(docs)
+    plan = decontamination.query_plan(index, items)
+    lists = decontamination.postings(index, plan)
+    assert {r.uid for r in decontamination.proximity_matches(lists, plan, slop=4).collect()} == {1, 2}
+    assert {r.uid for r in decontamination.phrase_matches(lists, plan, docs).collect()} == {2}
 
 
 def near_places(docs, items, picks, slop):
@@ -579,9 +580,11 @@ def test_proximity_by_brute_force(spark, slop):
     rows.append((99, "a " * 70 + "b " * 70))
     items = [(1, "h a a a a b b b b g"), (2, "a a"), (3, "g"), (4, "b a a c h b a d e f g a a c"), (5, "e f")]
     docs, bench = spark.createDataFrame(rows, "uid int, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    plan = decontamination.query_plan(docs, bench)
+    index = decontamination.build_index(docs)
+    plan = decontamination.query_plan(index, bench)
+    lists = decontamination.postings(index, plan)
     picks = {tuple(r.terms): [(p.term, p.offset) for p in r.picks] for r in plan.collect()}
-    got = [(r.uid, r.start, tuple(r.terms)) for r in decontamination.proximity_matches(decontamination.build_index(docs, plan), plan, slop=slop).collect()]
+    got = [(r.uid, r.start, tuple(r.terms)) for r in decontamination.proximity_matches(lists, plan, slop=slop).collect()]
     assert set(got) == near_places(rows, items, picks, slop) and got
 
 
