@@ -47,7 +47,8 @@ def query_plan(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, rares
     their lists in the index, which are counted in each task first."""
     distinct = staged(windows(benchmark, size), "windows").select("terms").distinct()
     vocabulary = distinct.select(F.explode("terms").alias("term")).distinct()
-    counts = staged(index.groupBy("term").count().join(vocabulary, "term", "left_semi"), "counts")
+    # an inner join stays above the aggregate; a semi-join would be pushed below it and deal every token by its term
+    counts = staged(index.groupBy("term").count().join(bounded_broadcast(vocabulary), "term"), "counts")
     placed = distinct.select("terms", F.posexplode("terms").alias("offset", "term")).join(bounded_broadcast(counts), "term", "left")
     # a window with a term that no document has can't occur
     possible = placed.groupBy("terms").agg(F.min(F.coalesce("count", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("by_count"))
