@@ -551,6 +551,15 @@ def test_decontamination_by_brute_force(spark, documents):
     assert decontamination.decontaminate(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_beyond_the_bound_on_broadcasts(spark, monkeypatch):
+    rows = [(i, f"x{i} one two three four five six seven eight nine ten y{i}" if i % 3 else "one two ten") for i in range(30)] + [(None, "one " * 9 + "one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten"), (2, "one " * 10), (3, "ten y4")], "item_id bigint, text string")
+    monkeypatch.setattr(decontamination, "bounded_broadcast", lambda df: df)
+    got = sorted((tuple(r)[:6] for r in decontamination.decontaminate(docs, items, slop=5).collect()), key=str)
+    assert got == hits(rows, [tuple(r) for r in items.collect()])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha one two three beta"), (2, "alpha beta"), (3, "beta one two three four five six seven eight nine ten alpha")], "uid int, text string")
     items = spark.createDataFrame([(1, "alpha beta")], "item_id bigint, text string")
