@@ -33,13 +33,14 @@ def build_index(docs: DataFrame, keys: tuple[str, ...] = ("uid",), carry: tuple[
     """The positional inverted index of docs, whatever it will be searched for: term, keys, pos for every token; the first row of each
     document (that of its first token, or one with a null term where it has none) also holds n_words and the columns to carry.
 
-    One pass over the texts without a shuffle: each task sorts its tokens by the hash of their term, so that a list is one stretch of each
-    file and no task meets a whole list of a frequent term.
+    One pass over the texts without a shuffle: the tokens of a document are sorted by term inside its row, so that its list of a term is one
+    stretch. No task sorts or holds more than a document, and no list of a frequent term meets in one task.
     """
-    split = docs.select(*keys, *carry, words(F.col("text")).alias("w")).select("*", F.size("w").alias("n_words"))
-    placed = split.select(*keys, *carry, "n_words", F.posexplode_outer("w").alias("pos", "term"))
+    split = docs.select(*keys, *carry, words(F.col("text")).alias("w"))
+    listed = F.sort_array(F.transform("w", lambda term, pos: F.struct(term.alias("term"), pos.alias("pos"))))
+    placed = split.select(*keys, *carry, F.size("w").alias("n_words"), F.inline_outer(listed))
     is_head = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    return placed.select("term", *keys, "pos", *(F.when(is_head, F.col(c)).alias(c) for c in ("n_words", *carry))).sortWithinPartitions(F.xxhash64("term"))
+    return placed.select("term", *keys, "pos", *(F.when(is_head, F.col(c)).alias(c) for c in ("n_words", *carry)))
 
 
 def query_plan(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
