@@ -73,11 +73,11 @@ class Stages:
         self.spark, self.dir, self.n = spark, shared_dir(spark), 0
         self.paths: dict[str, list[str]] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         self.n += 1
         path = f"{self.dir}/{self.n:03d}-{name}"
         self.paths.setdefault(name, []).append(path)
-        return _written(df, path)
+        return _written(df, path, *partition_by)
 
     def drop(self, *names: str, but: int = 0) -> None:
         """Delete the tables of these names, but for the last `but` of each."""
@@ -223,5 +223,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bytes of words as `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased; every other byte is a space.
+_LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text, letters and digits of ASCII and all else beyond it, with A-Z lower-cased."""
+    return text.translate(_LOWERED).split()
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -162,7 +162,7 @@ def _split_lists(placed: DataFrame, salt: int) -> DataFrame:
     return lists.select("key", "size", (F.col("size") - F.col("best.n")).alias("others"), F.col("best.component").alias("main"), F.col("best.hub").alias("hub"))
 
 
-def _blocks(met: DataFrame, judge, schema: str) -> DataFrame:
+def in_blocks(met: DataFrame, judge, schema: str) -> DataFrame:
     """Feed judge(rows, part) with the row members (role 0) of each block and, a batch at a time, its column members (role 1). met: key, p, q,
     role, ...; a task holds the rows of one block and a batch."""
     met = met.repartition(partitions(met.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "role")
@@ -264,9 +264,9 @@ def _across(placed: DataFrame, lists: DataFrame, nodes: DataFrame, docs: DataFra
     as_row = F.when(F.col("outside"), F.transform(upto("q"), lambda q: F.struct(own_p.alias("p"), q.alias("q"), F.lit(0).alias("role")))).otherwise(F.array().cast("array<struct<p:bigint,q:bigint,role:int>>"))
     as_column = F.transform(upto("p"), lambda p: F.struct(p.alias("p"), own_q.alias("q"), F.lit(1).alias("role")))
     dealt = wide.select("key", F.explode(F.concat(as_row, as_column)).alias("to"), "doc_id", "component", "outside", "n", "sketch", "keys").select("key", "to.*", "doc_id", "component", "outside", "n", "sketch", "keys")
-    likely = stages.write(_blocks(dealt, _Estimate(percent), "key bigint, p bigint, q bigint, role int, doc_id bigint, component bigint").distinct(), "likely")
+    likely = stages.write(in_blocks(dealt, _Estimate(percent), "key bigint, p bigint, q bigint, role int, doc_id bigint, component bigint").distinct(), "likely")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(likely.hint("shuffle_hash"), "doc_id")
-    return _blocks(texts.select("key", "p", "q", "role", "doc_id", "component", "text"), _Exact(w, percent), "lo bigint, hi bigint")
+    return in_blocks(texts.select("key", "p", "q", "role", "doc_id", "component", "text"), _Exact(w, percent), "lo bigint, hi bigint")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int, stages: Stages) -> DataFrame:
