@@ -73,11 +73,23 @@ def suite_summary(results: DataFrame) -> DataFrame:
     return results.agg(n.alias("tested"), F.count_if("passed").alias("passed"), F.count_if("is_slop").alias("slop"), (ratio(F.count_if("passed"), n) * 100).alias("pass_rate"), ratio(F.sum("score"), n).alias("avg_score"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
 
-def budget_guard(costed: DataFrame, limit_micros: int, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """Adds spent_before (micro-dollars) and refused: the project had reached the limit before the invocation."""
-    w = W.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cost_micros").over(w), F.lit(0)).alias("spent_before")
-    return costed.select("*", before).withColumn("refused", F.col("spent_before") >= limit_micros)
+def budget_guard(costed: DataFrame, limit_micros: int, keys: tuple[str, ...] = ("project_id",), slice_by: str = "day") -> DataFrame:
+    """Adds spent_before (micro-dollars) and refused: the project had reached the limit before the invocation, in (ts, event_id) order.
+
+    A scan of two levels: sums of slices of time (a unit of date_trunc) are added up first, then the rows inside each slice, so the rows of a
+    project are as many tasks as it has slices. Both levels are dealt by project and slice, so rows are shuffled once. Rows without a ts are a
+    slice of their own, before the others.
+    """
+    sliced = costed.withColumn("__slice", F.date_trunc(slice_by, F.col("ts").cast("timestamp")))
+    sums = sliced.groupBy(*keys, "__slice").agg(F.sum("cost_micros").alias("__sum"))
+    earlier = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("__earlier", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    inside = W.partitionBy(*keys, "__slice").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = sliced.withColumn("__inside", F.coalesce(F.sum("cost_micros").over(inside), F.lit(0)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, "__slice")]
+    met = rows.alias("r").join(sums.alias("s"), same)
+    before = (F.col("s.__earlier") + F.col("r.__inside")).alias("spent_before")
+    return met.select(*(F.col(f"r.{c}") for c in costed.columns), before).withColumn("refused", F.col("spent_before") >= limit_micros)
 
 
 def cache_key_repeats(keyed: DataFrame, key: str = "cache_key") -> DataFrame:

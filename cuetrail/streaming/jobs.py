@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from .ordered import in_order
 
 LATE = "1 hour"
 
@@ -23,12 +25,16 @@ def timed(events: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def running_cost(costed: DataFrame, keys: tuple[str, ...] = ("project_id", "task_name")) -> DataFrame:
-    """Counts, tokens and cost so far; for update or complete mode."""
-    return costed.groupBy(*keys).agg(F.count("*").alias("invocations"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost_micros").alias("cost_micros"))
+    """Counts, tokens and cost so far; for update mode into sinks.KeyedLog, or for complete mode."""
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cost_micros")]
+    return costed.groupBy(*keys).agg(F.count("*").alias("invocations"), *sums)
+
+
+# --- queue ---------------------------------------------------------------------------------------------------------
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """slug, status by the latest (ts, event_id); for update mode, counted in foreachBatch by status_counts."""
+    """slug, status by the latest (ts, event_id); for complete mode and for batch."""
     return events.groupBy("slug").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
 
 
@@ -36,46 +42,87 @@ def status_counts(latest: DataFrame) -> DataFrame:
     return latest.groupBy("status").agg(F.count("*").alias("jobs"))
 
 
+class _Latest(StatefulProcessor):
+    """The latest status of a job as state. A change gives two rows at once: one job less of the old status, one more of the new."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "us bigint, event_id bigint, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old = tuple(self.now.get()) if self.now.exists() else None
+        new = old
+        for pdf in rows:
+            for us, i, status in zip(pdf.us.tolist(), pdf.event_id.tolist(), pdf.status.tolist(), strict=True):
+                if new is None or (us, i) > new[:2]:
+                    new = (int(us), int(i), status)
+        out = []
+        if new != old:
+            self.now.update(new)
+            if old is None or new[2] != old[2]:
+                out = [(s, n) for s, n in ((old and old[2], -1), (new[2], 1)) if n > 0 or old]
+        yield pd.DataFrame(out, columns=["status", "jobs"])
+
+    def close(self) -> None:
+        pass
+
+
+def status_changes(events: DataFrame) -> DataFrame:
+    """status, jobs: signed numbers of jobs as they change their status, by the latest (ts, event_id), whatever the order of arrival. events:
+    slug, status, ts, event_id. One state row a job; for append mode into sinks.Totals. Needs the RocksDB store."""
+    slim = events.where("ts is not null").select("slug", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").cast("bigint").alias("event_id"))
+    return slim.groupBy("slug").transformWithStateInPandas(_Latest(), "status string, jobs bigint", "append", "None")
+
+
+# --- cache keys ----------------------------------------------------------------------------------------------------
+
+
 def distinct_keys(events: DataFrame, key: str = "cache_key", late: str = LATE) -> DataFrame:
-    """The first event of each key; a key is forgotten when the watermark passes."""
+    """The event of each key that arrives first; a key is forgotten when the watermark passes."""
     return timed(events, late).dropDuplicatesWithinWatermark([key])
 
 
-def transition_checks(events: DataFrame, allowed: set[tuple[str, str]]) -> DataFrame:
-    """project_id, event_id, from_state, state, verdict for events (project_id, event_id, ts, state): allowed, disallowed, first, or late
-    if the event is older than one seen before (a late event doesn't move the state). Ordered by (ts, event_id) within a trigger."""
+def span_of(ts: Column, span: str) -> Column:
+    return F.window(ts, span)
+
+
+def first_calls(keyed: DataFrame, key: str = "cache_key", span: str = "1 day", late: str = LATE) -> DataFrame:
+    """key, since, event_id, hits: the first call of each key in each span of time by (ts, event_id), and the calls after it that the cache
+    answers. It comes when the watermark passes the span, so neither triggers nor the order of arrival matter; the state is dropped with it."""
+    groups = timed(keyed, late).groupBy(span_of(F.col("ts"), span).alias("span"), key)
+    found = groups.agg(F.min(F.struct("ts", "event_id")).alias("first"), (F.count("*") - 1).alias("hits"))
+    return found.select(key, F.col("span.start").alias("since"), F.col("first.event_id").alias("event_id"), "hits")
+
+
+# --- states and budgets --------------------------------------------------------------------------------------------
+
+
+def transition_checks(events: DataFrame, allowed: set[tuple[str, str]], late: str = LATE) -> DataFrame:
+    """project_id, event_id, from_state, state, verdict for events (project_id, event_id, ts, state): allowed, disallowed or first, in the order
+    of (ts, event_id). Rows wait for the watermark, so a row that comes late, but within `late`, is judged in its place. Needs the RocksDB
+    store; see ordered.in_order."""
     pairs = set(allowed)
 
-    def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(groups)).sort_values(["ts", "event_id"])
-        last, at, seen = state.get if state.exists else (None, -1, -1)
+    def fold(last: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
         out = []
-        for i, t, s in zip(rows.event_id, rows.ts, rows.state, strict=True):
-            now = (t.value // 1000, int(i))
-            if now < (at, seen):
-                out.append((key[0], i, None, s, "late"))
-                continue
-            verdict = "first" if last is None else "allowed" if (last, s) in pairs else "disallowed"
-            out.append((key[0], i, last, s, verdict))
-            last, (at, seen) = s, now
-        state.update((last, at, seen))
-        yield pd.DataFrame(out, columns=["project_id", "event_id", "from_state", "state", "verdict"])
-
-    kind = events.schema["project_id"].dataType.simpleString()
-    slim = events.select("project_id", F.col("event_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "state")
-    return slim.groupBy("project_id").applyInPandasWithState(run, f"project_id {kind}, event_id bigint, from_state string, state string, verdict string", "last string, at bigint, seen bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def budget_checks(costed: DataFrame, limit_micros: int) -> DataFrame:
-    """project_id, event_id, spent_before, refused, with the cost so far as state; ordered by (ts, event_id) within a trigger."""
-
-    def run(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(groups)).sort_values(["ts", "event_id"])
-        spent = state.get[0] if state.exists else 0
-        before = spent + rows.cost_micros.cumsum() - rows.cost_micros
-        state.update((int(spent + rows.cost_micros.sum()),))
-        yield pd.DataFrame({"project_id": rows.project_id, "event_id": rows.event_id, "spent_before": before, "refused": before >= limit_micros})
-
-    kind = costed.schema["project_id"].dataType.simpleString()
-    slim = costed.select("project_id", F.col("event_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("cost_micros").cast("bigint").alias("cost_micros"))
-    return slim.groupBy("project_id").applyInPandasWithState(run, f"project_id {kind}, event_id bigint, spent_before bigint, refused boolean", "spent bigint", "append", GroupStateTimeout.NoTimeout)
+        for _, event_id, state in rows:
+            verdict = "first" if last is None else "allowed" if (last[0], state) in pairs else "disallowed"
+            out.append((event_id, None if last is None else last[0], state, verdict))
+            last = (state,)
+        return last, out
+
+    return in_order(events, "project_id", "state", fold, "state string", "event_id bigint, from_state string, state string, verdict string", late)
+
+
+def budget_checks(costed: DataFrame, limit_micros: int, late: str = LATE) -> DataFrame:
+    """project_id, event_id, spent_before, refused: the cost so far, carried as state, in the order of (ts, event_id). Rows wait for the
+    watermark. Needs the RocksDB store; see ordered.in_order."""
+
+    def fold(last: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        spent, out = last[0] if last else 0, []
+        for _, event_id, micros in rows:
+            out.append((event_id, spent, spent >= limit_micros))
+            spent += int(micros or 0)
+        return (spent,), out
+
+    costs = costed.withColumn("cost_micros", F.coalesce(F.col("cost_micros").cast("bigint"), F.lit(0)))
+    return in_order(costs, "project_id", "cost_micros", fold, "spent bigint", "event_id bigint, spent_before bigint, refused boolean", late)
