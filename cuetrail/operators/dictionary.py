@@ -2,40 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_title
 
 
-#: Terms that are held against every text in turn; longer lists are looked up by their words.
-FEW_TERMS = 500
+#: Bytes of the terms that one automaton holds, and terms of it; longer dictionaries are searched in blocks of these sizes.
+BLOCK_BYTES, BLOCK_TERMS = 8 << 20, 200_000
+
+
+def _blocks(terms: DataFrame, term: str) -> Iterator[list[str]]:
+    """The different terms in blocks of bounded size."""
+    block, size = [], 0
+    for (t,) in terms.select(term).where(F.col(term).isNotNull()).distinct().toLocalIterator():
+        n = len(t.encode())
+        if block and (size + n > BLOCK_BYTES or len(block) >= BLOCK_TERMS):
+            yield block
+            block, size = [], 0
+        block.append(t)
+        size += n
+    if block:
+        yield block
+
+
+def _search(texts: DataFrame, block: list[str], term: str) -> DataFrame:
+    """texts with a row for each of the block's terms that a text contains, in the column `term`."""
+    shared = texts.sparkSession.sparkContext.broadcast(block)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + f", `{term}` string"
+    at = texts.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, everywhere = Automaton(), []
+        for t in shared.value:
+            if t:
+                automaton.add_word(t, t)
+            else:
+                everywhere.append(t)
+        automaton.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for i, text in enumerate(b.column(at).to_pylist()):
+                if text is None:
+                    continue
+                hits = {t for _, t in automaton.iter(text)} if len(automaton) else set()
+                rows += [i] * (len(hits) + len(everywhere))
+                found += [*hits, *everywhere]
+            out = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(found, pa.string())], names=[*b.schema.names, term])
+
+    return texts.mapInArrow(run, schema)
 
 
 def contained(texts: DataFrame, terms: DataFrame, keys: tuple[str, ...], term: str) -> DataFrame:
     """keys, text and the columns of terms: a row for each text and each term that it contains.
 
-    Every term that has a whole word inside (a run of letters and digits with another character on either side) is filed under the longest
-    such word, and only texts that hold this word are searched: an equi-join by hashes of words, without the texts, names the candidates.
-    Terms without one, such as single words and parts of words, are held against all texts; they are broadcast while they are FEW_TERMS at
-    most. Null texts and terms match nothing, an empty term every text; repeated texts stay repeated, repeated terms count once.
+    One automaton holds all terms of a block, so a text is read once for each block, however many terms there are, and nothing is shuffled but
+    by the terms that were found. Null texts and terms match nothing, an empty term every text; repeated texts stay repeated, repeated terms
+    count once.
     """
-    word = r"[\p{L}\p{N}]+"
-    inner = F.regexp_extract_all(F.col(term), F.lit(rf"(?<=[^\p{{L}}\p{{N}}]){word}(?=[^\p{{L}}\p{{N}}])"), F.lit(0))
-    longest = F.get(F.sort_array(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))), asc=False), F.lit(0))["w"]
-    texts = texts.select(*keys, "text")
-    filed = terms.where(F.col(term).isNotNull()).distinct().withColumn("__word", F.when(longest.isNotNull(), F.xxhash64(longest)))
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(word), F.lit(0)), lambda x: F.xxhash64(x)))
-    listed = texts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.explode(words).alias("__word")).distinct()
-    candidates = listed.join(filed.where("__word is not null"), "__word").drop("__word")
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    found = texts.join(candidates, same).where(F.contains("text", F.col(term))).drop(*(f"__{k}" for k in keys))
-    short = filed.where("__word is null").drop("__word")
-    few = short.limit(FEW_TERMS + 1).count()
-    if few:
-        short = F.broadcast(short) if few <= FEW_TERMS else short
-        found = found.unionByName(texts.join(short, F.contains("text", F.col(term))))
-    return found
+    texts, terms = texts.select(*keys, "text"), terms.where(F.col(term).isNotNull()).distinct()
+    found = None
+    for block in _blocks(terms, term):
+        rows = _search(texts, block, term)
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return texts.limit(0).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in terms.schema))
+    return found.join(terms, term).select(*keys, "text", *terms.columns)
 
 
 def hits(texts: DataFrame, cues: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEYS = ("project_id",)
+#: Seconds of the stretches to which the joins of one film are dealt.
+STRETCH = 60.0
 
 
 def overlapping(df: DataFrame, low, high, start: str = "start_s", end: str = "end_s") -> DataFrame:
@@ -69,30 +76,97 @@ def attach_cues(scenes: DataFrame, cues: DataFrame, rule: str = "overlap", keys=
     return scenes.join(found, [*keys, "scene_pos"], "left").select(*keys, "scene_pos", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("cues", F.lit(0)).alias("cues"))
 
 
-def clip_texts(clips: DataFrame, cues: DataFrame, scenes: DataFrame, keys=KEYS) -> DataFrame:
+def clip_texts(clips: DataFrame, cues: DataFrame, scenes: DataFrame, keys=KEYS, bucket_seconds: float | None = STRETCH) -> DataFrame:
     """keys, clip_pos, text: the distinct non-blank cue texts under a clip in the order in which they first come, else the transcripts of
     the scenes under it. clips: keys, clip_pos, s, e; scenes: keys, scene_pos, s2, e2, transcript."""
     def ordered(pairs, pos, text):
         first = pairs.where(F.trim(F.col(text)) != "").groupBy(*keys, "clip_pos", text).agg(F.min(pos).alias("p"))
         return first.groupBy(*keys, "clip_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", text))), lambda x: x[text]), " ").alias(f"by_{text}"))
 
-    by_cue = ordered(interval_join(clips, cues, keys), "cue_pos", "text")
-    by_scene = ordered(interval_join(clips, scenes, keys), "scene_pos", "transcript")
+    by_cue = ordered(interval_join(clips, cues, keys, bucket_seconds), "cue_pos", "text")
+    by_scene = ordered(interval_join(clips, scenes, keys, bucket_seconds), "scene_pos", "transcript")
     return clips.join(by_cue, [*keys, "clip_pos"], "left").join(by_scene, [*keys, "clip_pos"], "left").select(*keys, "clip_pos", F.coalesce("by_text", "by_transcript", F.lit("")).alias("text"))
 
 
-def nearest_scene(points: DataFrame, scenes: DataFrame, keys=KEYS) -> DataFrame:
-    """keys, point_id, scene_pos: the first scene that holds the time t (ends included), else the one that starts nearest (ties: the
-    earlier). An aggregate, no sort: each task keeps the best so far. points: keys, point_id, t; scenes: keys, scene_pos, s, e."""
-    inside = (F.col("s") <= F.col("t")) & (F.col("t") <= F.col("e"))
-    rank = F.struct(~inside, F.when(inside, F.lit(0.0)).otherwise(F.abs(F.col("s") - F.col("t"))), F.col("scene_pos"))
-    return points.join(scenes, list(keys)).groupBy(*keys, "point_id").agg(F.min_by("scene_pos", rank).alias("scene_pos"))
-
+def _so_far(rows: DataFrame, keys, order: list[Column], before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
+    """rows with, for each name in `before`, the greatest value of its column in the rows up to this one, and for each in `after` the least
+    one from this row on. rows: keys, __b (the stretch of time), ...
 
-def refs_with_names(refs: DataFrame, scenes: DataFrame, names: DataFrame, keys=KEYS) -> DataFrame:
+    Both scans have two levels: extremes of whole stretches are carried over the line of stretches, and rows are scanned inside theirs, so the
+    rows of one film are as many tasks as it has stretches.
+    """
+    def sides(what: dict[str, Column], up: bool, by: list[Column], part: list) -> dict[str, Column]:
+        w, best = W.partitionBy(*part).orderBy(*by), F.max if up else F.min
+        return {n: best(c).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) for n, c in what.items()}
+
+    back = [F.desc("at"), "kind"]
+    whole = rows.groupBy(*keys, "__b").agg(*(F.max(c).alias(n) for n, c in before.items()), *(F.min(c).alias(n) for n, c in after.items()))
+    earlier, later = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in ("__b", F.desc("__b")))
+    carried = whole.select(*keys, "__b", *(F.max(n).over(earlier).alias(f"__{n}") for n in before), *(F.min(n).over(later).alias(f"__{n}") for n in after))
+    inside = rows.withColumns(sides(before, True, order, [*keys, "__b"])).withColumns(sides(after, False, back, [*keys, "__b"]))
+    met = inside.join(carried, [*keys, "__b"])
+    ends = {n: F.greatest(n, f"__{n}") for n in before} | {n: F.least(n, f"__{n}") for n in after}
+    return met.withColumns(ends).drop(*(f"__{n}" for n in ends))
+
+
+def _first_holding(rows: DataFrame, keys) -> DataFrame:
+    """keys, point_id, scene_pos of the points among the rows (keys, __b, at, kind, e, scene_pos, point_id): the least scene_pos of the scenes
+    (kind 0, from `at` to e) that hold the point (kind 1), else the one it comes with. A sweep over each sorted stretch that keeps the scenes
+    that are open, the least scene_pos on top; one that has ended goes when it comes to the top."""
+    names = [*keys, "point_id", "scene_pos"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    dealt = rows.repartition(*keys, "__b").sortWithinPartitions(*keys, "__b", "at", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, opened = None, []
+        for b in batches:
+            own = list(zip(*(b.column(k).to_pylist() for k in (*keys, "__b")), strict=True))
+            at, kind, end, pos = (b.column(c).to_pylist() for c in ("at", "kind", "e", "scene_pos"))
+            points, found = [], []
+            for i in range(b.num_rows):
+                if own[i] != stretch:
+                    stretch, opened = own[i], []
+                if kind[i] == 0:
+                    heappush(opened, (pos[i], end[i]))
+                    continue
+                while opened and opened[0][1] < at[i]:
+                    heappop(opened)
+                points.append(i)
+                found.append(opened[0][0] if opened else pos[i])
+            out = b.select(names).take(pa.array(points, pa.int64()))
+            yield out.set_column(len(names) - 1, "scene_pos", pa.array(found, out.schema.field("scene_pos").type))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def nearest_scene(points: DataFrame, scenes: DataFrame, keys=KEYS, bucket_seconds: float = 3600.0) -> DataFrame:
+    """keys, point_id, scene_pos: the first scene, by scene_pos, that holds the time t (ends included), else the one that starts nearest
+    (ties: the lesser scene_pos). points: keys, point_id, t; scenes: keys, scene_pos, s, e.
+
+    A merge of both lines of time in work proportional to their rows and the stretches that scenes reach: the last start before a point and
+    the next one after it by scans of two levels, the scenes that hold it by a sweep. Scenes may overlap and come in any order. Points without
+    a time or in a film without scenes have no row; a scene without a start is left out, one without an end holds nothing.
+    """
+    stretch = lambda c: F.floor(F.col(c) / bucket_seconds)
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    double = lambda c, name: F.col(c).cast("double").alias(name)
+    scenes = scenes.where("s is not null")
+    starts = scenes.groupBy(*keys, double("s", "at")).agg(F.min("scene_pos").alias("scene_pos"))
+    marks = starts.select(*keys, "at", F.lit(0).alias("kind"), "scene_pos", none("point_id", points))
+    asked = points.where("t is not null").select(*keys, double("t", "at"), F.lit(1).alias("kind"), none("scene_pos", scenes), "point_id")
+    start = F.when(F.col("kind") == 0, F.struct("at", "scene_pos"))  # one scene for each start
+    known = _so_far(marks.unionByName(asked).withColumn("__b", stretch("at")), keys, ["at", "kind"], {"last": start}, {"next": start}).where("kind = 1")
+    sides = [F.when(c.isNotNull(), F.struct(F.abs(c["at"] - F.col("at")).alias("d"), c["scene_pos"].alias("scene_pos"))) for c in (F.col("last"), F.col("next"))]
+    columns = [*keys, "__b", "at", "kind", "e", "scene_pos", "point_id"]
+    near = known.withColumn("scene_pos", F.least(*sides)["scene_pos"]).where("scene_pos is not null").withColumn("e", F.lit(None).cast("double"))
+    held = scenes.where("e >= s").select(*keys, F.explode(F.sequence(stretch("s"), stretch("e"))).alias("__b"), double("s", "at"), F.lit(0).alias("kind"), double("e", "e"), "scene_pos", none("point_id", points))
+    return _first_holding(near.select(*columns).unionByName(held.select(*columns)), keys)
+
+
+def refs_with_names(refs: DataFrame, scenes: DataFrame, names: DataFrame, keys=KEYS, bucket_seconds: float | None = STRETCH) -> DataFrame:
     """keys, seg_pos, name, present: whether a scene that touches the segment's reference (ends included) names the name of its text.
     refs: keys, seg_pos, s, e; names: keys, seg_pos, name; scenes: keys, scene_pos, s2, e2, transcript."""
-    pairs = interval_join(refs, scenes, keys, inclusive=True).join(names, [*keys, "seg_pos"])
+    pairs = interval_join(refs, scenes, keys, bucket_seconds, inclusive=True).join(names, [*keys, "seg_pos"])
     return pairs.groupBy(*keys, "seg_pos", "name").agg(F.bool_or(F.contains("transcript", F.col("name"))).alias("present"))
 
 
