@@ -33,11 +33,16 @@ _ENDS = {"li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4} | dict.fromkeys(_
 _MAX_DEPTH = 512
 # A quote opens a string only where a value starts; elsewhere it is a character of a name or of an unquoted value.
 _VALUE = r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*+)"""
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+|=)*+)(?:>|\Z)""", re.DOTALL)
+_TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+|=)*+)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*+))?+)?+""")
 _NAME = re.compile(r"[A-Z]?[a-zß-öø-ÿ]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?…。！？](?=\s|\Z)")
 _CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in _SILENT}
+_NESTED = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*?(/?)(?:>|\Z)", re.IGNORECASE) for name in _SILENT - _RAW}
+#: Elements whose direct text becomes a node of its own, so that it can be content where they are not.
+_OUTER = {"#page", "html", "body"}
+#: Elements that end with their start tag if that says so.
+_FOREIGN = {"svg", "math"}
 
 
 @dataclass
@@ -54,9 +59,26 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(source: str) -> Page:
+def _silent_end(name: str, source: str, at: int) -> int | None:
+    """The place after the end of a silent element whose content starts at `at`; elements of its name inside it end before it."""
+    if name in _RAW:
+        close = _CLOSING[name].search(source, at)
+        return close.end() if close else None
+    inside = 1
+    for m in _NESTED[name].finditer(source, at):
+        if m.group(1):
+            inside -= 1
+        elif not (m.group(2) and name in _FOREIGN):
+            inside += 1
+        if not inside:
+            return m.end()
+    close = _CLOSING[name].search(source, at)  # one of them lacks its end: as if they weren't nested
+    return close.end() if close else None
+
+
+def parse(source: str, bare: int = 0) -> Page:
     """DOM of a page, as far as its blocks need it, in time linear in its length. End tags that are missing, stray or cut off are handled
-    as browsers mostly do."""
+    as browsers mostly do. bare: label of text that stands outside of all elements but html and body, in training pages."""
     page = Page()
     depth = [0]
     # open elements: name, block node they belong to, place of the nearest block, places of the elements that a start tag may end
@@ -64,16 +86,28 @@ def parse(source: str) -> Page:
     places: dict[str, list[int]] = {}
     unclosed: set[str] = set()
     pieces: list[str] = []
+    in_links = 0
+
+    def add(above: int, tag: str, names: list[str], gold: int) -> int:
+        depth.append(depth[above] + 1)
+        for column, value in ((page.parent, above), (page.tag, tag), (page.names, names), (page.gold, gold), (page.own, 0), (page.linked, 0), (page.sentences, 0)):
+            column.append(value)
+        return len(page.parent) - 1
 
     def flush() -> None:
+        nonlocal in_links
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 node = stack[-1][1]
+                if page.tag[node] in _OUTER:
+                    node = add(node, "#text", [], bare)
                 page.blocks.append((node, text))
                 page.own[node] += len(text)
+                page.linked[node] += in_links
                 page.sentences[node] += len(_SENTENCE.findall(text))
             pieces.clear()
+        in_links = 0
 
     def pop_to(i: int) -> None:
         if stack[-1][2] >= i:  # a block among them
@@ -91,9 +125,9 @@ def parse(source: str) -> Page:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else n]
         if text:
-            pieces.append(text)
+            pieces.append(html.unescape(text))  # a reference doesn't reach over a tag
             if places.get("a"):
-                page.linked[stack[-1][1]] += len(text.strip())
+                in_links += len(text.strip())
         if not m:
             break
         at = m.end()
@@ -110,10 +144,10 @@ def parse(source: str) -> Page:
                 if name != "button":
                     flush()
                 if not m.group(3).endswith("/") and name not in unclosed:
-                    close = _CLOSING[name].search(source, at)
-                    at = close.end() if close else (n if name in _RAW else at)
-                    if not close:
+                    close = _silent_end(name, source, at)
+                    if close is None:
                         unclosed.add(name)
+                    at = close or (n if name in _RAW else at)
                 continue
             if name in _VOID:
                 if name == "hr":
@@ -134,15 +168,8 @@ def parse(source: str) -> Page:
             attributes = {a.group(1).lower(): a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTRIBUTE.finditer(m.group(3))} if m.group(3) else {}
             above = stack[-1][1]
             above = page.parent[above] if depth[above] >= _MAX_DEPTH else above
-            node = len(page.parent)
-            depth.append(depth[above] + 1)
-            page.parent.append(above)
-            page.tag.append(name)
-            page.names.append([w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") if k in attributes for w in _NAME.findall(attributes[k])])
-            page.gold.append(int(attributes.get("data-gold", "0") == "1"))
-            page.own.append(0)
-            page.linked.append(0)
-            page.sentences.append(0)
+            names = [w.lower() for k in ("class", "id", "role", "itemprop", "aria-label") if k in attributes for w in _NAME.findall(attributes[k])]
+            node = add(above, name, names, int(attributes.get("data-gold", "0") == "1"))
             here = len(stack)
             push(name, node, here, tuple(here if name in ends else 0 if name in stops else before for (_, ends, stops), before in zip(_SCOPES, stack[-1][3], strict=True)))
         elif start:  # the page ends inside a tag
@@ -226,7 +253,7 @@ def marginals(model: TreeModel, pages: list[Page]) -> list[np.ndarray]:
 
 
 #: Kinds of child for which parent-child potentials are learned apart.
-_TAG_KIND = {t: k for k, ts in enumerate((("p", "blockquote", "pre", "figure", "figcaption", *sorted(_HEADINGS)), ("nav", "footer", "aside", "header", "form", "menu", "fieldset"), ("article", "main", "section"), ("li", "ul", "ol", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th")), 1) for t in ts}
+_TAG_KIND = {t: k for k, ts in enumerate((("#text", "p", "blockquote", "pre", "figure", "figcaption", *sorted(_HEADINGS)), ("nav", "footer", "aside", "header", "form", "menu", "fieldset"), ("article", "main", "section"), ("li", "ul", "ol", "dl", "dt", "dd", "table", "tbody", "thead", "tr", "td", "th")), 1) for t in ts}
 
 
 def train(pages: list[Page], rounds: int = 300, rate: float = 0.3, ridge: float = 1e-5) -> TreeModel:
@@ -363,6 +390,19 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[Page]:
             body = f"<div class='{r.choice(['wrap', 'page', 'container', 'row', 'layout'])}'>{body}</div>"
         whole = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{body}</body></html>"
         pages.append(parse(body if bare and r.random() < 0.5 else whole))
+    r.seed(seed + 1)
+    for _ in range(n // 10):  # text outside of all elements, alone or between paragraphs and junk
+        text = lambda: r.choice([words(1, 90), f"<b>{words(1, 9)}</b> {words(3, 60)}", f"{words(2, 40)} <a href='/x'>{words(1, 3)}</a> {words(1, 9)}", f"{words(2, 40)}<br><br>{words(2, 40)}"])
+        parts = [text() if r.random() < 0.6 else content(r.choice([1, 2, 4])) for _ in range(r.choice([1, 1, 2, 4, 8]))]
+        if len(parts) > 1 and r.random() < 0.5:
+            parts = [junk(), *parts, junk()]
+        inner = "<hr>".join(parts)
+        pages.append(parse(r.choice(["{}", "<body>{}</body>", "<html><body>{}", "<html><head><title>x</title></head><body>{}</body></html>"]).format(inner), bare=1))
+    for _ in range(n // 10):  # and scraps of it that are none
+        scraps = [r.choice([f"<a href='/'>{words(1, 2)}</a> | <a href='/x'>{words(1, 2)}</a>", f"&copy; <a href='/'>{words(1, 3)}</a>"]) for _ in range(2)]
+        inner = content(r.choice([2, 4, 8]))
+        inner = inner if r.random() < 0.5 else gold(r.choice(["article", "main", "div"]), inner)
+        pages.append(parse(f"<html><body>{scraps[0]}{inner}{scraps[1]}</body></html>"))
     return pages
 
 
