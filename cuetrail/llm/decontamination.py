@@ -48,8 +48,12 @@ def query_plan(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, rares
     their lists in the index, which are counted in each task first."""
     distinct = staged(windows(benchmark, size), "windows").select("terms").distinct()
     vocabulary = distinct.select(F.explode("terms").alias("term")).distinct()
-    # an inner join stays above the aggregate; a semi-join would be pushed below it and deal every token by its term
-    counts = staged(index.groupBy("term").count().join(bounded_broadcast(vocabulary), "term"), "counts")
+    wanted = bounded_broadcast(vocabulary)
+    if wanted is not vocabulary:  # small: only its terms are counted
+        counts = index.join(wanted, "term").groupBy("term").count()
+    else:  # an inner join stays above the aggregate; a semi-join would be pushed below it and deal every token by its term
+        counts = index.groupBy("term").count().join(vocabulary, "term")
+    counts = staged(counts, "counts")
     placed = distinct.select("terms", F.posexplode("terms").alias("offset", "term")).join(bounded_broadcast(counts), "term", "left")
     # a window with a term that no document has can't occur
     possible = placed.groupBy("terms").agg(F.min(F.coalesce("count", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("by_count"))
@@ -145,7 +149,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     merged = F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     hits = per_place.select(*keys, "items", hit.alias("hit")).groupBy(*keys).agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     heads = index.where("n_words is not null").select(*keys, "doc_id", "n_words")
-    sorted_items = lambda c: F.array_sort(F.transform(F.coalesce(c, F.array().cast("array<bigint>")), lambda x: x.cast("string")))
+    none = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
+    sorted_items = lambda c: F.array_sort(F.transform(F.coalesce(c, none), lambda x: x.cast("string")))
     listed = sorted_items(F.col("items"))
     out = heads.join(hits, list(keys), "left")
     extra = []

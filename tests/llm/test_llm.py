@@ -73,6 +73,30 @@ def test_html_of_unusual_pages(source, text):
     assert main_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<p>{SENTENCES}</p><!--><p>{SENTENCES}</p>", f"{SENTENCES}\n{SENTENCES}"),
+        ("<p>One.</p><!---><p>Two.</p>", "One.\nTwo."),
+        ("<p>a b c.</p><!-- x --!><p>Two.</p>", "a b c.\nTwo."),
+        ("<p>a b c.</p><!-- > -- <p>x</p> --><p>Two.</p>", "a b c.\nTwo."),
+        ("text", "text"),
+        ("text<br><br>text", "text text"),
+        ("<body>text<br>text</body>", "text text"),
+        ("<b>text</b>", "text"),
+        ("<html><body>text<p>more</p>", "text\nmore"),
+        (f"<html><body><nav><a href=/>x</a></nav>{SENTENCES}<footer>f</footer></body></html>", SENTENCES),
+        (f"<p>{SENTENCES}</p><svg><svg>x</svg>leak</svg><p>t.</p>", f"{SENTENCES}\nt."),
+        (f"<p>{SENTENCES}</p><svg><svg/>x</svg><p>t.</p>", f"{SENTENCES}\nt."),
+        (f"<article><p>{SENTENCES}</p><object><object>a</object>leak</object></article>", SENTENCES),
+        ("<p>&l<b>t;</b> x</p>", "&lt; x"),
+        ("<p>&am<!-- -->p; x &amp; y</p>", "&amp; x & y"),
+    ],
+)
+def test_html_of_bare_text_comments_and_nested_elements(source, text):
+    assert main_text(source) == text
+
+
 def test_html_of_all_given_pages_equals_their_articles(spark):
     """The given pages hold their text in headings and paragraphs of one article."""
     import html as entities
@@ -551,6 +575,17 @@ def test_decontamination_by_brute_force(spark, documents):
     assert decontamination.decontaminate(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "int"])
+def test_decontamination_with_items_of_any_type(spark, kind):
+    rows = [(1, "one two three"), (2, "four"), (3, None)]
+    items = spark.createDataFrame([("7", "two three"), ("8", "five")], "item_id string, text string")
+    named = items.withColumn("item_id", F.concat(F.lit("item-"), "item_id") if kind == "string" else F.col("item_id").cast(kind))
+    got = {r.doc_id: r for r in decontamination.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string"), named, slop=1).collect()}
+    name = {"string": "item-7", "double": "7.0", "int": "7"}[kind]
+    assert got[1].items_sha256 == hashlib.sha256(name.encode()).hexdigest() and got[1].near_items == [name]
+    assert got[2].items_sha256 == EMPTY_SHA and not got[3].contaminated
+
+
 def test_decontamination_beyond_the_bound_on_broadcasts(spark, monkeypatch):
     rows = [(i, f"x{i} one two three four five six seven eight nine ten y{i}" if i % 3 else "one two ten") for i in range(30)] + [(None, "one " * 9 + "one")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
