@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecode import srt_time, vtt_time
-from ..sources import subtitles
+from ..sources import artifacts, subtitles
 from ..sources.scratch import scratch_dir
-from .tables import CUES, cues
+from .tables import COSTED, CUES, costed, cues, table
 
 #: Films that the conversations are dealt to, and the share of cues whose times are spoiled.
 FILMS, SPOILED = 8, 17
@@ -53,14 +53,80 @@ def rejected_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.unionByName(vtt).groupBy("format", _film(F.col("path")).alias("film")).agg(F.count("*").alias("rejected"))
 
 
+def _projects(spark: SparkSession, sf_dir: str) -> str:
+    """Suppliers as projects, a JSON file in a folder of each; every thirteenth file is cut off."""
+    k, text = F.col("s_suppkey"), F.lit
+    whole = F.concat(text('{"project_id": "'), k, text('", "title": "'), "s_name", text('", "state": "NEW", "cost_usd": '), k % 7, text(', "more": {"a": [1]}}'))
+    value = F.when(k % 13 == 0, F.concat(text('{"project_id": "'), k, text('", "title": '))).otherwise(whole)
+    folder = scratch_dir(spark)
+    table(spark, sf_dir, "supplier").select(k.alias("folder"), value.alias("value")).repartition("folder").write.partitionBy("folder").text(folder)
+    return folder
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifacts.read_projects(spark, _projects(spark, sf_dir), "new", name="part-*").select("project_id", "title", "state", "cost_usd")
+
+
+def quarantined_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that project_files leaves out, with their text."""
+    bad = artifacts.quarantine(spark, _projects(spark, sf_dir) + "/*/part-*", artifacts.PROJECT)
+    return bad.select(F.regexp_extract("path", r"folder=(\d+)", 1).alias("project_id"), F.trim(F.regexp_replace("record", r"\s+\z", "")).alias("record"))
+
+
+def file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of each project's file."""
+    found = artifacts.fingerprints(spark, _projects(spark, sf_dir) + "/*/part-*")
+    return found.select(F.regexp_extract("path", r"folder=(\d+)", 1).alias("project_id"), "length", "sha256")
+
+
+def scene_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as scenes of an index a conversation, with fields that are missing."""
+    scenes = cues(spark, sf_dir).select("project_id", "pos", F.concat(F.lit("s"), "pos").alias("scene_id"), F.col("start_s").alias("start_seconds"), F.when(F.col("pos") % 2 == 0, F.col("end_s")).alias("end_seconds"), F.when(F.col("pos") % 3 > 0, F.col("text")).alias("transcript_text"))
+    folder = scratch_dir(spark)
+    artifacts.write_scenes(scenes, folder)
+    read = artifacts.read_scenes(spark, folder, lines=True)
+    return read.select(F.col("project_id").cast("bigint").alias("project_id"), "pos", "scene_id", "start_seconds", "end_seconds", "duration_seconds", "transcript_text", F.size("characters").alias("characters"))
+
+
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents as transcript chunks, a line each, partitioned by source."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("source").alias("origin"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0.0).alias("start_seconds"), (F.length("text") / 4.0).alias("end_seconds"), "text", F.size(F.split("text", " ")).cast("bigint").alias("word_count"), F.lit(1).cast("bigint").alias("source_entries"))
+    folder = scratch_dir(spark)
+    artifacts.write_table(chunks, folder, "origin", form="json")
+    read = artifacts.read_chunks(spark, folder + "/*", lines=True)
+    return read.select(F.col("chunk_id").cast("bigint").alias("doc_id"), "end_seconds", F.sha2("text", 256).alias("sha256"), "word_count")
+
+
+def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written by task and read again, with only the columns and tasks that are asked for."""
+    folder = scratch_dir(spark)
+    artifacts.write_table(costed(spark, sf_dir), folder, "task_name")
+    read = spark.read.parquet(folder).where("task_name != 'view'")
+    return read.groupBy("task_name", "model_name").agg(F.count("*").alias("calls"), F.sum("cost_micros").alias("cost_micros"))
+
+
 _FILES = rf"""{CUES}, filed as (select project_id % {FILMS} as film, project_id, pos, (project_id + pos) % {SPOILED} = 0 as spoiled,
   CAST(project_id * 1000 + pos AS INTEGER) as number, CAST(floor(start_s) AS BIGINT) * 1000 + CAST(floor((start_s - floor(start_s)) * 1000) AS BIGINT) as start_ms,
   CAST(floor(end_s) AS BIGINT) * 1000 + CAST(floor((end_s - floor(end_s)) * 1000) AS BIGINT) as end_ms, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) as text from cues)"""
 _READ = "CAST(row_number() over (partition by film order by project_id, pos) AS INTEGER)"
 
-QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues)}
+_PROJECTS = """projects as (select s_suppkey as k, CAST(s_suppkey AS VARCHAR) as project_id, s_name as title, s_suppkey % 13 = 0 as broken,
+  case when s_suppkey % 13 = 0 then '{"project_id": "' || s_suppkey || '", "title":' else '{"project_id": "' || s_suppkey || '", "title": "' || s_name || '", "state": "NEW", "cost_usd": ' || (s_suppkey % 7) || ', "more": {"a": [1]}}' end as record,
+  case when s_suppkey % 13 = 0 then record || ' ' || chr(10) else record || chr(10) end as content from supplier)"""
+
+QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues, project_files, quarantined_projects, file_fingerprints, scene_files, chunk_files, ledger_files)}
 SQL = {
     "srt_files": f"with {_FILES} select film, {_READ} - 1 as pos, number as cue_index, start_ms, end_ms, text from filed where not spoiled",
     "vtt_files": f"with {_FILES} select film, {_READ} - 1 as pos, {_READ} as cue_index, start_ms, end_ms, text from filed where not spoiled",
     "rejected_cues": f"with {_FILES} select format, film, CAST(count(*) AS BIGINT) as rejected from filed, (values ('srt'), ('vtt')) as f(format) where spoiled group by all",
+    "project_files": f"with {_PROJECTS} select project_id, title, 'new' as state, CAST(k % 7 AS DOUBLE) as cost_usd from projects where not broken",
+    "quarantined_projects": f"with {_PROJECTS} select project_id, record from projects where broken",
+    "file_fingerprints": f"with {_PROJECTS} select project_id, CAST(strlen(content) AS BIGINT) as length, sha256(content) as sha256 from projects",
+    "scene_files": f"""with {CUES}, listed as (select project_id, CAST(row_number() over (partition by project_id order by pos) - 1 AS INTEGER) as place, pos, start_s,
+  case when pos % 2 = 0 then end_s else start_s + 1.0::DOUBLE end as e, text from cues)
+select project_id, place as pos, 's' || pos as scene_id, start_s as start_seconds, e as end_seconds, e - start_s as duration_seconds,
+  case when pos % 3 > 0 then text else '' end as transcript_text, CAST(0 AS INTEGER) as characters from listed""",
+    "chunk_files": "select doc_id, CAST(length(text) AS DOUBLE) / 4.0::DOUBLE as end_seconds, sha256(text) as sha256, CAST(len(string_split(text, ' ')) AS BIGINT) as word_count from documents",
+    "ledger_files": f"with {COSTED} select task_name, model_name, CAST(count(*) AS BIGINT) as calls, CAST(sum(cost_micros) AS BIGINT) as cost_micros from costed where task_name <> 'view' group by all",
 }

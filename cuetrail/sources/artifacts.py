@@ -17,11 +17,27 @@ def _fields(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in ddl.split(", ")))
 
 
-def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """Scenes of scene indexes (one JSON object a file): project_id, pos and the scene's fields; missing texts are "", lists empty, ends
-    a second after the start."""
+CORRUPT = "_corrupt_record"
+
+
+def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """JSON of a schema, an object a file or (lines) a line, with CORRUPT, the text of what can't be read so. Large files of lines split."""
+    return spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=not lines)
+
+
+def quarantine(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """path, record: files, or lines, that aren't JSON of the schema, for the side table of what readers leave out."""
+    first = schema.split(" ", 1)[0]
+    # the reader refuses to read CORRUPT alone, so nothing of another column is added to it
+    record = F.concat(CORRUPT, F.coalesce(F.left(F.col(first).cast("string"), F.lit(0)), F.lit("")))
+    return _json(spark, path, schema, lines).select(F.col("_metadata.file_path").alias("path"), record.alias("record")).where("record is not null")
+
+
+def read_scenes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scenes of scene indexes (one JSON object a file, or a line, as write_scenes has them): project_id, pos and the scene's fields; missing
+    texts are "", lists empty, ends a second after the start. Indexes that can't be read are left out."""
     schema = f"project_id string, duration_seconds double, scenes array<struct<{_fields(SCENE)}>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.coalesce("project_id", F.col("_metadata.file_path")).alias("project_id"), F.posexplode("scenes").alias("pos", "s")).select("project_id", "pos", "s.*")
+    rows = _json(spark, path, schema, lines).where(F.col(CORRUPT).isNull()).select(F.coalesce("project_id", F.col("_metadata.file_path")).alias("project_id"), F.posexplode("scenes").alias("pos", "s")).select("project_id", "pos", "s.*")
     start = F.coalesce("start_seconds", F.lit(0.0))
     end = F.coalesce("end_seconds", start + 1.0)
     texts = {c: F.coalesce(c, F.lit("")) for c in ("transcript_text", "visual_description", "location", "emotional_tone")}
@@ -36,9 +52,10 @@ def write_scenes(scenes: DataFrame, path: str) -> None:
     scenes.groupBy("project_id").agg(listed.alias("scenes")).write.mode("overwrite").json(path)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript chunks (a JSON array a file), with the file they come from."""
-    return spark.read.schema(CHUNK).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "*")
+def read_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Transcript chunks (a JSON array a file, or a chunk a line), with the file they come from. What can't be read is left out."""
+    rows = _json(spark, path, CHUNK, lines).where(F.col(CORRUPT).isNull())
+    return rows.select(F.col("_metadata.file_path").alias("path"), "*").drop(CORRUPT)
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str, form: str = "parquet") -> None:
@@ -59,9 +76,10 @@ def read_telemetry(spark: SparkSession, paths: dict[str, str], model_of: dict[st
     return out.withColumn("model_name", model)
 
 
-def read_projects(spark: SparkSession, root: str, state: str | None = None) -> DataFrame:
-    """Projects, one project.json a folder; unreadable files are left out; states in lower case."""
-    rows = spark.read.schema(PROJECT).option("mode", "DROPMALFORMED").json(f"{root}/*/project.json", multiLine=True).where("project_id is not null").withColumn("state", F.lower("state"))
+def read_projects(spark: SparkSession, root: str, state: str | None = None, name: str = "project.json") -> DataFrame:
+    """Projects, one file `name` a folder; unreadable files are left out (quarantine has them); states in lower case."""
+    rows = _json(spark, f"{root}/*/{name}", PROJECT, lines=False).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows = rows.where("project_id is not null").withColumn("state", F.lower("state"))
     return rows.where(F.col("state") == state.lower()) if state else rows
 
 
