@@ -104,7 +104,7 @@ def coupling(clips: DataFrame, keys=KEYS, total_seconds: float = 600.0) -> DataF
 
 def clip_verdicts(clips: DataFrame) -> DataFrame:
     """Adds verdict (score of a clip) and ok. clips: has_scene, affinity, subs (characters of cue text), common (shared tokens), tokens
-    (tokens of the narration), shared_activity, conflict, regressed, drift."""
+    (tokens of the narration), shared_activity, conflict, regressed."""
     c = F.col
     by_scene = F.greatest(F.lit(20.0), F.least(F.lit(100.0), 120 * c("affinity")))
     by_cues = F.greatest(F.lit(30.0), F.least(F.lit(100.0), 100 * c("common") / F.greatest(F.lit(2.0), 0.15 * c("tokens"))))
