@@ -97,10 +97,16 @@ def token_overlap(a: DataFrame, b: DataFrame, keys: tuple[str, ...], a_id: str,
 
 def signature_contamination(texts: DataFrame, signatures: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, title, signature of each signature of a different title in a text. texts: keys, own_title, text; signatures: title, signature.
-    Titles are the same if one holds the other after normalisation."""
-    a, b = normal_title(F.col("own_title")), normal_title(F.col("title"))
-    same = F.contains(a, b) | F.contains(b, a)
-    return contained(texts, signatures, (*keys, "own_title"), "signature").where(~same).select(*keys, "title", "signature")
+    A title is the text's own if, after normalisation, it or one of its signatures holds the own title or is held by it; an own title of
+    which normalisation leaves nothing is no other title."""
+    own = normal_title(F.col("own_title"))
+    alike = lambda name: (own != "") & (F.contains(own, name) | F.contains(name, own))
+    found = contained(texts, signatures, (*keys, "own_title"), "signature").where(~alike(normal_title(F.col("title"))))
+    # only titles that were found are held against the other signatures of theirs
+    sign = normal_title(F.col("signature"))
+    pairs = found.select("own_title", "title").distinct().join(signatures.select("title", "signature"), "title")
+    known = pairs.where((sign != "") & alike(sign)).select("own_title", "title").distinct()
+    return found.join(known, ["own_title", "title"], "left_anti").select(*keys, "title", "signature")
 
 
 def quoted_titles(text: Column) -> Column:
@@ -108,6 +114,35 @@ def quoted_titles(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("《([^》]+)》"), F.lit(1))
 
 
+def title_mismatches(segments: DataFrame, titles: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, title: the titles in 《》 that a script's first segment names, each as often as it does, unless without white space the title
+    holds the script's own or is held by it. segments: keys, pos, text; titles: keys, own_title. Without an own title nothing is held
+    against it; only the least pos is looked at, a null text there names nothing."""
+    opening = segments.groupBy(*keys).agg(F.min_by("text", "pos").alias("text")).join(titles.where("own_title <> ''"), list(keys))
+    named = opening.select(*keys, "own_title", F.explode(quoted_titles(F.col("text"))).alias("title"))
+    bare = F.regexp_replace("title", r"(?U)\s", "")
+    return named.where((bare != "") & ~F.contains("own_title", bare) & ~F.contains(bare, F.col("own_title"))).select(*keys, "title")
+
+
+def title_findings(segments: DataFrame, titles: DataFrame, signatures: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, check, severity, title, signatures of each script: a failure for each other title of which the whole script holds signatures
+    (listed in order), one for each title that the first segment names wrongly, else one row that passes.
+
+    segments: keys, pos, text; titles: keys, own_title (null or empty: nothing to compare with, so the script passes); signatures: title,
+    signature. Texts are joined by one space in the order of pos, so a signature may run on from one segment into the next.
+    """
+    said = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text"))))
+    scripts = segments.groupBy(*keys).agg(F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("text"))
+    texts = scripts.join(titles.where("own_title <> ''"), list(keys))
+    foreign = signature_contamination(texts, signatures, keys).groupBy(*keys, "title").agg(F.array_sort(F.collect_set("signature")).alias("signatures"))
+    none = F.array().cast("array<string>").alias("signatures")
+    fail, isolation = F.lit("fail").alias("severity"), F.lit("title_isolation").alias("check")
+    wrong = title_mismatches(segments, titles, keys).select(*keys, F.lit("title_mismatch").alias("check"), fail, "title", none)
+    failed = foreign.select(*keys, isolation, fail, "title", "signatures").unionByName(wrong)
+    clean = segments.select(*keys).distinct().join(failed.select(*keys), list(keys), "left_anti")
+    return failed.unionByName(clean.select(*keys, isolation, F.lit("pass").alias("severity"), F.lit(None).cast("string").alias("title"), none))
+
+
 def phase(start: Column, total: Column) -> Column:
     """Part of the story by the share of the way to `start`."""
     r = start / F.greatest(F.lit(1.0), total)

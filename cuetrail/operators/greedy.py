@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +16,16 @@ from .intervals import interval_join
 KEYS = ["project_id"]
 
 
-def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, decide) -> DataFrame:
-    """keys, columns and the added one. decide gets the columns of a group as lists, in the order of the first column, and returns a list.
+def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, decide, order: int = 1, kept: list[str] | None = None) -> DataFrame:
+    """keys, columns (or only those `kept`) and the added one. decide gets the columns of a group as lists, in the order of the first
+    `order` columns, and returns a list.
 
     Groups stand side by side in sorted partitions and are decided as they stream past, so small groups cost little and a task never
     holds more than a batch and a group.
     """
     slim = df.select(*keys, *columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
+    back = [*keys, *(columns if kept is None else kept)]
+    schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in back)
     name = added.split()[0]
 
     def decided(t: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
@@ -30,7 +33,7 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, dec
         out: list = []
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             out += decide({c: v[x:y] for c, v in lists.items()})
-        return t.iloc[: edges[-1]].assign(**{name: out})
+        return t.iloc[: edges[-1]][back].assign(**{name: out})
 
     def same(a, b) -> bool:
         return a == b or (pd.isna(a) and pd.isna(b))
@@ -61,7 +64,7 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, dec
             last = pd.concat(held, ignore_index=True)
             yield decided(last, [0, len(last)])
 
-    return slim.repartition(*keys).sortWithinPartitions(*keys, columns[0]).mapInPandas(run, f"{schema}, {added}")
+    return slim.repartition(*keys).sortWithinPartitions(*keys, *columns[:order]).mapInPandas(run, f"{schema}, {added}")
 
 
 def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: int = 200, keys=KEYS) -> DataFrame:
@@ -154,8 +157,8 @@ PHASE_SHARES = {"setup": 0.22, "inciting_incident": 0.26, "investigation": 0.28,
 
 
 def select_phases(sequences: DataFrame, target_seconds: float, keys=KEYS) -> DataFrame:
-    """The picked rows of sequences (keys, pos, start_s, duration_s, event_type, weight, is_main) with their part of the story, each part in
-    the order of time. Parts are independent, so a group is one part of one project.
+    """The picked rows of sequences (keys, pos, start_s, duration_s, event_type, weight, is_main) with their part of the story and their
+    place: 1, 2, ... by (start_s, pos) over the whole selection of a project. Parts are independent, so a group is one part of one project.
 
     Candidates go by falling weight, the earlier first among equals; the first opening of the setup (before 300 s, weight 7 or more) goes
     before them all. A candidate is taken unless it starts within 30 s of a pick, is no main story though something is picked, or takes the
@@ -184,7 +187,8 @@ def select_phases(sequences: DataFrame, target_seconds: float, keys=KEYS) -> Dat
         return out
 
     picked = _grouped(rows, [*keys, "part"], ["turn", "pos", "start_s", "duration_s", "weight", "is_main", "budget", "opens"], "picked boolean", decide)
-    return picked.where("picked").select(*keys, "part", "pos", "start_s", "duration_s", "weight", "is_main").sortWithinPartitions(*keys, "part", "start_s")
+    in_time = W.partitionBy(*keys).orderBy("start_s", "pos")
+    return picked.where("picked").select(*keys, "part", "pos", "start_s", "duration_s", "weight", "is_main", F.row_number().over(in_time).alias("place"))
 
 
 def label_topics(scores: DataFrame, phases: DataFrame, keys=KEYS) -> DataFrame:
@@ -205,16 +209,41 @@ def label_topics(scores: DataFrame, phases: DataFrame, keys=KEYS) -> DataFrame:
     return _grouped(rows, keys, ["pos", "phase", "topics"], "topic string", decide).select(*keys, "pos", "topic")
 
 
-def plan_clips(narrations: DataFrame, total_seconds: float, spacing: float = 8.0, aligned: bool = False, keys=KEYS) -> DataFrame:
+#: What narrations and scenes have in common, as arrays of strings: words, words of the scene's summary, concepts.
+SHARED = ("tokens", "summary", "concepts")
+
+
+def _listed(of_scenes: list) -> dict[str, list[int]]:
+    """The inverted list of each term: the numbers of the scenes that hold it."""
+    lists = defaultdict(list)
+    for i, terms in enumerate(of_scenes):
+        for x in set(terms) if terms is not None else ():
+            lists[x].append(i)
+    return lists
+
+
+def _common(lists: dict[str, list[int]], terms: set, scenes: int) -> np.ndarray:
+    """How many of the terms each scene holds."""
+    n = np.zeros(scenes)
+    for x in terms:
+        if x in lists:
+            n[lists[x]] += 1
+    return n
+
+
+def plan_clips(narrations: DataFrame, scenes: DataFrame, total_seconds: float, spacing: float = 8.0, aligned: bool = False, keys=KEYS) -> DataFrame:
     """keys, pos, source_start, source_end, scene_pos, score: a stretch of the source for each narration, in order.
 
-    narrations: keys, pos, need, anchor, proposed_start, proposed_end (null without a proposal), and of the project's scenes in order the
-    arrays scenes (positions), starts, and bases (what of the score doesn't depend on earlier picks: 0.30 concepts + 0.20 tokens + 0.15
-    summary). With `aligned`, proposals are followed as they are. Else the scene with the best score is taken, the earlier among equals; to
-    the base come 0.25 times its place and 0.10 times the order, rounded to 4 places. A proposal counts unless it lies outside the source,
-    within 15 s of a pick, more than 120 s behind the last one, or starts where an earlier one did; the place is then 40 s around it. Scenes
-    within `spacing` of a pick are left out while others are there; without scenes the anchor is taken, with score 0. Starts are kept inside
-    the source. A task holds a batch and a project.
+    narrations: keys, pos, need, anchor, proposed_start, proposed_end (null without a proposal); scenes: keys, scene_pos, start_s. Both may
+    have tokens and concepts, scenes also summary, as arrays of strings; what is null or missing is shared by none, and repeated terms count
+    once. With `aligned`, proposals are followed as they are. Else the scene with the best score is taken, the earlier among equals: 0.30
+    times the concepts, 0.20 times the tokens and 0.15 times the words of the summary that it shares, 0.25 times its place and 0.10 times the
+    order (as in `matching.affinity`), rounded to 4 places. A proposal counts unless it lies outside the source, within 15 s of a pick, more
+    than 120 s behind the last one, or starts where an earlier one did; the place is then 40 s around it. Scenes within `spacing` of a pick
+    are left out while others are there; without scenes the anchor is taken, with score 0. Starts are kept inside the source.
+
+    Scenes and narrations are dealt and sorted once, a project's scenes before its narrations, and never paired in a join: shared terms are
+    counted by the inverted lists of the project's scenes. A task holds a batch and one project's rows, each once.
     """
     span, reach = max(120.0, 0.25 * total_seconds), max(1.0, 0.1 * total_seconds)
 
@@ -231,8 +260,12 @@ def plan_clips(narrations: DataFrame, total_seconds: float, spacing: float = 8.0
         return np.where(d >= 0, np.minimum(1, 0.5 + 0.5 * (1 - np.minimum(1, d / reach))), np.where(d >= -30, 0.2, -1 - np.abs(d) / 100))
 
     def decide(g: dict) -> list:
-        used, proposals, out = [], set(), []
-        for need, anchor, low, high, scenes, starts, bases in zip(*(g[c] for c in ("need", "anchor", "proposed_start", "proposed_end", "scenes", "starts", "bases")), strict=True):
+        n = g["kind"].count(0)  # scenes, which stand in front
+        numbers, start = g["at"][:n], np.asarray(g["start"][:n], dtype=float)
+        tokens_of, summary_of, concepts_of = (_listed(g[c][:n]) for c in SHARED)
+        used, proposals, out = [], set(), [None] * n
+        for need, anchor, low, high, tokens, concepts in zip(*(g[c][n:] for c in ("need", "start", "low", "high", "tokens", "concepts")), strict=True):
+            tokens, concepts = (set(x) if x is not None else set() for x in (tokens, concepts))
             last = used[-1] if used else None
             window = None
             proposed = low is not None and not np.isnan(low)
@@ -241,22 +274,32 @@ def plan_clips(narrations: DataFrame, total_seconds: float, spacing: float = 8.0
                 if 0 <= low <= total_seconds and not loops and low not in proposals and all(abs(low - u) >= 15 for u in used):
                     window = (low - 40, high + 40)
                 proposals.add(low)
-            start = np.asarray(starts if starts is not None else [], dtype=float)
             if aligned and proposed:
                 chosen, scene, score = low, None, 1.0
-            elif not len(start):
+            elif not n:
                 chosen, scene, score = anchor, None, 0.0
             else:
-                scores = np.floor((np.asarray(bases, dtype=float) + 0.25 * places(start, anchor, window) + 0.10 * orders(start, last)) * 10_000 + 0.5) / 10_000
-                free = np.ones(len(start), dtype=bool)
+                met = _common(concepts_of, concepts, n)
+                c = np.where(met > 0, np.minimum(1.0, 0.6 + 0.4 * (met - 1)), 0.0)
+                t = np.minimum(1.0, _common(tokens_of, tokens, n) / max(3.0, 0.15 * len(tokens)))
+                u = np.minimum(1.0, _common(summary_of, tokens, n) / max(4.0, 0.20 * len(tokens)))
+                scores = np.floor((0.30 * c + 0.20 * t + 0.15 * u + 0.25 * places(start, anchor, window) + 0.10 * orders(start, last)) * 10_000 + 0.5) / 10_000
+                free = np.ones(n, dtype=bool)
                 for u in used:
                     free &= np.abs(start - u) >= spacing
                 best = int(np.argmax(np.where(free | ~free.any(), scores, -np.inf)))
-                chosen, scene, score = float(start[best]), int(scenes[best]), float(scores[best])
+                chosen, scene, score = float(start[best]), int(numbers[best]), float(scores[best])
             chosen = max(0.0, min(chosen, max(0.0, total_seconds - need)))
             used.append(chosen)
             out.append((chosen, scene, score))
         return out
 
-    picked = _grouped(narrations, keys, ["pos", "need", "anchor", "proposed_start", "proposed_end", "scenes", "starts", "bases"], "pick struct<start:double,scene:int,score:double>", decide)
-    return picked.select(*keys, "pos", F.col("pick.start").alias("source_start"), (F.col("pick.start") + F.col("need")).alias("source_end"), F.col("pick.scene").alias("scene_pos"), F.col("pick.score").alias("score"))
+    def side(df: DataFrame, kind: int, at: str, **numbers) -> DataFrame:
+        doubles = [numbers.get(c, F.lit(None)).cast("double").alias(c) for c in ("start", "need", "low", "high")]
+        shared = [(F.col(c) if c in df.columns else F.lit(None)).cast("array<string>").alias(c) for c in SHARED]
+        return df.select(*keys, F.lit(kind).alias("kind"), F.col(at).cast("bigint").alias("at"), *doubles, *shared)
+
+    line = side(scenes, 0, "scene_pos", start=F.col("start_s")).unionByName(side(narrations, 1, "pos", start=F.col("anchor"), need=F.col("need"), low=F.col("proposed_start"), high=F.col("proposed_end")))
+    picked = _grouped(line, keys, ["kind", "at", "start", "need", "low", "high", *SHARED], "pick struct<start:double,scene:int,score:double>", decide, order=2, kept=["kind", "at", "need"])
+    pos = F.col("at").cast(narrations.schema["pos"].dataType).alias("pos")
+    return picked.where("kind = 1").select(*keys, pos, F.col("pick.start").alias("source_start"), (F.col("pick.start") + F.col("need")).alias("source_end"), F.col("pick.scene").alias("scene_pos"), F.col("pick.score").alias("score"))

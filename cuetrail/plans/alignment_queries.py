@@ -26,8 +26,9 @@ def _domains(text):
     return F.filter(F.array(*(F.when(F.size(any_contained(F.lower(text), words)) > 0, F.lit(d)) for d, words in DOMAINS.items())), lambda x: x.isNotNull())
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of a conversation as clips, each cut from somewhere in the conversation's own time line."""
+def _placed(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """User turns of a conversation as clips, each cut from somewhere in the conversation's own time line. With wide, a scene is known by
+    the tokens of its neighbours too, and domains that clip and scene share are concepts of both."""
     c = cues(spark, sf_dir)
     own = c.where("segment_type = 'commentary'").select("project_id", "pos", "text", ((F.col("start_s") * 7) % 240.0).alias("source_start"), "duration")
     own = own.withColumn("source_end", F.col("source_start") + F.col("duration"))
@@ -35,18 +36,25 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cue_side = c.select("project_id", F.col("pos").alias("cue_pos"), F.col("start_s").alias("s2"), F.col("end_s").alias("e2"), "text")
     texts = I.attach_cues(scenes, cue_side).select("project_id", "scene_pos", F.col("text").alias("scene_text"))
     with_text = scenes.join(texts, ["project_id", "scene_pos"])
+    of_scene = with_text.select("project_id", F.col("scene_pos").alias("pos"), F.col("s").alias("start_s"), F.col("e").alias("end_s"), latin_tokens(F.col("scene_text")).alias("tokens"))
+    contexts = K.context(of_scene, "tokens").select("project_id", F.col("pos").alias("scene_pos"), "context")
     at = I.nearest_scene(own.select("project_id", F.col("pos").alias("point_id"), F.col("source_start").alias("t")), scenes)
     subs = I.clip_texts(own.select("project_id", F.col("pos").alias("clip_pos"), F.col("source_start").alias("s"), F.col("source_end").alias("e")), cue_side, with_text.select("project_id", "scene_pos", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("scene_text").alias("transcript")))
     d = own.join(at.withColumnRenamed("point_id", "pos"), ["project_id", "pos"], "left").join(with_text.select("project_id", "scene_pos", F.col("s").alias("scene_start"), "scene_text"), ["project_id", "scene_pos"], "left")
     d = d.join(subs.select("project_id", F.col("clip_pos").alias("pos"), F.col("text").alias("sub_text")), ["project_id", "pos"], "left")
     n, none = latin_tokens(F.col("text")), F.array().cast("array<string>")
-    score = M.affinity(n, latin_tokens(F.col("scene_text")), none, F.lit(0.0), F.col("scene_start"), F.col("source_start"), F.lit(TOTAL), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    about, known, shared = F.col("scene_text"), latin_tokens(F.col("scene_text")), F.lit(0.0)
+    if wide:
+        d = d.join(contexts, ["project_id", "scene_pos"], "left")
+        about, known = F.concat_ws(" ", F.array_join("context", " "), "scene_text"), F.col("context")
+        shared = F.size(F.array_intersect("domains", "scene_domains")).cast("double")
+    d = d.withColumns({"domains": _domains(F.col("text")), "scene_domains": _domains(about)})
+    score = M.affinity(n, known, none, shared, F.col("scene_start"), F.col("source_start"), F.lit(TOTAL), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"))
     prior = F.lag("source_start").over(W.partitionBy("project_id").orderBy("pos"))
-    d = d.withColumns({"domains": _domains(F.col("text")), "__of_scene": _domains(F.concat("text", F.lit(" "), "scene_text")), "affinity": score, "subs": F.char_length("sub_text"), "common": F.size(F.array_intersect(n, latin_tokens(F.col("sub_text")))), "tokens": F.size(n), "regressed": F.coalesce(F.col("source_start") < prior - 45, F.lit(False))})
-    d = d.withColumn("scene_domains", _domains(F.col("scene_text")))
+    d = d.withColumns({"affinity": score, "subs": F.char_length("sub_text"), "common": F.size(F.array_intersect(n, latin_tokens(F.col("sub_text")))), "tokens": F.size(n), "regressed": F.coalesce(F.col("source_start") < prior - 45, F.lit(False))})
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CONFLICTS))
     clash = F.filter(pairs, lambda p: F.array_contains("domains", p["a"]) & F.array_contains("scene_domains", p["b"]) & ~F.array_contains("domains", p["b"]))
-    return d.withColumns({"conflicts": F.size(clash), "shared_activity": F.arrays_overlap("domains", "scene_domains")}).drop("__of_scene")
+    return d.withColumns({"conflicts": F.size(clash), "shared_activity": F.arrays_overlap("domains", "scene_domains")})
 
 
 def clip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +64,8 @@ def clip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the checks of picture against narration that a conversation passes."""
-    return A.alignment(_placed(spark, sf_dir), RULES, TOTAL)
+    """Share of the checks of picture against narration that a conversation passes, scenes known with their neighbours."""
+    return A.alignment(_placed(spark, sf_dir, wide=True), RULES, TOTAL)
 
 
 def end_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,20 +150,31 @@ def _dom(text: str) -> str:
 
 
 _TOK = lambda t: f"list_distinct(list_transform(regexp_extract_all({t}, '[A-Za-z0-9_]+'), lambda x: lower(x)))"
-_PLACED = f"""{CUES}, {grid_sql('cues')},
+
+
+def _placed_sql(wide: bool = False) -> str:
+    about = "(array_to_string(a.context, ' ') || ' ' || a.scene_text)" if wide else "a.scene_text"
+    known = "context" if wide else _TOK("scene_text")
+    shared = "len(list_intersect(domains, scene_domains))" if wide else "0"
+    return f"""{CUES}, {grid_sql('cues')},
 own as (select project_id, pos, text, (start_s * 7) % 240.0::DOUBLE as source_start, duration, (start_s * 7) % 240.0::DOUBLE + duration as source_end from cues where segment_type = 'commentary'),
 tx as (select s.project_id, s.scene_pos, s.s, s.e, coalesce(string_agg(c.text, ' ' order by c.pos), '') as scene_text from scenes s left join cues c on c.project_id = s.project_id and s.s < c.end_s and s.e > c.start_s group by all),
-nearby as (select * from (select o.project_id, o.pos, t.scene_pos, t.s as scene_start, t.scene_text, row_number() over (partition by o.project_id, o.pos order by case when t.s <= source_start and source_start <= t.e then 0 else 1 end,
-  case when t.s <= source_start and source_start <= t.e then 0.0::DOUBLE else abs(t.s - source_start) end, t.scene_pos) as rn from own o join tx t using (project_id)) where rn = 1),
+tk as (select *, {_TOK('scene_text')} as k from tx),
+cx as (select *, list_distinct(list_concat(list_concat(k, coalesce(case when abs(s - lag(e) over w) <= 8 then lag(k) over w end, [])), coalesce(case when abs(lead(s) over w - e) <= 8 then lead(k) over w end, []))) as context
+  from tk window w as (partition by project_id order by scene_pos)),
+nearby as (select * from (select o.project_id, o.pos, t.scene_pos, t.s as scene_start, t.scene_text, t.context, row_number() over (partition by o.project_id, o.pos order by case when t.s <= source_start and source_start <= t.e then 0 else 1 end,
+  case when t.s <= source_start and source_start <= t.e then 0.0::DOUBLE else abs(t.s - source_start) end, t.scene_pos) as rn from own o join cx t using (project_id)) where rn = 1),
 bc as (select project_id, pos, string_agg(text, ' ' order by p) as t from (select o.project_id, o.pos, q.text, min(q.pos) as p from own o join cues q on q.project_id = o.project_id and o.source_start < q.end_s and o.source_end > q.start_s where trim(q.text) <> '' group by all) group by all),
 bs as (select project_id, pos, string_agg(text, ' ' order by p) as t from (select o.project_id, o.pos, q.scene_text as text, min(q.scene_pos) as p from own o join tx q on q.project_id = o.project_id and o.source_start < q.e and o.source_end > q.s where trim(q.scene_text) <> '' group by all) group by all),
-p0 as (select o.*, a.scene_pos, a.scene_start, a.scene_text, coalesce(bc.t, bs.t, '') as sub_text, {_TOK('o.text')} as n, {_dom('o.text')} as domains, {_dom('a.scene_text')} as scene_domains,
+p0 as (select o.*, a.scene_pos, a.scene_start, a.scene_text, a.context, coalesce(bc.t, bs.t, '') as sub_text, {_TOK('o.text')} as n, {_dom('o.text')} as domains, {_dom(about)} as scene_domains,
   coalesce(o.source_start < lag(o.source_start) over (partition by o.project_id order by o.pos) - 45, false) as regressed
   from own o left join nearby a on a.project_id = o.project_id and a.pos = o.pos left join bc on bc.project_id = o.project_id and bc.pos = o.pos left join bs on bs.project_id = o.project_id and bs.pos = o.pos),
 p1 as (select *, CAST(len(list_filter([{', '.join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in CONFLICTS)}], lambda x: list_contains(domains, x.a) and list_contains(scene_domains, x.b) and not list_contains(domains, x.b))) AS INTEGER) as conflicts,
   len(list_intersect(domains, scene_domains)) > 0 as shared_activity, length(sub_text) as subs, len(list_intersect(n, {_TOK('sub_text')})) as common, len(n) as tokens,
-  case when len(n) = 0 then 0.0::DOUBLE else 0.30::DOUBLE * 0.0::DOUBLE + 0.20::DOUBLE * least(1.0::DOUBLE, len(list_intersect(n, {_TOK('scene_text')}))::DOUBLE / greatest(3.0::DOUBLE, 0.15::DOUBLE * len(n)))
+  case when len(n) = 0 then 0.0::DOUBLE else 0.30::DOUBLE * case when {shared} > 0 then least(1.0::DOUBLE, 0.6::DOUBLE + 0.4::DOUBLE * ({shared} - 1)) else 0.0::DOUBLE end + 0.20::DOUBLE * least(1.0::DOUBLE, len(list_intersect(n, {known}))::DOUBLE / greatest(3.0::DOUBLE, 0.15::DOUBLE * len(n)))
     + 0.15::DOUBLE * 0.0::DOUBLE + 0.25::DOUBLE * greatest(0.0::DOUBLE, 1 - abs(scene_start - source_start) / 120.0::DOUBLE) + 0.10::DOUBLE * 0.5::DOUBLE end as affinity from p0)"""
+
+
 _RULE_SQL = "case " + " ".join(f"when (list_contains(domains, '{d}') or {' or '.join(f'''contains(text, '{w}')''' for w in ws)}) and source_start / {TOTAL}::DOUBLE >= {lo}::DOUBLE and source_start / {TOTAL}::DOUBLE <= {hi}::DOUBLE then '{k}'" for k, d, ws, lo, hi in RULES) + " end"
 
 
@@ -165,13 +184,13 @@ from (select *, count(*) over (partition by project_id) as n_all, row_number() o
 
 
 SQL = {
-    "clip_audit": f"""with {_PLACED},
+    "clip_audit": f"""with {_placed_sql()},
 v as (select *, trim(scene_text) <> '' as has_scene, conflicts > 0 as conflict from p1),
 w as (select *, case when has_scene then greatest(20.0::DOUBLE, least(100.0::DOUBLE, 120 * affinity)) when subs >= 8 then greatest(30.0::DOUBLE, least(100.0::DOUBLE, (100 * common)::DOUBLE / greatest(2.0::DOUBLE, 0.15::DOUBLE * tokens)))
   when subs = 0 then case when conflict then 40.0::DOUBLE else 90.0::DOUBLE end else 100.0::DOUBLE end as a from v),
 x as (select *, case when shared_activity and not conflict then greatest(a, 85.0::DOUBLE) else a end as b from w)
 select project_id, pos, scene_pos, conflicts, regressed, affinity, case when conflict then least(b, 40.0::DOUBLE) else b end as verdict, not conflict and not regressed and not (has_scene and affinity < 0.10::DOUBLE and not conflict and subs >= 8) as ok from x""",
-    "alignment": f"""with {_PLACED},
+    "alignment": f"""with {_placed_sql(wide=True)},
 o as (select project_id, conflicts + CAST(trim(scene_text) <> '' AS INTEGER) as c, conflicts + CAST(trim(scene_text) <> '' and length(scene_text) >= 12 and affinity < 0.15::DOUBLE and conflicts = 0 AS INTEGER) as b from p1
   union all select project_id, 1, 1 from (select project_id, {_RULE_SQL} as "check" from p1) where "check" is not null
   union all select project_id, 1, 1 from ({_ends('p1', TOTAL)}) where "check" is not null),

@@ -54,14 +54,10 @@ def plan_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cues(spark, sf_dir).withColumn("tokens", latin_tokens(F.col("text")))
     s = grid(c).select("project_id", "scene_pos", F.col("s").alias("start_s"), "e").where("project_id % 10 <> 3")
     texts = c.select("project_id", F.col("start_s").alias("cs"), F.col("end_s").alias("ce"), "tokens")
-    scene_tokens = s.join(texts, "project_id").where("start_s < ce and e > cs").groupBy("project_id", "scene_pos", "start_s").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("t"))
+    scene_tokens = s.join(texts, "project_id").where("start_s < ce and e > cs").groupBy("project_id", "scene_pos", "start_s").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
     n = anchors(c.where("segment_type = 'commentary'"), F.lit(600.0), F.col("duration"))
     n = n.select("project_id", "pos", F.col("duration").alias("need"), "anchor", F.when(F.col("pos") % 4 == 1, F.col("start_s")).alias("proposed_start"), F.when(F.col("pos") % 4 == 1, F.col("end_s")).alias("proposed_end"), "tokens")
-    base = 0.20 * F.least(F.lit(1.0), F.size(F.array_intersect("tokens", "t")) / F.greatest(F.lit(3.0), 0.15 * F.size("tokens")))
-    pairs = n.select("project_id", "pos", "tokens").join(scene_tokens, "project_id").select("project_id", "pos", "scene_pos", "start_s", base.alias("base"))
-    offered = pairs.groupBy("project_id", "pos").agg(F.array_sort(F.collect_list(F.struct("scene_pos", "start_s", "base"))).alias("c"))
-    rows = n.drop("tokens").join(offered, ["project_id", "pos"], "left").select("*", F.col("c.scene_pos").alias("scenes"), F.col("c.start_s").alias("starts"), F.col("c.base").alias("bases"))
-    return G.plan_clips(rows, 600.0)
+    return G.plan_clips(n, scene_tokens, 600.0)
 
 
 def sequence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +105,7 @@ st as (select project_id, part, i, case when true then [start_s] end as picks, d
     n.done or (n.ok and n.spent + n.duration_s >= n.budget), n.ok from
     (select c.*, st.picks, st.spent, st.done, not st.done and c.is_main and len(list_filter(st.picks, lambda p: abs(c.start_s - p) < 30)) = 0 and st.spent + c.duration_s <= c.budget * 1.30::DOUBLE as ok
      from st join c on c.project_id = st.project_id and c.part = st.part and c.i = st.i + 1) n)
-select c.project_id, c.part, c.pos, c.start_s, c.duration_s, c.weight, c.is_main from c join st using (project_id, part, i) where st.picked""",
+select c.project_id, c.part, c.pos, c.start_s, c.duration_s, c.weight, c.is_main, CAST(row_number() over (partition by c.project_id order by c.start_s, c.pos) AS INTEGER) as place from c join st using (project_id, part, i) where st.picked""",
     "label_topics": f"""with recursive {CUES}, s as ({_TOPIC_SCORES}),
 r as (select project_id, pos, list(topic order by score desc, topic_no) as topics from s where score >= 2 group by all),
 n as (select c.project_id, c.pos, coalesce(r.topics, []) as topics, 'phase_' || {_PART.format(r='(c.start_s / 400.0::DOUBLE)')} || '_' || CAST(c.pos AS VARCHAR) as fallback,

@@ -119,6 +119,19 @@ def title_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.signature_contamination(docs, b, ("doc_id",)).select("doc_id", "title")
 
 
+def title_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as scripts whose capitals start titles in marks; some name themselves rightly, some not, some have no title. Two words
+    of each benchmark item are a signature of its title."""
+    s = segments(spark, sf_dir)
+    marked = s.select("project_id", "pos", F.regexp_replace("text", "([A-Z][a-z]+ [a-z]+)", "《$1》").alias("text"))
+    raw, kind = F.min_by("text", "pos"), F.col("project_id") % 4
+    own = F.when(kind == 0, F.substring(raw, 1, 3)).when(kind == 1, F.replace(raw, F.lit(" "), F.lit(""))).when(kind == 2, "").otherwise(F.concat(F.lit("Item_"), (F.col("project_id") % 40).cast("string")))
+    titles = s.groupBy("project_id").agg(own.alias("own_title"))
+    words = F.split("text", " ")
+    signs = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), (F.col("item_id") % 40).cast("string")).alias("title"), F.array_join(F.slice(words, 3, 2), " ").alias("signature"))
+    return D.title_findings(marked, titles, signs, ("project_id",)).withColumn("signatures", F.array_join("signatures", ","))
+
+
 def phase_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = clips(spark, sf_dir)
     return c.select("project_id", "pos", D.phase(F.col("source_start"), F.lit(1000.0)).alias("phase"))
@@ -207,7 +220,7 @@ def scene_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.with_summaries(scenes, sections).select("project_id", "scene_pos", "section_pos", "summary")
 
 
-QUERIES = {f.__name__: f for f in (search_text, range_overlap, start_in_range, point_lookup, array_member_search, overlap_seconds, scene_cues_overlap, scene_cues_midpoint, clip_cues_fallback, nearest_scene, refs_overlap_inclusive, decision_lookup, dictionary_hits, domain_conflicts, token_overlap, title_contamination, phase_label, importance, time_format, speech_estimates, captions, clean_text, slugs, hashes, token_summary, json_recovery, cue_tokens, scene_affinity, scene_topk, scene_summaries)}
+QUERIES = {f.__name__: f for f in (search_text, range_overlap, start_in_range, point_lookup, array_member_search, overlap_seconds, scene_cues_overlap, scene_cues_midpoint, clip_cues_fallback, nearest_scene, refs_overlap_inclusive, decision_lookup, dictionary_hits, domain_conflicts, token_overlap, title_contamination, title_findings, phase_label, importance, time_format, speech_estimates, captions, clean_text, slugs, hashes, token_summary, json_recovery, cue_tokens, scene_affinity, scene_topk, scene_summaries)}
 
 _CUE = ", ".join(f"('{c}', '{q}')" for c, q in CONCEPTS)
 _ATTACH = """found as (select s.project_id, s.scene_pos, string_agg(c.text, ' ' order by c.pos) as text, count(*) as n from scenes s join {t} c on c.project_id = s.project_id and ({on}) group by all)
@@ -258,6 +271,20 @@ join conflict c on c.text_domain = t.domain and c.scene_domain = s.domain where
 select a.project_id, a.pos as a, b.pos as b, CAST(count(*) AS BIGINT) as common from t a join t b on a.project_id = b.project_id and a.token = b.token where a.pos % 2 = 0 and b.pos % 2 = 1 group by all""",
     "title_contamination": """select doc_id, 'item ' || CAST(item_id AS VARCHAR) as title from documents d join (select item_id, text as signature from benchmark) b on contains(d.text, b.signature)
 where not (contains('item' || CAST(doc_id % 40 AS VARCHAR), 'item' || CAST(item_id AS VARCHAR)) or contains('item' || CAST(item_id AS VARCHAR), 'item' || CAST(doc_id % 40 AS VARCHAR)))""",
+    "title_findings": f"""with {SEGMENTS},
+marked as (select *, regexp_replace(text, '([A-Z][a-z]+ [a-z]+)', '《\\1》', 'g') as m from segs),
+scripts as (select project_id, string_agg(m, ' ' order by pos) as t, arg_min(m, pos) as opening, arg_min(text, pos) as raw from marked group by project_id),
+own as (select *, case project_id % 4 when 0 then substr(raw, 1, 3) when 1 then replace(raw, ' ', '') when 2 then '' else 'Item_' || CAST(project_id % 40 AS VARCHAR) end as o from scripts),
+named as (select *, lower(regexp_replace(o, '[\\s_“”"《》''-]', '', 'g')) as n from own where o <> ''),
+signs as (select 'item ' || CAST(item_id % 40 AS VARCHAR) as title, 'item' || CAST(item_id % 40 AS VARCHAR) as nt, array_to_string(string_split(text, ' ')[3:4], ' ') as sign from benchmark),
+ns as (select *, lower(regexp_replace(sign, '[\\s_“”"《》''-]', '', 'g')) as x from signs),
+hit as (select distinct project_id, n, title, nt, sign from named join signs on contains(t, sign)),
+foreign_title as (select project_id, title, string_agg(sign, ',' order by sign) as signatures from hit where not (n <> '' and (contains(n, nt) or contains(nt, n)))
+  and not exists (select 1 from ns where ns.title = hit.title and x <> '' and hit.n <> '' and (contains(hit.n, x) or contains(x, hit.n))) group by all),
+quoted as (select project_id, o, unnest(regexp_extract_all(opening, '《([^》]+)》', 1)) as title from named),
+failed as (select project_id, 'title_isolation' as "check", 'fail' as severity, title, signatures from foreign_title
+  union all select project_id, 'title_mismatch', 'fail', title, '' from quoted where not contains(o, replace(title, ' ', '')) and not contains(replace(title, ' ', ''), o))
+select * from failed union all select project_id, 'title_isolation', 'pass', null, '' from scripts where project_id not in (select project_id from failed)""",
     "phase_label": f"with {CLIPS} select project_id, pos, " + _PHASE.format(r="source_start / 1000.0::DOUBLE") + " as phase from clips",
     "importance": f"""with {CUES}, x as (select *, CAST(contains(text, 'tion') AS INTEGER) + CAST(contains(text, 'ing') AS INTEGER) + CAST(contains(text, 'the') AS INTEGER) as hits, length(text) as n, (trim(text) = '' and pos = 0) as silent from cues),
 w as (select *, silent and duration < 60 and hits = 0 as filler, 5.0::DOUBLE + case when contains(text, 'an') and start_s < 500 then 2.5::DOUBLE else 0.0::DOUBLE end + least(4.0::DOUBLE, 0.8::DOUBLE * hits)

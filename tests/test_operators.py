@@ -154,17 +154,71 @@ def test_clustering_and_selection(spark):
 
 
 def test_clip_plan_moves_through_the_film(spark):
-    scenes = [F.array(*(F.lit(x) for x in v)) for v in (range(100), [i * 50.0 for i in range(100)], [0.0] * 100)]
+    scenes = spark.range(100).select(F.lit("p").alias("project_id"), F.col("id").alias("scene_pos"), (F.col("id") * 50.0).alias("start_s"))
     none = F.lit(None).cast("double")
-    n = spark.range(10).select(F.lit("p").alias("project_id"), F.col("id").alias("pos"), F.lit(10.0).alias("need"), (F.col("id") / 10 * 4990).alias("anchor"), none.alias("proposed_start"), none.alias("proposed_end"), *(c.alias(k) for c, k in zip(scenes, ("scenes", "starts", "bases"), strict=True)))
-    starts = [r.source_start for r in G.plan_clips(n, 5000.0).orderBy("pos").collect()]
+    n = spark.range(10).select(F.lit("p").alias("project_id"), F.col("id").alias("pos"), F.lit(10.0).alias("need"), (F.col("id") / 10 * 4990).alias("anchor"), none.alias("proposed_start"), none.alias("proposed_end"))
+    starts = [r.source_start for r in G.plan_clips(n, scenes, 5000.0).orderBy("pos").collect()]
     assert len(starts) == 10 and max(starts) > 3500 and all(abs(b - a) >= 8 for a, b in zip(starts, starts[1:], strict=False))
-    bare = n.withColumns({c: F.lit(None).cast(n.schema[c].dataType) for c in ("scenes", "starts", "bases")})
-    assert [r.source_start for r in G.plan_clips(bare, 5000.0).orderBy("pos").collect()] == [min(499.0 * i, 4990.0) for i in range(10)]
-    followed = G.plan_clips(n.withColumns({"proposed_start": F.col("pos") * 7.0, "proposed_end": F.col("pos") * 7.0 + 9}), 5000.0, aligned=True)
+    assert [r.source_start for r in G.plan_clips(n, scenes.limit(0), 5000.0).orderBy("pos").collect()] == [min(499.0 * i, 4990.0) for i in range(10)]
+    followed = G.plan_clips(n.withColumns({"proposed_start": F.col("pos") * 7.0, "proposed_end": F.col("pos") * 7.0 + 9}), scenes, 5000.0, aligned=True)
     assert [(r.source_start, r.scene_pos, r.score) for r in followed.orderBy("pos").collect()] == [(7.0 * i, None, 1.0) for i in range(10)]
 
 
+def test_clip_plan_scores_as_the_affinity_of_a_pair(spark):
+    word = lambda seed, i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(12)).cast("string"))
+    terms = lambda seed, n: F.array(*(word(seed, i) for i in range(n)))
+    scenes = spark.range(300).select((F.col("id") % 30).alias("project_id"), F.floor(F.col("id") / 30).cast("int").alias("scene_pos"), (F.col("id") * 2.0).alias("start_s"), terms(1, 4).alias("tokens"), F.when(F.col("id") % 3 > 0, terms(2, 5)).alias("summary"), terms(3, 1).alias("concepts"))
+    none = F.lit(None).cast("double")
+    first = spark.range(30).select(F.col("id").alias("project_id"), F.lit(0).alias("pos"), F.lit(5.0).alias("need"), (F.col("id") * 20.0).alias("anchor"), none.alias("proposed_start"), none.alias("proposed_end"), terms(4, 6).alias("tokens"), terms(5, 2).alias("concepts"))
+    got = {r.project_id: (r.scene_pos, r.score) for r in G.plan_clips(first, scenes, 700.0).collect()}
+    s = scenes.select("project_id", "scene_pos", "start_s", F.col("tokens").alias("context"), F.coalesce("summary", F.array().cast("array<string>")).alias("summary"), F.col("concepts").alias("of_scene"))
+    pairs = first.withColumn("tokens", F.array_distinct("tokens")).join(s, "project_id")
+    shared = F.size(F.array_intersect("concepts", "of_scene")).cast("double")
+    score = M.affinity(F.col("tokens"), F.col("context"), F.col("summary"), shared, F.col("start_s"), F.col("anchor"), F.lit(700.0), none, none, none)
+    best = pairs.select("project_id", "scene_pos", (F.floor(score * 10000 + 0.5) / 10000).alias("score")).groupBy("project_id").agg(F.max("score").alias("score"), F.max_by("scene_pos", F.struct("score", -F.col("scene_pos"))).alias("scene_pos")).collect()
+    assert len(got) == 30 and got == {r.project_id: (r.scene_pos, r.score) for r in best}
+    assert len({s for s, _ in got.values()}) > 3
+
+
+def test_clip_plan_deals_each_row_once(spark):
+    none = F.lit(None).cast("double")
+    tokens = F.array(F.concat(F.lit("w"), (F.col("id") % 50).cast("string")))
+    scenes = spark.range(3000).select(F.lit("p").alias("project_id"), F.col("id").alias("scene_pos"), (F.col("id") * 10.0).alias("start_s"), tokens.alias("tokens"))
+    n = spark.range(400).select(F.lit("p").alias("project_id"), F.col("id").alias("pos"), F.lit(9.0).alias("need"), (F.col("id") * 75.0).alias("anchor"), none.alias("proposed_start"), none.alias("proposed_end"), tokens.alias("tokens"))
+    out = G.plan_clips(n, scenes, 30000.0)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    rows = out.orderBy("pos").collect()
+    assert len(rows) == 400 and len({r.source_start for r in rows}) == 400
+    assert sum(r.scene_pos % 50 == r.pos % 50 for r in rows) > 20
+
+
+def test_selection_is_placed_by_time(spark):
+    parts = F.when(F.col("id") % 2 == 0, "climax").otherwise("setup")
+    seqs = spark.range(20).select(F.lit("p").alias("project_id"), F.col("id").alias("pos"), (F.floor(F.col("id") / 2) * 100.0).alias("start_s"), F.lit(10.0).alias("duration_s"), parts.alias("event_type"), F.lit(6.0).alias("weight"), F.lit(True).alias("is_main"))
+    rows = G.select_phases(seqs, 300.0).collect()
+    assert {r.part for r in rows} == {"setup", "climax"}
+    placed = sorted(rows, key=lambda r: r.place)
+    assert [r.place for r in placed] == list(range(1, len(rows) + 1))
+    assert [(r.start_s, r.pos) for r in placed] == sorted((r.start_s, r.pos) for r in rows)
+
+
+def test_titles_of_the_first_segment_and_the_whole_script(spark):
+    segs = spark.createDataFrame([
+        ("right", 0, "Now 《The  Long Night》 begins"), ("right", 1, "《Other Film》 is named later"),
+        ("wrong", 1, "Quiet"), ("wrong", 0, "《Other Film》 and 《Other Film》 and 《 》"),
+        ("foreign", 0, "The captain of"), ("foreign", 1, "the ark, and Zed"), ("own", 0, "Zed came"),
+        ("untitled", 0, "Zed of 《Other Film》"), ("silent", 0, None), ("silent", 1, "《Other Film》"),
+    ], "project_id string, pos int, text string")
+    titles = spark.createDataFrame([(p, "TheLongNight") for p in ("right", "wrong", "foreign", "silent")] + [("own", "The_ark: Zed Returns"), ("untitled", None)], "project_id string, own_title string")
+    signs = spark.createDataFrame([("The Ark Film", "captain of the ark"), ("The Ark Film", "Zed"), ("The Long Night", "ark"), ("Nobody", None)], "title string, signature string")
+    got = sorted((r.project_id, r.check, r.severity, r.title, r.signatures) for r in D.title_findings(segs, titles, signs, ("project_id",)).collect())
+    ok = lambda p: (p, "title_isolation", "pass", None, [])
+    bad = ("wrong", "title_mismatch", "fail", "Other Film", [])
+    assert got == [("foreign", "title_isolation", "fail", "The Ark Film", ["Zed", "captain of the ark"]), ok("own"), ok("right"), ok("silent"), ok("untitled"), bad, bad]
+    assert D.title_findings(segs.limit(0), titles, signs, ("project_id",)).count() == 0
+    assert {r.severity for r in D.title_findings(segs.where("project_id = 'foreign'"), titles, signs.limit(0), ("project_id",)).collect()} == {"pass"}
+
+
 def test_topics_are_not_reused(spark):
     scores = spark.createDataFrame([("p", 0, 0, "a", 3.0), ("p", 0, 1, "b", 3.0), ("p", 1, 0, "a", 6.0), ("p", 1, 1, "b", 2.0), ("p", 2, 0, "a", 9.0)], "project_id string, pos int, topic_no int, topic string, score double")
     phases = spark.createDataFrame([("p", i, "setup") for i in range(3)], "project_id string, pos int, phase string")
