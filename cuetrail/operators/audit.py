@@ -114,6 +114,28 @@ def clip_verdicts(clips: DataFrame) -> DataFrame:
     return clips.withColumn("verdict", F.when(c("conflict"), F.least(v, F.lit(40.0))).otherwise(v)).withColumn("ok", ~c("conflict") & ~c("regressed") & ~weak)
 
 
+def clip_findings(clips: DataFrame, keys=KEYS) -> DataFrame:
+    """keys, pos, finding, amount: a row for each fault of a clip. activity_conflict: domains that conflict (amount: how many);
+    backward_jump: it starts over 45 s before the clip in front of it (by how much); duration_drift: stretch and narration, both longer than
+    0, differ by over 1 s (by how much); low_correlation: an affinity under 0.10 with a scene, though 8 characters of cues or more were
+    said and nothing conflicts (the affinity). A clip passes if it has none, or drift alone.
+
+    clips: keys, pos, source_start, source_end, duration (of the narration), conflicts, has_scene, affinity, subs. Nulls are no fault.
+    """
+    c = F.col
+    prior = F.lag("source_start").over(W.partitionBy(*keys).orderBy("pos"))
+    d = clips.withColumns({"__prior": prior, "__cut": c("source_end") - c("source_start")})
+    drift = F.abs(c("__cut") - c("duration"))
+    faults = {
+        "activity_conflict": (c("conflicts") > 0, c("conflicts")),
+        "backward_jump": (c("source_start") < c("__prior") - 45, c("__prior") - c("source_start")),
+        "duration_drift": ((c("__cut") > 0) & (c("duration") > 0) & (drift > 1), drift),
+        "low_correlation": (c("has_scene") & (c("affinity") < 0.10) & (c("conflicts") == 0) & (c("subs") >= 8), c("affinity")),
+    }
+    found = F.array(*(F.when(met, F.struct(F.lit(k).alias("finding"), amount.cast("double").alias("amount"))) for k, (met, amount) in faults.items()))
+    return d.select(*keys, "pos", F.inline(F.filter(found, lambda x: x.isNotNull())))
+
+
 def clip_report(clips: DataFrame, keys=KEYS) -> DataFrame:
     """keys, clips, passed, failed, pass_rate, avg_verdict of rows with ok and verdict."""
     n, ok = F.count("*"), F.count_if("ok")

@@ -63,6 +63,12 @@ def clip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.clip_verdicts(d).select("project_id", "pos", "scene_pos", "conflicts", "regressed", "affinity", "verdict", "ok")
 
 
+def clip_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of clips one by one; narrations are read a quarter longer than the stretch cut for them."""
+    d = _placed(spark, sf_dir).withColumns({"has_scene": F.trim("scene_text") != "", "duration": F.col("duration") * 1.25})
+    return A.clip_findings(d)
+
+
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the checks of picture against narration that a conversation passes, scenes known with their neighbours."""
     return A.alignment(_placed(spark, sf_dir, wide=True), RULES, TOTAL)
@@ -142,7 +148,7 @@ def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.sample_times(K.even_sample(rows, allocated)).select("project_id", "stratum", "j", "pos", "t")
 
 
-QUERIES = {f.__name__: f for f in (clip_audit, alignment, end_findings, schema_audit_of_projects, registry_findings, content_match, low_matches, narration_length, media_tags, model_tiers, map_hashes, queue_listing, last_errors, sample_times)}
+QUERIES = {f.__name__: f for f in (clip_audit, clip_findings, alignment, end_findings, schema_audit_of_projects, registry_findings, content_match, low_matches, narration_length, media_tags, model_tiers, map_hashes, queue_listing, last_errors, sample_times)}
 
 
 def _dom(text: str) -> str:
@@ -190,6 +196,12 @@ w as (select *, case when has_scene then greatest(20.0::DOUBLE, least(100.0::DOU
   when subs = 0 then case when conflict then 40.0::DOUBLE else 90.0::DOUBLE end else 100.0::DOUBLE end as a from v),
 x as (select *, case when shared_activity and not conflict then greatest(a, 85.0::DOUBLE) else a end as b from w)
 select project_id, pos, scene_pos, conflicts, regressed, affinity, case when conflict then least(b, 40.0::DOUBLE) else b end as verdict, not conflict and not regressed and not (has_scene and affinity < 0.10::DOUBLE and not conflict and subs >= 8) as ok from x""",
+    "clip_findings": f"""with {_placed_sql()},
+v as (select *, lag(source_start) over (partition by project_id order by pos) as prior, source_end - source_start as cut, duration * 1.25::DOUBLE as read from p1)
+select project_id, pos, 'activity_conflict' as finding, CAST(conflicts AS DOUBLE) as amount from v where conflicts > 0
+union all select project_id, pos, 'backward_jump', prior - source_start from v where source_start < prior - 45
+union all select project_id, pos, 'duration_drift', abs(cut - read) from v where cut > 0 and read > 0 and abs(cut - read) > 1
+union all select project_id, pos, 'low_correlation', affinity from v where trim(scene_text) <> '' and affinity < 0.10::DOUBLE and conflicts = 0 and subs >= 8""",
     "alignment": f"""with {_placed_sql(wide=True)},
 o as (select project_id, conflicts + CAST(trim(scene_text) <> '' AS INTEGER) as c, conflicts + CAST(trim(scene_text) <> '' and length(scene_text) >= 12 and affinity < 0.15::DOUBLE and conflicts = 0 AS INTEGER) as b from p1
   union all select project_id, 1, 1 from (select project_id, {_RULE_SQL} as "check" from p1) where "check" is not null

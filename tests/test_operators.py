@@ -219,6 +219,14 @@ def test_titles_of_the_first_segment_and_the_whole_script(spark):
     assert {r.severity for r in D.title_findings(segs.where("project_id = 'foreign'"), titles, signs.limit(0), ("project_id",)).collect()} == {"pass"}
 
 
+def test_clip_findings_are_rows(spark):
+    rows = [("p", 0, 100.0, 110.0, 10.5, 0, True, 0.5, 20), ("p", 1, 54.0, 64.0, 11.5, 2, True, 0.01, 20), ("p", 2, 9.0, 9.0, 5.0, 0, True, 0.05, 8), ("p", 3, 8.0, 8.5, None, 0, True, 0.05, 7), ("q", 0, 0.0, 4.0, 5.5, 0, None, None, None)]
+    clips = spark.createDataFrame(rows, "project_id string, pos int, source_start double, source_end double, duration double, conflicts int, has_scene boolean, affinity double, subs int")
+    got = sorted((r.project_id, r.pos, r.finding, r.amount) for r in A.clip_findings(clips).collect())
+    assert got == [("p", 1, "activity_conflict", 2.0), ("p", 1, "backward_jump", 46.0), ("p", 1, "duration_drift", 1.5), ("p", 2, "low_correlation", 0.05), ("q", 0, "duration_drift", 1.5)]
+    assert A.clip_findings(clips.limit(0)).count() == 0
+
+
 def test_topics_are_not_reused(spark):
     scores = spark.createDataFrame([("p", 0, 0, "a", 3.0), ("p", 0, 1, "b", 3.0), ("p", 1, 0, "a", 6.0), ("p", 1, 1, "b", 2.0), ("p", 2, 0, "a", 9.0)], "project_id string, pos int, topic_no int, topic string, score double")
     phases = spark.createDataFrame([("p", i, "setup") for i in range(3)], "project_id string, pos int, phase string")
