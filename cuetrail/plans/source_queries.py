@@ -98,6 +98,20 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("chunk_id").cast("bigint").alias("doc_id"), "end_seconds", F.sha2("text", 256).alias("sha256"), "word_count")
 
 
+def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as media probes, a line each: some without picture, sound or a length, some with more sound tracks than one."""
+    k, none = F.col("o_orderkey"), F.lit(None)
+    stream = lambda kind, codec, width=none, height=none, rate=none: F.struct(F.lit(kind).alias("codec_type"), F.lit(codec).alias("codec_name"), width.cast("int").alias("width"), height.cast("int").alias("height"), rate.cast("string").alias("r_frame_rate"))
+    rate = F.when(k % 7 == 0, "0/0").when(k % 2 == 0, "30000/1001").otherwise("25")
+    video = F.when(k % 5 > 0, stream("video", "h264", 640 * (k % 3 + 1), 360 * (k % 3 + 1), rate))
+    streams = [F.when(k % 4 == 0, stream("subtitle", "subrip")), video, F.when(k % 6 > 0, stream("audio", "aac")), F.when(k % 3 == 1, stream("audio", "ac3"))]
+    seconds = F.when(k % 11 > 0, F.col("o_totalprice").cast("string")).otherwise("N/A")
+    probes = table(spark, sf_dir, "orders").select(k.alias("project_id"), F.struct(seconds.alias("duration")).alias("format"), F.filter(F.array(*streams), lambda s: s.isNotNull()).alias("streams"))
+    folder = scratch_dir(spark)
+    artifacts.write_table(probes, folder, form="json")
+    return artifacts.media_info(spark.read.schema(f"project_id bigint, {artifacts.PROBE}").json(folder))
+
+
 def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger written by task and read again, with only the columns and tasks that are asked for."""
     folder = scratch_dir(spark)
@@ -115,7 +129,7 @@ _PROJECTS = """projects as (select s_suppkey as k, CAST(s_suppkey AS VARCHAR) as
   case when s_suppkey % 13 = 0 then '{"project_id": "' || s_suppkey || '", "title":' else '{"project_id": "' || s_suppkey || '", "title": "' || s_name || '", "state": "NEW", "cost_usd": ' || (s_suppkey % 7) || ', "more": {"a": [1]}}' end as record,
   case when s_suppkey % 13 = 0 then record || ' ' || chr(10) else record || chr(10) end as content from supplier)"""
 
-QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues, project_files, quarantined_projects, file_fingerprints, scene_files, chunk_files, ledger_files)}
+QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues, project_files, quarantined_projects, file_fingerprints, scene_files, chunk_files, probe_files, ledger_files)}
 SQL = {
     "srt_files": f"with {_FILES} select film, {_READ} - 1 as pos, number as cue_index, start_ms, end_ms, text from filed where not spoiled",
     "vtt_files": f"with {_FILES} select film, {_READ} - 1 as pos, {_READ} as cue_index, start_ms, end_ms, text from filed where not spoiled",
@@ -128,5 +142,10 @@ SQL = {
 select project_id, place as pos, 's' || pos as scene_id, start_s as start_seconds, e as end_seconds, e - start_s as duration_seconds,
   case when pos % 3 > 0 then text else '' end as transcript_text, CAST(0 AS INTEGER) as characters from listed""",
     "chunk_files": "select doc_id, CAST(length(text) AS DOUBLE) / 4.0::DOUBLE as end_seconds, sha256(text) as sha256, CAST(len(string_split(text, ' ')) AS BIGINT) as word_count from documents",
+    "probe_files": """with p as (select o_orderkey as k, o_totalprice as t from orders)
+select k as project_id, case when k % 11 = 0 then 0.0::DOUBLE else CAST(t AS DOUBLE) end as duration_seconds, CAST(case when k % 5 = 0 then 0 else 640 * (k % 3 + 1) end AS INTEGER) as width,
+  CAST(case when k % 5 = 0 then 0 else 360 * (k % 3 + 1) end AS INTEGER) as height, case when k % 5 = 0 or k % 7 = 0 then 0.0::DOUBLE when k % 2 = 0 then 30000.0::DOUBLE / 1001.0::DOUBLE else 25.0::DOUBLE end as frame_rate,
+  case when k % 5 = 0 then 'unknown' else 'h264' end as video_codec, case when k % 6 > 0 then 'aac' when k % 3 = 1 then 'ac3' else 'none' end as audio_codec,
+  CAST(CAST(k % 6 > 0 AS INTEGER) + CAST(k % 3 = 1 AS INTEGER) AS INTEGER) as audio_tracks, k % 4 = 0 as has_subtitles from p""",
     "ledger_files": f"with {COSTED} select task_name, model_name, CAST(count(*) AS BIGINT) as calls, CAST(sum(cost_micros) AS BIGINT) as cost_micros from costed where task_name <> 'view' group by all",
 }
