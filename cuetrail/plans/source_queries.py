@@ -98,6 +98,20 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("chunk_id").cast("bigint").alias("doc_id"), "end_seconds", F.sha2("text", 256).alias("sha256"), "word_count")
 
 
+def telemetry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of a project as the telemetry map of its script or, every third project, of its story; tokens out are missing there."""
+    per_task = costed(spark, sf_dir).groupBy("project_id", "task_name").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), (F.sum("cost_micros") / 1_000_000).alias("cost_usd"), F.count_if("cache_hit").alias("cache_hits"))
+    is_story = F.col("project_id") % 3 == 0
+    spent = F.struct("input_tokens", F.when(~is_story, F.col("output_tokens")).alias("output_tokens"), "cost_usd", "cache_hits")
+    maps = per_task.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("task_name"), spent))).alias("per_task"))
+    rows = maps.select(F.col("project_id").cast("string").alias("project_id"), F.struct("per_task").alias("telemetry"), F.when(is_story, "story").otherwise("script").alias("kind"))
+    folder = scratch_dir(spark)
+    artifacts.write_table(rows, folder, "kind", form="json")
+    paths = {kind: f"{folder}/kind={kind}" for kind in ("script", "story")}
+    read = artifacts.read_telemetry(spark, paths, {"view": "small", "purchase": "large"}, "middle", lines=True)
+    return read.select(F.col("project_id").cast("bigint").alias("project_id"), "artifact", "task_name", "model_name", "input_tokens", "output_tokens", F.round(F.col("cost_usd") * 1_000_000).cast("bigint").alias("cost_micros"), "cache_hit")
+
+
 def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as media probes, a line each: some without picture, sound or a length, some with more sound tracks than one."""
     k, none = F.col("o_orderkey"), F.lit(None)
@@ -129,7 +143,7 @@ _PROJECTS = """projects as (select s_suppkey as k, CAST(s_suppkey AS VARCHAR) as
   case when s_suppkey % 13 = 0 then '{"project_id": "' || s_suppkey || '", "title":' else '{"project_id": "' || s_suppkey || '", "title": "' || s_name || '", "state": "NEW", "cost_usd": ' || (s_suppkey % 7) || ', "more": {"a": [1]}}' end as record,
   case when s_suppkey % 13 = 0 then record || ' ' || chr(10) else record || chr(10) end as content from supplier)"""
 
-QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues, project_files, quarantined_projects, file_fingerprints, scene_files, chunk_files, probe_files, ledger_files)}
+QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues, project_files, quarantined_projects, file_fingerprints, scene_files, chunk_files, telemetry_files, probe_files, ledger_files)}
 SQL = {
     "srt_files": f"with {_FILES} select film, {_READ} - 1 as pos, number as cue_index, start_ms, end_ms, text from filed where not spoiled",
     "vtt_files": f"with {_FILES} select film, {_READ} - 1 as pos, {_READ} as cue_index, start_ms, end_ms, text from filed where not spoiled",
@@ -142,6 +156,9 @@ SQL = {
 select project_id, place as pos, 's' || pos as scene_id, start_s as start_seconds, e as end_seconds, e - start_s as duration_seconds,
   case when pos % 3 > 0 then text else '' end as transcript_text, CAST(0 AS INTEGER) as characters from listed""",
     "chunk_files": "select doc_id, CAST(length(text) AS DOUBLE) / 4.0::DOUBLE as end_seconds, sha256(text) as sha256, CAST(len(string_split(text, ' ')) AS BIGINT) as word_count from documents",
+    "telemetry_files": f"""with {COSTED} select project_id, case when project_id % 3 = 0 then 'story' else 'script' end as artifact, task_name, case task_name when 'view' then 'small' when 'purchase' then 'large' else 'middle' end as model_name,
+  CAST(sum(input_tokens) AS BIGINT) as input_tokens, CAST(case when project_id % 3 = 0 then 0 else sum(output_tokens) end AS BIGINT) as output_tokens, CAST(sum(cost_micros) AS BIGINT) as cost_micros, count_if(cache_hit) > 0 as cache_hit
+from costed group by project_id, task_name""",
     "probe_files": """with p as (select o_orderkey as k, o_totalprice as t from orders)
 select k as project_id, case when k % 11 = 0 then 0.0::DOUBLE else CAST(t AS DOUBLE) end as duration_seconds, CAST(case when k % 5 = 0 then 0 else 640 * (k % 3 + 1) end AS INTEGER) as width,
   CAST(case when k % 5 = 0 then 0 else 360 * (k % 3 + 1) end AS INTEGER) as height, case when k % 5 = 0 or k % 7 = 0 then 0.0::DOUBLE when k % 2 = 0 then 30000.0::DOUBLE / 1001.0::DOUBLE else 25.0::DOUBLE end as frame_rate,

@@ -64,13 +64,13 @@ def write_table(df: DataFrame, path: str, *partition_by: str, form: str = "parqu
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def read_telemetry(spark: SparkSession, paths: dict[str, str], model_of: dict[str, str], default_model: str) -> DataFrame:
+def read_telemetry(spark: SparkSession, paths: dict[str, str], model_of: dict[str, str], default_model: str, lines: bool = False) -> DataFrame:
     """project_id, artifact, task_name, model_name, tokens, cost_usd, cache_hit: a row for each task of the `telemetry.per_task` maps of
-    several kinds of artifact (kind: path); the model follows from the task."""
+    several kinds of artifact (kind: path), an object a file or (lines) a line; the model follows from the task."""
     model = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in model_of.items() for x in kv)), F.col("task_name")), F.lit(default_model)) if model_of else F.lit(default_model)
     out = None
     for kind, path in paths.items():
-        rows = spark.read.schema(TELEMETRY).json(path, multiLine=True).select("project_id", F.lit(kind).alias("artifact"), F.explode("telemetry.per_task").alias("task_name", "t"))
+        rows = spark.read.schema(TELEMETRY).json(path, multiLine=not lines).select("project_id", F.lit(kind).alias("artifact"), F.explode("telemetry.per_task").alias("task_name", "t"))
         rows = rows.select("project_id", "artifact", "task_name", F.coalesce("t.input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("t.output_tokens", F.lit(0)).alias("output_tokens"), F.coalesce("t.cost_usd", F.lit(0.0)).alias("cost_usd"), (F.coalesce("t.cache_hits", F.lit(0)) > 0).alias("cache_hit"))
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("model_name", model)
