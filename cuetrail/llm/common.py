@@ -11,8 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Column by which rows are told apart, whatever their ids.
+ROW = "__row"
 #: Rows handed to Python at a time; with the long texts of a crawl the default of 10,000 would not fit a worker.
 ARROW_ROWS = 512
 #: Largest table that may be broadcast, in rows and in bytes; larger ones are joined by shuffle, with the same result.
@@ -48,13 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cuetrail-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def staged(df: DataFrame, name: str, *partition_by: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/{name}", *partition_by)
+    return _written(df, f"{shared_dir(df.sparkSession)}/{name}", *partition_by, **options)
 
 
-def _written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
-    writer = df.write
+def _written(df: DataFrame, path: str, *partition_by: str, **options: str) -> DataFrame:
+    writer = df.write.options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -97,6 +100,14 @@ def in_files(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def numbered(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, text and ROW, a bigint of each row's own: the number of its file, and its place in it."""
+    df = in_files(df, *dict.fromkeys((*keep, "text")))
+    placed = df.select(*keep, "text", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = placed.select("__file").distinct().select("__file", F.row_number().over(W.orderBy("__file")).cast("bigint").alias("__no"))
+    return placed.join(bounded_broadcast(staged(files, "files")), "__file").select(*keep, "text", (F.shiftleft("__no", 40) + F.col("__at")).alias(ROW))
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it is proven to have at most `rows` rows and `size` bytes, as JSON, else df for a shuffled join."""
     bytes_of = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint")), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, in_files, staged, table
+from .common import ROW, ascii_lower, bounded_broadcast, numbered, staged, table
 
 #: What stands between words, after A-Z are lower-cased: all of ASCII but letters and digits.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -15,6 +15,12 @@ WINDOW = 10
 RAREST = 2
 #: Words by which the distance of a window's rarest terms may differ in a proximity match of the query.
 SLOP = 5
+#: Bits of a document's number in its block and of a word's position in its stretch: what one list of the index covers.
+BLOCK_BITS, STRETCH_BITS = 12, 16
+_IN_BLOCK = (1 << BLOCK_BITS) - 1
+#: Bits of a position in a place.
+_POS_BITS = 31
+_POS = (1 << _POS_BITS) - 1
 
 
 def words(text: Column) -> Column:
@@ -29,30 +35,46 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", at).select("item_id", F.slice("w", F.col("at"), size).alias("terms")).distinct()
 
 
-def build_index(docs: DataFrame, keys: tuple[str, ...] = ("uid",), carry: tuple[str, ...] = ()) -> DataFrame:
-    """The positional inverted index of docs, whatever it will be searched for: term, keys, pos for every token; the first row of each
-    document (that of its first token, or one with a null term where it has none) also holds n_words and the columns to carry.
+def build_index(docs: DataFrame, key: str = "uid") -> DataFrame:
+    """The positional inverted index of docs, whatever it will be searched for: term, block, n, places array<bigint>.
 
-    One pass over the texts without a shuffle: the tokens of a document are sorted by term inside its row, so that its list of a term is one
-    stretch. No task sorts or holds more than a document, and no list of a frequent term meets in one task.
+    `key` is a bigint of each row's own. A row of the index is the list of one term in one block of 2**BLOCK_BITS keys (and in one stretch of
+    2**STRETCH_BITS words of them): `n` places, each the key's number in the block and the word's position, in this order. The place of the
+    null term is the end of a document, its number of words, so that documents without words are held too. Tasks make lists of their own
+    tokens before anything is shuffled; a block bounds what meets, so a term that all documents hold is as many lists as there are blocks.
     """
-    split = docs.select(*keys, *carry, words(F.col("text")).alias("w"))
-    listed = F.sort_array(F.transform("w", lambda term, pos: F.struct(term.alias("term"), pos.alias("pos"))))
-    placed = split.select(*keys, *carry, F.size("w").alias("n_words"), F.inline_outer(listed))
-    is_head = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    return placed.select("term", *keys, "pos", *(F.when(is_head, F.col(c)).alias(c) for c in ("n_words", *carry)))
+    ends = F.concat(words(F.col("text")), F.array(F.lit(None).cast("string")))
+    k = F.col(key).cast("bigint")
+    tokens = docs.select(F.shiftright(k, BLOCK_BITS).alias("block"), k.bitwiseAND(_IN_BLOCK).alias("doc"), F.posexplode(ends).alias("pos", "term"))
+    place = F.shiftleft("doc", _POS_BITS) + F.col("pos")
+    lists = tokens.groupBy("term", "block", F.shiftright("pos", STRETCH_BITS).alias("stretch")).agg(F.collect_list(place).alias("places"))
+    return lists.select("term", "block", F.size("places").alias("n"), F.sort_array("places").alias("places")).sortWithinPartitions("term", "block")
+
+
+def _unpacked(lists: DataFrame, key: str) -> DataFrame:
+    """term, key, pos of each place of the lists."""
+    each = lists.select("term", "block", F.explode("places").alias("place"))
+    return each.select("term", (F.shiftleft("block", BLOCK_BITS) + F.shiftright("place", _POS_BITS)).alias(key), F.col("place").bitwiseAND(_POS).cast("int").alias("pos"))
+
+
+def store_index(index: DataFrame) -> DataFrame:
+    """The index as a table. Its files are sorted by term, with statistics by which a search opens only the parts of its terms; places are
+    stored as differences."""
+    return staged(index, "index", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"})
+
+
+def lengths(index: DataFrame, key: str = "uid") -> DataFrame:
+    """key, n_words of every document of the index."""
+    return _unpacked(index.where("term is null"), key).select(key, F.col("pos").alias("n_words"))
 
 
 def query_plan(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """terms, n int, picks array<struct<term, offset>>: each distinct window with its `rarest` terms, rarest first by the length of
-    their lists in the index, which are counted in each task first."""
+    """terms, n int, picks array<struct<term, offset>>: each distinct window with its `rarest` terms, rarest first by the lengths
+    of their lists in the index, whose places aren't read."""
     distinct = staged(windows(benchmark, size), "windows").select("terms").distinct()
     vocabulary = distinct.select(F.explode("terms").alias("term")).distinct()
     wanted = bounded_broadcast(vocabulary)
-    if wanted is not vocabulary:  # small: only its terms are counted
-        counts = index.join(wanted, "term").groupBy("term").count()
-    else:  # an inner join stays above the aggregate; a semi-join would be pushed below it and deal every token by its term
-        counts = index.groupBy("term").count().join(vocabulary, "term")
+    counts = index.join(wanted, "term").groupBy("term").agg(F.sum("n").alias("count"))
     counts = staged(counts, "counts")
     placed = distinct.select("terms", F.posexplode("terms").alias("offset", "term")).join(bounded_broadcast(counts), "term", "left")
     # a window with a term that no document has can't occur
@@ -60,14 +82,14 @@ def query_plan(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, rares
     return possible.where("least > 0").select("terms", F.size("terms").alias("n"), F.transform(F.slice("by_count", 1, rarest), lambda x: F.struct(x["term"].alias("term"), x["offset"].alias("offset"))).alias("picks"))
 
 
-def postings(index: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
-    """term, keys, pos: the lists of the index that the plan's windows are looked up by."""
+def postings(index: DataFrame, plan: DataFrame, key: str = "uid") -> DataFrame:
+    """term, key, pos: the lists of the index that the plan's windows are looked up by."""
     terms = plan.select(F.explode("picks.term").alias("term")).distinct()
-    return index.join(bounded_broadcast(terms), "term").select("term", *keys, "pos")
+    return _unpacked(index.join(bounded_broadcast(terms), "term"), key)
 
 
-def phrase_matches(lists: DataFrame, plan: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ("uid",)) -> DataFrame:
-    """keys, start, n, terms: every place at which a whole window stands. The lists of a window's rarest terms are moved by the distance
+def phrase_matches(lists: DataFrame, plan: DataFrame, docs: DataFrame, key: str = "uid") -> DataFrame:
+    """key, start, n, terms: every place at which a whole window stands. The lists of a window's rarest terms are moved by the distance
     of the terms and intersected, once for all windows that share the terms and the distance; what is left is compared word by word: the
     words at those places of docs are joined with the windows. Only texts with such places are split again."""
     rarest, other = F.col("picks")[0], F.get("picks", F.lit(1))
@@ -76,17 +98,17 @@ def phrase_matches(lists: DataFrame, plan: DataFrame, docs: DataFrame, keys: tup
     pairs = paired.select("pair", "lists", "t1", "t2", "shift").distinct()
     wanted = pairs.select("pair", "lists", F.lit(0).alias("rank"), F.col("t1").alias("term"), F.lit(0).alias("shift")).unionByName(pairs.where("lists > 1").select("pair", "lists", F.lit(1).alias("rank"), F.col("t2").alias("term"), "shift"))
     moved = lists.join(bounded_broadcast(wanted), "term").withColumn("at", F.col("pos") - F.col("shift")).where("at >= 0")
-    met = moved.groupBy(*keys, "at", "pair").agg(F.bit_or(F.col("rank") + 1).alias("seen"), F.max("lists").alias("lists")).where("seen = case when lists = 1 then 1 else 3 end")
+    met = moved.groupBy(key, "at", "pair").agg(F.bit_or(F.col("rank") + 1).alias("seen"), F.max("lists").alias("lists")).where("seen = case when lists = 1 then 1 else 3 end")
     offsets = paired.select("pair", "n", "offset").distinct()
-    placed = met.join(bounded_broadcast(offsets), "pair").select(*keys, (F.col("at") - F.col("offset")).alias("start"), "n").where("start >= 0")
-    of_doc = staged(placed.groupBy(*keys).agg(F.collect_set(F.struct("start", "n")).alias("places")), "places")
-    split = docs.join(bounded_broadcast(of_doc), list(keys)).select(*keys, "places", words(F.col("text")).alias("w"))
-    phrases = split.select(*keys, "w", F.explode("places").alias("p")).select(*keys, "p.*", F.slice("w", F.col("p.start") + 1, F.col("p.n")).alias("terms"))
-    return phrases.join(bounded_broadcast(plan.select("terms")), "terms").select(*keys, "start", "n", "terms")
+    placed = met.join(bounded_broadcast(offsets), "pair").select(key, (F.col("at") - F.col("offset")).alias("start"), "n").where("start >= 0")
+    of_doc = staged(placed.groupBy(key).agg(F.collect_set(F.struct("start", "n")).alias("places")), "places")
+    split = docs.join(bounded_broadcast(of_doc), key).select(key, "places", words(F.col("text")).alias("w"))
+    phrases = split.select(key, "w", F.explode("places").alias("p")).select(key, "p.*", F.slice("w", F.col("p.start") + 1, F.col("p.n")).alias("terms"))
+    return phrases.join(bounded_broadcast(plan.select("terms")), "terms").select(key, "start", "n", "terms")
 
 
-def proximity_matches(lists: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("uid",), slop: int = SLOP) -> DataFrame:
-    """keys, start, terms: places at which a window's two rarest terms stand at most `slop` words (30 at most) off their distance in the
+def proximity_matches(lists: DataFrame, plan: DataFrame, key: str = "uid", slop: int = SLOP) -> DataFrame:
+    """key, start, terms: places at which a window's two rarest terms stand at most `slop` words (30 at most) off their distance in the
     window (exact phrases included); a window of one word is matched by every such word. The stored lists, moved by the distance of the
     terms, meet in stretches of positions: a bit stands for a position, so that a stretch is one row however many postings it has.
     """
@@ -96,7 +118,7 @@ def proximity_matches(lists: DataFrame, plan: DataFrame, keys: tuple[str, ...] =
     rarest, other = F.col("picks")[0], F.get("picks", F.lit(1))
     planned = plan.select("terms", rarest["offset"].alias("offset"), rarest["term"].alias("t1"), other["term"].alias("t2"), (other["offset"] - rarest["offset"]).alias("shift"))
     single = planned.where("t2 is null").select("terms", "offset", F.col("t1").alias("term"))
-    alone = lists.join(bounded_broadcast(single), "term").select(*keys, "pos", "offset", "terms")
+    alone = lists.join(bounded_broadcast(single), "term").select(key, "pos", "offset", "terms")
     paired = planned.where("t2 is not null").withColumn("pair", F.xxhash64("t1", "t2", "shift"))
     pairs = paired.select("pair", "t1", "t2", "shift").distinct()
     wanted = pairs.select("pair", "shift", F.col("t1").alias("term"), F.lit(0).alias("rank"), F.lit(0).alias("move"), F.col("t1") == F.col("t2")).toDF("pair", "shift", "term", "rank", "move", "same")
@@ -105,9 +127,9 @@ def proximity_matches(lists: DataFrame, plan: DataFrame, keys: tuple[str, ...] =
     # the second term comes to each stretch from which it is within slop, the rarest to its own
     reach = F.col("rank") * slop
     stretch = F.explode(F.sequence(F.floor((F.col("at") - reach) / width), F.floor((F.col("at") + reach) / width))).alias("stretch")
-    placed = moved.select(*keys, "pair", "shift", "same", "rank", "at", stretch)
+    placed = moved.select(key, "pair", "shift", "same", "rank", "at", stretch)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") - F.col("stretch") * width + reach).cast("int"))
-    met = placed.groupBy(*keys, "pair", "stretch").agg(F.max("shift").alias("shift"), F.max("same").alias("same"), *(F.bit_or(F.when(F.col("rank") == r, bit)).alias(f"m{r}") for r in (0, 1))).where("m0 is not null and m1 is not null")
+    met = placed.groupBy(key, "pair", "stretch").agg(F.max("shift").alias("shift"), F.max("same").alias("same"), *(F.bit_or(F.when(F.col("rank") == r, bit)).alias(f"m{r}") for r in (0, 1))).where("m0 is not null and m1 is not null")
     drop = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(slop - F.col("shift"), F.lit(0)))
 
     def near(i: Column) -> Column:
@@ -117,9 +139,9 @@ def proximity_matches(lists: DataFrame, plan: DataFrame, keys: tuple[str, ...] =
         return (F.call_function("shiftright", F.col("m0"), i).bitwiseAND(F.lit(1)) == 1) & (around.bitwiseAND(F.bitwise_not(own)) != 0)
 
     at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), near)).alias("i")
-    hits = met.select(*keys, "pair", "stretch", at).select(*keys, "pair", (F.col("stretch") * width + F.col("i")).alias("pos"))
-    found = hits.join(bounded_broadcast(paired.select("pair", "terms", "offset")), "pair").select(*keys, "pos", "offset", "terms")
-    return found.unionByName(alone).select(*keys, F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).cast("int").alias("start"), "terms")
+    hits = met.select(key, "pair", "stretch", at).select(key, "pair", (F.col("stretch") * width + F.col("i")).alias("pos"))
+    found = hits.join(bounded_broadcast(paired.select("pair", "terms", "offset")), "pair").select(key, "pos", "offset", "terms")
+    return found.unionByName(alone).select(key, F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).cast("int").alias("start"), "terms")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", size: int = WINDOW, slop: int | None = None, row_key: str | None = None) -> DataFrame:
@@ -127,36 +149,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     also n_near long, the places of proximity matches (exact ones included), and near_items array<string>, the items they belong to.
 
     Null and empty texts have no words and aren't contaminated. Repeated rows (also of one id) stay repeated rows: rows are told apart by
-    row_key, a column that is different in each, or their place in the file (a DataFrame that isn't read from files is written first). Items with null or wordless texts have no windows; an empty benchmark contaminates nothing.
+    row_key, a bigint that is different in each, or their place in the files (a DataFrame that isn't read from files is written first). Items with null or wordless texts have no windows; an empty benchmark contaminates nothing.
     """
-    if row_key:
-        keys = ("row",)
-        rows = docs.select(F.col(row_key).alias("row"), F.col(doc_id).alias("doc_id"), "text")
-    else:
-        keys = ("file", "row")
-        docs = in_files(docs, doc_id, "text")
-        rows = docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(doc_id).alias("doc_id"), "text")
-    index = staged(build_index(rows, keys, carry=("doc_id",)), "index")
+    key = "row"
+    placed, row = (docs, row_key) if row_key else (numbered(docs, doc_id), ROW)
+    rows = placed.select(F.col(row).alias(key), F.col(doc_id).alias("doc_id"), "text")
+    index = store_index(build_index(rows, key))
     plan = staged(query_plan(index, benchmark, size), "plan")
-    lists = staged(postings(index, plan, keys), "lists")
+    lists = staged(postings(index, plan, key), "lists")
     items = windows(benchmark, size).groupBy("terms").agg(F.collect_set("item_id").alias("items"))
-    found = phrase_matches(lists, plan, rows, keys).join(bounded_broadcast(items), "terms").select(*keys, "start", "n", "items")
+    found = phrase_matches(lists, plan, rows, key).join(bounded_broadcast(items), "terms").select(key, "start", "n", "items")
     # one row for each place first; then places of a document side by side: its own hits are new up to the next place's start
-    per_place = found.groupBy(*keys, "start").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    ordered = W.partitionBy(*keys).orderBy("start")
+    per_place = found.groupBy(key, "start").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    ordered = W.partitionBy(key).orderBy("start")
     end = F.max(F.col("start") + F.col("n")).over(ordered.rowsBetween(W.unboundedPreceding, -1))
     hit = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), F.coalesce(end, F.lit(0))))
     merged = F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-    hits = per_place.select(*keys, "items", hit.alias("hit")).groupBy(*keys).agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    heads = index.where("n_words is not null").select(*keys, "doc_id", "n_words")
+    hits = per_place.select(key, "items", hit.alias("hit")).groupBy(key).agg(F.sum("hit").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    heads = rows.select(key, "doc_id").join(lengths(index, key), key)
     none = F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>")
     sorted_items = lambda c: F.array_sort(F.transform(F.coalesce(c, none), lambda x: x.cast("string")))
     listed = sorted_items(F.col("items"))
-    out = heads.join(hits, list(keys), "left")
+    out = heads.join(hits, key, "left")
     extra = []
     if slop is not None:
-        near = proximity_matches(lists, plan, keys, slop).join(bounded_broadcast(items), "terms").groupBy(*keys, "start").agg(merged)
-        out = out.join(near.groupBy(*keys).agg(F.count("*").alias("n_near"), merged.alias("near")), list(keys), "left")
+        near = proximity_matches(lists, plan, key, slop).join(bounded_broadcast(items), "terms").groupBy(key, "start").agg(merged)
+        out = out.join(near.groupBy(key).agg(F.count("*").alias("n_near"), merged.alias("near")), key, "left")
         extra = [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), sorted_items(F.col("near")).alias("near_items")]
     return out.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *extra)
 
