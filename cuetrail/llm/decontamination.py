@@ -16,9 +16,12 @@ RAREST = 2
 #: Words by which the distance of a window's rarest terms may differ in a proximity match of the query.
 SLOP = 5
 #: Bits of a document's number in its block and of a word's position in its stretch: what one list of the index covers.
-BLOCK_BITS, STRETCH_BITS = 12, 16
+BLOCK_BITS, STRETCH_BITS = 13, 18
 _IN_BLOCK = (1 << BLOCK_BITS) - 1
 _IN_STRETCH = (1 << STRETCH_BITS) - 1
+#: Bits of a stretch's number in a part, no more than a block's: an array has less than 2**31 words.
+_STRETCHES_BITS = 31 - STRETCH_BITS
+_STRETCHES = (1 << _STRETCHES_BITS) - 1
 
 
 def words(text: Column) -> Column:
@@ -34,26 +37,29 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def build_index(docs: DataFrame, key: str = "uid") -> DataFrame:
-    """The positional inverted index of docs, whatever it will be searched for: term, block, stretch, n, places array<int>.
+    """The positional inverted index of docs, whatever it will be searched for: term, part, n, places array<int>.
 
     `key` is a bigint of each row's own. A row of the index is the list of one term in one block of 2**BLOCK_BITS keys (and in one stretch of
-    2**STRETCH_BITS words of them): `n` places, each the key's number in the block and the word's in the stretch, in this order. The place of the
+    2**STRETCH_BITS words of them; `part` has the numbers of both): `n` places, each the key's number in the block and the word's in the stretch, in this order. The place of the
     null term is the end of a document, its number of words, so that documents without words are held too. Tasks make lists of their own
     tokens before anything is shuffled; a block bounds what meets, so a term that all documents hold is as many lists as there are blocks.
     """
     ends = F.concat(words(F.col("text")), F.array(F.lit(None).cast("string")))
     k = F.col(key).cast("bigint")
     tokens = docs.select(F.shiftright(k, BLOCK_BITS).alias("block"), k.bitwiseAND(_IN_BLOCK).cast("int").alias("doc"), F.posexplode(ends).alias("pos", "term"))
+    part = F.shiftleft("block", _STRETCHES_BITS) + F.shiftright("pos", STRETCH_BITS)
     place = F.shiftleft("doc", STRETCH_BITS) + F.col("pos").bitwiseAND(_IN_STRETCH)
-    lists = tokens.groupBy("term", "block", F.shiftright("pos", STRETCH_BITS).alias("stretch")).agg(F.collect_list(place).alias("places"))
-    return lists.select("term", "block", "stretch", F.size("places").alias("n"), F.sort_array("places").alias("places")).sortWithinPartitions("term", "block")
+    # rows that tasks sort to make their lists hold these three columns only
+    lists = tokens.select("term", part.alias("part"), place.alias("place")).groupBy("term", "part").agg(F.collect_list("place").alias("places"))
+    return lists.select("term", "part", F.size("places").alias("n"), F.sort_array("places").alias("places")).sortWithinPartitions("term", "part")
 
 
 def _unpacked(lists: DataFrame, key: str) -> DataFrame:
     """term, key, pos of each place of the lists."""
-    each = lists.select("term", "block", "stretch", F.explode("places").alias("place"))
+    each = lists.select("term", "part", F.explode("places").alias("place"))
+    block, stretch = F.shiftright("part", _STRETCHES_BITS), F.col("part").bitwiseAND(_STRETCHES).cast("int")
     doc, at = F.shiftright("place", STRETCH_BITS), F.col("place").bitwiseAND(_IN_STRETCH)
-    return each.select("term", (F.shiftleft("block", BLOCK_BITS) + doc).alias(key), (F.shiftleft("stretch", STRETCH_BITS) + at).alias("pos"))
+    return each.select("term", (F.shiftleft(block, BLOCK_BITS) + doc).alias(key), (F.shiftleft(stretch, STRETCH_BITS) + at).alias("pos"))
 
 
 def store_index(index: DataFrame) -> DataFrame:
