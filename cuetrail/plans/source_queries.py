@@ -134,6 +134,27 @@ def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("task_name", "model_name").agg(F.count("*").alias("calls"), F.sum("cost_micros").alias("cost_micros"))
 
 
+def incoming_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages without a marker: folders of suppliers, every third of which holds a marker file."""
+    root = _projects(spark, sf_dir)
+    done = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("folder"), F.lit("done").alias("value"))
+    done.repartition("folder").write.mode("append").partitionBy("folder").csv(root)
+    found = artifacts.incoming(spark, root, marker="*.csv", suffixes=("txt",))
+    return found.select(F.regexp_extract("folder", r"folder=(\d+)$", 1).alias("project_id"), "length")
+
+
+def job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as jobs by the folders of their status; every fourth has no job file, only metadata, every fifth no metadata."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("s"), F.col("c_custkey") % 3).alias("status"), F.concat(F.lit("c"), "c_custkey").alias("slug"), F.col("c_name").alias("title"))
+    root = scratch_dir(spark)
+    job = F.to_json(F.struct(F.when(F.col("k") % 2 == 0, F.col("title")).alias("movie_title"), (F.col("k") % 7).cast("double").alias("duration_s")))
+    c.where("k % 4 != 0").select("status", "slug", job.alias("value")).write.mode("append").partitionBy("status", "slug").text(root)
+    c.where("k % 5 != 0").select("status", "slug", F.concat(F.lit("about "), "title").alias("title"), F.lit(60.5).alias("duration")).write.mode("append").partitionBy("status", "slug").json(root)
+    jobs = artifacts.read_jobs(spark, root, job="*.txt", metadata=r"part-.*\.json")
+    folder = lambda name: F.regexp_replace(name, r"^[a-z]+=", "")
+    return jobs.select(folder("slug").alias("slug"), folder("status").alias("status"), folder("movie_title").alias("movie_title"), "duration_s")
+
+
 _FILES = rf"""{CUES}, filed as (select project_id % {FILMS} as film, project_id, pos, (project_id + pos) % {SPOILED} = 0 as spoiled,
   CAST(project_id * 1000 + pos AS INTEGER) as number, CAST(floor(start_s) AS BIGINT) * 1000 + CAST(floor((start_s - floor(start_s)) * 1000) AS BIGINT) as start_ms,
   CAST(floor(end_s) AS BIGINT) * 1000 + CAST(floor((end_s - floor(end_s)) * 1000) AS BIGINT) as end_ms, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) as text from cues)"""
@@ -143,7 +164,7 @@ _PROJECTS = """projects as (select s_suppkey as k, CAST(s_suppkey AS VARCHAR) as
   case when s_suppkey % 13 = 0 then '{"project_id": "' || s_suppkey || '", "title":' else '{"project_id": "' || s_suppkey || '", "title": "' || s_name || '", "state": "NEW", "cost_usd": ' || (s_suppkey % 7) || ', "more": {"a": [1]}}' end as record,
   case when s_suppkey % 13 = 0 then record || ' ' || chr(10) else record || chr(10) end as content from supplier)"""
 
-QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues, project_files, quarantined_projects, file_fingerprints, scene_files, chunk_files, telemetry_files, probe_files, ledger_files)}
+QUERIES = {f.__name__: f for f in (srt_files, vtt_files, rejected_cues, project_files, quarantined_projects, file_fingerprints, scene_files, chunk_files, telemetry_files, probe_files, ledger_files, incoming_packages, job_files)}
 SQL = {
     "srt_files": f"with {_FILES} select film, {_READ} - 1 as pos, number as cue_index, start_ms, end_ms, text from filed where not spoiled",
     "vtt_files": f"with {_FILES} select film, {_READ} - 1 as pos, {_READ} as cue_index, start_ms, end_ms, text from filed where not spoiled",
@@ -165,4 +186,9 @@ select k as project_id, case when k % 11 = 0 then 0.0::DOUBLE else CAST(t AS DOU
   case when k % 5 = 0 then 'unknown' else 'h264' end as video_codec, case when k % 6 > 0 then 'aac' when k % 3 = 1 then 'ac3' else 'none' end as audio_codec,
   CAST(CAST(k % 6 > 0 AS INTEGER) + CAST(k % 3 = 1 AS INTEGER) AS INTEGER) as audio_tracks, k % 4 = 0 as has_subtitles from p""",
     "ledger_files": f"with {COSTED} select task_name, model_name, CAST(count(*) AS BIGINT) as calls, CAST(sum(cost_micros) AS BIGINT) as cost_micros from costed where task_name <> 'view' group by all",
+    "incoming_packages": f"with {_PROJECTS} select project_id, CAST(strlen(content) AS BIGINT) as length from projects where k % 3 <> 0",
+    "job_files": """select 'c' || c_custkey as slug, 's' || (c_custkey % 3) as status,
+  case when c_custkey % 4 <> 0 and c_custkey % 2 = 0 then c_name when c_custkey % 5 <> 0 then 'about ' || c_name else 'c' || c_custkey end as movie_title,
+  case when c_custkey % 4 <> 0 then CAST(c_custkey % 7 AS DOUBLE) else 60.5::DOUBLE end as duration_s
+from customer where c_custkey % 4 <> 0 or c_custkey % 5 <> 0""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import cache_key
 from ..streaming import jobs, sinks
 from ..streaming.replay import play, played
-from .tables import ALLOWED, COSTED, HISTORY, costed, history, invocations
+from ..sources.scratch import scratch_dir
+from .tables import ALLOWED, COSTED, HISTORY, costed, history, invocations, table
 from .telemetry_queries import LIMIT
 from .telemetry_queries import SQL as BATCH
 
@@ -19,6 +20,19 @@ def stream_transition_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where("verdict = 'disallowed'").select("project_id", "event_id", "from_state", "state")
 
 
+def stream_new_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that arrive as packages of files in three turns, with a restart between them: the checkpoint knows the files that were read, so
+    each is read once."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.octet_length("html").cast("bigint").alias("n_bytes"), (F.col("page_id") % 16).alias("package"))
+    root = scratch_dir(spark)
+    for turn in range(3):
+        pages.where(F.pmod("page_id", F.lit(3)) == turn).write.mode("append").partitionBy("package").json(f"{root}/in")
+        stream = jobs.json_stream(spark, f"{root}/in", "page_id bigint, url string, n_bytes bigint, package bigint")
+        out = stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("page_id", "url", "n_bytes", "package")
+
+
 def stream_budget_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = costed(spark, sf_dir).select("project_id", "event_id", "ts", "cost_micros")
     return played(slim, lambda s: jobs.budget_checks(s, LIMIT)).select("project_id", "event_id", "spent_before", "refused")
@@ -59,7 +73,7 @@ def stream_running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.KeyedLog(spark, f"{folder}/log", keys).read()
 
 
-QUERIES = {f.__name__: f for f in (stream_transition_violations, stream_budget_guard, stream_queue_status, stream_first_calls, stream_running_cost)}
+QUERIES = {f.__name__: f for f in (stream_transition_violations, stream_budget_guard, stream_queue_status, stream_first_calls, stream_running_cost, stream_new_packages)}
 SQL = {
     "stream_transition_violations": BATCH["state_transition_violations"],
     "stream_budget_guard": f"select project_id, event_id, spent_before, refused from ({BATCH['budget_guard']})",
@@ -69,4 +83,5 @@ SQL = {
 select project_id, task_name, model_name, event_id, CAST(n - 1 AS BIGINT) as hits from placed where place = 1""",
     "stream_running_cost": f"""with {COSTED} select project_id, task_name, CAST(count(*) AS BIGINT) as invocations, CAST(sum(input_tokens) AS BIGINT) as input_tokens,
   CAST(sum(output_tokens) AS BIGINT) as output_tokens, CAST(sum(cost_micros) AS BIGINT) as cost_micros from costed group by all""",
+    "stream_new_packages": "select page_id, url, CAST(strlen(html) AS BIGINT) as n_bytes, CAST(page_id % 16 AS BIGINT) as package from pages",
 }

@@ -83,12 +83,13 @@ def read_projects(spark: SparkSession, root: str, state: str | None = None, name
     return rows.where(F.col("state") == state.lower()) if state else rows
 
 
-def read_jobs(spark: SparkSession, root: str) -> DataFrame:
-    """Jobs under root/<status>/<slug>/: job.json, what it lacks from metadata.json, else the folder's name; status is the folder's."""
-    at = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/[^/]+\.json$", 1)
-    slug = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/[^/]+\.json$", 2)
-    jobs = spark.read.schema(JOB).option("mode", "PERMISSIVE").json(f"{root}/*/*/job.json", multiLine=True).select(at.alias("status"), slug.alias("folder"), "*")
-    meta = spark.read.schema("title string, duration double").json(f"{root}/*/*/*.json", multiLine=True).select(at.alias("status"), slug.alias("folder"), F.col("_metadata.file_name").alias("name"), F.col("title"), F.col("duration")).where("name = 'metadata.json'").drop("name")
+def read_jobs(spark: SparkSession, root: str, job: str = "job.json", metadata: str = r"metadata\.json") -> DataFrame:
+    """Jobs under root/<status>/<slug>/: job.json, what it lacks from metadata.json, else the folder's name; status is the folder's.
+    `job` is the glob of the first kind of file, `metadata` the pattern of the second's names, which end in .json."""
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/[^/]+$", 1)
+    slug = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/[^/]+$", 2)
+    jobs = spark.read.schema(JOB).option("mode", "PERMISSIVE").json(f"{root}/*/*/{job}", multiLine=True).select(at.alias("status"), slug.alias("folder"), "*")
+    meta = spark.read.schema("title string, duration double").json(f"{root}/*/*/*.json", multiLine=True).select(at.alias("status"), slug.alias("folder"), F.col("_metadata.file_name").alias("name"), F.col("title"), F.col("duration")).where(F.col("name").rlike(f"^({metadata})$")).drop("name")
     return jobs.join(meta, ["status", "folder"], "full").select(F.coalesce("slug", "folder").alias("slug"), "status", F.coalesce("movie_title", "title", "folder").alias("movie_title"), F.coalesce("duration_s", "duration").alias("duration_s"), "enqueued_at", "custom_target_duration", "duration_ratio")
 
 
