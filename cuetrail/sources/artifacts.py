@@ -1,7 +1,13 @@
-"""JSON artifacts of projects as tables, and files as rows."""
+"""JSON artifacts of projects as tables, and files as rows.
+
+Many small files may lie in a pack: a Parquet table with a row a file (PACK). Readers with `packed` take a pack's folder in place of the root;
+its paths end as those of the files would, and nothing is listed or opened for each of them.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +24,25 @@ def _fields(ddl: str) -> str:
 
 
 CORRUPT = "_corrupt_record"
+PACK = "path string, length bigint, content binary"
+
+
+def pack(files: DataFrame, path: str) -> None:
+    """Adds files (path, content) to a pack."""
+    files.select("path", F.octet_length("content").cast("bigint").alias("length"), "content").write.mode("append").parquet(path)
+
+
+def _matches(path: Column, glob: str) -> Column:
+    """Whether the last steps of a path are those of a glob with *, ? and {a,b}."""
+    words = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+    return path.rlike(f"(?s)(^|/){''.join(words.get(c) or re.escape(c) for c in glob)}\\z")
+
+
+def _files(spark: SparkSession, root: str, glob: str, packed: bool = False) -> DataFrame:
+    """path, length, content of the files under root."""
+    if packed:
+        return spark.read.schema(PACK).parquet(root).where(_matches(F.col("path"), glob))
+    return spark.read.format("binaryFile").load(f"{root}/{glob}")
 
 
 def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
@@ -25,8 +50,18 @@ def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame
     return spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path, multiLine=not lines)
 
 
-def quarantine(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    """path, record: files, or lines, that aren't JSON of the schema, for the side table of what readers leave out."""
+def _objects(spark: SparkSession, root: str, glob: str, schema: str, packed: bool) -> DataFrame:
+    """path, the fields of a schema and CORRUPT of the files under root, an object each."""
+    if not packed:
+        return _json(spark, f"{root}/{glob}", schema, lines=False).select(F.col("_metadata.file_path").alias("path"), "*")
+    read = F.from_json(F.col("content").cast("string"), f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    return _files(spark, root, glob, packed).select("path", read.alias("j")).where("j is not null").select("path", "j.*")
+
+
+def quarantine(spark: SparkSession, path: str, schema: str, lines: bool = False, packed: bool = False) -> DataFrame:
+    """path, record: files, or lines, that aren't JSON of the schema, for the side table of what readers leave out. path: a glob, or a pack."""
+    if packed:
+        return _objects(spark, path, "*", schema, packed).select("path", F.col(CORRUPT).alias("record")).where("record is not null")
     first = schema.split(" ", 1)[0]
     # the reader refuses to read CORRUPT alone, so nothing of another column is added to it
     record = F.concat(CORRUPT, F.coalesce(F.left(F.col(first).cast("string"), F.lit(0)), F.lit("")))
@@ -76,32 +111,30 @@ def read_telemetry(spark: SparkSession, paths: dict[str, str], model_of: dict[st
     return out.withColumn("model_name", model)
 
 
-def read_projects(spark: SparkSession, root: str, state: str | None = None, name: str = "project.json") -> DataFrame:
+def read_projects(spark: SparkSession, root: str, state: str | None = None, name: str = "project.json", packed: bool = False) -> DataFrame:
     """Projects, one file `name` a folder; unreadable files are left out (quarantine has them); states in lower case."""
-    rows = _json(spark, f"{root}/*/{name}", PROJECT, lines=False).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows = _objects(spark, root, f"*/{name}", PROJECT, packed).where(F.col(CORRUPT).isNull()).drop(CORRUPT, "path")
     rows = rows.where("project_id is not null").withColumn("state", F.lower("state"))
     return rows.where(F.col("state") == state.lower()) if state else rows
 
 
-def read_jobs(spark: SparkSession, root: str, job: str = "job.json", metadata: str = r"metadata\.json") -> DataFrame:
+def read_jobs(spark: SparkSession, root: str, job: str = "job.json", metadata: str = r"metadata\.json", packed: bool = False) -> DataFrame:
     """Jobs under root/<status>/<slug>/: job.json, what it lacks from metadata.json, else the folder's name; status is the folder's.
     `job` is the glob of the first kind of file, `metadata` the pattern of the second's names, which end in .json."""
-    at = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/[^/]+$", 1)
-    slug = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/([^/]+)/[^/]+$", 2)
-    jobs = spark.read.schema(JOB).option("mode", "PERMISSIVE").json(f"{root}/*/*/{job}", multiLine=True).select(at.alias("status"), slug.alias("folder"), "*")
-    meta = spark.read.schema("title string, duration double").json(f"{root}/*/*/*.json", multiLine=True).select(at.alias("status"), slug.alias("folder"), F.col("_metadata.file_name").alias("name"), F.col("title"), F.col("duration")).where(F.col("name").rlike(f"^({metadata})$")).drop("name")
+    of = lambda n: F.regexp_extract("path", r"([^/]+)/([^/]+)/[^/]+$", n)
+    jobs = _objects(spark, root, f"*/*/{job}", JOB, packed).select(of(1).alias("status"), of(2).alias("folder"), "*")
+    meta = _objects(spark, root, "*/*/*.json", "title string, duration double", packed).where(F.regexp_extract("path", r"([^/]+)$", 1).rlike(f"^({metadata})$"))
+    meta = meta.select(of(1).alias("status"), of(2).alias("folder"), "title", "duration")
     return jobs.join(meta, ["status", "folder"], "full").select(F.coalesce("slug", "folder").alias("slug"), "status", F.coalesce("movie_title", "title", "folder").alias("movie_title"), F.coalesce("duration_s", "duration").alias("duration_s"), "enqueued_at", "custom_target_duration", "duration_ratio")
 
 
-def _files(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(glob)
-
-
-def incoming(spark: SparkSession, root: str, marker: str = ".ingested", suffixes: tuple[str, ...] = MEDIA_SUFFIXES) -> DataFrame:
+def incoming(spark: SparkSession, root: str, marker: str = ".ingested", suffixes: tuple[str, ...] = MEDIA_SUFFIXES, packed: bool = False) -> DataFrame:
     """folder, path, length of media files in folders under root that hold no marker file. Contents aren't read."""
-    found = _files(spark, f"{root}/*/*").select("path", "length", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"))
+    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")
+    found = _files(spark, root, "*/*", packed).select("path", "length", folder)
     media = found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
-    done = _files(spark, f"{root}/*/{{{marker},_{marker.lstrip('.')}}}").select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder")) if _exists(spark, f"{root}/*/{{{marker},_{marker.lstrip('.')}}}") else None
+    marks = f"*/{{{marker},_{marker.lstrip('.')}}}"
+    done = _files(spark, root, marks, packed).select(folder) if packed or _exists(spark, f"{root}/{marks}") else None
     return media if done is None else media.join(done, "folder", "left_anti")
 
 
@@ -110,9 +143,10 @@ def _exists(spark: SparkSession, glob: str) -> bool:
     return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
 
 
-def fingerprints(spark: SparkSession, glob: str) -> DataFrame:
-    """path, length, sha256 of files under 2 GB."""
-    return _files(spark, glob).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def fingerprints(spark: SparkSession, glob: str, packed: bool = False) -> DataFrame:
+    """path, length, sha256 of files under 2 GB. glob: of files, or a pack."""
+    found = _files(spark, glob, "*", packed) if packed else spark.read.format("binaryFile").load(glob)
+    return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 PROBE = "format struct<duration:string>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string>>"
