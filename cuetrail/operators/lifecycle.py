@@ -12,10 +12,10 @@ def _order(keys):
 
 
 def transitions(history: DataFrame, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """history: keys, state, ts, event_id. Adds from_state (null at first) and dwell_s, the seconds until the next state (null at last)."""
+    """history: keys, state, ts, event_id. Adds from_state (null at first), dwell_us and dwell_s, the time until the next state (null at last)."""
     w = _order(keys)
     dwell = F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    return history.withColumns({"from_state": F.lag("state").over(w), "dwell_s": dwell.cast("double") / 1e6})
+    return history.withColumns({"from_state": F.lag("state").over(w), "dwell_us": dwell}).withColumn("dwell_s", F.col("dwell_us").cast("double") / 1e6)
 
 
 def violations(history: DataFrame, allowed: DataFrame, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:

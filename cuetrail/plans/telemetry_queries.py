@@ -78,7 +78,7 @@ def state_transition_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = L.transitions(history(spark, sf_dir))
-    return d.select("project_id", "event_id", "state", "from_state", F.round(F.col("dwell_s") * 1000).cast("bigint").alias("dwell_ms"))
+    return d.select("project_id", "event_id", "state", "from_state", F.round(F.col("dwell_us") / 1000.0).cast("bigint").alias("dwell_ms"))
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,3 +308,17 @@ def test_telemetry_source(spark, tmp_path):
     (tmp_path / "story.json").write_text(json.dumps({"project_id": "a", "telemetry": {"per_task": {"story_synthesis": {"input_tokens": 500, "output_tokens": 100}}}}))
     rows = artifacts.read_telemetry(spark, {"script": str(tmp_path / "script.json"), "story": str(tmp_path / "story.json")}, {"script_generation": "big"}, "small").collect()
     assert sorted((r.task_name, r.input_tokens, r.cache_hit, r.model_name) for r in rows) == [("script_generation", 1000, True, "big"), ("story_synthesis", 500, False, "small")]
+
+
+def test_dwell_rounds_halves_up(spark, tmp_path):
+    """Half a millisecond is rounded up whatever the length: seconds as a double lie just below some halves."""
+    from cuetrail import catalog
+
+    gaps = [1057178526500, 1067363188500, 66368625500]
+    rows, at = [(0, 7, 1_704_067_200_000_000)], 1_704_067_200_000_000
+    for i, gap in enumerate(gaps, 1):
+        at += gap
+        rows.append((i, 7, at))
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, us bigint").selectExpr("event_id", "user_id", "'view' as event_type", "cast(timestamp_micros(us) as timestamp_ntz) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = [r.dwell_ms for r in catalog.QUERIES["state_dwell"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got == [(g + 500) // 1000 for g in gaps] + [None]
