@@ -64,7 +64,9 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, dec
             last = pd.concat(held, ignore_index=True)
             yield decided(last, [0, len(last)])
 
-    return slim.repartition(*keys).sortWithinPartitions(*keys, *columns[:order]).mapInPandas(run, f"{schema}, {added}")
+    # Spark drops a repartition by keys by which the rows are dealt already, and may then deal them anew; it keeps to what a window asks for
+    in_line = F.row_number().over(W.partitionBy(*keys).orderBy(*columns[:order]))
+    return slim.withColumn("__in_line", in_line).mapInPandas(run, f"{schema}, {added}")
 
 
 def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: int = 200, keys=KEYS) -> DataFrame:

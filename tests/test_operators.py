@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuetrail.functions import grams
@@ -322,3 +323,21 @@ def test_dwell_rounds_halves_up(spark, tmp_path):
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, us bigint").selectExpr("event_id", "user_id", "'view' as event_type", "cast(timestamp_micros(us) as timestamp_ntz) as ts").write.parquet(str(tmp_path / "events.parquet"))
     got = [r.dwell_ms for r in catalog.QUERIES["state_dwell"](spark, str(tmp_path)).orderBy("event_id").collect()]
     assert got == [(g + 500) // 1000 for g in gaps] + [None]
+
+
+def test_groups_of_two_sides_stay_whole(spark):
+    """Scenes and narrations that windows have dealt by project already: the sides shrink to different numbers of tasks, projects stay whole."""
+    how = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    before = {k: spark.conf.get(k, None) for k in how}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    try:
+        dealt = F.row_number().over(W.partitionBy("project_id").orderBy("pos")) - 1
+        rows = spark.range(600).select((F.col("id") % 200).alias("project_id"), F.floor(F.col("id") / 200).alias("pos"))
+        scenes = rows.withColumn("filler", F.repeat(F.sha2(F.col("project_id").cast("string"), 512), 10)).withColumn("scene_pos", dealt).select("project_id", "scene_pos", (F.col("scene_pos") * 100.0).alias("start_s"), F.array("filler").alias("tokens"))
+        n = rows.withColumn("i", dealt).select("project_id", "pos", F.lit(5.0).alias("need"), (F.col("i") * 100.0).alias("anchor"), F.lit(None).cast("double").alias("proposed_start"), F.lit(None).cast("double").alias("proposed_end"))
+        got = G.plan_clips(n, scenes, 300.0).collect()
+        assert len(got) == 600 and all(r.scene_pos is not None for r in got)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
