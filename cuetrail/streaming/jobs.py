@@ -110,7 +110,7 @@ def transition_checks(events: DataFrame, allowed: set[tuple[str, str]], late: st
             last = (state,)
         return last, out
 
-    return in_order(events, "project_id", "state", fold, "state string", "event_id bigint, from_state string, state string, verdict string", late)
+    return in_order(events, "project_id", "state", fold, "event_id bigint, from_state string, state string, verdict string", late)
 
 
 def budget_checks(costed: DataFrame, limit_micros: int, late: str = LATE) -> DataFrame:
@@ -125,4 +125,4 @@ def budget_checks(costed: DataFrame, limit_micros: int, late: str = LATE) -> Dat
         return (spent,), out
 
     costs = costed.withColumn("cost_micros", F.coalesce(F.col("cost_micros").cast("bigint"), F.lit(0)))
-    return in_order(costs, "project_id", "cost_micros", fold, "spent bigint", "event_id bigint, spent_before bigint, refused boolean", late)
+    return in_order(costs, "project_id", "cost_micros", fold, "event_id bigint, spent_before bigint, refused boolean", late)

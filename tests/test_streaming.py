@@ -143,3 +143,22 @@ def test_first_calls_and_an_empty_stream(spark):
     assert {(r.cache_key, r.event_id, r.hits) for r in got.collect()} == {("a", 1, 1), ("a", 3, 0), (None, 5, 1)}
     empty = play(spark.createDataFrame([], schema), lambda s, folder: jobs.first_calls(s).writeStream.format("parquet").option("path", f"{folder}/out"))
     assert spark.read.schema("cache_key string").parquet(f"{empty}/out").count() == 0
+
+
+def state_rows(build):
+    """Rows of the state after one batch."""
+    with rocksdb(build.sparkSession):
+        q = build.writeStream.format("noop").option("checkpointLocation", f"{scratch_dir(build.sparkSession)}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"])
+
+
+def test_budget_states_by_buckets(spark, tmp_path):
+    """Keys share states, so calls of the store don't grow with them; keys beyond 2**53 beside a null one stay what they are."""
+    many = spark.range(6000).selectExpr("id as project_id", "id as event_id", "timestamp'2024-01-01' as ts", "1L as cost_micros")
+    assert state_rows(jobs.budget_checks(stream(spark, many, tmp_path, "many"), 5)) < 6000
+    big = 2**53
+    rows = [(big + i % 2 if i < 6 else None, i, at(i), 10 + i) for i in range(8)]
+    got = played(spark.createDataFrame(rows, "project_id bigint, event_id bigint, ts timestamp, cost_micros bigint"), lambda s: jobs.budget_checks(s, 20), turns=2)
+    want = {(big, 0, 0), (big, 2, 10), (big, 4, 22), (big + 1, 1, 0), (big + 1, 3, 11), (big + 1, 5, 24), (None, 6, 0), (None, 7, 16)}
+    assert {(r.project_id, r.event_id, r.spent_before) for r in got.collect()} == want
