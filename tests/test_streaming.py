@@ -162,3 +162,8 @@ def test_budget_states_by_buckets(spark, tmp_path):
     got = played(spark.createDataFrame(rows, "project_id bigint, event_id bigint, ts timestamp, cost_micros bigint"), lambda s: jobs.budget_checks(s, 20), turns=2)
     want = {(big, 0, 0), (big, 2, 10), (big, 4, 22), (big + 1, 1, 0), (big + 1, 3, 11), (big + 1, 5, 24), (None, 6, 0), (None, 7, 16)}
     assert {(r.project_id, r.event_id, r.spent_before) for r in got.collect()} == want
+
+
+def test_transition_states_by_buckets(spark, tmp_path):
+    many = spark.range(6000).selectExpr("id as project_id", "id as event_id", "timestamp'2024-01-01' as ts", "'view' as state")
+    assert state_rows(jobs.transition_checks(stream(spark, many, tmp_path, "many"), set(tables.ALLOWED))) < 6000
