@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .ordered import in_order
+from .ordered import PACKED, dealt, in_order, packed, unpacked
 
 LATE = "1 hour"
 
@@ -43,24 +44,24 @@ def status_counts(latest: DataFrame) -> DataFrame:
 
 
 class _Latest(StatefulProcessor):
-    """The latest status of a job as state. A change gives two rows at once: one job less of the old status, one more of the new."""
+    """The latest status of each job of a bucket as state. A change is one job less of the old status and one more of the new; the changes of
+    a batch are added up, so both sides of a change come at once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "us bigint, event_id bigint, status string")
+        self.now = handle.getValueState("now", PACKED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = tuple(self.now.get()) if self.now.exists() else None
-        new = old
+        old = {r[0]: r[1:] for r in unpacked(self.now.get())} if self.now.exists() else {}
+        new = dict(old)
         for pdf in rows:
-            for us, i, status in zip(pdf.us.tolist(), pdf.event_id.tolist(), pdf.status.tolist(), strict=True):
-                if new is None or (us, i) > new[:2]:
-                    new = (int(us), int(i), status)
-        out = []
+            for slug, *at in zip(*(pdf[c].tolist() for c in ("slug", "us", "event_id", "status")), strict=True):
+                if slug not in new or (at[0], at[1]) > new[slug][:2]:
+                    new[slug] = tuple(at)
         if new != old:
-            self.now.update(new)
-            if old is None or new[2] != old[2]:
-                out = [(s, n) for s, n in ((old and old[2], -1), (new[2], 1)) if n > 0 or old]
-        yield pd.DataFrame(out, columns=["status", "jobs"])
+            self.now.update(packed({str(i): list(c) for i, c in enumerate(zip(*((k, *v) for k, v in new.items()), strict=True))}))
+        jobs = Counter(v[2] for v in new.values())
+        jobs.subtract(v[2] for v in old.values())
+        yield pd.DataFrame([(status, n) for status, n in jobs.items() if n], columns=["status", "jobs"])
 
     def close(self) -> None:
         pass
@@ -68,9 +69,9 @@ class _Latest(StatefulProcessor):
 
 def status_changes(events: DataFrame) -> DataFrame:
     """status, jobs: signed numbers of jobs as they change their status, by the latest (ts, event_id), whatever the order of arrival. events:
-    slug, status, ts, event_id. One state row a job; for append mode into sinks.Totals. Needs the RocksDB store."""
-    slim = events.where("ts is not null").select("slug", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").cast("bigint").alias("event_id"))
-    return slim.groupBy("slug").transformWithStateInPandas(_Latest(), "status string, jobs bigint", "append", "None")
+    slug, status, ts, event_id. One state row a job, kept by buckets; for append mode into sinks.Totals. Needs the RocksDB store."""
+    slim = events.where("ts is not null").select(dealt("slug"), F.col("slug").cast("string").alias("slug"), "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").cast("bigint").alias("event_id"))
+    return slim.groupBy("bucket").transformWithStateInPandas(_Latest(), "status string, jobs bigint", "append", "None")
 
 
 # --- cache keys ----------------------------------------------------------------------------------------------------

@@ -167,3 +167,13 @@ def test_budget_states_by_buckets(spark, tmp_path):
 def test_transition_states_by_buckets(spark, tmp_path):
     many = spark.range(6000).selectExpr("id as project_id", "id as event_id", "timestamp'2024-01-01' as ts", "'view' as state")
     assert state_rows(jobs.transition_checks(stream(spark, many, tmp_path, "many"), set(tables.ALLOWED))) < 6000
+
+
+def test_status_states_by_buckets(spark, tmp_path):
+    """Jobs share states, and a batch gives sums of changes and not a row a job."""
+    many = spark.range(6000).selectExpr("id as slug", "if(id % 3 = 0, null, 'done') as status", "timestamp'2024-01-01' as ts", "id as event_id")
+    build = jobs.status_changes(stream(spark, many, tmp_path, "many"))
+    assert state_rows(build) < 6000
+    with rocksdb(spark):
+        rows = run(build, "append", tmp_path, "status_rows").collect()
+    assert len(rows) < 1000 and {s: sum(r.jobs for r in rows if r.status == s) for s in (None, "done")} == {None: 2000, "done": 4000}
