@@ -35,6 +35,14 @@ def test_nearest_scene_equals_brute_force(spark, seed):
     assert I.nearest_scene(pt, sc.limit(0)).count() == 0 and I.nearest_scene(pt.limit(0), sc).count() == 0
 
 
+def test_nearest_scene_deals_its_rows_once(spark):
+    """One shuffle of the rows, and those of what is carried between stretches; rows aren't joined with it."""
+    scenes = spark.range(100).selectExpr("id % 3 as project_id", "cast(id as int) as scene_pos", "id * 2.0D as s", "id * 2.0D + 1 as e")
+    points = spark.range(100).selectExpr("id % 3 as project_id", "id as point_id", "id * 1.5D as t")
+    plan = I.nearest_scene(points, scenes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
+
+
 def test_one_long_film(spark):
     """100,000 points and scenes of one film: all pairs would be ten thousand million rows."""
     n = 100_000
