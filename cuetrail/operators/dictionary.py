@@ -30,10 +30,14 @@ def _blocks(terms: DataFrame, term: str) -> Iterator[list[str]]:
         yield block
 
 
-def _search(texts: DataFrame, block: list[str], term: str) -> DataFrame:
-    """texts with a row for each of the block's terms that a text contains, in the column `term`."""
+#: Rows found, and characters of texts read, after which a task hands over what it has; a text's own rows stay together.
+SLICE_ROWS, SLICE_CHARS = 4096, 4 << 20
+
+
+def _search(texts: DataFrame, block: list[str], term: str, kept: list[str]) -> DataFrame:
+    """The columns `kept` of texts with a row for each of the block's terms that a text contains, in the column `term`."""
     shared = texts.sparkSession.sparkContext.broadcast(block)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + f", `{term}` string"
+    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept) + f", `{term}` string"
     at = texts.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,39 +49,42 @@ def _search(texts: DataFrame, block: list[str], term: str) -> DataFrame:
                 everywhere.append(t)
         automaton.make_automaton()
         for b in batches:
-            rows, found = [], []
-            for i, text in enumerate(b.column(at).to_pylist()):
-                if text is None:
-                    continue
-                hits = {t for _, t in automaton.iter(text)} if len(automaton) else set()
-                rows += [i] * (len(hits) + len(everywhere))
-                found += [*hits, *everywhere]
-            out = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(found, pa.string())], names=[*b.schema.names, term])
+            own, rows, found, read = b.select(kept), [], [], 0
+            for i, text in enumerate(b.column(at)):
+                text = text.as_py()
+                if text is not None:
+                    hits = {t for _, t in automaton.iter(text)} if len(automaton) else set()
+                    rows += [i] * (len(hits) + len(everywhere))
+                    found += [*hits, *everywhere]
+                    read += len(text)
+                if rows and (len(rows) >= SLICE_ROWS or read >= SLICE_CHARS or i == b.num_rows - 1):
+                    out = own.take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(found, pa.string())], names=[*kept, term])
+                    rows, found, read = [], [], 0
 
     return texts.mapInArrow(run, schema)
 
 
-def contained(texts: DataFrame, terms: DataFrame, keys: tuple[str, ...], term: str) -> DataFrame:
-    """keys, text and the columns of terms: a row for each text and each term that it contains.
+def contained(texts: DataFrame, terms: DataFrame, keys: tuple[str, ...], term: str, with_text: bool = True) -> DataFrame:
+    """keys, text (unless left out by with_text) and the columns of terms: a row for each text and each term that it contains.
 
     One automaton holds all terms of a block, so a text is read once for each block, however many terms there are, and nothing is shuffled but
     by the terms that were found. Null texts and terms match nothing, an empty term every text; repeated texts stay repeated, repeated terms
     count once.
     """
     texts, terms = texts.select(*keys, "text"), terms.where(F.col(term).isNotNull()).distinct()
-    found = None
+    found, kept = None, [*keys, "text"] if with_text else [*keys]
     for block in _blocks(terms, term):
-        rows = _search(texts, block, term)
+        rows = _search(texts, block, term, kept)
         found = rows if found is None else found.unionByName(rows)
     if found is None:
-        return texts.limit(0).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in terms.schema))
-    return found.join(terms, term).select(*keys, "text", *terms.columns)
+        return texts.limit(0).select(*kept, *(F.lit(None).cast(f.dataType).alias(f.name) for f in terms.schema))
+    return found.join(terms, term).select(*kept, *terms.columns)
 
 
 def hits(texts: DataFrame, cues: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, concept, cues: how many cues of each concept the text holds. cues: concept, cue."""
-    return contained(texts, cues, keys, "cue").groupBy(*keys, "concept").agg(F.count_distinct("cue").alias("cues"))
+    return contained(texts, cues, keys, "cue", with_text=False).groupBy(*keys, "concept").agg(F.count_distinct("cue").alias("cues"))
 
 
 def domain_conflicts(text_domains: DataFrame, scene_domains: DataFrame, conflicts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -101,7 +108,7 @@ def signature_contamination(texts: DataFrame, signatures: DataFrame, keys: tuple
     which normalisation leaves nothing is no other title."""
     own = normal_title(F.col("own_title"))
     alike = lambda name: (own != "") & (F.contains(own, name) | F.contains(name, own))
-    found = contained(texts, signatures, (*keys, "own_title"), "signature").where(~alike(normal_title(F.col("title"))))
+    found = contained(texts, signatures, (*keys, "own_title"), "signature", with_text=False).where(~alike(normal_title(F.col("title"))))
     # only titles that were found are held against the other signatures of theirs
     sign = normal_title(F.col("signature"))
     pairs = found.select("own_title", "title").distinct().join(signatures.select("title", "signature"), "title")

@@ -43,6 +43,17 @@ def test_nearest_scene_deals_its_rows_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
 
 
+def test_searches_leave_the_texts_behind(spark):
+    """Python hands back keys and terms, not a copy of the text for each term found; what is found doesn't depend on slices."""
+    texts = spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, concat(repeat('x', 5000), if(id % 2 = 0, 'ab', 'b'))) as text").coalesce(1)
+    cues = spark.createDataFrame([("p", "ab"), ("p", "b"), ("q", "x"), ("q", "none")], "concept string, cue string")
+    found = D.hits(texts, cues, ("id",))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert all("text" not in line.split("MapInArrow", 1)[1].split("[", 1)[1].split("]")[0] for line in plan.splitlines() if "MapInArrow" in line)
+    want = {(i, c, n) for i in range(3000) if i % 7 for c, n in (("p", 2 if i % 2 == 0 else 1), ("q", 1))}
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def test_one_long_film(spark):
     """100,000 points and scenes of one film: all pairs would be ten thousand million rows."""
     n = 100_000
