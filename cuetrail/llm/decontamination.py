@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ _IN_STRETCH = (1 << STRETCH_BITS) - 1
 #: Bits of a stretch's number in a part, no more than a block's: an array has less than 2**31 words.
 _STRETCHES_BITS = 31 - STRETCH_BITS
 _STRETCHES = (1 << _STRETCHES_BITS) - 1
+#: Tasks that share the rows of one split of the files when lists are made, so that none holds the tokens of a whole split.
+SHARES = 4
 
 
 def words(text: Column) -> Column:
@@ -36,6 +40,12 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", at).select("item_id", F.slice("w", F.col("at"), size).alias("terms")).distinct()
 
 
+def in_shares(docs: DataFrame, key: str) -> DataFrame:
+    """docs, each row once, with SHARES tasks for each split of the files; a task drops the rows of other shares before texts are split."""
+    share = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SHARES))
+    return reduce(DataFrame.unionAll, (docs.where(share == i) for i in range(SHARES)))
+
+
 def build_index(docs: DataFrame, key: str = "uid") -> DataFrame:
     """The positional inverted index of docs, whatever it will be searched for: term, part, n, places array<int>.
 
@@ -43,10 +53,11 @@ def build_index(docs: DataFrame, key: str = "uid") -> DataFrame:
     2**STRETCH_BITS words of them; `part` has the numbers of both): `n` places, each the key's number in the block and the word's in the stretch, in this order. The place of the
     null term is the end of a document, its number of words, so that documents without words are held too. Tasks make lists of their own
     tokens before anything is shuffled; a block bounds what meets, so a term that all documents hold is as many lists as there are blocks.
+    A task sorts its tokens in memory, so a split of the files is read by SHARES tasks, each of which takes its share of the rows.
     """
     ends = F.concat(words(F.col("text")), F.array(F.lit(None).cast("string")))
     k = F.col(key).cast("bigint")
-    tokens = docs.select(F.shiftright(k, BLOCK_BITS).alias("block"), k.bitwiseAND(_IN_BLOCK).cast("int").alias("doc"), F.posexplode(ends).alias("pos", "term"))
+    tokens = in_shares(docs, key).select(F.shiftright(k, BLOCK_BITS).alias("block"), k.bitwiseAND(_IN_BLOCK).cast("int").alias("doc"), F.posexplode(ends).alias("pos", "term"))
     part = F.shiftleft("block", _STRETCHES_BITS) + F.shiftright("pos", STRETCH_BITS)
     place = F.shiftleft("doc", STRETCH_BITS) + F.col("pos").bitwiseAND(_IN_STRETCH)
     # rows that tasks sort to make their lists hold these three columns only

@@ -586,6 +586,15 @@ def test_decontamination_with_items_of_any_type(spark, kind):
     assert got[2].items_sha256 == EMPTY_SHA and not got[3].contaminated
 
 
+def test_index_by_shares_of_a_split(spark):
+    """No task holds the tokens of a whole split: one file's rows are shared by tasks, each row once."""
+    folder = shared_dir(spark)
+    spark.range(2000).selectExpr("id as uid", "concat('w', id) as text").coalesce(1).write.parquet(folder)
+    rows = decontamination.in_shares(spark.read.parquet(folder), "uid").select("uid", F.spark_partition_id().alias("task")).collect()
+    tasks = Counter(r.task for r in rows)
+    assert sorted(r.uid for r in rows) == list(range(2000)) and len(tasks) == decontamination.SHARES and max(tasks.values()) < 1000
+
+
 def test_decontamination_beyond_the_bound_on_broadcasts(spark, monkeypatch):
     rows = [(i, f"x{i} one two three four five six seven eight nine ten y{i}" if i % 3 else "one two ten") for i in range(30)] + [(None, "one " * 9 + "one")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
