@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .ordered import PACKED, dealt, in_order, packed, unpacked
+from .ordered import PACKED, dealt, ends_of, in_order, packed, unpacked
 
 LATE = "1 hour"
 
@@ -103,13 +104,14 @@ def transition_checks(events: DataFrame, allowed: set[tuple[str, str]], late: st
     store; see ordered.in_order."""
     pairs = set(allowed)
 
-    def fold(last: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
-        out = []
-        for _, event_id, state in rows:
-            verdict = "first" if last is None else "allowed" if (last[0], state) in pairs else "disallowed"
-            out.append((event_id, None if last is None else last[0], state, verdict))
-            last = (state,)
-        return last, out
+    def fold(states: np.ndarray, starts: np.ndarray, before: list[tuple | None]) -> tuple[list[tuple], dict]:
+        old = np.append([None], states[:-1]).astype(object)
+        old[starts] = [b[0] if b else None for b in before]
+        verdicts = ["allowed" if p in pairs else "disallowed" for p in zip(old, states, strict=True)]
+        for i, b in zip(starts, before, strict=True):
+            if b is None:
+                verdicts[i] = "first"
+        return [(x,) for x in states[ends_of(starts, len(states))]], {"from_state": old, "state": states, "verdict": verdicts}
 
     return in_order(events, "project_id", "state", fold, "event_id bigint, from_state string, state string, verdict string", late)
 
@@ -118,12 +120,12 @@ def budget_checks(costed: DataFrame, limit_micros: int, late: str = LATE) -> Dat
     """project_id, event_id, spent_before, refused: the cost so far, carried as state, in the order of (ts, event_id). Rows wait for the
     watermark. Needs the RocksDB store; see ordered.in_order."""
 
-    def fold(last: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
-        spent, out = last[0] if last else 0, []
-        for _, event_id, micros in rows:
-            out.append((event_id, spent, spent >= limit_micros))
-            spent += int(micros or 0)
-        return (spent,), out
+    def fold(micros: np.ndarray, starts: np.ndarray, before: list[tuple | None]) -> tuple[list[tuple], dict]:
+        ends = ends_of(starts, len(micros))
+        earlier = np.cumsum(micros) - micros
+        carried = np.array([b[0] if b else 0 for b in before], dtype=np.int64) - earlier[starts]
+        spent = earlier + np.repeat(carried, ends - starts + 1)
+        return [(int(x),) for x in (spent + micros)[ends]], {"spent_before": spent, "refused": spent >= limit_micros}
 
     costs = costed.withColumn("cost_micros", F.coalesce(F.col("cost_micros").cast("bigint"), F.lit(0)))
     return in_order(costs, "project_id", "cost_micros", fold, "event_id bigint, spent_before bigint, refused boolean", late)

@@ -10,7 +10,7 @@ from cuetrail.operators import telemetry as T
 from cuetrail.plans import tables
 from cuetrail.sources.scratch import scratch_dir
 from cuetrail.streaming import jobs, sinks
-from cuetrail.streaming.ordered import rocksdb
+from cuetrail.streaming.ordered import ends_of, in_order, rocksdb
 from cuetrail.streaming.replay import play, played
 
 SF = "/root/testdata/sf0.001"
@@ -169,6 +169,20 @@ def test_transition_states_by_buckets(spark, tmp_path):
     assert state_rows(jobs.transition_checks(stream(spark, many, tmp_path, "many"), set(tables.ALLOWED))) < 6000
 
 
+def test_rows_are_judged_by_columns(spark):
+    """The rows of a bucket's keys pass in one call; a null key and null values among them, and keys that were idle start anew."""
+
+    def fold(values, starts, before):
+        after = [(values[i],) for i in ends_of(starts, len(values))]
+        known = [b is not None for b in before]
+        return after, {"runs": [len(starts)] * len(values), "known": [k for k, n in zip(known, ends_of(starts, len(values)) - starts + 1, strict=True) for _ in range(n)]}
+
+    events = spark.range(3000).selectExpr("if(id % 1000 = 7, null, id % 1000) as project_id", "id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 100 * int(id / 2000), 0, 0, id / 10) as ts", "cast(null as string) as state")
+    got = played(events, lambda s: in_order(s, "project_id", "state", fold, "event_id bigint, runs bigint, known boolean", "1 hour"), turns=1).collect()
+    assert sorted(r.event_id for r in got) == list(range(3000)) and max(r.runs for r in got) > 1
+    assert {r.project_id for r in got} == {None, *range(1000)} - {7} and not any(r.known for r in got)
+
+
 def test_status_states_by_buckets(spark, tmp_path):
     """Jobs share states, and a batch gives sums of changes and not a row a job."""
     many = spark.range(6000).selectExpr("id as slug", "if(id % 3 = 0, null, 'done') as status", "timestamp'2024-01-01' as ts", "id as event_id")
