@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,8 +18,8 @@ KEYS = ["project_id"]
 
 
 def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, decide, order: int = 1, kept: list[str] | None = None) -> DataFrame:
-    """keys, columns (or only those `kept`) and the added one. decide gets the columns of a group as lists, in the order of the first
-    `order` columns, and returns a list.
+    """keys, columns (or only those `kept`) and the added ones. decide gets the columns of a group as lists, in the order of the first
+    `order` columns, and returns a list, or a tuple with a list for each added column where there are several.
 
     Groups stand side by side in sorted partitions and are decided as they stream past, so small groups cost little and a task never
     holds more than a batch and a group.
@@ -26,14 +27,16 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, dec
     slim = df.select(*keys, *columns)
     back = [*keys, *(columns if kept is None else kept)]
     schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in back)
-    name = added.split()[0]
+    names = [a.split()[0] for a in added.split(", ")]
 
     def decided(t: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
         lists = {c: t[c].tolist() for c in columns}
-        out: list = []
+        out: dict[str, list] = {n: [] for n in names}
         for x, y in zip(edges[:-1], edges[1:], strict=True):
-            out += decide({c: v[x:y] for c, v in lists.items()})
-        return t.iloc[: edges[-1]][back].assign(**{name: out})
+            got = decide({c: v[x:y] for c, v in lists.items()})
+            for n, values in zip(names, got if len(names) > 1 else [got], strict=True):
+                out[n] += values
+        return t.iloc[: edges[-1]][back].assign(**out)
 
     def same(a, b) -> bool:
         return a == b or (pd.isna(a) and pd.isna(b))
@@ -94,40 +97,59 @@ def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: in
     return sized.join(cut, [*keys, "pos"]).groupBy(*keys, "chunk").agg(start.alias("start_s"), F.max_by("end_s", "pos").alias("end_s"), text.alias("text"), F.sum("chars").alias("word_count"), F.count("*").alias("source_entries")).select(*keys, F.format_string("chunk-%04d", "chunk").alias("chunk_id"), "start_s", "end_s", "text", "word_count", "source_entries")
 
 
-def dialogue_breaks(scenes: DataFrame, cues: DataFrame, keys=KEYS) -> DataFrame:
-    """Adds has_break: no cue starts between a second before the scene's end and a second after the next scene's start. The last scene has
-    none. The gaps of the scenes and the starts of the cues are laid on one time line, and each gap looks at the last cue before its end, so
-    the work is that of a sort."""
-    w = W.partitionBy(*keys).orderBy("pos")
-    ahead = scenes.withColumn("next_s", F.lead("start_s").over(w))
-    gaps = ahead.select(*keys, "pos", (F.col("end_s") - 1).alias("lo"), (F.col("next_s") + 1).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("c")).where("at is not null")
-    starts = cues.select(*keys, F.lit(None).cast(scenes.schema["pos"].dataType).alias("pos"), F.lit(None).cast("double").alias("lo"), F.col("start_s").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("start_s").cast("double").alias("c")).where("at is not null")
-    line = W.partitionBy(*keys).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = gaps.unionByName(starts).withColumn("latest", F.max("c").over(line)).where("kind = 1").select(*keys, "pos", F.coalesce(F.col("latest") >= F.col("lo"), F.lit(False)).alias("near"))
-    return ahead.join(near, [*keys, "pos"], "left").withColumn("has_break", F.coalesce(~F.col("near"), F.lit(False))).drop("near", "next_s")
+def _sequenced(scenes: DataFrame, cues: DataFrame, min_seconds: float, max_seconds: float, keys) -> DataFrame:
+    """keys, kind (1), pos, start_s, end_s, has_break, seq of each scene, and of its sequence up to it: first_s, the least start; scenes, their
+    number; closes, whether it is the last one.
 
+    A film's starts of cues and then its scenes pass as one line of numbers that is dealt and sorted once, so no scene waits in a second sort
+    or a join, and a sequence needs no aggregate. A scene finds the last cue before its gap's end by bisection.
+    """
+    def decide(g: dict) -> tuple[list, ...]:
+        n = g["kind"].count(0)  # cues, which stand in front
+        heard, starts, ends = g["start_s"][:n], g["start_s"][n:], g["end_s"][n:]
+        out: tuple[list, ...] = ([False] * n, [0] * n, [0.0] * n, [0] * n, [False] * n)
+        has_break, seqs, firsts, counts, closes = (x.append for x in out)
+        seq, count, start, first = 0, 0, 0.0, 0.0
+        for s, e, ahead in zip(starts, ends, [*starts, None][1:], strict=True):
+            b = False
+            if ahead is not None and ahead == ahead:  # else the last scene, or one before a scene without a start
+                at = bisect_right(heard, ahead + 1)
+                b = not (at and heard[at - 1] >= e - 1)
+            if not count:
+                start = first = s
+            elif s < first or first != first:
+                first = s
+            count += 1
+            over = e - start >= max_seconds or (e - start >= min_seconds and b)
+            has_break(b)
+            seqs(seq)
+            firsts(first)
+            counts(count)
+            closes(over or ahead is None)
+            if over:
+                seq, count = seq + 1, 0
+        return out
 
-def number_sequences(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0, max_seconds: float = 120.0, keys=KEYS) -> DataFrame:
-    """keys, pos, start_s, end_s, has_break, seq of each scene: its sequence's number. A sequence ends with a scene at max_seconds, at a break
-    of the dialogue from min_seconds on, or with the last scene; the next one starts where the next scene does."""
-    broken = dialogue_breaks(scenes, cues, keys)
+    number = lambda c: F.col(c).cast("double").alias(c)
+    of_scenes = scenes.select(*keys, F.lit(1).alias("kind"), "pos", number("start_s"), number("end_s"))
+    no_pos = F.lit(0).cast(scenes.schema["pos"].dataType).alias("pos")  # not null, so that pandas keeps whole numbers
+    of_cues = cues.select(*keys, F.lit(0).alias("kind"), no_pos, number("start_s"), F.lit(None).cast("double").alias("end_s")).where("start_s is not null and not isnan(start_s)")
+    cut = _grouped(of_scenes.unionByName(of_cues), keys, ["kind", "pos", "start_s", "end_s"], "has_break boolean, seq int, first_s double, scenes bigint, closes boolean", decide, order=3)
+    kinds = {"start_s": "start_s", "end_s": "end_s", "first_s": "start_s"}
+    return cut.where("kind = 1").withColumns({c: F.col(c).cast(scenes.schema[of].dataType) for c, of in kinds.items()})
 
-    def decide(g: dict) -> list:
-        out, seq, start = [], 0, None
-        for s, e, b in zip(g["start_s"], g["end_s"], g["has_break"], strict=True):
-            start = s if start is None else start
-            out.append(seq)
-            if e - start >= max_seconds or (e - start >= min_seconds and b):
-                seq, start = seq + 1, None
-        return out
 
-    return _grouped(broken, keys, ["pos", "start_s", "end_s", "has_break"], "seq int", decide)
+def number_sequences(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0, max_seconds: float = 120.0, keys=KEYS) -> DataFrame:
+    """keys, pos, start_s, end_s, has_break, seq of each scene: its sequence's number. A sequence ends with a scene at max_seconds, at a break
+    of the dialogue from min_seconds on, or with the last scene; the next one starts where the next scene does. has_break: no cue starts
+    between a second before the scene's end and a second after the next scene's start. The last scene has none."""
+    return _sequenced(scenes, cues, min_seconds, max_seconds, keys).select(*keys, "pos", "start_s", "end_s", "has_break", "seq")
 
 
 def cluster_scenes(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0, max_seconds: float = 120.0, keys=KEYS) -> DataFrame:
     """Sequences of scenes: keys, sequence_id, start_s, end_s, scenes."""
-    cut = number_sequences(scenes, cues, min_seconds, max_seconds, keys)
-    return cut.groupBy(*keys, "seq").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"), F.count("*").alias("scenes")).select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), "start_s", "end_s", "scenes")
+    cut = _sequenced(scenes, cues, min_seconds, max_seconds, keys).where("closes")
+    return cut.select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), F.col("first_s").alias("start_s"), "end_s", "scenes")
 
 
 def sequence_rollup(numbered: DataFrame, scenes: DataFrame, cues: DataFrame, keys=KEYS) -> DataFrame:

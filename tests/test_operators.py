@@ -154,6 +154,39 @@ def test_clustering_and_selection(spark):
     assert len(picked) >= 3 and 200 <= sum(r.duration_s for r in picked) <= 450
 
 
+def test_sequences_of_a_line_dealt_and_sorted_once(spark):
+    # scenes of odd lengths with gaps, cues on and beside their edges; a film without cues, a cue without scenes, a cue without a start
+    scenes, cues = [], []
+    for p in range(12):
+        at = 0.0
+        for i in range(40):
+            length = 5.0 + (i * 7 + p * 13) % 31
+            scenes.append((p, i + (1 << 53) + 1, at, at + length))
+            at += length + (i * p) % 3
+            if p and (i * 5 + p) % 4 < 2:
+                cues.append((p, at - 1 + (i + p) % 4 * 0.5 if i % 3 else scenes[-1][3] - 1 - (i % 2) * 0.25))
+    cues += [(99, 3.0), (3, None)]
+    want, broken = [], {}
+    for p in range(12):
+        film, seq, held = [x[1:] for x in scenes if x[0] == p], 0, []
+        for k, (pos, s, e) in enumerate(film):
+            held.append((s, e))
+            last = k + 1 == len(film)
+            b = not last and not any(q == p and c is not None and e - 1 <= c <= film[k + 1][1] + 1 for q, c in cues)
+            broken[p, pos] = (b, seq)
+            if last or e - held[0][0] >= 120 or (e - held[0][0] >= 45 and b):
+                want.append((p, f"seq-{seq:03d}", held[0][0], e, len(held)))
+                seq, held = seq + 1, []
+    s = spark.createDataFrame(scenes[::-1], "project_id bigint, pos bigint, start_s double, end_s double")
+    c = spark.createDataFrame(cues[::-1], "project_id bigint, start_s double")
+    out = G.cluster_scenes(s, c)
+    assert sorted(map(tuple, out.collect())) == want
+    assert {(r.project_id, r.pos): (r.has_break, r.seq) for r in G.number_sequences(s, c).collect()} == broken
+    assert {b for b, _ in broken.values()} == {True, False} and len({r[4] for r in want}) > 2
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not any(x in plan for x in ("Join", "Aggregate")) and plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
 def test_clip_plan_moves_through_the_film(spark):
     scenes = spark.range(100).select(F.lit("p").alias("project_id"), F.col("id").alias("scene_pos"), (F.col("id") * 50.0).alias("start_s"))
     none = F.lit(None).cast("double")
