@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import interval_join
-
 KEYS = ["project_id"]
 
 
+def _in_line(df: DataFrame, keys, order: list[str]) -> DataFrame:
+    """df, dealt by the keys and sorted by them and the order, with a column __in_line."""
+    # Spark drops a repartition by keys by which the rows are dealt already, and may then deal them anew; it keeps to what a window asks for
+    return df.withColumn("__in_line", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], keys) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Rows of whole groups, from batches in which groups stand side by side; and the rows at which the groups start and the last one ends."""
+    def same(a, b) -> bool:
+        return a == b or (pd.isna(a) and pd.isna(b))
+
+    held: list[pd.DataFrame] = []  # pieces of one group
+    for t in batches:
+        if not len(t):
+            continue
+        new = np.zeros(len(t), dtype=bool)
+        for k in keys:
+            v, none = t[k].to_numpy(), t[k].isna().to_numpy()
+            new[1:] |= ~((v[1:] == v[:-1]) | (none[1:] & none[:-1]))
+        starts = np.flatnonzero(new).tolist()
+        if held and not all(same(held[0][k].iloc[0], t[k].iloc[0]) for k in keys):
+            starts = [0, *starts]
+        if not starts:
+            held.append(t)
+            continue
+        done = pd.concat([*held, t.iloc[: starts[0]]], ignore_index=True)
+        if len(done):
+            yield done, [0, len(done)]
+        if len(starts) > 1:
+            yield t.iloc[starts[0] : starts[-1]].reset_index(drop=True), [x - starts[0] for x in starts]
+        held = [t.iloc[starts[-1] :].reset_index(drop=True)]
+    if held:
+        last = pd.concat(held, ignore_index=True)
+        yield last, [0, len(last)]
+
+
 def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, decide, order: int = 1, kept: list[str] | None = None) -> DataFrame:
     """keys, columns (or only those `kept`) and the added ones. decide gets the columns of a group as lists, in the order of the first
     `order` columns, and returns a list, or a tuple with a list for each added column where there are several.
@@ -38,38 +73,11 @@ def _grouped(df: DataFrame, keys: list[str], columns: list[str], added: str, dec
                 out[n] += values
         return t.iloc[: edges[-1]][back].assign(**out)
 
-    def same(a, b) -> bool:
-        return a == b or (pd.isna(a) and pd.isna(b))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # pieces of one group
-        for t in batches:
-            if not len(t):
-                continue
-            new = np.zeros(len(t), dtype=bool)
-            for k in keys:
-                v, none = t[k].to_numpy(), t[k].isna().to_numpy()
-                new[1:] |= ~((v[1:] == v[:-1]) | (none[1:] & none[:-1]))
-            starts = np.flatnonzero(new).tolist()
-            if held and not all(same(held[0][k].iloc[0], t[k].iloc[0]) for k in keys):
-                starts = [0, *starts]
-            if not starts:
-                held.append(t)
-                continue
-            done = pd.concat([*held, t.iloc[: starts[0]]], ignore_index=True)
-            if len(done):
-                yield decided(done, [0, len(done)])
-            if len(starts) > 1:
-                middle = t.iloc[starts[0] : starts[-1]].reset_index(drop=True)
-                yield decided(middle, [x - starts[0] for x in starts])
-            held = [t.iloc[starts[-1] :].reset_index(drop=True)]
-        if held:
-            last = pd.concat(held, ignore_index=True)
-            yield decided(last, [0, len(last)])
+        for t, edges in _whole_groups(batches, keys):
+            yield decided(t, edges)
 
-    # Spark drops a repartition by keys by which the rows are dealt already, and may then deal them anew; it keeps to what a window asks for
-    in_line = F.row_number().over(W.partitionBy(*keys).orderBy(*columns[:order]))
-    return slim.withColumn("__in_line", in_line).mapInPandas(run, f"{schema}, {added}")
+    return _in_line(slim, keys, columns[:order]).mapInPandas(run, f"{schema}, {added}")
 
 
 def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: int = 200, keys=KEYS) -> DataFrame:
@@ -97,6 +105,32 @@ def segment_transcript(cues: DataFrame, max_seconds: float = 60.0, max_chars: in
     return sized.join(cut, [*keys, "pos"]).groupBy(*keys, "chunk").agg(start.alias("start_s"), F.max_by("end_s", "pos").alias("end_s"), text.alias("text"), F.sum("chars").alias("word_count"), F.count("*").alias("source_entries")).select(*keys, F.format_string("chunk-%04d", "chunk").alias("chunk_id"), "start_s", "end_s", "text", "word_count", "source_entries")
 
 
+def _cut(starts: list[float], ends: list[float], heard: list[float], min_seconds: float, max_seconds: float) -> tuple[list, ...]:
+    """has_break, seq, first_s, scenes and closes (see _sequenced) of a film's scenes in their order. heard: the sorted starts of its cues."""
+    out: tuple[list, ...] = ([], [], [], [], [])
+    has_break, seqs, firsts, counts, closes = (x.append for x in out)
+    seq, count, start, first = 0, 0, 0.0, 0.0
+    for s, e, ahead in zip(starts, ends, [*starts, None][1:], strict=True):
+        b = False
+        if ahead is not None and ahead == ahead:  # else the last scene, or one before a scene without a start
+            at = bisect_right(heard, ahead + 1)
+            b = not (at and heard[at - 1] >= e - 1)
+        if not count:
+            start = first = s
+        elif s < first or first != first:
+            first = s
+        count += 1
+        over = e - start >= max_seconds or (e - start >= min_seconds and b)
+        has_break(b)
+        seqs(seq)
+        firsts(first)
+        counts(count)
+        closes(over or ahead is None)
+        if over:
+            seq, count = seq + 1, 0
+    return out
+
+
 def _sequenced(scenes: DataFrame, cues: DataFrame, min_seconds: float, max_seconds: float, keys) -> DataFrame:
     """keys, kind (1), pos, start_s, end_s, has_break, seq of each scene, and of its sequence up to it: first_s, the least start; scenes, their
     number; closes, whether it is the last one.
@@ -106,29 +140,8 @@ def _sequenced(scenes: DataFrame, cues: DataFrame, min_seconds: float, max_secon
     """
     def decide(g: dict) -> tuple[list, ...]:
         n = g["kind"].count(0)  # cues, which stand in front
-        heard, starts, ends = g["start_s"][:n], g["start_s"][n:], g["end_s"][n:]
-        out: tuple[list, ...] = ([False] * n, [0] * n, [0.0] * n, [0] * n, [False] * n)
-        has_break, seqs, firsts, counts, closes = (x.append for x in out)
-        seq, count, start, first = 0, 0, 0.0, 0.0
-        for s, e, ahead in zip(starts, ends, [*starts, None][1:], strict=True):
-            b = False
-            if ahead is not None and ahead == ahead:  # else the last scene, or one before a scene without a start
-                at = bisect_right(heard, ahead + 1)
-                b = not (at and heard[at - 1] >= e - 1)
-            if not count:
-                start = first = s
-            elif s < first or first != first:
-                first = s
-            count += 1
-            over = e - start >= max_seconds or (e - start >= min_seconds and b)
-            has_break(b)
-            seqs(seq)
-            firsts(first)
-            counts(count)
-            closes(over or ahead is None)
-            if over:
-                seq, count = seq + 1, 0
-        return out
+        cut = _cut(g["start_s"][n:], g["end_s"][n:], g["start_s"][:n], min_seconds, max_seconds)
+        return tuple([none] * n + of_scenes for none, of_scenes in zip((False, 0, 0.0, 0, False), cut, strict=True))
 
     number = lambda c: F.col(c).cast("double").alias(c)
     of_scenes = scenes.select(*keys, F.lit(1).alias("kind"), "pos", number("start_s"), number("end_s"))
@@ -152,28 +165,103 @@ def cluster_scenes(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0
     return cut.select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), F.col("first_s").alias("start_s"), "end_s", "scenes")
 
 
-def sequence_rollup(numbered: DataFrame, scenes: DataFrame, cues: DataFrame, keys=KEYS) -> DataFrame:
-    """keys, sequence_id, start_s, end_s, transcript, characters, keyframes, dialogue_count of the sequences that number_sequences gives.
+#: Bytes of transcripts that a task gathers before it hands them on.
+HANDED_ON = 4 << 20
+
+
+def _overlaps(starts: list[float], ends: list[float], scenes: list[tuple[float, float]]) -> list[list[int]]:
+    """Of each scene (s, e), the cues that share more than a point with it, in their order. Both may overlap and start in any order, one without
+    a start or an end shares nothing. Scenes are met by their starts, with the cues that are open then on a heap."""
+    order = sorted((i for i, (s, e) in enumerate(zip(starts, ends, strict=True)) if s == s and e == e), key=starts.__getitem__)
+    at = [starts[i] for i in order]
+    found: list[list[int]] = [[] for _ in scenes]
+    opened: list[tuple[float, int]] = []
+    k = 0
+    for j in sorted((j for j, (s, e) in enumerate(scenes) if s == s and e == e), key=lambda j: scenes[j][0]):
+        s, e = scenes[j]
+        while k < len(at) and at[k] <= s:
+            heappush(opened, (ends[order[k]], order[k]))
+            k += 1
+        while opened and opened[0][0] <= s:
+            heappop(opened)
+        found[j] = sorted([i for _, i in opened if starts[i] < e] + [i for i in order[k : bisect_left(at, e, k)] if ends[i] > s])
+    return found
+
 
-    scenes: keys, pos, transcript, characters array, keyframes array; cues: keys, cue_pos, start_s, text. The transcript joins the scenes' own, or
-    where they have none the texts of the cues that start within 0.2 s of the sequence; characters are distinct and sorted, keyframes
-    distinct and in order; the dialogue count is that of the cues, or of the transcripts where there is no cue.
+def sequence_rollup(scenes: DataFrame, cues: DataFrame, min_seconds: float = 45.0, max_seconds: float = 120.0, keys=KEYS) -> DataFrame:
+    """keys, sequence_id, start_s, end_s, transcript, characters, keyframes, dialogue_count of the sequences that number_sequences numbers.
+
+    scenes: keys, pos, start_s, end_s; cues: keys, cue_pos, start_s, end_s, text. Scenes may have a transcript, or with `spoken` (boolean) that
+    of the texts of the cues that they overlap, joined by spaces in cue order; both sides may have characters as an array, and a scene has
+    those of the cues that it overlaps besides its own; scenes may have keyframes as an array. What is null or missing counts as none.
+
+    The transcript joins the scenes' own, or where they have none the texts of the cues that start within 0.2 s of the sequence; characters
+    are distinct and sorted, keyframes distinct and in order; the dialogue count is that of the cues, or of the transcripts where there is no
+    cue. A row whose keys are null meets no other one.
+
+    A long cue is a part of every scene that it overlaps, so transcripts can be many times the cues' texts. They are never shuffled: a film's
+    cues and then its scenes pass as one line that is dealt and sorted once, each text in it once, and a transcript is made when its sequence
+    closes. A task holds a batch, one film's rows and the transcripts that it hands on next.
     """
-    spans = numbered.groupBy(*keys, "seq").agg(F.min("start_s").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"))
-    listed = lambda value, at, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(F.col(at).alias("at"), value.alias("v"))))), lambda x: x["v"])
-    own = F.trim(F.coalesce("transcript", F.lit("")))
-    none = F.array().cast("array<string>")
-    of_scenes = numbered.select(*keys, "pos", "seq").join(scenes, [*keys, "pos"]).groupBy(*keys, "seq").agg(
-        listed(own, "pos", own != "").alias("texts"),
-        F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.coalesce("characters", none))), lambda c: c != ""))).alias("characters"),
-        F.array_distinct(F.filter(F.flatten(listed(F.coalesce("keyframes", none), "pos", F.lit(True))), lambda c: c != "")).alias("keyframes"),
-    )
-    near = interval_join(spans.withColumns({"s": F.col("start_s") - 0.2, "e": F.col("end_s") + 0.2}).drop("start_s", "end_s"), cues.select(*keys, "cue_pos", "text", F.col("start_s").alias("s2"), F.col("start_s").alias("e2")), keys, 120.0, inclusive=True)
-    of_cues = near.groupBy(*keys, "seq").agg(F.count("*").alias("n"), listed(F.col("text"), "cue_pos", F.coalesce("text", F.lit("")) != "").alias("said"))
-    d = spans.join(of_scenes, [*keys, "seq"], "left").join(of_cues, [*keys, "seq"], "left")
-    texts = F.when(F.coalesce(F.size("texts"), F.lit(0)) > 0, F.col("texts")).otherwise(F.coalesce("said", none))
-    count = F.coalesce("n", F.size(texts).cast("bigint"))
-    return d.select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), "start_s", "end_s", F.array_join(texts, " ").alias("transcript"), F.coalesce("characters", none).alias("characters"), F.coalesce("keyframes", none).alias("keyframes"), count.alias("dialogue_count"))
+    def rolled(g: dict, joins: bool) -> Iterator[tuple]:
+        n = g["kind"].count(0)  # cues, which stand in front
+        starts, ends = g["start_s"], g["end_s"]
+        heard = sorted(s for s in starts[:n] if s == s)
+        _, seqs, firsts, counts, closes = _cut(starts[n:], ends[n:], heard, min_seconds, max_seconds)
+        met = n if joins else 0
+        overlapped = _overlaps(starts[:met], ends[:met], list(zip(starts[n:], ends[n:], strict=True)))
+        in_time = sorted((i for i in range(met) if starts[i] == starts[i]), key=starts.__getitem__)
+        times = [starts[i] for i in in_time]
+        for last, seq, first, count, closing in zip(range(n, len(starts)), seqs, firsts, counts, closes, strict=True):
+            if not closing:
+                continue
+            own, names, frames = [], set(), {}
+            for i in range(last - count + 1, last + 1) if joins else ():
+                over = overlapped[i - n]
+                text = g["text"][i]
+                if text is None and g["spoken"][i]:
+                    text = b" ".join(g["text"][c] for c in over if g["text"][c] is not None)
+                if text is not None and (text := text.strip(b" ")):
+                    own.append(text)
+                for c in (i, *over):
+                    if g["characters"][c] is not None:
+                        names.update(x for x in g["characters"][c] if x)
+                if g["keyframes"][i] is not None:
+                    frames.update((x, None) for x in g["keyframes"][i] if x)
+            near = sorted(in_time[bisect_left(times, first - 0.2) : bisect_right(times, ends[last] + 0.2)]) if first == first and ends[last] == ends[last] else []
+            own = own or [g["text"][c] for c in near if g["text"][c]]
+            yield seq, first, ends[last], b" ".join(own), sorted(names), list(frames), len(near) or len(own)
+
+    of_seqs = ["seq", "first_s", "end_s", "transcript", "characters", "keyframes", "dialogue_count"]
+    columns = ["kind", "start_s", "end_s", "text", "spoken", "characters", "keyframes"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t, edges in _whole_groups(batches, keys):
+            lists, nameless = {c: t[c].tolist() for c in columns}, t[list(keys)].isna().any(axis=1).tolist()
+            rows, out, gathered = [], [], 0
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                for r in rolled({c: v[x:y] for c, v in lists.items()}, not nameless[x]):
+                    rows.append(x)
+                    out.append(r)
+                    gathered += len(r[3])
+                    if gathered >= HANDED_ON:
+                        yield pd.concat([t.loc[rows, list(keys)].reset_index(drop=True), pd.DataFrame(out, columns=of_seqs)], axis=1)
+                        rows, out, gathered = [], [], 0
+            if out:
+                yield pd.concat([t.loc[rows, list(keys)].reset_index(drop=True), pd.DataFrame(out, columns=of_seqs)], axis=1)
+
+    def side(df: DataFrame, kind: int, **places) -> DataFrame:
+        given = lambda c, of: (F.col(c) if c in df.columns else F.lit(None)).cast(of).alias(c)
+        text = "text" if kind == 0 else "transcript"
+        return df.select(*keys, F.lit(kind).alias("kind"), *(p.alias(c) for c, p in places.items()), given("start_s", "double"), given("end_s", "double"), given(text, "binary").alias("text"), F.coalesce(given("spoken", "boolean"), F.lit(False)).alias("spoken"), given("characters", "array<string>"), given("keyframes", "array<string>"))
+
+    no_pos, no_cue_pos = F.lit(None).cast(scenes.schema["pos"].dataType), F.lit(None).cast(cues.schema["cue_pos"].dataType)
+    line = side(cues, 0, pos=no_pos, cue_pos=F.col("cue_pos")).unionByName(side(scenes, 1, pos=F.col("pos"), cue_pos=no_cue_pos))
+    dealt = _in_line(line, keys, ["kind", "pos", "cue_pos", "start_s", "text"]).select(*keys, *columns, "__in_line")
+    of_keys = ", ".join(f"`{k}` {line.schema[k].dataType.simpleString()}" for k in keys)
+    cut = dealt.mapInPandas(run, f"{of_keys}, seq int, first_s double, end_s double, transcript binary, characters array<string>, keyframes array<string>, dialogue_count bigint")
+    span = [F.col(c).cast(scenes.schema[of].dataType).alias(of) for c, of in (("first_s", "start_s"), ("end_s", "end_s"))]
+    return cut.select(*keys, F.format_string("seq-%03d", "seq").alias("sequence_id"), *span, F.col("transcript").cast("string").alias("transcript"), "characters", "keyframes", "dialogue_count")
 
 
 #: The share of the target length that each part of the story gets.

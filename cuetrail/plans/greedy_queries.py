@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import any_contained, latin_tokens
 from ..operators import dictionary as D
 from ..operators import greedy as G
-from ..operators import intervals as I
 from ..operators.continuity import anchors
 from .tables import CLIPS, CUES, LINES, clips, cues, grid, grid_sql, lines
 
@@ -63,13 +62,10 @@ def plan_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of the documents' scenes with transcripts, characters and keyframes. Every seventh scene has no transcript of its own."""
     s, c = _scenes(spark, sf_dir)
-    numbered = G.number_sequences(s, c)
-    cue_rows = c.select("project_id", F.col("pos").alias("cue_pos"), "start_s", "text", F.col("start_s").alias("s2"), F.col("end_s").alias("e2"))
-    texts = I.attach_cues(grid(c, 20), cue_rows.drop("start_s"), bucket_seconds=120.0)
-    names = any_contained(F.col("text"), ["the", "der", "que", "les"])
-    key = F.concat(F.lit("k"), F.floor(F.col("scene_pos") / 2).cast("string"))
-    scenes = texts.select("project_id", F.col("scene_pos").alias("pos"), F.when((F.col("project_id") % 7 != 0) & (F.col("scene_pos") % 7 != 3), F.col("text")).alias("transcript"), names.alias("characters"), F.array(key).alias("keyframes"))
-    out = G.sequence_rollup(numbered, scenes, cue_rows)
+    key = F.concat(F.lit("k"), F.floor(F.col("pos") / 2).cast("string"))
+    scenes = s.withColumns({"spoken": (F.col("project_id") % 7 != 0) & (F.col("pos") % 7 != 3), "keyframes": F.array(key)})
+    names = any_contained(F.col("text"), ["the", "der", "que", "les"])  # a cue's name is one of every scene that it overlaps
+    out = G.sequence_rollup(scenes, c.select("project_id", F.col("pos").alias("cue_pos"), "start_s", "end_s", "text", names.alias("characters")))
     return out.select("project_id", "sequence_id", "start_s", "end_s", F.sha2("transcript", 256).alias("transcript_sha256"), F.array_join("characters", ",").alias("characters"), F.array_join("keyframes", ",").alias("keyframes"), "dialogue_count")
 
 

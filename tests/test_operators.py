@@ -1,6 +1,7 @@
 """Literals of small films, scripts and logs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import Window as W
@@ -187,6 +188,72 @@ def test_sequences_of_a_line_dealt_and_sorted_once(spark):
     assert not any(x in plan for x in ("Join", "Aggregate")) and plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
 
 
+def test_rollup_of_a_line_dealt_and_sorted_once(spark, monkeypatch):
+    """Cues that overlap, come in any order or lack a time or text; own, overheard and missing transcripts; films without cues or keys."""
+    rng = random.Random(3)
+    scenes, cues = [], []
+    for p in [*range(8), None]:
+        at = 0.0
+        for i in range(25 if p is not None else 1):
+            e = at + rng.choice([5.0, 20.0, 40.0])
+            start = None if p == 5 and i in (3, 4) else at
+            scenes.append((p, i, start, e, rng.choice([None, None, "", "  own ", f"own{i}"]), rng.choice([None, True, True, False]) if p != 6 else None, rng.choice([None, [], ["z", "", None], ["a"]]), rng.choice([None, ["k", f"k{i // 3}", ""]])))
+            at = e + rng.choice([0.0, 0.0, 3.0])
+        for c in range(40) if p != 7 else ():
+            b = None if c == 8 else round(rng.uniform(-20, at + 20) * 4) / 4
+            end = None if b is None or c == 9 else b + rng.choice([0.0, 2.0, 10.0, 300.0])
+            cues.append((p, c, b, end, rng.choice([None, "", " ", f"é{c} ", f"t{c}"]), rng.choice([None, ["b", "a"], [f"n{c % 4}"]])))
+    want = []
+    for p in [*range(8), None]:
+        film, said = [x[1:] for x in scenes if x[0] == p], [x[1:] for x in cues if x[0] == p]
+        seqs = {(r.project_id, r.pos): r.seq for r in G.number_sequences(*_of_film(spark, scenes, cues, p)).collect()}
+        for seq in sorted(set(seqs.values())):
+            held = [x for x in film if seqs[p, x[0]] == seq]
+            starts, end = [x[1] for x in held if x[1] is not None], held[-1][2]
+            own, names, frames = [], set(), []
+            for pos, s, e, text, spoken, chars, keys in held if p is not None else ():
+                met = [c for c in said if None not in (s, c[1], c[2]) and s < c[2] and e > c[1]]
+                text = text if text is not None else " ".join(c[3] for c in met if c[3] is not None) if spoken else ""
+                own += [text.strip(" ")] if text.strip(" ") else []
+                names |= {x for of in (chars, *(c[4] for c in met)) for x in of or () if x}
+                frames += [x for x in keys or () if x and x not in frames]
+            near = [c for c in said if p is not None and starts and c[1] is not None and min(starts) - 0.2 <= c[1] <= end + 0.2]
+            own = own or [c[3] for c in near if c[3]]
+            want.append((p, f"seq-{seq:03d}", min(starts, default=None), end, " ".join(own), sorted(names), frames, len(near) or len(own)))
+    for sizes in ({}, {"batch": "9", "handed_on": 1}):
+        monkeypatch.setattr(G, "HANDED_ON", sizes.get("handed_on", G.HANDED_ON))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", sizes.get("batch", "10000"))
+        try:
+            got = sorted((tuple(r) for r in G.sequence_rollup(*_of_film(spark, scenes[::-1], cues[::-1])).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+    assert len(want) > 30 and {len(r[5]) > 2 for r in want} == {True, False} and any(r[4] == "" for r in want) and any(r[7] == 0 for r in want)
+
+
+def _of_film(spark, scenes, cues, film="all"):
+    of = lambda rows: [r for r in rows if film in ("all", r[0])]
+    return (spark.createDataFrame(of(scenes), "project_id bigint, pos bigint, start_s double, end_s double, transcript string, spoken boolean, characters array<string>, keyframes array<string>"),
+            spark.createDataFrame(of(cues), "project_id bigint, cue_pos int, start_s double, end_s double, text string, characters array<string>"))
+
+
+def test_texts_of_a_rollup_are_dealt_once(spark):
+    """A cue of 100,000 characters lies under 1,250 scenes, whose transcripts were shuffled twice."""
+    from cuetrail import catalog
+
+    how = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in how}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    try:
+        plan = catalog.QUERIES["sequence_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # the films' ends, and the line of cues and scenes
+    assert "Join" not in plan and "collect_list" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_clip_plan_moves_through_the_film(spark):
     scenes = spark.range(100).select(F.lit("p").alias("project_id"), F.col("id").alias("scene_pos"), (F.col("id") * 50.0).alias("start_s"))
     none = F.lit(None).cast("double")
